@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,20 +107,32 @@ def announcement_flags(subject: Column | str) -> dict[str, Column]:
     return {name: F.coalesce(lowered.rlike(p), F.lit(False)) for name, p in ANNOUNCEMENT_PATTERNS.items()}
 
 
+def _phrase_pattern(shape: str) -> str:
+    """Regex for a symbol shape like W&W: overlapping matches of words with these separators."""
+    parts = shape.split(" ")
+    if parts[0] != "W" or parts[-1] != "W":
+        raise ValueError(f"symbols must start and end with a letter or digit: {shape}")
+    word = WORD.strip("()")
+    body = "".join(word if p == "W" else re.escape(p) for p in parts)
+    edge = word.rstrip("+")
+    return f"(?<!{edge})(?=({body})(?!{edge}))"
+
+
 def mentions(articles: DataFrame, symbols: DataFrame, text: str = "text", key: str = "symbol") -> DataFrame:
-    """One row per article and listed symbol mentioned as a whole word.
+    """One row per article and listed symbol that stands in the text as a whole word.
 
-    Single-word symbols meet the text through an equality join on its distinct tokens,
-    so the symbol list may have any length. Symbols with other characters (M&M,
-    BAJAJ-AUTO) are rare: their longest word part joins first and only those
-    candidates are checked against the text with word boundaries.
+    The whole text is cut into its distinct words, and into the multi-part words whose
+    separators occur in the symbol list (M&M, BAJAJ-AUTO); these meet the symbols in an
+    equality join, so the list may have any length. The text itself is not carried
+    through the join.
     """
+    listed = symbols.select(F.upper(F.trim(F.col(key))).alias(key)).where(F.col(key) != "").distinct()
+    # the few kinds of separators in use, e.g. "W & W"
+    shape = F.trim(F.regexp_replace(F.col(key), WORD, " W "))
+    shapes = [r[0] for r in listed.select(shape.alias("s")).distinct().collect()]
     upper = F.upper(F.col(text))
-    tokens = articles.withColumn("_word", F.explode(F.array_distinct(F.regexp_extract_all(upper, F.lit(WORD), 1))))
-    parts = F.regexp_extract_all(F.upper(F.col(key)), F.lit(WORD), 1)
-    longest = F.element_at(F.array_sort(parts, lambda a, b: F.length(b) - F.length(a)), 1)
-    listed = symbols.select(F.col(key)).where(F.trim(key) != "").distinct().withColumn("_word", longest)
-    found = tokens.join(listed, "_word")
-    quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.upper(F.col(key)), F.lit(r"\E(?![\p{L}\p{N}_])"))
-    whole = (F.col("_word") == F.upper(F.col(key))) | F.upper(F.col(text)).rlike(quoted)
-    return found.where(whole).drop("_word")
+    found = [F.regexp_extract_all(upper, F.lit(WORD), 1)]
+    found += [F.regexp_extract_all(upper, F.lit(_phrase_pattern(s)), 1) for s in shapes if s != "W"]
+    rest = [c for c in articles.columns if c != text]
+    tokens = articles.select(*rest, F.explode(F.array_distinct(F.concat(*found))).alias(key))
+    return tokens.join(listed, key).select(*rest, key)

@@ -1,7 +1,7 @@
 """All registered queries."""
 
 from . import tables_sql  # noqa: F401  isort: skip
-from . import external, features  # noqa: F401
+from . import evaluation, external, features, portfolios  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -175,7 +175,7 @@ def _delivery_sql() -> tuple[str, list[str]]:
 DELIVERY_SQL, DELIVERY_COLS = _delivery_sql()
 
 
-@query("delivery_features", KEY + columns(DELIVERY_COLS, "f6"), DELIVERY_SQL, ("delivery",))
+@query("delivery_features", KEY + " ".join(f"{c}:f9" if c == "delivery_value" else f"{c}:f6" for c in DELIVERY_COLS), DELIVERY_SQL, ("delivery",))
 def delivery_features_(m):
     return delivery_features(m.delivery)
 

@@ -55,7 +55,7 @@ cte(
 )
 cte(
     "delivery",
-    """SELECT *, delivery_qty / volume * 100.0E0 AS delivery_pct FROM (
+    """SELECT *, round(delivery_qty / volume * 100.0E0, 6) AS delivery_pct FROM (
        SELECT *, volume * (0.2E0 + 0.6E0 * ((day(date) * 37 + month(date) * 11) % 100) / 100.0E0) AS delivery_qty FROM bars)""",
     "bars",
 )

@@ -124,7 +124,7 @@ class Market:
     def delivery(self) -> DataFrame:
         share = 0.2 + 0.6 * ((F.dayofmonth("date") * 37 + F.month("date") * 11) % 100) / 100.0
         out = self.bars.withColumn("delivery_qty", F.col("volume") * share)
-        return out.withColumn("delivery_pct", ratio("delivery_qty", "volume") * 100.0)
+        return out.withColumn("delivery_pct", F.round(ratio("delivery_qty", "volume") * 100.0, 6))
 
     def _customer_orders(self) -> DataFrame:
         c = self.table("customer").select("c_custkey", "c_nationkey", "c_acctbal")
