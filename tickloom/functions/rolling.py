@@ -51,9 +51,31 @@ def high(x, w, n, at_least=None) -> Column:
     return rolling(F.max, x, w, n, at_least)
 
 
+def window_values(x, w, n) -> Column:
+    """Sorted values of the last n rows: the base of rolling quantiles and ranks."""
+    return F.sort_array(F.collect_list(as_col(x)).over(trailing(w, n)))
+
+
+def quantile_of(values: Column, q: float, at_least: int) -> Column:
+    """Exact quantile of a sorted array with linear interpolation."""
+    at = (F.size(values) - 1) * F.lit(float(q))
+    low_at = F.floor(at).cast("int")
+    lower = F.try_element_at(values, low_at + 1)
+    upper = F.coalesce(F.try_element_at(values, low_at + 2), lower)
+    value = F.when(lower == upper, lower).otherwise(lower + (upper - lower) * (at - low_at))
+    return F.when(F.size(values) >= at_least, value)
+
+
+def rank_pct_of(values: Column, x: Column, at_least: int) -> Column:
+    """Average rank of x in a sorted array, divided by its length."""
+    n = F.size(values)
+    below = F.array_position(values, x) - 1
+    above = F.array_position(F.reverse(values), x) - 1
+    return F.when(x.isNotNull() & (n >= at_least), (below + (n - below - above + 1) / F.lit(2.0)) / n)
+
+
 def quantile(x, q: float, w, n, at_least=None) -> Column:
-    """Exact quantile with linear interpolation."""
-    return rolling(lambda c: F.percentile(c, F.lit(q)), x, w, n, at_least)
+    return quantile_of(window_values(x, w, n), q, n if at_least is None else at_least)
 
 
 def zscore(x, w, n, at_least=None, ddof: int = 0) -> Column:
@@ -77,14 +99,7 @@ def slope(x, index: Column | str, w, n) -> Column:
 
 def rank_pct(x, w, n, at_least) -> Column:
     """Position of the current value inside its window: average rank / count."""
-    x, frame = as_col(x), trailing(w, n)
-    values = F.collect_list(x).over(frame)
-    below = F.size(F.filter(values, lambda v: v < x))
-    equal = F.size(F.filter(values, lambda v: v == x))
-    return F.when(
-        x.isNotNull() & (F.size(values) >= at_least),
-        (below + (equal + 1) / F.lit(2.0)) / F.size(values),
-    )
+    return rank_pct_of(window_values(x, w, n), as_col(x), at_least)
 
 
 def change(x, w, n: int = 1) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import prepare
 from ..sources.views import Market
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,7 +73,7 @@ def query(name: str, spec: str, sql: str | None = None, needs: tuple[str, ...] =
 
     def register(fn: Callable[[Market], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return fn(Market(spark, folder)).select(*[_spark_column(n, k) for n, k in columns])
+            return fn(Market(prepare(spark), folder)).select(*[_spark_column(n, k) for n, k in columns])
 
         if name in QUERIES:
             raise ValueError(f"query {name} is registered already")

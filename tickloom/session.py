@@ -15,9 +15,19 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # window work is heavy per byte: small shuffles still use every core
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Apply the settings above to a session that still has Spark's defaults."""
+    for key, value in SETTINGS.items():
+        if key.startswith("spark.sql.adaptive") and spark.conf.get(key) in (None, "false", "1MB", "1048576b"):
+            spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the benchmark; on a cluster the caller brings its own."""
     builder = (
