@@ -78,6 +78,28 @@ def quantile(x, q: float, w, n, at_least=None) -> Column:
     return quantile_of(window_values(x, w, n), q, n if at_least is None else at_least)
 
 
+def chain(piece: str, w, n: int, step: int, combine: Callable[[list[Column]], Column]) -> Column:
+    """A window of n rows put together from n / step windows of ``step`` rows.
+
+    ``piece`` is a column with the aggregate of the last ``step`` rows, NULL until
+    complete. A long frame costs n visits per row; its pieces cost step + n / step.
+    """
+    if n % step:
+        raise ValueError(f"{n} is no multiple of {step}")
+    parts = [F.lag(piece, k).over(w) if k else F.col(piece) for k in range(0, n, step)]
+    known = parts[0].isNotNull()
+    for part in parts[1:]:
+        known = known & part.isNotNull()
+    return F.when(known, combine(parts))
+
+
+def total(parts: list[Column]) -> Column:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out + part
+    return out
+
+
 def zscore(x, w, n, at_least=None, ddof: int = 0) -> Column:
     return ratio(as_col(x) - mean(x, w, n, at_least), std(x, w, n, at_least, ddof))
 

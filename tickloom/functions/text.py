@@ -77,8 +77,8 @@ def words(text: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(as_col(text)), F.lit(WORD), 1))
 
 
-def hits(tokens: Column, lexicon: list[str]) -> Column:
-    return F.size(F.array_intersect(tokens, F.array(*[F.lit(x) for x in lexicon])))
+def _literal(words_: list[str]) -> Column:
+    return F.array(*[F.lit(x) for x in words_])
 
 
 def sentiment(
@@ -86,11 +86,22 @@ def sentiment(
     positive: list[list[str]] = (POSITIVE, MARKET_POSITIVE),
     negative: list[list[str]] = (NEGATIVE, MARKET_NEGATIVE),
 ) -> Column:
-    """(pos - neg) / (pos + neg) over distinct words, 0 when no word is listed."""
-    tokens = words(text)
-    pos = sum((hits(tokens, part) for part in positive), F.lit(0))
-    neg = sum((hits(tokens, part) for part in negative), F.lit(0))
-    return F.coalesce(F.try_divide((pos - neg).cast("double"), (pos + neg).cast("double")), F.lit(0.0))
+    """(pos - neg) / (pos + neg) over distinct words, 0 when no word is listed.
+
+    The whole text is tokenised once and cut down to the listed words (the intersection
+    is distinct already); the lists are counted on that short array.
+    """
+    listed = list(dict.fromkeys(w for part in [*positive, *negative] for w in part))
+    tokens = F.regexp_extract_all(F.lower(as_col(text)), F.lit(WORD), 1)
+    found = F.array_intersect(tokens, _literal(listed))
+
+    def score(hit: Column) -> Column:
+        pos = sum((F.size(F.array_intersect(hit, _literal(part))) for part in positive), F.lit(0))
+        neg = sum((F.size(F.array_intersect(hit, _literal(part))) for part in negative), F.lit(0))
+        return F.coalesce(F.try_divide((pos - neg).cast("double"), (pos + neg).cast("double")), F.lit(0.0))
+
+    # NULL text has no words; the one-element transform evaluates the tokens once
+    return F.coalesce(F.element_at(F.transform(F.array(found), score), 1), F.lit(0.0))
 
 
 def sector_of(text: Column | str, keywords: list[tuple[str, str]] = SECTOR_KEYWORDS) -> Column:

@@ -6,9 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def first_key(order: list[str]) -> Column:
-    """The ordering key of first/last: one column, or a struct compared left to right."""
-    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+def first_last(price_first: str, price_last: str, order: list[str]) -> tuple[Column, Column]:
+    """First and last price by ``order``.
+
+    One order column must be unique within the key and keeps the aggregation hashed.
+    Several columns are compared left to right with the price as the last tie-breaker,
+    so the result never depends on the arrival of rows.
+    """
+    if len(order) == 1:
+        return F.min_by(price_first, order[0]), F.max_by(price_last, order[0])
+    low = F.min(F.struct(*order, F.col(price_first).alias("_price")))
+    high = F.max(F.struct(*order, F.col(price_last).alias("_price")))
+    return low["_price"], high["_price"]
 
 
 def roll_up(
@@ -24,15 +33,14 @@ def roll_up(
     """open = first, high = max, low = min, close = last, volume = sum per key.
 
     One aggregate: every map task keeps one partial row per key, so a symbol with a
-    third of all ticks still ships one row per day and task to the shuffle. ``order``
-    must be unique within a key up to rows with equal prices.
+    third of all ticks still ships one row per day and task to the shuffle.
     """
-    key = first_key(order)
+    first, last = first_last(open_, close, order)
     return ticks.groupBy(*keys).agg(
-        F.min_by(open_, key).alias("open"),
+        first.alias("open"),
         F.max(high).alias("high"),
         F.min(low).alias("low"),
-        F.max_by(close, key).alias("close"),
+        last.alias("close"),
         F.sum(volume).alias("volume"),
     )
 

@@ -148,22 +148,22 @@ def screen(signal: DataFrame, direction: str = "ALL", limit: int = 0) -> DataFra
     return out.orderBy("signal_rank").limit(limit) if limit > 0 else out
 
 
-def technicals(panel: DataFrame) -> DataFrame:
+def technicals(today: DataFrame, bars: DataFrame) -> DataFrame:
     """Per symbol of the newest date: trend class, breakout, ranges, averages, ranks.
 
-    ``panel``: a stored feature table. The exponential averages run over the symbol's
-    whole history, ranges over its last 252, 60 and 20 rows.
+    ``today``: feature rows of the newest date with excess_return. The exponential
+    averages run over the symbol's whole history, ranges over its last 252, 60 and
+    20 rows.
     """
     w = R.series()
     ema = smooth(
-        panel.select("symbol", "date", "close", "high", "low"),
+        bars.select("symbol", "date", "close", "high", "low"),
         {f"ema_{n}": ("close", span(n), 1) for n in (20, 50, 200)},
     )
     ranges = {}
     for n, label in ((252, "52w"), (60, "60d"), (20, "20d")):
         ranges |= {f"high_{label}": F.max("high").over(R.trailing(w, n)), f"low_{label}": F.min("low").over(R.trailing(w, n))}
-    ema = ema.withColumns(ranges | {"prev_close": F.lag("close").over(w)}).drop("close", "high", "low")
-    today = latest_rows(panel)
+    ema = latest_rows(ema.withColumns(ranges | {"prev_close": F.lag("close").over(w)}).drop("close", "high", "low"))
     today = percent_ranks(today, ["date"], {"_rs": "excess_return", "_vr": "volume_ratio_20d"}, strict=True)
     out = today.join(ema, ["symbol", "date"])
     close, high, low = F.col("close"), F.col("high"), F.col("low")

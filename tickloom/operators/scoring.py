@@ -229,14 +229,13 @@ def latest_rows(panel: DataFrame) -> DataFrame:
     return panel.join(F.broadcast(newest), "date", "left_semi")
 
 
-def score_cards(panel: DataFrame, sectors: DataFrame, signal: DataFrame) -> DataFrame:
-    """One card per symbol of the newest date.
+def score_cards(today: DataFrame, sectors: DataFrame, signal: DataFrame) -> DataFrame:
+    """One card per symbol.
 
-    ``panel``: features with excess_return (a stored table); ``signal``: symbol,
-    prob_up, signal_rank.
+    ``today``: feature rows of the newest date with excess_return (see ``latest_rows``);
+    ``signal``: symbol, prob_up, signal_rank.
     """
-    today = percent_ranks(latest_rows(panel), ["date"], {"_rank": "excess_return"})
-    today = with_sector(today, sectors)
+    today = with_sector(percent_ranks(today, ["date"], {"_rank": "excess_return"}), sectors)
     by_sector = today.groupBy("sector").agg(F.avg("excess_return").alias("_sector_mean"))
     today = today.join(by_sector, "sector", "left").join(signal.select("symbol", "prob_up", "signal_rank"), "symbol", "left")
     today = today.withColumns(

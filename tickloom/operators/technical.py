@@ -70,6 +70,13 @@ def _signed_volume(w):
     return F.coalesce(F.signum(F.col("close") - _prev("close", w)), F.lit(0.0)) * F.col("volume")
 
 
+def _long_averages(w):
+    return {
+        "sma_50": R.chain("_sum_10", w, 50, 10, R.total) / 50.0,
+        "sma_200": R.chain("_sum_20", w, 200, 20, R.total) / 200.0,
+    }
+
+
 EMA = {"ema_12": ("close", span(12), 1), "ema_26": ("close", span(26), 1)}
 ATR = {"_atr": ("_tr", wilder(14), 14)}
 
@@ -77,11 +84,13 @@ FAMILIES: dict[str, dict[str, object]] = {
     "returns": {"base": _returns},
     "price": {"base": _price},
     "trend": {
-        "base": lambda w: {f"sma_{n}": R.mean("close", w, n) for n in AVERAGES},
-        "second": lambda w: {f"dist_sma_{n}": _distance("close", f"sma_{n}") for n in AVERAGES}
-        | {f"sma_{a}_{b}_cross": R.above(f"sma_{a}", f"sma_{b}") for a, b in zip(AVERAGES, AVERAGES[1:])},
+        "base": lambda w: {f"sma_{n}": R.mean("close", w, n) for n in (5, 10, 20)}
+        | {f"_sum_{n}": R.rolling(F.sum, "close", w, n) for n in (10, 20)},
+        "second": _long_averages,
         "smooth": EMA,
-        "third": lambda w: {f"dist_ema_{n}": _distance("close", f"ema_{n}") for n in (12, 26)},
+        "third": lambda w: {f"dist_ema_{n}": _distance("close", f"ema_{n}") for n in (12, 26)}
+        | {f"dist_sma_{n}": _distance("close", f"sma_{n}") for n in AVERAGES}
+        | {f"sma_{a}_{b}_cross": R.above(f"sma_{a}", f"sma_{b}") for a, b in zip(AVERAGES, AVERAGES[1:])},
     },
     "rsi": {
         "base": lambda w: {
@@ -184,17 +193,25 @@ FAMILIES: dict[str, dict[str, object]] = {
     },
     "momentum": {
         "base": lambda w: {f"_m{d}": R.growth("close", w, d) for d in (1, 5)}
-        | {f"_a{n}": R.mean("close", w, n) for n in (5, 20, 50)},
+        | {f"_a{n}": R.mean("close", w, n) for n in (5, 20)}
+        | {"_sum_10": R.rolling(F.sum, "close", w, 10)},
         "second": lambda w: {
             "mean_reversion": F.col("_m1") - F.col("_m5") / 5.0,
             "price_accel": R.change("_m5", w),
             "ret_5d_ma": R.mean("_m5", w, 5),
-            "trend_alignment": sum((flag(F.col("close") > F.col(f"_a{n}")) for n in (5, 20, 50)), F.lit(0.0)) / 3.0,
+            "_a50": R.chain("_sum_10", w, 50, 10, R.total) / 50.0,
+        },
+        "third": lambda w: {
+            "trend_alignment": sum((flag(F.col("close") > F.col(f"_a{n}")) for n in (5, 20, 50)), F.lit(0.0)) / 3.0
         },
     },
     "range_52w": {
-        "base": lambda w: {"_top": R.high("close", w, 252), "_floor": R.low("close", w, 252)},
+        "base": lambda w: {"_top_21": R.high("close", w, 21), "_floor_21": R.low("close", w, 21)},
         "second": lambda w: {
+            "_top": R.chain("_top_21", w, 252, 21, lambda p: F.greatest(*p)),
+            "_floor": R.chain("_floor_21", w, 252, 21, lambda p: F.least(*p)),
+        },
+        "third": lambda w: {
             "dist_52w_high": _distance("close", "_top"),
             "dist_52w_low": _distance("close", "_floor"),
             "pct_52w_range": ratio(F.col("close") - F.col("_floor"), F.col("_top") - F.col("_floor")),

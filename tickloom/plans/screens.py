@@ -16,17 +16,26 @@ from .portfolios import COST
 
 
 def bars(m):
-    return stored(m.bars, "bars")
+    """The bars, aggregated from the ticks once per query."""
+    if not hasattr(m, "_stored_bars"):
+        m._stored_bars = stored(m.bars, "bars")
+    return m._stored_bars
 
 
 def signal(m):
-    return K.latest_signal(m.signal)
+    return K.latest_signal(bars(m).withColumn("prob", m.probability(7919, 104729)))
 
 
-def score_panel(m):
-    """The features the cards read, with the cross-section, stored once."""
-    panel = T.indicators(m.bars, "returns", "trend", "rsi", "macd", "stochastic", "adx", "volatility", "atr", "bollinger", "volume")
-    return stored(cross_section(stored(panel, "panel")), "scored")
+SCORED = ("returns", "trend", "rsi", "macd", "stochastic", "adx", "volatility", "atr", "bollinger", "volume")
+
+
+def today(m):
+    """Newest feature row per symbol of the market, with its cross-section.
+
+    Windows need the whole history, but only the newest date goes on from there.
+    """
+    newest = S.latest_rows(T.indicators(bars(m), *SCORED))
+    return cross_section(stored(newest, "today"))
 
 
 # --- quotes and movers -----------------------------------------------------
@@ -252,7 +261,7 @@ PLAN = "entry_price:f2 stop_loss:f2 target_1:f2 target_2:f2 risk_level holding_p
 
 
 def cards(m):
-    return S.score_cards(score_panel(m), m.sectors, signal(m))
+    return S.score_cards(today(m), m.sectors, signal(m))
 
 
 @query("score_cards", "symbol sector as_of:d last_close:f9 signal_rank:i " + columns(SCORES, "f6") + " " + columns(ROUNDED, "f4"), "SELECT * FROM cards", ("cards",))
@@ -350,7 +359,7 @@ RANGES = ["high_20d", "low_20d", "support_2", "resistance_2", "high_52w", "low_5
     ("cross_", "bars"),
 )
 def technicals(m):
-    return K.technicals(score_panel(m))
+    return K.technicals(today(m), bars(m))
 
 
 @query(
@@ -375,5 +384,6 @@ def market_dashboard(m):
     ("cards", "ls", "preds"),
 )
 def kpi_header(m):
+    m.bars = bars(m)
     p = stored(m.predictions.select("date", "symbol", "next_ret", "actual", "prob", "pred"), "preds")
     return K.headline(cards(m), significance(p), long_short_daily(p, COST))

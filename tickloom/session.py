@@ -37,6 +37,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.codegen.cache.maxEntries", "2000")  # wide plans generate hundreds of classes
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call-site capture per column
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

@@ -35,14 +35,13 @@ class Market:
                 F.to_date("l_shipdate").alias("date"),
                 (F.lit(100.0) + F.col("l_extendedprice") / F.lit(10000.0)).alias("px"),
                 F.col("l_quantity").alias("qty"),
-                "l_orderkey",
-                "l_linenumber",
+                (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),  # line numbers are below 8
                 "l_partkey",
                 "l_suppkey",
             )
         )
 
-    TICK_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "px"]
+    TICK_ORDER = ["seq", "l_partkey", "l_suppkey"]
 
     @cached_property
     def bars(self) -> DataFrame:
