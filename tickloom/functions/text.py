@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small, stored
 from .scalar import as_col
 
 # The sentiment lexicon. Words that stand in both lists of one
@@ -134,10 +135,11 @@ def mentions(articles: DataFrame, symbols: DataFrame, text: str = "text", key: s
 
     The whole text is cut into its distinct words, and into the multi-part words whose
     separators occur in the symbol list (M&M, BAJAJ-AUTO); these meet the symbols in an
-    equality join, so the list may have any length. The text itself is not carried
-    through the join.
+    equality join, so the list may have any length; a short list is broadcast and the
+    words are not shuffled at all. The text itself is not carried through the join.
     """
     listed = symbols.select(F.upper(F.trim(F.col(key))).alias(key)).where(F.col(key) != "").distinct()
+    listed = stored(listed, "symbols")
     # the few kinds of separators in use, e.g. "W & W"
     shape = F.trim(F.regexp_replace(F.col(key), WORD, " W "))
     shapes = [r[0] for r in listed.select(shape.alias("s")).distinct().collect()]
@@ -146,4 +148,4 @@ def mentions(articles: DataFrame, symbols: DataFrame, text: str = "text", key: s
     found += [F.regexp_extract_all(upper, F.lit(_phrase_pattern(s)), 1) for s in shapes if s != "W"]
     rest = [c for c in articles.columns if c != text]
     tokens = articles.select(*rest, F.explode(F.array_distinct(F.concat(*found))).alias(key))
-    return tokens.join(listed, key).select(*rest, key)
+    return tokens.join(small(listed), key).select(*rest, key)

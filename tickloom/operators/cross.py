@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rolling as R
 from ..functions.scalar import flag, ratio
+from ..session import small, stored
 from .calendar import by_date, join_daily
 from .ranking import percent_ranks
 
@@ -51,21 +52,25 @@ def with_market_state(panel: DataFrame) -> DataFrame:
 
 
 def with_sector(df: DataFrame, sectors: DataFrame, default: str = "Other") -> DataFrame:
-    """Sector of the symbol from a (symbol, sector) dimension; its size decides the join."""
-    return df.join(sectors.select("symbol", "sector"), "symbol", "left").withColumn(
+    """Sector of the symbol from a (symbol, sector) dimension, broadcast if it is small."""
+    return df.join(small(sectors.select("symbol", "sector")), "symbol", "left").withColumn(
         "sector", F.coalesce("sector", F.lit(default))
     )
 
 
 def with_sector_state(panel: DataFrame) -> DataFrame:
-    """Sector momentum, breadth and dispersion per date, and the symbol relative to it."""
+    """Sector momentum, breadth and dispersion per date, and the symbol relative to it.
+
+    The state has one row per date and sector. It is stored, so the planner sees its
+    real size and broadcasts it only below its own threshold.
+    """
     state = panel.groupBy("date", "sector").agg(
         F.avg("ret_5d").alias("sect_mom_5d"),
         F.avg("ret_20d").alias("sect_mom_20d"),
         share(F.col("ret_1d") > 0).alias("sect_breadth_1d"),
         F.stddev_samp("ret_20d").alias("sect_disp_20d"),
     )
-    return panel.join(state, ["date", "sector"]).withColumns(
+    return panel.join(stored(state, "sectors"), ["date", "sector"]).withColumns(
         {
             "rel_mom_5d": F.col("ret_5d") - F.col("sect_mom_5d"),
             "rel_mom_20d": F.col("ret_20d") - F.col("sect_mom_20d"),

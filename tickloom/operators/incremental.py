@@ -11,9 +11,12 @@ from .dedup import upsert
 
 
 def new_dates(live: DataFrame, features: DataFrame) -> DataFrame:
-    """Live rows strictly after the newest feature date (a one-row aggregate of one column)."""
-    cutoff = features.agg(F.max("date").alias("_cutoff"))
-    return live.join(F.broadcast(cutoff), F.coalesce(F.col("date") > F.col("_cutoff"), F.lit(True))).drop("_cutoff")
+    """Live rows strictly after the newest feature date.
+
+    The date is one scalar read from one column; as a literal it prunes the live files.
+    """
+    cutoff = features.agg(F.max("date")).first()[0]
+    return live if cutoff is None else live.where(F.col("date") > F.lit(cutoff))
 
 
 def refresh_features(history: DataFrame, live: DataFrame, features: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -13,14 +13,10 @@ from .scoring import latest_rows
 
 
 def last_two_dates(bars: DataFrame) -> DataFrame:
-    """One row: the newest date of the table and the newest date below it."""
-    per_day = bars.groupBy("date").agg(F.lit(1).alias("_one"))
+    """The newest date of the table (number 1) and the newest date below it (number 2)."""
     newest = Window.partitionBy(F.lit(0)).orderBy(F.desc("date"))  # one row per date
-    numbered = per_day.select("date", F.row_number().over(newest).alias("_no")).where(F.col("_no") <= 2)
-    return numbered.agg(
-        F.max(F.when(F.col("_no") == 1, F.col("date"))).alias("last_date"),
-        F.max(F.when(F.col("_no") == 2, F.col("date"))).alias("prev_date"),
-    )
+    dates = bars.select("date").distinct().withColumn("_no", F.row_number().over(newest))
+    return dates.where(F.col("_no") <= 2)
 
 
 def quotes(bars: DataFrame) -> DataFrame:
@@ -29,14 +25,13 @@ def quotes(bars: DataFrame) -> DataFrame:
     The previous session is one date for all symbols; a symbol that did not trade on
     it has no change.
     """
-    two = last_two_dates(bars)
-    rows = bars.join(F.broadcast(two), F.col("date").isin(F.col("last_date"), F.col("prev_date")))
-    now, before = F.col("date") == F.col("last_date"), F.col("date") == F.col("prev_date")
+    rows = bars.join(F.broadcast(last_two_dates(bars)), "date")  # at most two rows
+    now, before = F.col("_no") == 1, F.col("_no") == 2
     per_symbol = rows.groupBy("symbol").agg(
         F.max(F.when(now, F.col("close"))).alias("last"),
         F.max(F.when(before, F.col("close"))).alias("prev_close"),
         F.max(F.when(now, F.col("volume"))).alias("volume"),
-        F.max("last_date").alias("as_of"),
+        F.max(F.when(now, F.col("date"))).alias("as_of"),
     )
     change = F.col("last") - F.col("prev_close")
     return per_symbol.where(F.col("last").isNotNull()).withColumns(

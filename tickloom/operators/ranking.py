@@ -2,7 +2,7 @@
 
 Values are first reduced to one row per (group, distinct value). A monotone integer
 code of the value cuts the range into slices; rows below a value are then the rows in
-earlier slices (a prefix over at most a few thousand slice totals per group) plus the
+earlier slices (a prefix over the slice totals of the group) plus the
 rows below it inside its slice. A group with a third of all rows is spread over its
 slices, ties are one row, and no result is approximate: the code only decides where
 a row is counted, never its order.
@@ -15,15 +15,18 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import as_col
 
-SLICES_PER_E = 2048  # a slice spans 0.05 % of the value
-ZERO = 4_000_000  # above any floor(|ln x| * SLICES_PER_E) of a double
+# Slices per factor e of the value. Many groups (dates) share the cluster, so a group
+# needs few slices; the whole table as one group is cut much finer, which keeps both
+# the prefix over the slices and the rows inside one slice small.
+FEW, MANY = 2**11, 2**18
+ZERO = 10**9  # above any |ln x| * MANY of a double
 
 
-def slice_code(x: Column | str) -> Column:
+def slice_code(x: Column | str, per_e: int = FEW) -> Column:
     """Integer that never decreases as x grows: sign and logarithm in fixed steps."""
     x = as_col(x).cast("double")
-    step = F.floor(F.ln(F.abs(x)) * SLICES_PER_E) + ZERO
-    return F.when(x > 0, step).when(x < 0, -step).otherwise(F.lit(0).cast("long"))
+    step = F.floor(F.ln(F.abs(x)) * per_e) + ZERO
+    return F.when(x > 0, step).when(x < 0, -step).when(x == 0, F.lit(0).cast("long"))
 
 
 def distinct_counts(df: DataFrame, group: list[str], value: str, **measures: Column) -> DataFrame:
@@ -37,7 +40,7 @@ def distinct_counts(df: DataFrame, group: list[str], value: str, **measures: Col
         df.where(F.col(value).isNotNull())
         .groupBy(*group, value)
         .agg(F.count("*").alias("n"), *[F.sum(m).alias(k) for k, m in measures.items()])
-        .withColumn("_slice", slice_code(value))
+        .withColumn("_slice", slice_code(value, FEW if group else MANY))
     )
     totals = counts.groupBy(*group, "_slice").agg(*[F.sum(k).alias(f"_{k}") for k in names])
     over = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
@@ -83,7 +86,10 @@ def row_numbers(df: DataFrame, value: str, tie: str, name: str = "rank") -> Data
     characters of the tie column, so even one value held by most rows is split.
     """
     keyed = df.withColumns(
-        {"_slice": -F.coalesce(slice_code(value), F.lit(-2 * ZERO)), "_head": F.substring(F.col(tie).cast("string"), 1, 3)}
+        {
+            "_slice": -F.coalesce(slice_code(value, MANY), F.lit(-2 * ZERO)),  # NULL comes last
+            "_head": F.substring(F.col(tie).cast("string"), 1, 4),
+        }
     )
     # rows with one value share a slice, but a slice may hold several values
     part = ["_slice", "_value", "_head"]

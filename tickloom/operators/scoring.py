@@ -305,12 +305,14 @@ def score_summary(cards: DataFrame) -> DataFrame:
     )
 
 
-def sector_summary(cards: DataFrame, with_symbols: bool = False) -> DataFrame:
-    """Average score and size per sector; the symbol list is for one universe's display."""
-    aggs = [F.avg("overall").alias("avg_score"), F.count("*").alias("n")]
-    if with_symbols:
-        aggs.append(F.array_sort(F.collect_list("symbol")).alias("symbols"))
-    return cards.groupBy("sector").agg(*aggs)
+def sector_summary(cards: DataFrame) -> DataFrame:
+    """Average score and size per sector."""
+    return cards.groupBy("sector").agg(F.avg("overall").alias("avg_score"), F.count("*").alias("n"))
+
+
+def sector_members(cards: DataFrame) -> DataFrame:
+    """The symbols of each sector as rows; a large sector is never gathered into one list."""
+    return cards.select("sector", "symbol", "overall")
 
 
 def screener(cards: DataFrame, direction: str = "ALL", limit: int = 10) -> DataFrame:

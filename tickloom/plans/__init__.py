@@ -1,7 +1,7 @@
 """All registered queries."""
 
 from . import tables_sql  # noqa: F401  isort: skip
-from . import evaluation, external, features, portfolios, screens, streams  # noqa: F401
+from . import evaluation, external, features, portfolios, screens, sources, streams  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -269,12 +269,11 @@ cte("selday", "SELECT p.*, day_no < 0.6E0 * (SELECT count(*) FROM days) AS is_se
 )
 def threshold_selection(m):
     rows = preds(m, "actual", "prob", "pred")
-    days = date_ordinals(rows)
-    n_days = days.agg(F.count("*").alias("_n"))
-    numbered = join_daily(rows, days).join(F.broadcast(n_days))  # one row
-    selected = F.col("day_no") < F.lit(0.6) * F.col("_n")
-    best = M.best_threshold(M.threshold_sweep(numbered.where(selected)))
-    rest = numbered.where(~selected).join(F.broadcast(best))  # one row
+    numbered = join_daily(rows, date_ordinals(rows))
+    n_days = numbered.agg(F.max("day_no")).first()[0] + 1
+    selected = F.col("day_no") < 0.6 * n_days
+    best = M.best_threshold(M.threshold_sweep(numbered.where(selected))).withColumn("_k", F.lit(0))
+    rest = numbered.where(~selected).withColumn("_k", F.lit(0)).join(F.broadcast(best), "_k")  # one row
     right = ((F.col("prob") >= F.col("threshold")).cast("int") == F.col("actual")).cast("double")
     return rest.agg(
         F.max("threshold").alias("threshold"),

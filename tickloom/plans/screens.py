@@ -287,12 +287,17 @@ def score_summary(m):
 
 @query(
     "sector_summary",
-    "sector avg_score:f6 n:i symbols",
-    "SELECT sector, avg(overall) AS avg_score, count(*) AS n, string_agg(symbol, ',' ORDER BY symbol) AS symbols FROM cards GROUP BY 1",
+    "sector avg_score:f6 n:i",
+    "SELECT sector, avg(overall) AS avg_score, count(*) AS n FROM cards GROUP BY 1",
     ("cards",),
 )
 def sector_summary(m):
-    return S.sector_summary(cards(m), with_symbols=True).withColumn("symbols", F.array_join("symbols", ","))
+    return S.sector_summary(cards(m))
+
+
+@query("sector_members", "sector symbol overall:f6", "SELECT * FROM cards", ("cards",))
+def sector_members(m):
+    return S.sector_members(cards(m))
 
 
 ACTION = """CASE WHEN round(overall, 1) >= 75 AND prob_up >= 0.55 THEN 'STRONG BUY' WHEN round(overall, 1) >= 60 AND prob_up >= 0.52 THEN 'BUY' WHEN round(overall, 1) >= 45 AND prob_up >= 0.48 THEN 'HOLD'

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Plans rely on AQE for runtime broadcast decisions, partition coalescing and
 # splitting of skewed join partitions; all of these scale with the cluster.
@@ -89,3 +90,15 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     folder = work_folder(spark, name)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a narrow dimension for broadcast if it has at most ``rows`` rows.
+
+    The check reads no more than rows + 1 rows. A larger dimension is returned as it is
+    and joins by shuffle, with skewed keys split by AQE.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

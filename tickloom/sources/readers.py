@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import parse_date, ratio
+from ..operators.bars import roll_up
+from ..operators.dedup import keep_highest_volume, keep_last
+from ..session import small
 
 BAR_SCHEMA = "date date, symbol string, open double, high double, low double, close double, volume double, source string"
 PRICES = ["open", "high", "low", "close"]
@@ -40,8 +43,6 @@ def ohlcv_csv(spark: SparkSession, path: str, symbol: str = "series") -> DataFra
         *[_number(c).alias(c) for c in [*PRICES, "volume"]],
         "_seq",
     ).where(F.col("date").isNotNull())
-    from ..operators.dedup import keep_last
-
     return keep_last(rows, ["symbol", "date"], "_seq").drop("_seq")
 
 
@@ -76,8 +77,6 @@ def provider_bars(df: DataFrame, symbol: str | None, source: str) -> DataFrame:
         *[_number(c).alias(c) for c in [*PRICES, "volume"]],
         F.lit(source).alias("source"),
     )
-    from ..operators.dedup import keep_highest_volume
-
     return keep_highest_volume(bars, tie=("close", "open", "high", "low"))
 
 
@@ -147,7 +146,7 @@ def exchange_bars(df: DataFrame, date: str, universe: DataFrame, source: str = "
     valid = (F.col("volume") >= 0) & (F.col("high") >= F.col("low"))
     for p in PRICES:
         valid = valid & (F.col(p) > 0)
-    return bars.where(valid).join(universe.select("symbol"), "symbol", "left_semi").select(*bars.columns)
+    return bars.where(valid).join(small(universe.select("symbol")), "symbol", "left_semi").select(*bars.columns)
 
 
 DELIVERY_NAMES = {
@@ -173,14 +172,18 @@ def delivery_file(df: DataFrame) -> DataFrame:
     return out.where(F.col("date").isNotNull())
 
 
-def with_file_keys(df: DataFrame) -> DataFrame:
-    """symbol and date from file names <symbol>_YYYYMMDD or <symbol>_YYYY-MM-DD; others drop out."""
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]*$", 1)
+def with_name_keys(df: DataFrame, name: Column) -> DataFrame:
+    """symbol and date from names <symbol>_YYYYMMDD or <symbol>_YYYY-MM-DD; others drop out."""
     day = F.regexp_extract(name, r"_([^_]*)$", 1)
     out = df.withColumns({"symbol": F.regexp_extract(name, r"^(.*)_[^_]*$", 1), "date": parse_date(day, "yyyyMMdd", "yyyy-MM-dd")})
     return out.where((F.col("symbol") != "") & F.col("date").isNotNull())
 
 
+def with_file_keys(df: DataFrame) -> DataFrame:
+    """symbol and date from the names of the files the rows come from."""
+    return with_name_keys(df, F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]*$", 1))
+
+
 CANDLE_SCHEMA = "timestamp string, open double, high double, low double, close double, volume double"
 
 
@@ -192,8 +195,6 @@ def candle_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def daily_from_candle_files(spark: SparkSession, folder: str, source: str = "live") -> DataFrame:
-    from ..operators.bars import roll_up
-
     rows = candle_files(spark, folder)
     bars = roll_up(rows, ["symbol", "date"], ["ts"], "open", "high", "low", "close", "volume")
     return bars.withColumn("source", F.lit(source))
