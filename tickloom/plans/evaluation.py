@@ -32,7 +32,7 @@ def metric_sql(keys: str, table: str = "preds", by: str | None = None) -> str:
     tie = f"PARTITION BY {k}prob"
     group = f"GROUP BY {keys}" if keys else ""
     return f"""SELECT *, (tp + tn) / n::double AS accuracy,
-      (tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2 AS balanced_accuracy, coalesce(tp / nullif(tp + fp, 0)::double, 0) AS precision,
+      coalesce((tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2, tp / nullif(tp + fn, 0), tn / nullif(tn + fp, 0)) AS balanced_accuracy, coalesce(tp / nullif(tp + fp, 0)::double, 0) AS precision,
       coalesce(tp / nullif(tp + fn, 0)::double, 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::double, 0) AS f1,
       (ranks - (tp + fn) * (tp + fn + 1) / 2.0E0) / nullif((tp + fn) * (tn + fp), 0) AS roc_auc FROM (
       SELECT {k}count(*) AS n, count(*) FILTER (actual = 1 AND pred = 1) AS tp, count(*) FILTER (actual = 0 AND pred = 1) AS fp,
