@@ -105,12 +105,16 @@ def zscore(x, w, n, at_least=None, ddof: int = 0) -> Column:
 
 
 def correlation(x, y, w, n, at_least) -> Column:
-    """Pearson correlation; NULL when either side does not vary."""
+    """Pearson correlation; NULL when either side does not vary.
+
+    Built from covariance and deviations: corr() itself fails on a constant window,
+    because a window expression is evaluated before any guard around it.
+    """
     x, y, frame = as_col(x), as_col(y), trailing(w, n)
     both = x.isNotNull() & y.isNotNull()
     px, py = F.when(both, x), F.when(both, y)
-    enough = (F.count(px).over(frame) >= at_least) & (F.stddev_pop(px).over(frame) > 0) & (F.stddev_pop(py).over(frame) > 0)
-    return F.when(enough, F.corr(px, py).over(frame))
+    spread = F.stddev_pop(px).over(frame) * F.stddev_pop(py).over(frame)
+    return F.when(F.count(px).over(frame) >= at_least, ratio(F.covar_pop(px, py).over(frame), spread))
 
 
 def slope(x, index: Column | str, w, n) -> Column:

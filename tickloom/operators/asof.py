@@ -36,7 +36,7 @@ def asof(
     """Add the values of the latest right row at or before (``inclusive``) the left row.
 
     ``each_column`` carries every column's own latest non-NULL value instead of the
-    values of one row.
+    values of one row. Without ``by`` the left table is read twice: give a stored one.
     """
     right_on = right_on or on
     if not by:
@@ -46,6 +46,11 @@ def asof(
     return _carry(left, right, by, columns, on, right_on, inclusive, each_column)
 
 
+def asof_daily(daily: DataFrame, right: DataFrame, columns: list[str], inclusive: bool = True) -> DataFrame:
+    """The same for a left table that has one row per date itself."""
+    return _carry(daily, right, [], columns, "date", "date", inclusive, False)
+
+
 def _carry(left, right, by, columns, on, right_on, inclusive, each_column) -> DataFrame:
     both = _sides(left, right, by, on, right_on, columns, inclusive)
     w = running(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_on", "_side"))

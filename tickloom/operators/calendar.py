@@ -26,3 +26,12 @@ def date_ordinals(df: DataFrame) -> DataFrame:
     """Distinct dates numbered 0, 1, 2, ... in order."""
     dates = df.select("date").distinct()
     return dates.withColumn("day_no", F.row_number().over(by_date()) - 1)
+
+
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Several one-row tables side by side: a union and one aggregate, no join."""
+    names = [c for part in parts for c in part.columns]
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in names])

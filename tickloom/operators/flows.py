@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rolling as R
 from ..functions.scalar import flag, ratio
-from .asof import asof
+from .asof import asof_daily
 from .calendar import by_date
 
 
@@ -63,7 +63,7 @@ def macro_features(dates: DataFrame, vix: DataFrame, foreign: dict[str, DataFram
     after, so foreign returns use the latest date strictly before.
     """
     w = by_date()
-    out = asof(dates, vix.where(F.col("close").isNotNull()).select("date", F.col("close").alias("vix_level")), [], ["vix_level"])
+    out = asof_daily(dates, vix.where(F.col("close").isNotNull()).select("date", F.col("close").alias("vix_level")), ["vix_level"])
     out = out.withColumns(
         {
             "vix_chg1d": R.growth("vix_level", w),
@@ -75,7 +75,7 @@ def macro_features(dates: DataFrame, vix: DataFrame, foreign: dict[str, DataFram
         for lag in lags[name]:
             col = f"{name}_ret{lag}d_lag"
             returns = series.where(F.col("close").isNotNull()).select("date", R.growth("close", w, lag).alias(col))
-            out = asof(out, returns.where(F.col(col).isNotNull()), [], [col], inclusive=False)
+            out = asof_daily(out, returns.where(F.col(col).isNotNull()), [col], inclusive=False)
     return out
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import rolling as R
 from ..functions.scalar import ratio
 from ..functions.smoothing import smooth, span
+from .calendar import one_row
 from .ranking import percent_ranks, row_numbers
-from .scoring import latest_rows
+from .scoring import latest_rows, regime_label, sentiment_label
 
 
 def last_two_dates(bars: DataFrame) -> DataFrame:
@@ -203,32 +204,23 @@ def technicals(today: DataFrame, bars: DataFrame) -> DataFrame:
 
 def dashboard(bars: DataFrame, signal: DataFrame, summary: DataFrame) -> DataFrame:
     """One row: breadth, sentiment, advance/decline and score summary."""
-    from .scoring import regime_label, sentiment_label
-
-    one = F.lit(0).alias("_k")
-    parts = [
+    joined = one_row(
         signal.agg(F.coalesce(F.avg("prob_up"), F.lit(0.5)).alias("breadth_prob"), F.max("date").alias("signal_date")),
         advance_decline(bars).drop("as_of"),
         index_snapshot(bars).select(F.col("value").alias("index_value"), F.col("change_percent").alias("index_change_pct")),
         summary.select("n_symbols", "mean_overall", "bulls", "bears"),
-    ]
-    joined = parts[0].select("*", one)
-    for part in parts[1:]:  # one-row tables
-        joined = joined.join(part.select("*", one), "_k")
-    return joined.drop("_k").withColumns(
+    )
+    return joined.withColumns(
         {"sentiment": sentiment_label(F.col("breadth_prob")), "regime": regime_label(F.col("breadth_prob"))}
     )
 
 
 def headline(cards: DataFrame, base_accuracy: DataFrame, long_short: DataFrame) -> DataFrame:
     """One row of headline figures: symbols scanned, breadth, daily edge, success rate."""
-    one = F.lit(0).alias("_k")
     scanned = cards.agg(
-        F.count("*").alias("stocks_scanned"), (F.coalesce(F.avg("prob_up"), F.lit(0.5)) * 100).alias("winning_signals_pct"), F.max("as_of").alias("as_of")
+        F.count("*").alias("stocks_scanned"),
+        (F.coalesce(F.avg("prob_up"), F.lit(0.5)) * 100).alias("winning_signals_pct"),
+        F.max("as_of").alias("as_of"),
     )
     edge = long_short.agg((F.avg("gross_spread") * 100).alias("avg_return_pct"))
-    rate = base_accuracy.select((F.col("accuracy") * 100).alias("success_rate_pct"))
-    joined = scanned.select("*", one)
-    for part in (edge, rate):
-        joined = joined.join(part.select("*", one), "_k")
-    return joined.drop("_k")
+    return one_row(scanned, edge, base_accuracy.select((F.col("accuracy") * 100).alias("success_rate_pct")))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.scalar import ratio
+from ..session import stored
+from .calendar import one_row
 from .ranking import distinct_counts
 
 
@@ -77,7 +79,7 @@ def classification(df: DataFrame, keys: list[str], actual: str = "actual", pred:
     auc = roc_auc(df, keys, actual, prob)
     if keys:
         return out.join(auc, keys, "left")
-    return out.withColumn("_k", F.lit(0)).join(auc.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
+    return one_row(out, auc)
 
 
 def by_period(df: DataFrame, actual: str = "actual", pred: str = "pred", prob: str = "prob") -> DataFrame:
@@ -195,11 +197,10 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float]) -> D
 
 def terciles(df: DataFrame, ret: str, actual: str = "actual", prob: str = "prob") -> DataFrame:
     """Mean return, up rate and n of the low, middle and high third of the probabilities."""
-    edges = exact_quantiles(df, prob, {"_e1": 1.0 / 3.0, "_e2": 2.0 / 3.0})
+    edges = exact_quantiles(df, prob, {"low": 1.0 / 3.0, "high": 2.0 / 3.0}).first()  # two numbers
     p = F.col(prob)
-    band = F.when(p <= F.col("_e1"), "low").when(p <= F.col("_e2"), "mid").otherwise("high")
-    out = df.withColumn("_k", F.lit(0)).join(F.broadcast(edges.withColumn("_k", F.lit(0))), "_k")  # one row of edges
-    return out.groupBy(band.alias("tercile")).agg(
+    band = F.when(p <= F.lit(edges.low), "low").when(p <= F.lit(edges.high), "mid").otherwise("high")
+    return df.groupBy(band.alias("tercile")).agg(
         F.avg(ret).alias("mean_ret"), F.avg(F.col(actual).cast("double")).alias("mean_dir"), F.count("*").alias("n")
     )
 
@@ -344,6 +345,7 @@ def grid_summary(results: DataFrame) -> DataFrame:
 
 def extreme_symbols(by_symbol: DataFrame, n: int = 10) -> DataFrame:
     """The n best and n worst symbols by accuracy."""
+    by_symbol = stored(by_symbol, "symbols")
     best = by_symbol.orderBy(F.desc("accuracy"), "symbol").limit(n).withColumn("side", F.lit("best"))
     worst = by_symbol.orderBy("accuracy", "symbol").limit(n).withColumn("side", F.lit("worst"))
     return best.unionByName(worst)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rolling as R
 from ..functions.scalar import flag, ratio
-from .calendar import date_ordinals, join_daily
+from .calendar import date_ordinals, join_daily, one_row
 from .ranking import percent_ranks
 
 COST_RATE = 0.001  # per unit of turnover
@@ -358,13 +358,13 @@ def long_short_summary(daily: DataFrame, risk_free_pct: float = 6.0) -> DataFram
 def signal_portfolio(preds: DataFrame, pred: str = "pred", ret: str = "next_ret", actual: str = "actual", cost_rate: float = COST_RATE) -> DataFrame:
     """Equal weight on predicted-up names: summary with trades and hit rate."""
     weights = normalise(raw_weights(preds, flag(F.col(pred) == 1)))
-    totals = summary(daily_accounts(preds, weights, cost_rate, ret)).withColumn("_k", F.lit(0))
+    totals = summary(daily_accounts(preds, weights, cost_rate, ret))
     trades = preds.where(F.col(pred) == 1).agg(
         F.count("*").alias("n_trades"),
         F.avg(ret).alias("avg_trade_return"),
         F.avg((F.col(pred) == F.col(actual)).cast("double")).alias("hit_rate"),
     )
-    return totals.join(trades.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    return one_row(totals, trades)
 
 
 def position_audit(preds: DataFrame, threshold: float = 0.55, cost: float = 0.0015, prob: str = "prob", ret: str = "next_ret") -> DataFrame:

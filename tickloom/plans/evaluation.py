@@ -272,13 +272,12 @@ def threshold_selection(m):
     numbered = join_daily(rows, date_ordinals(rows))
     n_days = numbered.agg(F.max("day_no")).first()[0] + 1
     selected = F.col("day_no") < 0.6 * n_days
-    best = M.best_threshold(M.threshold_sweep(numbered.where(selected))).withColumn("_k", F.lit(0))
-    rest = numbered.where(~selected).withColumn("_k", F.lit(0)).join(F.broadcast(best), "_k")  # one row
-    right = ((F.col("prob") >= F.col("threshold")).cast("int") == F.col("actual")).cast("double")
-    return rest.agg(
-        F.max("threshold").alias("threshold"),
-        F.max("accuracy").alias("selection_accuracy"),
-        F.avg(right).alias("eval_accuracy"),
+    best = M.best_threshold(M.threshold_sweep(numbered.where(selected))).first()  # two numbers
+    picked = ((F.col("prob") >= F.lit(best.threshold)).cast("int") == F.col("actual")).cast("double")
+    return numbered.where(~selected).agg(
+        F.lit(best.threshold).alias("threshold"),
+        F.lit(best.accuracy).alias("selection_accuracy"),
+        F.avg(picked).alias("eval_accuracy"),
         F.avg((F.col("pred") == F.col("actual")).cast("double")).alias("eval_accuracy_050"),
     )
 
@@ -362,9 +361,13 @@ def bootstrap_ci(m):
 )
 def baseline_rules(m):
     bars = T.label(m.bars, name="t")
-    rows = W.always_up(bars).select("t", "pred", F.lit("always_up").alias("model")).unionByName(
-        W.previous_direction(bars).select("t", "pred", F.lit("previous_direction").alias("model"))
+    both = W.previous_direction(bars).withColumnsRenamed({"pred": "p_prev", "prob": "s_prev"})
+    both = W.always_up(both).withColumnRenamed("pred", "p_up")
+    models = F.array(
+        F.struct(F.lit("always_up").alias("model"), F.col("p_up").alias("pred")),
+        F.struct(F.lit("previous_direction").alias("model"), F.col("p_prev").alias("pred")),
     )
+    rows = both.select("t", F.explode(models).alias("m")).select("t", "m.*")
     right = (F.col("t") == F.col("pred")).cast("double")
     return rows.where(F.col("t").isNotNull()).groupBy("model").agg(F.count("*").alias("n"), F.avg(right).alias("accuracy"))
 

@@ -189,6 +189,10 @@ def _sparse(m):
     return m.flows.where(F.dayofmonth("date") % 4 == 1).select("date", F.col("fii_net").alias("v"))
 
 
+def _keys(m):
+    return stored(m.ticks.select("symbol", "date").distinct(), "keys")
+
+
 @query(
     "asof_inclusive",
     KEY + "v:f9",
@@ -196,7 +200,7 @@ def _sparse(m):
     ("bars", "sparse"),
 )
 def asof_inclusive(m):
-    return asof(m.bars, _sparse(m), [], ["v"])
+    return asof(_keys(m), _sparse(m), [], ["v"])
 
 
 @query(
@@ -206,7 +210,7 @@ def asof_inclusive(m):
     ("bars", "sparse"),
 )
 def asof_exclusive(m):
-    return asof(m.bars, _sparse(m), [], ["v"], inclusive=False)
+    return asof(_keys(m), _sparse(m), [], ["v"], inclusive=False)
 
 
 @query(
@@ -315,10 +319,11 @@ def exogenous(m):
     ("bars", "flows", "fundamentals"),
 )
 def external_join(m):
-    own = m.fundamentals.select("symbol", "date", "pe_ratio")
-    clash = m.fundamentals.select("symbol", "date", F.col("roe").alias("close"))
+    reports = stored(m.fundamentals, "reports")
+    own = reports.select("symbol", "date", "pe_ratio")
+    clash = reports.select("symbol", "date", F.col("roe").alias("close"))
     sources = {"flows": m.flows.select("date", "fii_net"), "fundamentals": own, "options": None, "intraday": clash}
-    return join_sources(m.bars, sources)
+    return join_sources(stored(m.bars, "bars"), sources)
 
 
 @query(
