@@ -265,3 +265,23 @@ def test_fundamentals_keep_reports_of_closed_days(spark):
     got = to_pandas(fundamentals.fundamental_features(b, reports), "date")
     assert got.pe_ratio.isna().sum() == 3 and got.pe_ratio.iloc[-1] == 20.0 and got.roe.iloc[-1] == 2.0
     assert got.f_score_proxy.tolist()[:3] == [0, 0, 0] and got.f_score_proxy.iloc[-1] == 1
+
+
+def test_packed_days_round_trip(spark):
+    from tickloom.operators.bars import pack_day, unpack_day
+
+    rows = [(0, D(1, 1, 1)), (7, D(1969, 12, 31)), (2_000_000_000, D(9999, 12, 31)), (24, D(1998, 6, 1))]
+    df = spark.createDataFrame(rows, "id int, d date").select("id", "d", pack_day(F.col("id"), F.col("d")).alias("k"))
+    symbol, date = unpack_day(F.col("k"))
+    assert df.where((symbol != F.col("id")) | (date != F.col("d"))).count() == 0
+    assert df.select("k").distinct().count() == len(rows)
+
+
+def test_bars_break_ties_by_price(spark):
+    from tickloom.operators.bars import roll_up
+
+    rows = [("A", 1, 5.0, 1.0), ("A", 1, 3.0, 1.0), ("A", 2, 9.0, 1.0), ("A", 2, 4.0, 1.0)]
+    df = spark.createDataFrame(rows, "symbol string, seq int, px double, qty double").withColumn("part", F.lit(0))
+    for shuffled in (df, df.orderBy(F.desc("px")), df.repartition(4)):
+        r = roll_up(shuffled, ["symbol"], ["seq", "part"]).first()
+        assert (r.open, r.high, r.low, r.close, r.volume) == (3.0, 9.0, 3.0, 9.0, 4.0)

@@ -45,6 +45,23 @@ def roll_up(
     )
 
 
+SHIFT, BEFORE = 32, 1_000_000  # a DATE is at most 719,162 days before 1970
+
+
+def pack_day(symbol_id: Column, date: Column) -> Column:
+    """Integer symbol and day as one long.
+
+    First and last by several columns need a sorted aggregation; with one long as the
+    key that is a radix sort, about twice as fast as sorting by (symbol, date).
+    """
+    return F.shiftleft(symbol_id.cast("bigint"), SHIFT) + F.unix_date(date) + F.lit(BEFORE)
+
+
+def unpack_day(key: Column) -> tuple[Column, Column]:
+    days = key.bitwiseAND(F.lit((1 << SHIFT) - 1)).cast("int") - F.lit(BEFORE)
+    return F.shiftright(key, SHIFT), F.date_from_unix_date(days)
+
+
 def candles(ticks: DataFrame, width: str, order: list[str], ts: str = "ts", price: str = "px", volume: str = "volume") -> DataFrame:
     """Tumbling candles of any width; also valid on a stream."""
     bars = roll_up(ticks, [F.window(ts, width), F.col("symbol")], order, price, price, price, price, volume)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
-from ..operators.bars import candles, roll_up
+from ..operators.bars import candles, pack_day, roll_up, unpack_day
 from ..operators.technical import forward_return
 
 
@@ -32,6 +32,7 @@ class Market:
             .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
             .select(
                 F.col("s_nationkey").cast("string").alias("symbol"),
+                F.col("s_nationkey").alias("symbol_id"),
                 F.to_date("l_shipdate").alias("date"),
                 (F.lit(100.0) + F.col("l_extendedprice") / F.lit(10000.0)).alias("px"),
                 F.col("l_quantity").alias("qty"),
@@ -45,7 +46,10 @@ class Market:
 
     @cached_property
     def bars(self) -> DataFrame:
-        return roll_up(self.ticks, ["symbol", "date"], self.TICK_ORDER)
+        day = pack_day(F.col("symbol_id"), F.col("date")).alias("_day")
+        symbol, date = unpack_day(F.col("_day"))
+        rolled = roll_up(self.ticks, [day], self.TICK_ORDER)
+        return rolled.select(symbol.cast("string").alias("symbol"), date.alias("date"), "open", "high", "low", "close", "volume")
 
     @cached_property
     def sectors(self) -> DataFrame:
