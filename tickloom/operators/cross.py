@@ -13,7 +13,10 @@ from .ranking import percent_ranks
 
 
 def cross_section(panel: DataFrame) -> DataFrame:
-    """Percent ranks of return and volume ratio, excess return, relative volatility."""
+    """Percent ranks of return and volume ratio, excess return, relative volatility.
+
+    Give a stored panel: the ranks and the daily means each read their columns of it.
+    """
     universe = panel.groupBy("date").agg(
         F.avg("ret_1d").alias("_mean_ret"), F.avg("volatility_20d").alias("_mean_vol")
     )

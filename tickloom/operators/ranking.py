@@ -68,7 +68,8 @@ def percent_ranks(df: DataFrame, group: list[str], values: dict[str, str], stric
     """Add ``new column -> rank of old column`` within the group; NULL in, NULL out.
 
     Default: average rank of ties / number of non-NULL values. ``strict``: share of
-    values that are smaller.
+    values that are smaller. The table is read once per rank and once for the result:
+    give a stored one when it is costly to compute.
     """
     out = df
     for new, value in values.items():
