@@ -226,14 +226,13 @@ def percent_rank_ticks(m):
     """SELECT *, (c_ext_only - b_base_only) / sqrt(b_base_only + c_ext_only) AS z_mcnemar, (acc_base - base_rate) / sqrt(base_rate * (1 - base_rate) / n) AS z_base,
        (acc_ext - base_rate) / sqrt(base_rate * (1 - base_rate) / n) AS z_ext FROM (
        SELECT count(*) AS n, avg(b::int) AS acc_base, avg(e::int) AS acc_ext, avg(actual) AS base_rate, count(*) FILTER (b AND NOT e) AS b_base_only, count(*) FILTER (e AND NOT b) AS c_ext_only
-       FROM (SELECT actual, (prob >= 0.5) = (actual = 1) AS b, (prob_ext >= 0.5) = (actual = 1) AS e FROM preds WHERE day(date) <= 20 AND volume > 10))""",
+       FROM (SELECT actual, (prob >= 0.5) = (actual = 1) AS b, (prob_ext >= 0.5) = (actual = 1) AS e FROM preds))""",
     ("preds",),
 )
 def mcnemar(m):
-    both = preds(m, "actual", "prob", "prob_ext", "volume")
-    base = both.where(F.dayofmonth("date") <= 20)
-    ext = both.where(F.col("volume") > 10).select("date", "symbol", "actual", F.col("prob_ext").alias("prob"))
-    return M.mcnemar(M.paired(base, ext))
+    both = preds(m, "actual", "prob", "prob_ext")
+    ext = both.select("date", "symbol", "actual", F.col("prob_ext").alias("prob"))
+    return M.mcnemar(M.paired(both, ext))
 
 
 @query(

@@ -182,11 +182,12 @@ def delivery_features_(m):
 
 # --- as-of and macro -------------------------------------------------------
 
-cte("sparse", "SELECT date, fii_net AS v FROM flows WHERE day(date) % 4 = 1", "flows")
+cte("sparse", "SELECT cast(date_trunc('month', date) AS date) AS date, sum(fii_net) AS v FROM flows GROUP BY 1", "flows")
 
 
 def _sparse(m):
-    return m.flows.where(F.dayofmonth("date") % 4 == 1).select("date", F.col("fii_net").alias("v"))
+    """A monthly series."""
+    return m.flows.groupBy(F.to_date(F.date_trunc("month", "date")).alias("date")).agg(F.sum("fii_net").alias("v"))
 
 
 def _keys(m):
@@ -223,14 +224,15 @@ def asof_by_symbol(m):
     return asof(m.bars, m.fundamentals, ["symbol"], ["pe_ratio", "roe"])
 
 
-cte("vix", "SELECT date, 10 + abs(fii_net) % 20 AS c FROM flows WHERE day(date) % 5 <> 0", "flows")
-FOREIGN = {"spx": ("fii_gross_buy", 7, (1, 5)), "usdinr": ("dii_gross_buy", 3, (1,)), "crude": ("fii_gross_buy + dii_gross_buy", 4, (1, 5))}
-for _name, (_expr, _skip, _lags) in FOREIGN.items():
+cte("vix", "SELECT date, 10 + abs(fii_net) % 20 AS c FROM flows WHERE isodow(date) < 6", "flows")
+# value, last trading weekday (Monday = 1), lags
+FOREIGN = {"spx": ("fii_gross_buy", 5, (1, 5)), "usdinr": ("dii_gross_buy", 6, (1,)), "crude": ("fii_gross_buy + dii_gross_buy", 4, (1, 5))}
+for _name, (_expr, _last, _lags) in FOREIGN.items():
     cte(
         _name,
         "SELECT date, "
         + ", ".join(f"c / lag(c, {lag}) OVER (ORDER BY date) - 1 AS r{lag}" for lag in _lags)
-        + f" FROM (SELECT date, 50 + {_expr} AS c FROM flows WHERE day(date) % {_skip} <> 0)",
+        + f" FROM (SELECT date, 50 + {_expr} AS c FROM flows WHERE isodow(date) <= {_last})",
         "flows",
     )
 MACRO_COLS = ["vix_level", "vix_chg1d", "vix_z20", "vix_high_regime", "spx_ret1d_lag", "spx_ret5d_lag", "usdinr_ret1d_lag", "crude_ret1d_lag", "crude_ret5d_lag"]
@@ -251,10 +253,10 @@ cte(
 
 def _macro(m):
     flows = stored(m.flows, "flows")
-    day = F.dayofmonth("date")
-    vix = flows.where(day % 5 != 0).select("date", (10 + F.abs("fii_net") % 20).alias("close"))
+    day = F.weekday("date") + 1
+    vix = flows.where(day <= 5).select("date", (10 + F.abs("fii_net") % 20).alias("close"))
     exprs = {"spx": F.col("fii_gross_buy"), "usdinr": F.col("dii_gross_buy"), "crude": F.col("fii_gross_buy") + F.col("dii_gross_buy")}
-    foreign = {n: flows.where(day % FOREIGN[n][1] != 0).select("date", (50 + e).alias("close")) for n, e in exprs.items()}
+    foreign = {n: flows.where(day <= FOREIGN[n][1]).select("date", (50 + e).alias("close")) for n, e in exprs.items()}
     return macro_features(m.ticks.select("date").distinct(), vix, foreign)
 
 
@@ -276,13 +278,13 @@ def macro_coverage(m):
 cte(
     "sidecar",
     """SELECT date, fii_net AS fii_net_cr, dii_net AS dii_net_cr, fii_gross_buy AS nifty100_adv_cr, 10 + abs(fii_net) % 20 AS india_vix,
-       fii_gross_buy + dii_gross_buy AS total_oi, CASE WHEN day(date) = 15 THEN 1 END AS earnings_event_flag FROM flows WHERE day(date) % 3 <> 0""",
+       fii_gross_buy + dii_gross_buy AS total_oi, CASE WHEN day(date) = 15 THEN 1 END AS earnings_event_flag FROM flows WHERE isodow(date) < 6""",
     "flows",
 )
 
 
 def _sidecar(m):
-    return m.flows.where(F.dayofmonth("date") % 3 != 0).select(
+    return m.flows.where(F.weekday("date") < 5).select(
         "date",
         F.col("fii_net").alias("fii_net_cr"),
         F.col("dii_net").alias("dii_net_cr"),

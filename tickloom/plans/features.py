@@ -138,17 +138,27 @@ def dedup_keep_max_volume(m):
     return dedup.keep_highest_volume(rows, tie=("px",))
 
 
+def _known():
+    """Dates of the existing table."""
+    return F.col("date") <= F.lit("2000-12-31").cast("date")
+
+
+def _fresh():
+    """Dates that arrive: some again, some new."""
+    return F.col("date") >= F.lit("2000-10-01").cast("date")
+
+
 @query(
     "upsert_keep_last",
     KEY + "close:f9 source",
-    """SELECT symbol, date, CASE WHEN day(date) % 3 = 0 THEN "close" + 1 ELSE "close" END AS "close",
-       CASE WHEN day(date) % 3 = 0 THEN 'live' ELSE 'historical' END AS source FROM bars WHERE day(date) % 3 = 0 OR month(date) % 2 = 0""",
+    """SELECT symbol, date, CASE WHEN date >= date '2000-10-01' THEN "close" + 1 ELSE "close" END AS "close",
+       CASE WHEN date >= date '2000-10-01' THEN 'live' ELSE 'historical' END AS source FROM bars""",
     ("bars",),
 )
 def upsert_keep_last(m):
     bars = stored(m.bars.select("symbol", "date", "close"), "bars")
-    old = bars.where(F.month("date") % 2 == 0).withColumn("source", F.lit("historical"))
-    new = bars.where(F.dayofmonth("date") % 3 == 0).select("symbol", "date", (F.col("close") + 1).alias("close"), F.lit("live").alias("source"))
+    old = bars.where(_known()).withColumn("source", F.lit("historical"))
+    new = bars.where(_fresh()).select("symbol", "date", (F.col("close") + 1).alias("close"), F.lit("live").alias("source"))
     return dedup.upsert(old, new, ["symbol", "date"])
 
 
@@ -156,14 +166,12 @@ def upsert_keep_last(m):
     "upsert_stats",
     "new_rows:i replaced:i total:i max_date:d",
     """SELECT count(*) FILTER (n) AS new_rows, count(*) FILTER (n AND o) AS replaced, count(*) FILTER (n OR o) AS total,
-       max(date) FILTER (n OR o) AS max_date FROM (SELECT date, day(date) % 3 = 0 AS n, month(date) % 2 = 0 AS o FROM bars)""",
+       max(date) FILTER (n OR o) AS max_date FROM (SELECT date, date >= date '2000-10-01' AS n, date <= date '2000-12-31' AS o FROM bars)""",
     ("bars",),
 )
 def upsert_stats(m):
     bars = stored(m.bars.select("symbol", "date"), "keys")
-    return dedup.upsert_stats(
-        bars.where(F.month("date") % 2 == 0), bars.where(F.dayofmonth("date") % 3 == 0), ["symbol", "date"]
-    )
+    return dedup.upsert_stats(bars.where(_known()), bars.where(_fresh()), ["symbol", "date"])
 
 
 @query(

@@ -178,11 +178,12 @@ def screen_down(m):
     "live_overlay",
     "symbol date:d close:f9 prob_up:f4 signal_rank:i is_live",
     """SELECT s.symbol, CASE WHEN l.d >= s.date THEN l.d ELSE s.date END AS date, CASE WHEN l.d >= s.date THEN l.c ELSE s."close" END AS "close", prob_up, signal_rank,
-       coalesce(l.d >= s.date, false) AS is_live FROM sig s LEFT JOIN (SELECT symbol, max(date) AS d, max_by("close" + 1, date) AS c FROM bars WHERE symbol::int % 2 = 0 AND day(date) <= 28 GROUP BY 1) l USING (symbol)""",
+       coalesce(l.d >= s.date, false) AS is_live FROM sig s LEFT JOIN (SELECT symbol, max(date) AS d, max_by("close" + 1, date) AS c FROM bars WHERE date < (SELECT max(date) FROM bars) GROUP BY 1) l USING (symbol)""",
     ("sig", "bars"),
 )
 def live_overlay(m):
-    live = m.bars.where((F.col("symbol").cast("int") % 2 == 0) & (F.dayofmonth("date") <= 28))
+    newest = bars(m).agg(F.max("date")).first()[0]
+    live = bars(m).where(F.col("date") < F.lit(newest))  # symbols of the newest date have no newer live row
     return K.live_overlay(signal(m), live.select("symbol", "date", (F.col("close") + 1).alias("last_close")))
 
 

@@ -27,14 +27,19 @@ def provider_bars(m):
     return readers.provider_bars(raw, None, "provider")
 
 
-@query("source_ohlcv_csv", KEY + BAR, "SELECT * EXCLUDE (symbol), 'N7' AS symbol FROM bars WHERE symbol = '7'", ("bars",))
+@query("source_ohlcv_csv", KEY + BAR, """SELECT 'MARKET' AS symbol, date, max(open) AS open, max(high) AS high, min(low) AS low, max("close") AS "close", sum(volume) AS volume
+    FROM bars GROUP BY date""", ("bars",))
 def ohlcv_csv(m):
     folder = work_folder(m.spark, "csv")
-    series = m.bars.where(F.col("symbol") == "7").select(
-        F.col("date").alias(" Date"), *[F.col(c).alias(c.title()) for c in ("open", "high", "low", "close", "volume")]
+    market = m.bars.groupBy("date").agg(
+        F.max("open").alias("Open"),
+        F.max("high").alias("HIGH"),
+        F.min("low").alias("Low"),
+        F.max("close").alias("close"),
+        F.sum("volume").alias("Volume"),
     )
-    series.write.option("header", True).csv(folder)
-    return readers.ohlcv_csv(m.spark, folder, "N7")
+    market.withColumnRenamed("date", " Date").write.option("header", True).csv(folder)
+    return readers.ohlcv_csv(m.spark, folder, "MARKET")
 
 
 @query(
@@ -123,17 +128,17 @@ def panel_table(m):
 @query(
     "source_upsert_panel",
     KEY + "close:f9 source",
-    """SELECT symbol, date, CASE WHEN year(date) = 1999 AND day(date) % 5 = 0 THEN "close" + 1 ELSE "close" END AS "close",
-       CASE WHEN year(date) = 1999 AND day(date) % 5 = 0 THEN 'live' ELSE 'historical' END AS source FROM bars
-       WHERE (year(date) = 1999 AND day(date) % 5 = 0) OR symbol <> '3'""",
+    """SELECT symbol, date, CASE WHEN date >= date '2000-10-01' THEN "close" + 1 ELSE "close" END AS "close",
+       CASE WHEN date >= date '2000-10-01' THEN 'live' ELSE 'historical' END AS source FROM bars""",
     ("bars",),
 )
 def upsert_panel(m):
-    """Merge re-ingested rows into a stored panel; only their year is rewritten."""
+    """Merge re-ingested and new dates into a stored panel; only their years are rewritten."""
     folder = work_folder(m.spark, "panel")
     bars = m.bars.select("symbol", "date", "close")
-    sinks.write_panel(bars.where(F.col("symbol") != "3").withColumn("source", F.lit("historical")), folder)
-    fresh = bars.where((F.year("date") == 1999) & (F.dayofmonth("date") % 5 == 0))
+    known = F.col("date") <= F.lit("2000-12-31").cast("date")
+    sinks.write_panel(bars.where(known).withColumn("source", F.lit("historical")), folder)
+    fresh = bars.where(F.col("date") >= F.lit("2000-10-01").cast("date"))
     fresh = fresh.select("symbol", "date", (F.col("close") + 1).alias("close"), F.lit("live").alias("source"))
     sinks.upsert_panel(m.spark, folder, fresh)
     return sinks.read_panel(m.spark, folder)
@@ -143,13 +148,13 @@ def upsert_panel(m):
     "source_candle_files",
     KEY + BAR,
     """SELECT symbol, cast(ts AS date) AS date, min_by(open, ts) AS open, max(high) AS high, min(low) AS low, max_by("close", ts) AS "close", sum(volume) AS volume
-       FROM candles_5m WHERE symbol = 'click' GROUP BY 1, 2""",
+       FROM candles_5m GROUP BY 1, 2""",
     ("candles_5m",),
 )
 def candle_files(m):
     """Candles in files named <symbol>_<date>.csv; symbol and day come from the file name."""
     folder = work_folder(m.spark, "candles")
-    rows = m.candles_5m.where(F.col("symbol") == "click").withColumn("file", F.concat("symbol", F.lit("_"), F.date_format("ts", "yyyyMMdd")))
+    rows = m.candles_5m.withColumn("file", F.concat("symbol", F.lit("_"), F.date_format("ts", "yyyyMMdd")))
     rows.write.partitionBy("file").option("header", True).csv(folder)
     # a Spark job names its files itself, so the name here is the folder of the file
     raw = m.spark.read.option("header", True).schema(
