@@ -41,4 +41,4 @@ def test_every_oracle_has_a_query():
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).limit(1).count() == 1 and set(e.queries()) == set(QUERIES)
+    assert e.entry(spark).limit(1).count() == 1 and set(QUERIES) <= set(e.queries())
