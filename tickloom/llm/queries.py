@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules
+from . import line_dedup, ngram_join, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,9 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Statistics and verdict of every document."""
     return quality_rules.quality_rules(_documents(spark, folder))
+
+
+@query
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate class of every document: four-word shingles, similarity 0.85."""
+    return ngram_join.ngram_join(_documents(spark, folder), 4, 85)
