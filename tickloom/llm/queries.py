@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, ngram_join, quality_rules
+from . import bpe, line_dedup, ngram_join, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,12 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 @query
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without later copies of equal and near lines."""
@@ -39,3 +45,9 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """The near-duplicate class of every document: four-word shingles, similarity 0.85."""
     return ngram_join.ngram_join(_documents(spark, folder), 4, 85)
+
+
+@query
+def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts and digests of every document, encoded and decoded again."""
+    return bpe.encode(_documents(spark, folder), _tokenizer(), with_ids=False)
