@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, ngram_join, quality_rules
+from . import bpe, licenses, line_dedup, ngram_join, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,12 @@ def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts and digests of every document, encoded and decoded again."""
     return bpe.encode(_documents(spark, folder), _tokenizer(), with_ids=False)
+
+
+@query
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence sentences and licences of every document."""
+    return licenses.license_scan(_documents(spark, folder))
+
+
+ORACLES["op8_license_scan"] = licenses.license_sql()
