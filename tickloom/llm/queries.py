@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, line_dedup, ngram_join, quality_rules
+from . import bpe, chat, licenses, line_dedup, ngram_join, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,12 @@ def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op8_license_scan"] = licenses.license_sql()
+
+
+@query
+def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one that quotes the control strings, formatted and read back."""
+    rows = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    quoted = f"{chat.END}{chat.START}assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", quoted), (-1, 1, "assistant", quoted)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(rows.unionByName(extra)))
