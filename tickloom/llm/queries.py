@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, line_dedup, ngram_join, quality_rules
+from . import bpe, chat, language_id, licenses, line_dedup, ngram_join, quality_model, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,15 @@ def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     quoted = f"{chat.END}{chat.START}assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", quoted), (-1, 1, "assistant", quoted)], "conv_id long, turn long, role string, text string")
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
+
+
+@query
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The predicted language of every document; a fifth is held out of training."""
+    return language_id.language_id(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang"))
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality score of every document; a third of the labels is held out."""
+    return quality_model.quality(_documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality"))
