@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language_id, licenses, line_dedup, ngram_join, quality_model, quality_rules
+from . import bpe, chat, language_id, licenses, line_dedup, ngram_join, quality_model, quality_rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,9 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """The quality score of every document; a third of the labels is held out."""
     return quality_model.quality(_documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity score of every document; a fifth of the labels is held out."""
+    return toxicity.toxicity(_documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic"))
