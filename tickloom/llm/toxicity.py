@@ -1,12 +1,13 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling.
 
 Every word enters as the sum of a word part and of a character part (the mean over its
-character n-grams), both looked up in hashed tables. Two gated recurrent passes, one from each
+character n-grams), both looked up in tables; what is not there adds nothing. Two gated recurrent passes, one from each
 end, run over a window of words; attention weights pool their states into one vector, and its
 score says whether the window is toxic. A text scores the highest of its overlapping windows.
 
-Training, in numpy, sees text labels only: of a toxic text the windows that the network finds
-most toxic count as toxic, of a clean text its hardest windows and some others as clean.
+Training, in numpy, sees text labels only: of a toxic text the windows that look most toxic
+count as toxic, of a clean text its hardest windows and some others as clean. In the first
+round n-gram counts by class tell how a window looks, then the network does.
 """
 
 from __future__ import annotations
@@ -24,27 +25,55 @@ from .quality_model import labelled_sample
 from .tokens import column, map_texts, table
 
 WINDOW, STRIDE = 32, 16  # words of a window, and between the starts of windows
-WORD_ROWS, CHAR_ROWS = 1 << 16, 1 << 16
-WIDTH = 12  # units of each direction
+WORD_ROWS, CHAR_ROWS = 1 << 16, 1 << 16  # most words and character n-grams that have vectors
+WIDTH = 8  # units of each direction
 ATTENTION = 8
-INPUT = 16  # numbers of the word and the character vectors
-LENGTHS = (3, 4, 5)  # characters of an n-gram, word borders included
+INPUT = 12  # numbers of the word and the character vectors
+LENGTHS = (3, 4)  # characters of an n-gram, word borders included
 TRAIN_LABELS = 8_000  # labelled texts that are read, about
 TRAIN_TEXTS = 2_400  # of these, fitted in each class at most: the first by a hash of the id
-TRAIN_WINDOWS = 48  # windows of one text used in fitting, spread evenly over it
+TRAIN_WINDOWS = 64  # windows of one text used in fitting, spread evenly over it
+SUPPORT = 8  # toxic texts that must hold a word or n-gram: other table rows stay 0 and learn nothing by heart
 F32 = np.float32
 
 
+def _place(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Row of each hash: its place among the known ones from 1 on, or 0."""
+    if not len(known):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[at] == h, at + 1, 0)
+
+
+def vocabulary(texts: list[str]) -> dict[str, np.ndarray]:
+    """Hashes of the words and n-grams that at least SUPPORT of the (toxic) texts hold."""
+    held: dict[str, list[np.ndarray]] = {"word": [], "char": []}
+    for text in texts:
+        words = Words(pa.array([text], pa.string()))
+        h, sample = np.unique(words.whole(), return_index=True)
+        held["word"].append(h)
+        held["char"].append(np.unique(np.concatenate([words.grams(sample, n)[0] for n in LENGTHS])))
+    out = {}
+    for k, most in (("word", WORD_ROWS), ("char", CHAR_ROWS)):
+        h, count = np.unique(np.concatenate([*held[k], np.zeros(0, np.uint64)]), return_counts=True)
+        some = np.flatnonzero(count >= SUPPORT)
+        out[k] = np.sort(h[some[np.lexsort((h[some], -count[some]))][:most]])
+    return out
+
+
 class Windows:
-    """Distinct words of some texts with their table rows, and the windows over the texts."""
+    """Distinct words of some texts with their table rows, and the windows over the texts.
+
+    ``known`` has the sorted hashes of the words and n-grams with vectors; row 0 is for all others.
+    """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, known: dict[str, np.ndarray]):
         words = Words(texts)
         self.first = words.first
         h, sample, self.word = np.unique(words.whole(), return_index=True, return_inverse=True)
-        self.word_row = (h >> np.uint64(40)).astype(np.int64) % WORD_ROWS
+        self.word_row = _place(known["word"], h)
         parts = [words.grams(sample, n) for n in LENGTHS]
-        row = np.concatenate([(g >> np.uint64(40)).astype(np.int64) % CHAR_ROWS for g, _ in parts])
+        row = _place(known["char"], np.concatenate([g for g, _ in parts]))
         of = np.concatenate([w for _, w in parts])
         order = np.argsort(of, kind="stable")
         self.char_row, self.char_of = row[order], of[order]
@@ -77,21 +106,24 @@ class Windows:
 @dataclass
 class Network:
     p: dict[str, np.ndarray]
+    known: dict[str, np.ndarray]
 
     @staticmethod
-    def fresh(seed: int = 11) -> Network:
+    def fresh(known: dict[str, np.ndarray], seed: int = 11) -> Network:
         r = np.random.default_rng(seed)
         h, w = WIDTH, INPUT
-        p = {"word": r.normal(0, 0.05, (WORD_ROWS, w)), "char": r.normal(0, 0.05, (CHAR_ROWS, w))}  # words never seen say little
+        p = {k: r.normal(0, 0.05, (len(rows) + 1, w)) for k, rows in known.items()}
+        for k in known:
+            p[k][0] = 0
         for d in "fb":
             p |= {f"x{d}": r.normal(0, w**-0.5, (w, 3 * h)), f"u{d}": r.normal(0, h**-0.5, (h, 3 * h)), f"b{d}": np.zeros(3 * h)}
         p |= {"a": r.normal(0, (2 * h) ** -0.5, (2 * h, ATTENTION)), "v": r.normal(0, 0.5, ATTENTION), "o": r.normal(0, 0.3, 2 * h), "c": np.full(1, -1.0)}
-        return Network({k: x.astype(F32) for k, x in p.items()})
+        return Network({k: x.astype(F32) for k, x in p.items()}, known)
 
-    def projected(self) -> tuple[np.ndarray, np.ndarray]:
-        """The tables times the input weights of both directions: a word's input is then two lookups."""
-        x = np.concatenate([self.p["xf"], self.p["xb"]], 1)
-        return self.p["word"] @ x, self.p["char"] @ x
+    def values(self, windows: Windows) -> np.ndarray:
+        """The input of each distinct word to both directions."""
+        e = self.p["word"][windows.word_row] + windows.mean_chars(self.p["char"])
+        return (e @ np.concatenate([self.p["xf"], self.p["xb"]], 1)).astype(F32)
 
     def forward(self, x: np.ndarray, filled: np.ndarray, keep: list | None = None) -> np.ndarray:
         """Logits of windows from their inputs (windows, WINDOW, 6 * WIDTH). Places that are not
@@ -155,10 +187,9 @@ class Network:
             ds = np.where(mask, dnew * z, ds) + dm @ p[f"u{d}"].T
         return grad, dx
 
-    def score(self, windows: Windows, batch: int = 2048) -> np.ndarray:
+    def score(self, windows: Windows, batch: int = 1024) -> np.ndarray:
         """Probability that each text is toxic: its highest window, 0 without words."""
-        word, char = self.projected()
-        value = (word[windows.word_row] + windows.mean_chars(char)).astype(F32)
+        value = self.values(windows)
         logit = np.empty(len(windows.start), F32)
         for i in range(0, len(logit), batch):
             which = np.arange(i, min(i + batch, len(logit)))
@@ -224,14 +255,37 @@ class Adam:
             self.p[k][rows] -= F32(rate) * m[rows] / (np.sqrt(s[rows]) + F32(1e-6))
 
 
-def fit(texts: list[str], y: np.ndarray, epochs: int = 5, batch: int = 128, rate: float = 0.01, seed: int = 11) -> Network:
+def _evidence(windows: Windows, y: np.ndarray, sizes: dict[str, int]) -> np.ndarray:
+    """How telling each distinct word is: the largest standardised difference between the
+    shares of toxic and clean texts that hold the word or one of its n-grams."""
+    held = {k: np.zeros((2, n)) for k, n in sizes.items()}
+    for i, k in enumerate(y.astype(int)):
+        mine = np.unique(windows.word[windows.first[i] : windows.first[i + 1]])
+        held["word"][k, np.unique(windows.word_row[mine])] += 1
+        chars = [windows.char_row[windows.char_first[w] : windows.char_first[w + 1]] for w in mine]
+        if chars:
+            held["char"][k, np.unique(np.concatenate(chars))] += 1
+    n0, n1 = max(1, int((y == 0).sum())), max(1, int((y > 0).sum()))
+    z = {}
+    for k, (clean, toxic) in held.items():
+        share = (clean + toxic) / (n0 + n1)
+        z[k] = (toxic / n1 - clean / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n0 + 1 / n1))
+        z[k][0] = 0
+    clue = z["word"][windows.word_row]
+    some = np.flatnonzero(np.diff(windows.char_first))
+    if len(some):
+        clue[some] = np.maximum(clue[some], np.maximum.reduceat(z["char"][windows.char_row], windows.char_first[some]))
+    return clue
+
+
+def fit(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.01, seed: int = 11) -> Network:
     """Adam on windows chosen anew in each epoch; see the module's description."""
-    net, rng = Network.fresh(seed), np.random.default_rng(seed)
+    net, rng = Network.fresh(vocabulary([t for t, k in zip(texts, y, strict=True) if k]), seed), np.random.default_rng(seed)
     if not 0 < y.sum() < len(y):
         net.p["c"][:] = -8.0 if not y.sum() else 8.0  # one class only: a constant
         net.p["o"][:] = 0
         return net
-    windows = Windows(pa.array(texts, pa.string()))
+    windows = Windows(pa.array(texts, pa.string()), net.known)
     bounds = np.concatenate([[0], np.cumsum(windows.per_text)])
     pools = []
     for i in range(len(texts)):
@@ -239,31 +293,33 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 5, batch: int = 128, rate
         pools.append(bounds[i] + (np.arange(n) if n <= TRAIN_WINDOWS else np.linspace(0, n - 1, TRAIN_WINDOWS).astype(int)))
     pools = [(k, p) for k, p in zip(y, pools, strict=True) if len(p)]
     every = np.concatenate([p for _, p in pools])
+    clue = _evidence(windows, y, {k: len(net.p[k]) for k in net.known})
+    # before the network knows anything, a window is as suspicious as its most telling n-gram
+    logit = np.array([clue[windows.word[i : i + n]].max() for i, n in zip(windows.start, windows.size, strict=True)], F32)
     adam = Adam(net.p, rate)
     for epoch in range(epochs):
         which, target = [], []
-        logit = np.zeros(len(windows.start), F32)
         if epoch:
-            word, char = net.projected()
-            value = (word[windows.word_row] + windows.mean_chars(char)).astype(F32)
+            value = net.values(windows)
             for i in range(0, len(every), 2048):
                 at, filled = windows.inputs(every[i : i + 2048])
                 logit[every[i : i + 2048]] = net.forward(value[at], filled)
         for k, pool in pools:
-            order = pool[np.argsort(-logit[pool] + (rng.random(len(pool)) if epoch == 0 else 0))]
-            if k:
-                take = order[:3] if epoch == 0 else order[: max(1, int((logit[order] > 0).sum()))][:3]
+            order = pool[np.argsort(-logit[pool], kind="stable")]
+            if not k:
+                take = np.unique(np.concatenate([order[:3], rng.choice(pool, 2)]))
             else:
-                take = np.unique(np.concatenate([order[:2], rng.choice(pool, 1)]))
+                take = order[: max(1, int((logit[order[:3]] > 0).sum()) if epoch else 1)]
             which.append(take)
             target.append(np.full(len(take), k, F32))
         which, target = np.concatenate(which), np.concatenate(target)
         order = rng.permutation(len(which))
+        adam.rate = rate * (1 - epoch / epochs)
         for i in range(0, len(order), batch):
             some = order[i : i + batch]
             part = (rng.random(len(windows.word_row)) > 0.3).astype(F32)
             _, grad, tables = _gradients(net, windows, which[some], target[some], part)
-            adam.move(grad, tables)
+            adam.move(grad, {k: (rows[rows > 0], g[rows > 0]) for k, (rows, g) in tables.items()})
     return net
 
 
@@ -305,7 +361,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
         net = shared.value
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            p = net.score(Windows(column(batch, "text")))
+            p = net.score(Windows(column(batch, "text"), net.known))
             return table(doc_id=column(batch, "doc_id"), score=p, predicted=(p >= 0.5).astype(np.int32))
 
         return each
