@@ -10,9 +10,9 @@ pass four exact filters before their sets are compared once:
 * suffix: bits that differ between parity bitmaps of the sets bound the n-grams that differ;
 * component: pairs already known to be connected add nothing to the classes.
 
-The last one keeps large groups of near copies linear: a first round compares every text
-with a hub and a neighbour in its n-gram group, and the full join then only looks at pairs
-between different components. Equal sets take part once.
+The last one keeps large groups of near copies linear: first every text meets a few members
+of its n-gram groups, and the full join then only looks at pairs between different
+components. Equal sets take part once.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +29,9 @@ from .components import components
 from .tokens import Block, blocks, column, grams, map_texts, mix, table
 
 BUCKET_BITS = 18  # n-gram counts are kept for 2**18 buckets, whatever the corpus: 2 MB
-BITMAP = 256  # bits of a parity bitmap
+BITMAP = 256  # bits of the parity bitmap that goes with every n-gram shared by two texts
+LARGE = 4096  # bits of the bitmap that a pair is checked with before whole sets are moved
+NEIGHBOURS = 4  # members of each n-gram group that a member is compared with before components are known
 GROUP = 4096  # rows of one n-gram group that a window task takes at most, on average
 BLOOM_BITS = 23  # 1 MB
 
@@ -77,6 +78,11 @@ def bucket_counts(docs: DataFrame, n: int) -> np.ndarray:
     return counts
 
 
+def _signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """One number for each set; equal sets have equal numbers."""
+    return mix(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s)) for s in sets], np.uint64)).view(np.int64)
+
+
 def _rarity(counts: np.ndarray) -> np.ndarray:
     """Ten bits of log frequency per bucket, so that they sort before the hash."""
     return np.minimum(1023, 32 * np.log2(np.maximum(counts, 1))).astype(np.uint64) << np.uint64(54)
@@ -89,19 +95,18 @@ def _index(spark, counts: np.ndarray, n: int, percent: int):
         rarity = shared.value
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, sigs, keys, maps = [], [], [], []
-            for s in sets_of(column(batch, "text"), n):
+            sets = list(sets_of(column(batch, "text"), n))
+            keys, maps = [], []
+            for s in sets:
                 size = len(s)
-                sizes.append(size)
-                sigs.append(mix(s.sum(dtype=np.uint64, keepdims=True) + np.uint64(size))[0])
-                maps.append(np.packbits((np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).astype(np.uint8)))
+                maps.append(_parity(s, BITMAP))
                 order = rarity[_bucket(s)] | (s >> np.uint64(10))
                 order.sort()
                 keys.append(order[: size - -(-percent * size // 100) + 1] if size else order)
             bits = np.concatenate(maps).view(np.int64).reshape(-1, BITMAP // 64)
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             return table(
-                doc_id=column(batch, "doc_id"), th=column(batch, "th"), size=np.array(sizes, np.int64), sig=np.array(sigs, np.uint64).view(np.int64),
+                doc_id=column(batch, "doc_id"), row=column(batch, "row"), size=np.array([len(s) for s in sets], np.int64), sig=_signatures(sets),
                 **{f"b{i}": bits[:, i] for i in range(BITMAP // 64)},
                 keys=pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64))),
             )
@@ -115,37 +120,39 @@ BITS = [f"b{i}" for i in range(BITMAP // 64)]
 MEMBER = ["sig", "size", "pos", *BITS]
 
 
-def _passes(a: str, b: str, percent: int) -> Column:
-    """The length, positional and suffix filters for the members ``a`` and ``b`` of one group."""
-    x, y = (lambda f: F.col(f"{a}.{f}")), (lambda f: F.col(f"{b}.{f}"))
-    both = x("size") + y("size")
+def _passes(a: Column, b: Column, percent: int) -> Column:
+    """The length, positional and suffix filters for two members (structs) of one group."""
+    both = a["size"] + b["size"]
     overlap = F.ceil((percent * both) / (100 + percent) - F.lit(1e-9))
-    differ = sum((F.bit_count(x(f).bitwiseXOR(y(f))) for f in BITS), F.lit(0))
+    differ = sum((F.bit_count(a[f].bitwiseXOR(b[f])) for f in BITS), F.lit(0))
     return (
-        (100 * F.least(x("size"), y("size")) >= percent * F.greatest(x("size"), y("size")))
-        & (F.least(x("size") - x("pos"), y("size") - y("pos")) >= overlap)
+        (100 * F.least(a["size"], b["size"]) >= percent * F.greatest(a["size"], b["size"]))
+        & (F.least(a["size"] - a["pos"], b["size"] - b["pos"]) >= overlap)
         & (differ <= both - 2 * overlap)
     )
 
 
 def _pair(a: str, b: str) -> list[Column]:
-    return [F.least(f"{a}.sig", f"{b}.sig").alias("u"), F.greatest(f"{a}.sig", f"{b}.sig").alias("v")]
+    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
 def _neighbours(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each member with the first and the previous member of its group, in two orders."""
+    """Pairs of each member with a few others of its group that pass the filters.
+
+    Members stand in an order of their own in every group, so that a text that shares several
+    n-grams with a large group of near copies meets other members in each.
+    """
+    w = Window.partitionBy("key", "salt").orderBy(F.xxhash64("key", "me.sig"), "me.sig")
     me = members.select("key", "salt", F.struct(*MEMBER).alias("me"))
-    found = []
-    for order in ([F.col("me.size"), F.col("me.sig")], [F.col("me.sig")]):
-        w = Window.partitionBy("key", "salt").orderBy(*order)
-        both = me.select("me", F.array(F.first("me").over(w), F.lag("me").over(w)).alias("others"))
-        found.append(both.select("me", F.explode("others").alias("other")).where("other is not null and other.sig <> me.sig"))
-    return found[0].unionByName(found[1]).where(_passes("me", "other", percent)).select(*_pair("me", "other")).distinct()
+    others = F.array(F.first("me").over(w), *[F.lag("me", i).over(w) for i in range(1, NEIGHBOURS + 1)])
+    near = F.filter("others", lambda o: o.isNotNull() & (o["sig"] != F.col("me.sig")) & _passes(F.col("me"), o, percent))
+    pairs = me.select("me", others.alias("others")).select("me", F.explode(near).alias("other"))
+    return pairs.select(*_pair("me.sig", "other.sig")).distinct()
 
 
 def _bloom(rows: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size that holds the ``th`` of all rows (and, by chance, some others)."""
-    places = F.array(F.shiftrightunsigned("th", 64 - BLOOM_BITS), F.col("th").bitwiseAND((1 << BLOOM_BITS) - 1))
+    """A bitmap of fixed size that holds the ``row`` keys of all rows (and, by chance, some others)."""
+    places = F.array(F.shiftrightunsigned("row", 64 - BLOOM_BITS), F.col("row").bitwiseAND((1 << BLOOM_BITS) - 1))
     p = rows.select(F.explode(places).alias("p"))
     words = p.groupBy(F.shiftright("p", 5).alias("word")).agg(F.bit_or(F.pow(F.lit(2.0), F.col("p").bitwiseAND(31)).cast("long")).alias("bits"))
     found = words.toArrow()  # at most 2**18 rows
@@ -154,43 +161,80 @@ def _bloom(rows: DataFrame) -> np.ndarray:
     return bitmap
 
 
-def _in_bloom(bitmap: np.ndarray, th: np.ndarray) -> np.ndarray:
-    h = th.view(np.uint64)
+def _in_bloom(bitmap: np.ndarray, row: np.ndarray) -> np.ndarray:
+    h = row.view(np.uint64)
     places = ((h >> np.uint64(64 - BLOOM_BITS)).astype(np.int64), (h & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64))
     return np.logical_and(*[(bitmap[p >> 5] >> (p & 31)) & 1 == 1 for p in places])
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets reach the threshold; every pair is compared once."""
+def _parity(s: np.ndarray, bits: int) -> np.ndarray:
+    """Bit i: whether an odd number of the hashes falls to i."""
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+
+
+def _fetched(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, whole: bool) -> DataFrame:
+    """(sig, size, body) of the sets in ``pairs``: their sorted hashes, or large parity bitmaps.
+
+    The texts are read again, and only rows whose key is in a bitmap of the wanted rows are
+    looked at: neither the texts nor the list of wanted rows is shuffled or sent around.
+    """
     nodes = pairs.select(F.col("u").alias("sig")).unionByName(pairs.select(F.col("v").alias("sig"))).distinct()
-    needed = stored(reps.join(nodes, "sig").select("doc_id", "th", "sig"), "needed")
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bloom(needed))
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bloom(reps.join(nodes, "sig").select("row")))
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            mine = batch.filter(pa.array(_in_bloom(bitmap.value, np.asarray(column(batch, "th")))))
-            sets = [s.tobytes() for s in sets_of(column(mine, "text"), n)]
-            return table(doc_id=column(mine, "doc_id"), th=column(mine, "th"), grams=pa.array(sets, pa.binary()))
+            mine = batch.filter(pa.array(_in_bloom(bitmap.value, np.asarray(column(batch, "row")))))
+            sets = list(sets_of(column(mine, "text"), n))
+            bodies = [s.tobytes() if whole else _parity(s, LARGE).tobytes() for s in sets]
+            return table(sig=_signatures(sets), size=np.array([len(s) for s in sets], np.int64), body=pa.array(bodies, pa.binary()))
 
         return each
 
-    rows = map_texts(docs, make, "doc_id long, th long, grams binary")
-    on = rows["doc_id"].eqNullSafe(needed["doc_id"]) & (rows["th"] == needed["th"])
-    # rows that repeat a doc_id and text are the same representative
-    sets = stored(rows.join(needed, on).select("sig", "grams").groupBy("sig").agg(F.first("grams").alias("grams")), "sets")
-    left = pairs.join(sets.select(F.col("sig").alias("u"), F.col("grams").alias("a")), "u")
-    both = left.join(sets.select(F.col("sig").alias("v"), F.col("grams").alias("b")), "v").select("u", "v", "a", "b")
+    # chance hits and repeated rows give a set twice or for nothing; one of each is kept
+    rows = map_texts(docs.select("row", "text"), make, "sig long, size long, body binary").join(nodes, "sig", "left_semi")
+    return stored(rows.dropDuplicates(["sig"]), "sets")
+
 
-    def compare(batches):
+def _compared(pairs: DataFrame, sets: DataFrame, keep, extra: str = "") -> DataFrame:
+    """Pairs with both bodies side by side, filtered in blocks by ``keep``."""
+    left = pairs.select("u", "v").join(sets.select(F.col("sig").alias("u"), F.col("size").alias("a"), F.col("body").alias("x")), "u")
+    both = left.join(sets.select(F.col("sig").alias("v"), F.col("size").alias("b"), F.col("body").alias("y")), "v")
+    return both.select("u", "v", "a", "b", "x", "y").mapInArrow(keep, "u long, v long" + extra)
+
+
+def _likely(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Pairs that pass the suffix filter on large bitmaps, with the share of the bound they use."""
+
+    def keep(batches):
+        for batch in batches:
+            a, b = (np.asarray(column(batch, c)) for c in "ab")
+            x, y = (np.frombuffer(b"".join(column(batch, c).to_pylist()), np.uint64).reshape(-1, LARGE // 64) for c in "xy")
+            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            most = a + b - 2 * -(-percent * (a + b) // (100 + percent))
+            yield table(u=column(batch, "u"), v=column(batch, "v"), use=differ / (most + 1)).filter(pa.array(differ <= most))
+
+    return _compared(pairs, maps, keep, ", use double")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets reach the threshold."""
+
+    def keep(batches):
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (a, b) in enumerate(zip(column(batch, "a"), column(batch, "b"), strict=True)):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            linked = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(column(batch, "x"), column(batch, "y"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
-            yield batch.select(["u", "v"]).filter(pa.array(keep))
+                linked[i] = 100 * common >= percent * (len(x) + len(y) - common)
+            yield batch.select(["u", "v"]).filter(pa.array(linked))
+
+    return _compared(pairs, sets, keep)
+
 
-    return both.mapInArrow(compare, "u long, v long")
+def _labelled(nodes: DataFrame, classes: DataFrame, node: str, name: str) -> DataFrame:
+    """Adds the component of the column ``node``: itself if it has no link yet."""
+    known = classes.select(F.col("node").alias(node), F.col("component").alias(name))
+    return nodes.join(known, node, "left").withColumn(name, F.coalesce(name, node))
 
 
 def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -204,11 +248,11 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     result. n-grams count as equal when their 64-bit hashes are.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    schema = "doc_id long, th long, size long, sig long, " + ", ".join(f"{b} long" for b in BITS) + ", keys array<long>"
-    base = stored(map_texts(docs, _index(spark, bucket_counts(docs, n), n, percent), schema), "sets")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    schema = "doc_id long, row long, size long, sig long, " + ", ".join(f"{b} long" for b in BITS) + ", keys array<long>"
+    base = stored(map_texts(docs, _index(spark, bucket_counts(docs, n), n, percent), schema), "base")
     filled = base.where("size > 0")
-    reps = filled.groupBy("sig").agg(F.min(F.struct("doc_id", "th", "size", *BITS)).alias("r")).select("sig", "r.*")
+    reps = filled.groupBy("sig").agg(F.min(F.struct("doc_id", "row", *BITS)).alias("r")).select("sig", "r.*")
     entries = filled.select("sig", "size", F.posexplode("keys").alias("pos", "key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("count")).where("count > 1")
     once = entries.join(shared, "key").distinct()
@@ -217,22 +261,33 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         "members",
     )
     tried = stored(_neighbours(members, percent), "pairs")
-    links = stored(_verified(docs, reps, tried, n, percent), "links")
-    known = stored(components(links), "classes")
-    labelled = members.join(known.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("comp", F.coalesce("component", "sig"))
+    likely = stored(_likely(tried, _fetched(docs, reps, tried, n, whole=False), percent), "likely")
+    sets = _fetched(docs, reps, likely, n, whole=True)
+    # the most promising partner of every text first: it settles nearly all components
+    sides = likely.select(F.col("u").alias("node"), F.col("v").alias("other"), "use").unionByName(likely.select(F.col("v").alias("node"), F.col("u").alias("other"), "use"))
+    best = sides.groupBy("node").agg(F.min(F.struct("use", "other")).alias("b")).select(*_pair("node", "b.other")).distinct()
+    links = stored(_linked(best, sets, percent), "links")
+    classes = stored(components(links), "classes")
+    second = _labelled(_labelled(likely, classes, "u", "cu"), classes, "v", "cv").where("cu <> cv").select("u", "v").join(best, ["u", "v"], "left_anti")
+    links = stored(links.unionByName(_linked(second, sets, percent)), "links")
+    classes = stored(components(links), "classes")
+    labelled = _labelled(members, classes, "sig", "comp")
     open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    left = stored(labelled.join(open_keys, "key").select("key", "comp", *MEMBER), "open")
-    rest = (
-        left.alias("a")
-        .join(left.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.sig") < F.col("b.sig")) & (F.col("a.comp") != F.col("b.comp")) & _passes("a", "b", percent))
-        .select(*_pair("a", "b"))
+    left = stored(labelled.join(open_keys, "key").select("key", "comp", F.struct(*MEMBER).alias("m")), "open")
+    a, b = left.alias("a"), left.alias("b")
+    apart = (F.col("a.m.sig") < F.col("b.m.sig")) & (F.col("a.comp") != F.col("b.comp"))
+    rest = stored(
+        a.join(b, (F.col("a.key") == F.col("b.key")) & apart & _passes(F.col("a.m"), F.col("b.m"), percent))
+        .select(*_pair("a.m.sig", "b.m.sig"))
         .distinct()
-        .join(tried, ["u", "v"], "left_anti")
+        .join(tried, ["u", "v"], "left_anti"),
+        "pairs",
     )
-    more = stored(_verified(docs, reps, stored(rest, "pairs"), n, percent), "links")
+    last = stored(_likely(rest, _fetched(docs, reps, rest, n, whole=False), percent).select("u", "v"), "likely")
+    more = _linked(last, _fetched(docs, reps, last, n, whole=True), percent)
     classes = stored(components(links.unionByName(more)), "classes")
-    placed = base.select("doc_id", "size", "sig").join(classes.withColumnRenamed("node", "sig"), "sig", "left")
-    placed = placed.withColumn("class", F.when(F.col("size") > 0, F.coalesce("component", "sig")))
+    placed = _labelled(base.select("doc_id", "size", "sig"), classes, "sig", "class")
+    placed = placed.withColumn("class", F.when(F.col("size") > 0, F.col("class")))
     least = placed.where("size > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "class", "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
