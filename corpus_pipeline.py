@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import line_dedup, quality_rules
+from tickloom.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules
+from tickloom.llm.queries import tokenizer
 from tickloom.session import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -31,12 +32,30 @@ def lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each near-duplicate class: the one with the smallest id."""
+    return ngram_join.keep_first(docs)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Token ids and digests of every document that is left."""
+    return bpe.encode(docs, tokenizer())
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality),
     ("line_dedup", lines),
+    ("ngram_jaccard_join", near_duplicates),
+    ("decontamination", benchmark_free),
+    ("bpe", encoded),
 ]
 
-# encoding, edit distance and compression have no SQL form; the stages are tested against brute force
+# compression, edit distance and encoding have no SQL form; the stages are tested against brute force
 ORACLE_SQL: str | None = None
 
 

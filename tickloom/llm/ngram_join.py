@@ -237,15 +237,11 @@ def _labelled(nodes: DataFrame, classes: DataFrame, node: str, name: str) -> Dat
     return nodes.join(known, node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """Classes of texts linked by n-gram Jaccard similarity of ``percent`` or more.
+def classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """(doc_id, row, n_shingles, component_id, first_row), one row per input row.
 
-    Returns (doc_id, n_shingles, component_id), one row per input row; ``component_id`` is
-    the smallest doc_id reachable by links. ``docs`` needs doc_id and text; other columns are
-    ignored. A null text, or one without words, has no n-grams, links with nothing and is its
-    own component. Rows that repeat a doc_id stay separate rows. A null doc_id takes part; it
-    gets the component of what it is linked with, or null. An empty table gives an empty
-    result. n-grams count as equal when their 64-bit hashes are.
+    ``row`` is a hash of doc_id and text; ``first_row`` that of the class's first document, by
+    doc_id (null last). See ``ngram_join`` for the rest.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
@@ -267,11 +263,11 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     sides = likely.select(F.col("u").alias("node"), F.col("v").alias("other"), "use").unionByName(likely.select(F.col("v").alias("node"), F.col("u").alias("other"), "use"))
     best = sides.groupBy("node").agg(F.min(F.struct("use", "other")).alias("b")).select(*_pair("node", "b.other")).distinct()
     links = stored(_linked(best, sets, percent), "links")
-    classes = stored(components(links), "classes")
-    second = _labelled(_labelled(likely, classes, "u", "cu"), classes, "v", "cv").where("cu <> cv").select("u", "v").join(best, ["u", "v"], "left_anti")
+    linked = stored(components(links), "classes")
+    second = _labelled(_labelled(likely, linked, "u", "cu"), linked, "v", "cv").where("cu <> cv").select("u", "v").join(best, ["u", "v"], "left_anti")
     links = stored(links.unionByName(_linked(second, sets, percent)), "links")
-    classes = stored(components(links), "classes")
-    labelled = _labelled(members, classes, "sig", "comp")
+    linked = stored(components(links), "classes")
+    labelled = _labelled(members, linked, "sig", "comp")
     open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     left = stored(labelled.join(open_keys, "key").select("key", "comp", F.struct(*MEMBER).alias("m")), "open")
     a, b = left.alias("a"), left.alias("b")
@@ -285,10 +281,42 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     )
     last = stored(_likely(rest, _fetched(docs, reps, rest, n, whole=False), percent).select("u", "v"), "likely")
     more = _linked(last, _fetched(docs, reps, last, n, whole=True), percent)
-    classes = stored(components(links.unionByName(more)), "classes")
-    placed = _labelled(base.select("doc_id", "size", "sig"), classes, "sig", "class")
-    placed = placed.withColumn("class", F.when(F.col("size") > 0, F.col("class")))
-    least = placed.where("size > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "class", "left").select(
-        "doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
+    linked = stored(components(links.unionByName(more)), "classes")
+    placed = _labelled(base.select("doc_id", "row", "size", "sig"), linked, "sig", "class")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    least = placed.where("size > 0").groupBy("class").agg(F.min(order).alias("least"))
+    whole = placed.withColumn("class", F.when(F.col("size") > 0, F.col("class"))).join(least, "class", "left")
+    own = F.col("size") == 0
+    return whole.select(
+        "doc_id",
+        "row",
+        F.col("size").alias("n_shingles"),
+        F.when(own, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"),
+        F.when(own, F.col("row")).otherwise(F.col("least.row")).alias("first_row"),
     )
+
+
+def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """Classes of texts linked by n-gram Jaccard similarity of ``percent`` or more.
+
+    Returns (doc_id, n_shingles, component_id), one row per input row; ``component_id`` is
+    the smallest doc_id reachable by links. ``docs`` needs doc_id and text; other columns are
+    ignored. A null text, or one without words, has no n-grams, links with nothing and is its
+    own component. Rows that repeat a doc_id stay separate rows. A null doc_id takes part; it
+    gets the component of what it is linked with, or null. An empty table gives an empty
+    result. n-grams count as equal when their 64-bit hashes are.
+    """
+    return classes(docs, n, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_first(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """One row of ``docs`` per class, with all its columns: the first by doc_id (null last).
+
+    Rows without words stay; of rows that repeat a doc_id and text one stays.
+    """
+    names = docs.columns
+    first = classes(docs, n, percent).where("row = first_row").select("row").distinct()
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], key.alias("row"))
+    kept = keyed.join(first, "row", "left_semi").dropDuplicates(["row"])
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language_id, licenses, line_dedup, ngram_join, quality_model, quality_rules, toxicity
+from . import bpe, chat, decontaminate, language_id, licenses, line_dedup, ngram_join, quality_model, quality_rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,7 +22,7 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
 
 
-def _tokenizer() -> str:
+def tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -50,7 +50,7 @@ def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts and digests of every document, encoded and decoded again."""
-    return bpe.encode(_documents(spark, folder), _tokenizer(), with_ids=False)
+    return bpe.encode(_documents(spark, folder), tokenizer(), with_ids=False)
 
 
 @query
@@ -87,3 +87,10 @@ def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """The toxicity score of every document; a fifth of the labels is held out."""
     return toxicity.toxicity(_documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic"))
+
+
+@query
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and the evidence."""
+    found = decontaminate.matches(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text"))
+    return found.select("doc_id", "item_id", F.round("lcs_share", 4).alias("lcs_share"), F.round("answer_share", 4).alias("answer_share"), "first_word")
