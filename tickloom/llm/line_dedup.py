@@ -27,7 +27,7 @@ from ..session import stored
 from .tokens import Block, column, map_texts, mix, owners, powers, table
 
 MIN_WORDS = 5  # shorter lines are no evidence of copying and always stay
-MIN_EDIT_WORDS = 8  # from here on one changed word is allowed; shorter lines must be equal
+MIN_EDIT_WORDS = 8  # two lines that both have as many may differ by a word; shorter ones must be equal
 
 
 class Lines:
@@ -74,7 +74,7 @@ def _list_lines(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys += [lines.hash(a, a + t) + t.astype(np.uint64), ~lines.hash(z - t, z) + t.astype(np.uint64)]
     keys = np.stack(keys, 1).view(np.int64)
     same = _half(n) == _half(n - 1)
-    use = np.repeat((n >= MIN_EDIT_WORDS - 1)[:, None], 4, 1) & np.stack([np.ones_like(same), np.ones_like(same), ~same, ~same], 1)
+    use = np.repeat((n >= MIN_EDIT_WORDS)[:, None], 4, 1) & np.stack([np.ones_like(same), np.ones_like(same), ~same, ~same], 1)
     sizes = use.sum(1)
     row = pa.array(lines.owner[at])
     return table(
@@ -165,7 +165,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     ``text``; a column named n_lines or n_removed is replaced). The earliest of near lines, by
     doc_id (null first), then text hash, then line number, stays; a line goes when an earlier
     line is near, even if that one goes too. Lines of under ``MIN_WORDS`` words stay; lines of
-    under ``MIN_EDIT_WORDS`` words go only when equal. Rows that repeat a doc_id and text are
+    under ``MIN_EDIT_WORDS`` words are near only to equal ones. Rows that repeat a doc_id and text are
     one document and are cut alike. A null text counts as one empty line and stays null; a
     text that loses every line becomes empty. An empty table gives an empty result.
     """
