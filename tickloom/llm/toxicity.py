@@ -30,10 +30,11 @@ WIDTH = 8  # units of each direction
 ATTENTION = 8
 INPUT = 12  # numbers of the word and the character vectors
 LENGTHS = (3, 4)  # characters of an n-gram, word borders included
-TRAIN_LABELS = 8_000  # labelled texts that are read, about
-TRAIN_TEXTS = 2_400  # of these, fitted in each class at most: the first by a hash of the id
+TRAIN_LABELS = 16_000  # labelled texts that are read, about
+TRAIN_TEXTS = 2_000  # of these, fitted in each class at most: the first by a hash of the id
 TRAIN_WINDOWS = 64  # windows of one text used in fitting, spread evenly over it
-SUPPORT = 8  # toxic texts that must hold a word or n-gram: other table rows stay 0 and learn nothing by heart
+SUPPORT, SUPPORT_SHARE = 8, 0.02  # toxic texts that must hold a word or n-gram with a vector; or this share, if less
+STEPS = 500  # least steps of the fit: small samples are gone through more often
 F32 = np.float32
 
 
@@ -46,7 +47,11 @@ def _place(known: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def vocabulary(texts: list[str]) -> dict[str, np.ndarray]:
-    """Hashes of the words and n-grams that at least SUPPORT of the (toxic) texts hold."""
+    """Hashes of the words and n-grams that enough of the (toxic) texts hold.
+
+    What fewer texts hold gets no vector, so that nothing is learned by heart.
+    """
+    enough = min(SUPPORT, max(2, int(SUPPORT_SHARE * len(texts))))
     held: dict[str, list[np.ndarray]] = {"word": [], "char": []}
     for text in texts:
         words = Words(pa.array([text], pa.string()))
@@ -56,7 +61,7 @@ def vocabulary(texts: list[str]) -> dict[str, np.ndarray]:
     out = {}
     for k, most in (("word", WORD_ROWS), ("char", CHAR_ROWS)):
         h, count = np.unique(np.concatenate([*held[k], np.zeros(0, np.uint64)]), return_counts=True)
-        some = np.flatnonzero(count >= SUPPORT)
+        some = np.flatnonzero(count >= enough)
         out[k] = np.sort(h[some[np.lexsort((h[some], -count[some]))][:most]])
     return out
 
@@ -297,6 +302,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 128, rate
     # before the network knows anything, a window is as suspicious as its most telling n-gram
     logit = np.array([clue[windows.word[i : i + n]].max() for i, n in zip(windows.start, windows.size, strict=True)], F32)
     adam = Adam(net.p, rate)
+    epochs = max(epochs, -(-STEPS * batch // max(1, sum(1 if k else 4 for k, _ in pools))))
     for epoch in range(epochs):
         which, target = [], []
         if epoch:
