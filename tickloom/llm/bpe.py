@@ -9,6 +9,9 @@ The distinct words of a block are inserted into a trie and walked depth first. S
 *are* that trie in depth-first order: the characters a word shares with the word before it
 are the branch that is still on the stack, with its states.
 
+Character kinds and cases beyond Latin letters come from the ``tokenizers`` library, so that its
+Unicode version decides; the encoding itself is the traversal's.
+
 Reads vocabulary files of the ``tokenizers`` library with a BPE model and an end-of-word
 suffix (NFC, white space to one space, lower case; byte-level words). Nothing is trained.
 """
@@ -19,7 +22,6 @@ import hashlib
 import json
 import os
 import re
-import unicodedata
 from struct import pack
 
 import numpy as np
@@ -27,6 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .tokens import column, map_texts, table
 
@@ -155,10 +158,36 @@ class Vocabulary:
         return out
 
 
-SPACES = r"\p{White_Space}"
 #: fixed values: how the vocabulary's pre-tokenizer cuts lower-case text
-WIDE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN = regex.compile(CUT.replace(r"\s", r"\p{White_Space}"))
 NARROW = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+BEYOND_LATIN = re.compile("[^\x00-\u024f]")
+
+
+class _Lowered(dict):
+    """Lower case of single characters as the library has it; its Unicode version decides."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = normalizers.Lowercase().normalize_str(chr(code))
+        return self[code]
+
+
+class _Kinds(dict):
+    """An ASCII character of the same kind (letter, number, space, other) for any character."""
+
+    cut = pre_tokenizers.Split(Regex(CUT), "removed", invert=True)
+
+    def __missing__(self, code: int) -> str:
+        if code < 128:
+            self[code] = chr(code)
+        else:
+            pieces = [p for p, _ in self.cut.pre_tokenize_str(f"a{chr(code)}!")]
+            self[code] = " " if len(pieces) == 2 and pieces[0] == "a" and pieces[1] == "!" else "a" if len(pieces[0]) == 2 else "1" if len(pieces) == 3 else "!"
+        return self[code]
+
+
+LOWERED, KINDS = _Lowered(), _Kinds()
 
 
 class Encoder:
@@ -179,9 +208,10 @@ class Encoder:
     def words(text: str) -> list[str]:
         if text.isascii():
             return NARROW.findall(text.lower())
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        return WIDE.findall(text.replace("Σ", "σ").lower())  # capital sigma has one lower form here
+        if not BEYOND_LATIN.search(text):
+            return LATIN.findall(text.lower())
+        text = normalizers.NFC().normalize_str(text).translate(LOWERED)
+        return [text[m.start() : m.end()] for m in NARROW.finditer(text.translate(KINDS))]
 
     def pieces(self, text: str) -> list[str]:
         """Words and added tokens of a text in order; an added token is kept as it is."""
