@@ -57,3 +57,30 @@ def test_no_nested_loops(spark, folder):
     for name in names:
         text = plan(QUERIES[name](spark, folder))
         assert "NestedLoop" not in text and "Cartesian" not in text, name
+
+
+def test_ranks_whatever_the_values(spark):
+    """Distinct values in a narrow range, and one value with one common prefix of ties."""
+    from tickloom.operators.ranking import percent_ranks, row_numbers
+
+    narrow = spark.range(5000).selectExpr("1e6 + (id * 7919 % 5000) / 5000.0D as v", "concat('NSE:XYZ', lpad(id, 6, '0')) as k")
+    ranks = percent_ranks(narrow, [], {"r": "v"}).selectExpr("v", "round(r * 5000) as r").collect()
+    assert all(round((x["v"] - 1e6) * 5000) + 1 == x["r"] for x in ranks)
+    same = narrow.selectExpr("0.5D as p", "k")
+    assert [x["k"] for x in row_numbers(same, "p", "k").orderBy("rank").collect()] == sorted(x["k"] for x in same.collect())
+
+
+def test_ranks_put_only_part_totals_in_one_place(spark):
+    """Every window without a key stands on an aggregate by part."""
+    from tickloom.operators.ranking import row_numbers
+
+    rows = spark.range(1000).selectExpr("id % 10 as p", "id as k")
+    lines = row_numbers(rows, "p", "k")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    single = [i for i, line in enumerate(lines) if "Window" in line and "windowspecdefinition(0" in line or "Window" in line and ", [0], [" in line]
+    for i in single:
+        assert any("Aggregate [_part" in line for line in lines[i : i + 3])
+
+
+def test_holding_time_runs_in_the_jvm(spark, folder):
+    text = plan(QUERIES["weights_hysteresis_hold"](spark, folder))
+    assert not any(x in text for x in ("Python", "Pandas", "Arrow"))

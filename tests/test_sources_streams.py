@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from data import bars, price_frame, to_pandas
 from tickloom.operators import technical as T
 from tickloom.operators.bars import daily_from_candles
-from tickloom.session import shared_folder, small, stored
+from tickloom.session import shared_folder, stored
 from tickloom.sources import readers, sinks
 from tickloom.streaming import market as SM
 from tickloom.streaming.log import compact, log_schema, newest, write_log
@@ -73,10 +73,8 @@ def test_panel_upsert_touches_only_its_year(spark, tmp_path):
     assert {p.name for p in (tmp_path / "panel" / "year=2020").iterdir()} == before
 
 
-def test_small_and_stored(spark):
+def test_stored(spark):
     df = spark.range(100)
-    assert "Broadcast" in df.join(small(df, 100), "id")._jdf.queryExecution().toString()
-    assert small(df, 99) is df
     assert stored(df).count() == 100 and shared_folder(spark)
 
 
@@ -132,3 +130,68 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got.equals(want[got.columns])
     day = daily_from_candles(spark.createDataFrame(want)).first()
     assert day.volume == 200.0
+
+
+def test_late_ticks_are_kept(spark, tmp_path):
+    """One file per batch, the third far older than the others."""
+    days = (20, 21, 5)
+    for k, day in enumerate(days):
+        row = [("A", dt.datetime(2024, 1, day, 10, 0), 100.0 + k, 1.0, k)]
+        spark.createDataFrame(row, "symbol string, ts timestamp, px double, volume double, seq long").coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    ticks = SM.read_folder(spark, str(tmp_path / "t"), "symbol string, ts timestamp, px double, volume double, seq long", files_per_batch=1)
+    got = sorted((r["ts"].day, r["close"]) for r in SM.run_candles(spark, ticks).collect())
+    assert got == [(5, 102.0), (20, 100.0), (21, 101.0)]
+
+
+def test_candle_parts_over_batches(spark, tmp_path):
+    """First and last price of one candle come from different batches, the later ones first."""
+    for seq, px in ((5, 105.0), (1, 101.0), (9, 109.0), (3, 90.0)):
+        row = [("A", dt.datetime(2024, 1, 5, 10, 0, seq), px, 1.0, seq)]
+        spark.createDataFrame(row, "symbol string, ts timestamp, px double, volume double, seq long").coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    ticks = SM.read_folder(spark, str(tmp_path / "t"), "symbol string, ts timestamp, px double, volume double, seq long", files_per_batch=1)
+    bar = SM.run_candles(spark, ticks).first()
+    assert (bar.open, bar.high, bar.low, bar.close, bar.volume) == (101.0, 109.0, 90.0, 109.0, 4.0)
+
+
+def test_newest_sequence_wins_in_any_order(spark, tmp_path):
+    src = str(tmp_path / "src")
+    for seq in (9, 1, 4):
+        spark.createDataFrame([("A", seq, float(seq))], "symbol string, seq int, px double").coalesce(1).write.mode("append").parquet(src)
+    stream = SM.read_folder(spark, src, "symbol string, seq int, px double", files_per_batch=1)
+    assert [tuple(r) for r in SM.run_upsert(spark, stream, ["symbol"], tie=["seq"]).collect()] == [("A", 9, 9.0)]
+
+
+def test_csv_order_over_files(spark, tmp_path):
+    """The last row of the last file by name wins, however Spark packs the files."""
+    head = "Date,Open,High,Low,Close,Volume\n"
+    (tmp_path / "a.csv").write_text(head + "2024-01-02,1,1,1,1,1\n")
+    (tmp_path / "b.csv").write_text(head + "".join(f"2024-01-03,{k},{k},{k},{k},{k}\n" for k in range(1, 2000)) + "2024-01-02,7,7,7,7,7\n")
+    rows = {str(r["date"]): r["close"] for r in readers.ohlcv_csv(spark, str(tmp_path)).collect()}
+    assert rows == {"2024-01-02": 7.0, "2024-01-03": 1999.0}
+
+
+def test_candle_file_names(spark, tmp_path):
+    head = "timestamp,open,high,low,close,volume\n"
+    (tmp_path / "AB_2024-01-05.csv").write_text(head + "2024-01-05 09:15:00,1,3,1,2,5\n2024-01-05 09:20:00,2,4,2,3,5\n")
+    folder = tmp_path / "key=X_Y_20240108"
+    folder.mkdir()
+    (folder / "part-0001.csv").write_text(head + "2024-01-08 09:15:00,9,9,9,9,1\n")
+    got = sorted((r["symbol"], str(r["date"]), r["open"], r["close"], r["volume"]) for r in readers.daily_from_candle_files(spark, str(tmp_path)).collect())
+    assert got == [("AB", "2024-01-05", 1.0, 3.0, 10.0), ("X_Y", "2024-01-08", 9.0, 9.0, 1.0)]
+
+
+def test_files_per_year(spark, tmp_path):
+    """Many tasks, few files: a task writes into the years of its range only."""
+    import glob
+
+    rows = spark.range(7 * 250 * 8).selectExpr("date_add(date '2010-01-01', cast(id / 8 as int)) as date", "concat('S', id % 8) as symbol", "id * 1.0D as close")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_panel(rows, str(tmp_path / "p"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    years = spark.read.parquet(str(tmp_path / "p")).select("year").distinct().count()
+    assert len(glob.glob(str(tmp_path / "p" / "year=*" / "*.parquet"))) <= 32 + years

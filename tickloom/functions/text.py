@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small, stored
+from ..session import stored
 from .scalar import as_col
 
 # The sentiment lexicon. Words that stand in both lists of one
@@ -130,6 +130,9 @@ def _phrase_pattern(shape: str) -> str:
     return f"(?<!{edge})(?=({body})(?!{edge}))"
 
 
+SHAPES = 50  # kinds of separators inside symbols; each costs a pass over the text
+
+
 def mentions(articles: DataFrame, symbols: DataFrame, text: str = "text", key: str = "symbol") -> DataFrame:
     """One row per article and listed symbol that stands in the text as a whole word.
 
@@ -142,10 +145,12 @@ def mentions(articles: DataFrame, symbols: DataFrame, text: str = "text", key: s
     listed = stored(listed, "symbols")
     # the few kinds of separators in use, e.g. "W & W"
     shape = F.trim(F.regexp_replace(F.col(key), WORD, " W "))
-    shapes = [r[0] for r in listed.select(shape.alias("s")).distinct().collect()]
+    shapes = [r[0] for r in listed.select(shape.alias("s")).distinct().limit(SHAPES + 1).collect()]
+    if len(shapes) > SHAPES:
+        raise ValueError(f"the symbols use more than {SHAPES} kinds of separators")
     upper = F.upper(F.col(text))
     found = [F.regexp_extract_all(upper, F.lit(WORD), 1)]
     found += [F.regexp_extract_all(upper, F.lit(_phrase_pattern(s)), 1) for s in shapes if s != "W"]
     rest = [c for c in articles.columns if c != text]
     tokens = articles.select(*rest, F.explode(F.array_distinct(F.concat(*found))).alias(key))
-    return tokens.join(small(listed), key).select(*rest, key)
+    return tokens.join(listed, key).select(*rest, key)

@@ -68,6 +68,21 @@ def candles(ticks: DataFrame, width: str, order: list[str], ts: str = "ts", pric
     return bars.select(F.col("window.start").alias("ts"), "symbol", "open", "high", "low", "close", "volume")
 
 
+def partial_candles(ticks: DataFrame, width: str, order: list[str], ts: str = "ts", price: str = "px", volume: str = "volume") -> DataFrame:
+    """What some of the ticks add to each candle; ``merge_candles`` puts parts together."""
+    at = F.struct(*order, price)
+    parts = ticks.groupBy(F.window(ts, width).alias("w"), "symbol").agg(
+        F.min(at).alias("first"), F.max(at).alias("last"), F.max(price).alias("high"), F.min(price).alias("low"), F.sum(volume).alias("volume")
+    )
+    return parts.select(F.col("w.start").alias("ts"), "symbol", "first", "last", "high", "low", "volume")
+
+
+def merge_candles(parts: DataFrame, price: str = "px") -> DataFrame:
+    return parts.groupBy("symbol", "ts").agg(
+        F.min("first")[price].alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max("last")[price].alias("close"), F.sum("volume").alias("volume")
+    )
+
+
 def daily_from_candles(candles_: DataFrame, ts: str = "ts") -> DataFrame:
     """Candles of a day to one daily bar per symbol."""
     day = F.to_date(ts).alias("date")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rolling as R
 from ..functions.scalar import flag, ratio
-from ..session import small, stored
+from ..session import stored
 from .calendar import by_date, join_daily
 from .ranking import percent_ranks
 
@@ -55,8 +55,8 @@ def with_market_state(panel: DataFrame) -> DataFrame:
 
 
 def with_sector(df: DataFrame, sectors: DataFrame, default: str = "Other") -> DataFrame:
-    """Sector of the symbol from a (symbol, sector) dimension, broadcast if it is small."""
-    return df.join(small(sectors.select("symbol", "sector")), "symbol", "left").withColumn(
+    """Sector of the symbol from a (symbol, sector) dimension, ; Spark broadcasts it if its size allows."""
+    return df.join(sectors.select("symbol", "sector"), "symbol", "left").withColumn(
         "sector", F.coalesce("sector", F.lit(default))
     )
 

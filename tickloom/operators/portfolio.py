@@ -6,7 +6,6 @@ dates x symbols grid is built; a position that ends emits one closing row.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,24 +63,23 @@ def band_weights(preds: DataFrame, enter: float, leave: float, prob: str = "prob
 def held_band_weights(preds: DataFrame, enter: float, leave: float, min_hold: int, hard_stop: float | None = None, prob: str = "prob") -> DataFrame:
     """The band with a minimum holding time and a hard stop.
 
-    Days held depend on the whole path, so each symbol's daily rows (bounded by the
-    calendar) are folded in order.
+    How long a name has been held depends on its whole path, so the state is carried along
+    the symbol's days (an array bounded by the calendar) inside the JVM: days held so far,
+    0 when out.
     """
+    rows = preds.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("date", F.col(prob).alias("p")))).alias("rows"))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
-        held, state = 0, []
-        for p in rows["p"].to_numpy():
-            if held:
-                out = (hard_stop is not None and p < hard_stop) or (held >= min_hold and p < leave)
-                held = 0 if out else held + 1
-            if not held and p >= enter:
-                held = 1
-            state.append(1.0 if held else 0.0)
-        return pd.DataFrame({"date": rows["date"], "symbol": rows["symbol"], "w": state})
-
-    series = preds.select("date", "symbol", F.col(prob).alias("p"))
-    return normalise(series.groupBy("symbol").applyInPandas(fold, "date date, symbol string, w double"))
+    def below(p: Column, bound: float | None) -> Column:
+        return F.lit(False) if bound is None else F.coalesce(p < bound, F.lit(False))
+
+    def next_day(path: Column, row: Column) -> Column:
+        p, days = row["p"], F.coalesce(F.element_at(path, -1), F.lit(0))
+        kept = (days > 0) & ~below(p, hard_stop) & ((days < min_hold) | ~below(p, leave))
+        return F.array_append(path, F.when(kept, days + 1).when(p >= enter, F.lit(1)).otherwise(F.lit(0)))
+
+    path = F.slice(F.aggregate("rows", F.array(F.lit(0)), next_day), 2, 2**31 - 2)  # without the state before the first day
+    days = rows.select("symbol", F.explode(F.arrays_zip("rows", path.alias("days"))).alias("day"))
+    return normalise(days.select("day.rows.date", "symbol", (F.col("day.days") > 0).cast("double").alias("w")))
 
 
 def tilt_weights(preds: DataFrame, strength: float = 0.5, prob: str = "prob") -> DataFrame:

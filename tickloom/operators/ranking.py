@@ -1,11 +1,10 @@
 """Exact ranks without putting a whole group into one task.
 
-Values are first reduced to one row per (group, distinct value). A monotone integer
-code of the value cuts the range into slices; rows below a value are then the rows in
-earlier slices (a prefix over the slice totals of the group) plus the
-rows below it inside its slice. A group with a third of all rows is spread over its
-slices, ties are one row, and no result is approximate: the code only decides where
-a row is counted, never its order.
+Values are first reduced to one row per (group, distinct value). These rows are dealt out
+by range (Spark samples the values themselves for the borders, so neither their magnitude
+nor a common prefix matters), every part is summed inside, and the totals of the parts
+before it are added. Only part totals, one row per part and group, meet in one place. A
+group with a third of all rows spans many parts, ties are one row, nothing is approximate.
 """
 
 from __future__ import annotations
@@ -13,20 +12,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import as_col
+from ..session import stored
 
-# Slices per factor e of the value. Many groups (dates) share the cluster, so a group
-# needs few slices; the whole table as one group is cut much finer, which keeps both
-# the prefix over the slices and the rows inside one slice small.
-FEW, MANY = 2**11, 2**18
-ZERO = 10**9  # above any |ln x| * MANY of a double
+PART = "_part"
 
 
-def slice_code(x: Column | str, per_e: int = FEW) -> Column:
-    """Integer that never decreases as x grows: sign and logarithm in fixed steps."""
-    x = as_col(x).cast("double")
-    step = F.floor(F.ln(F.abs(x)) * per_e) + ZERO
-    return F.when(x > 0, step).when(x < 0, -step).when(x == 0, F.lit(0).cast("long"))
+def dealt(df: DataFrame, *order: Column | str) -> DataFrame:
+    """The rows in range partitions of the order, with the number of their part.
+
+    The rows are written once: a part number must not change when a task is run again.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(parts, *order).withColumn(PART, F.spark_partition_id()), "dealt")
+
+
+def before(window, column: Column | str) -> Column:
+    """Sum over the rows ahead in the window's order."""
+    return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
 def distinct_counts(df: DataFrame, group: list[str], value: str, **measures: Column) -> DataFrame:
@@ -40,20 +42,19 @@ def distinct_counts(df: DataFrame, group: list[str], value: str, **measures: Col
         df.where(F.col(value).isNotNull())
         .groupBy(*group, value)
         .agg(F.count("*").alias("n"), *[F.sum(m).alias(k) for k, m in measures.items()])
-        .withColumn("_slice", slice_code(value, FEW if group else MANY))
     )
-    totals = counts.groupBy(*group, "_slice").agg(*[F.sum(k).alias(f"_{k}") for k in names])
-    over = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    earlier = over.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt(counts, *group, value)
+    totals = counts.groupBy(*group, PART).agg(*[F.sum(k).alias(f"_{k}") for k in names])
+    over = Window.partitionBy(*(group or [F.lit(0)]))
     totals = totals.select(
         *group,
-        "_slice",
-        *[F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0)).alias(f"_{k}_before") for k in names],
+        PART,
+        *[before(over.orderBy(PART), f"_{k}").alias(f"_{k}_before") for k in names],
         F.sum("_n").over(over).alias("total"),
     )
-    inside = Window.partitionBy(*group, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = counts.withColumns({f"_{k}_inside": F.coalesce(F.sum(k).over(inside), F.lit(0)) for k in names})
-    joined = local.join(totals, [*group, "_slice"])
+    inside = Window.partitionBy(*group, PART).orderBy(value)
+    local = counts.withColumns({f"_{k}_inside": before(inside, k) for k in names})
+    joined = local.join(totals, [*group, PART])
     below = {"n": "below"} | {k: f"{k}_below" for k in measures}
     return joined.select(
         *group,
@@ -68,41 +69,31 @@ def percent_ranks(df: DataFrame, group: list[str], values: dict[str, str], stric
     """Add ``new column -> rank of old column`` within the group; NULL in, NULL out.
 
     Default: average rank of ties / number of non-NULL values. ``strict``: share of
-    values that are smaller. The table is read once per rank and once for the result:
-    give a stored one when it is costly to compute.
+    values that are smaller. All values are ranked in one long table of distinct values, so
+    the input is read once for the ranks and once for the result.
     """
+    columns = list(values.values())
+    keys = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
+    pairs = F.array(*[F.struct(F.lit(i).alias("_which"), F.col(c).cast("double").alias("_value")) for i, c in enumerate(columns)])
+    long = df.select(*keys, F.explode(pairs).alias("_p")).select(*[f"_g{i}" for i in range(len(group))], "_p.*")
+    ranks = distinct_counts(long, ["_which", *[f"_g{i}" for i in range(len(group))]], "_value")
+    position = F.col("below").cast("double") if strict else F.col("below") + (F.col("n") + 1) / F.lit(2.0)
+    ranks = ranks.select("_which", *[f"_g{i}" for i in range(len(group))], "_value", (position / F.col("total")).alias("_rank"))
+    if len(columns) > 1:
+        ranks = stored(ranks, "ranks")
     out = df
-    for new, value in values.items():
-        ranks = distinct_counts(df, group, value)
-        position = F.col("below").cast("double") if strict else F.col("below") + (F.col("n") + 1) / F.lit(2.0)
-        ranks = ranks.select(*group, value, (position / F.col("total")).alias(new))
-        out = out.join(ranks, [*group, value], "left")
+    for i, (new, value) in enumerate(values.items()):
+        mine = ranks.where(F.col("_which") == i).select(*[F.col(f"_g{k}").alias(g) for k, g in enumerate(group)], F.col("_value").alias("_match"), F.col("_rank").alias(new))
+        on = [out[g] == mine[g] for g in group] + [out[value].cast("double") == mine["_match"]]
+        out = out.join(mine, on, "left").select(*[out[c] for c in out.columns], new)
     return out.select(*df.columns, *values)
 
 
 def row_numbers(df: DataFrame, value: str, tie: str, name: str = "rank") -> DataFrame:
-    """1, 2, 3, ... over the whole table by (value descending, tie ascending).
-
-    Slices are numbered from the top; equal values are cut again by the first
-    characters of the tie column, so even one value held by most rows is split.
-    """
-    keyed = df.withColumns(
-        {
-            "_slice": -F.coalesce(slice_code(value, MANY), F.lit(-2 * ZERO)),  # NULL comes last
-            "_head": F.substring(F.col(tie).cast("string"), 1, 4),
-        }
-    )
-    # rows with one value share a slice, but a slice may hold several values
-    part = ["_slice", "_value", "_head"]
-    keyed = keyed.withColumn("_value", -F.col(value))
-    counts = keyed.groupBy(*part).agg(F.count("*").alias("_n"))
-    inside_slice = Window.partitionBy("_slice").orderBy(F.col("_value").asc_nulls_last(), "_head").rowsBetween(Window.unboundedPreceding, -1)
-    slices = counts.groupBy("_slice").agg(F.sum("_n").alias("_m"))
-    earlier = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select("_slice", F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_before"))
-    starts = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(inside_slice), F.lit(0))).drop("_n")
-    starts = starts.join(slices, "_slice")
-    same = [keyed[c].eqNullSafe(starts[c]) for c in part]
-    local = F.row_number().over(Window.partitionBy(*[keyed[c] for c in part]).orderBy(keyed[tie]))
-    joined = keyed.join(starts, same)
-    return joined.select(*[keyed[c] for c in df.columns], (F.col("_before") + F.col("_offset") + local).alias(name))
+    """1, 2, 3, ... over the whole table by (value descending, NULL last, tie ascending)."""
+    order = [F.col(value).desc_nulls_last(), F.col(tie).asc()]
+    rows = dealt(df, *order)
+    totals = rows.groupBy(PART).agg(F.count("*").alias("_n"))
+    totals = totals.select(PART, before(Window.partitionBy(F.lit(0)).orderBy(PART), "_n").alias("_before"))
+    local = rows.withColumn("_local", F.row_number().over(Window.partitionBy(PART).orderBy(*order)))
+    return local.join(totals, PART).select(*df.columns, (F.col("_before") + F.col("_local")).alias(name))

@@ -201,7 +201,7 @@ def tercile_spread(m):
 )
 def exact_quantiles(m):
     """Quantiles of every tick price: order statistics without a global sort."""
-    return M.exact_quantiles(stored(m.ticks.select("px"), "px"), "px", {"q01": 0.01, "q50": 0.5, "q99": 0.99})
+    return M.exact_quantiles(m.ticks.select("px"), "px", {"q01": 0.01, "q50": 0.5, "q99": 0.99})
 
 
 @query(
@@ -214,7 +214,7 @@ def exact_quantiles(m):
 )
 def percent_rank_ticks(m):
     """Ranks of raw ticks within the day: the groups are large, the ranks exact."""
-    rows = stored(m.ticks.select("symbol", "date", "px", "qty"), "ticks")
+    rows = m.ticks.select("symbol", "date", "px", "qty")
     out = percent_ranks(rows, ["date"], {"r": "px"})
     out = percent_ranks(out, ["date"], {"s": "qty"}, strict=True)
     return out.groupBy("symbol").agg(F.count("*").alias("n"), F.avg("r").alias("mean_rank"), F.avg("s").alias("mean_strict"))

@@ -224,7 +224,19 @@ def asof_by_symbol(m):
     return asof(m.bars, m.fundamentals, ["symbol"], ["pe_ratio", "roe"])
 
 
-cte("vix", "SELECT date, 10 + abs(fii_net) % 20 AS c FROM flows WHERE isodow(date) < 6", "flows")
+
+
+def _session_sql(last: int) -> str:
+    """The date, or the next Monday if the weekday is after ``last``: every row belongs to a session."""
+    return f"CASE WHEN isodow(date) <= {last} THEN date ELSE date + (8 - isodow(date))::integer END"
+
+
+def _session(last: int):
+    day = F.weekday("date") + 1
+    return F.when(day <= last, F.col("date")).otherwise(F.date_add("date", 8 - day))
+
+
+cte("vix", f"SELECT {_session_sql(5)} AS date, max(10 + abs(fii_net) % 20) AS c FROM flows GROUP BY 1", "flows")
 # value, last trading weekday (Monday = 1), lags
 FOREIGN = {"spx": ("fii_gross_buy", 5, (1, 5)), "usdinr": ("dii_gross_buy", 6, (1,)), "crude": ("fii_gross_buy + dii_gross_buy", 4, (1, 5))}
 for _name, (_expr, _last, _lags) in FOREIGN.items():
@@ -232,7 +244,7 @@ for _name, (_expr, _last, _lags) in FOREIGN.items():
         _name,
         "SELECT date, "
         + ", ".join(f"c / lag(c, {lag}) OVER (ORDER BY date) - 1 AS r{lag}" for lag in _lags)
-        + f" FROM (SELECT date, 50 + {_expr} AS c FROM flows WHERE isodow(date) <= {_last})",
+        + f" FROM (SELECT {_session_sql(_last)} AS date, max(50 + {_expr}) AS c FROM flows GROUP BY 1)",
         "flows",
     )
 MACRO_COLS = ["vix_level", "vix_chg1d", "vix_z20", "vix_high_regime", "spx_ret1d_lag", "spx_ret5d_lag", "usdinr_ret1d_lag", "crude_ret1d_lag", "crude_ret5d_lag"]
@@ -253,10 +265,13 @@ cte(
 
 def _macro(m):
     flows = stored(m.flows, "flows")
-    day = F.weekday("date") + 1
-    vix = flows.where(day <= 5).select("date", (10 + F.abs("fii_net") % 20).alias("close"))
+
+    def series(last, value):
+        return flows.groupBy(_session(last).alias("date")).agg(F.max(value).alias("close"))
+
+    vix = series(5, 10 + F.abs("fii_net") % 20)
     exprs = {"spx": F.col("fii_gross_buy"), "usdinr": F.col("dii_gross_buy"), "crude": F.col("fii_gross_buy") + F.col("dii_gross_buy")}
-    foreign = {n: flows.where(day <= FOREIGN[n][1]).select("date", (50 + e).alias("close")) for n, e in exprs.items()}
+    foreign = {n: series(FOREIGN[n][1], 50 + e) for n, e in exprs.items()}
     return macro_features(m.ticks.select("date").distinct(), vix, foreign)
 
 
@@ -277,32 +292,38 @@ def macro_coverage(m):
 
 cte(
     "sidecar",
-    """SELECT date, fii_net AS fii_net_cr, dii_net AS dii_net_cr, fii_gross_buy AS nifty100_adv_cr, 10 + abs(fii_net) % 20 AS india_vix,
-       fii_gross_buy + dii_gross_buy AS total_oi, CASE WHEN day(date) = 15 THEN 1 END AS earnings_event_flag FROM flows WHERE isodow(date) < 6""",
+    f"""SELECT {_session_sql(5)} AS date, max(fii_net) AS fii_net_cr, max(dii_net) AS dii_net_cr, max(fii_gross_buy) AS nifty100_adv_cr, max(10 + abs(fii_net) % 20) AS india_vix,
+       max(dii_gross_buy / fii_gross_buy) AS pcr_oi, max(fii_gross_buy + dii_gross_buy) AS total_oi, max(fii_net / dii_gross_buy) AS us_futures_pct_change_overnight,
+       max(CASE WHEN day(date) = 15 THEN 1 END) AS earnings_event_flag FROM flows WHERE fii_gross_buy > 0 AND dii_gross_buy > 0 GROUP BY 1""",
     "flows",
 )
 
 
 def _sidecar(m):
-    return m.flows.where(F.weekday("date") < 5).select(
-        "date",
-        F.col("fii_net").alias("fii_net_cr"),
-        F.col("dii_net").alias("dii_net_cr"),
-        F.col("fii_gross_buy").alias("nifty100_adv_cr"),
-        (10 + F.abs("fii_net") % 20).alias("india_vix"),
-        (F.col("fii_gross_buy") + F.col("dii_gross_buy")).alias("total_oi"),
-        F.when(F.dayofmonth("date") == 15, 1).alias("earnings_event_flag"),
-    )
+    """One row per session; orders of a weekend count for the Monday after."""
+    values = {
+        "fii_net_cr": F.col("fii_net"),
+        "dii_net_cr": F.col("dii_net"),
+        "nifty100_adv_cr": F.col("fii_gross_buy"),
+        "india_vix": 10 + F.abs("fii_net") % 20,
+        "pcr_oi": F.col("dii_gross_buy") / F.col("fii_gross_buy"),
+        "total_oi": F.col("fii_gross_buy") + F.col("dii_gross_buy"),
+        "us_futures_pct_change_overnight": F.col("fii_net") / F.col("dii_gross_buy"),
+        "earnings_event_flag": F.when(F.dayofmonth("date") == 15, 1),
+    }
+    traded = m.flows.where((F.col("fii_gross_buy") > 0) & (F.col("dii_gross_buy") > 0))  # a day without purchases has no ratios
+    return traded.groupBy(_session(5).alias("date")).agg(*[F.max(v).alias(k) for k, v in values.items()])
 
 
 @query(
     "exogenous_features",
-    KEY + "fii_dii_net_flow:f9 dii_net_flow:f9 fii_dii_net_flow_pct_adv:f8 india_vix_level:f9 india_vix_change_5d:f9 oi_change_pct:f8 earnings_event_flag:f1 sector_momentum_5d:f9 sector_momentum_20d:f9",
+    KEY + "fii_dii_net_flow:f9 dii_net_flow:f9 fii_dii_net_flow_pct_adv:f8 india_vix_level:f9 india_vix_change_5d:f9 put_call_ratio:f9 oi_change_pct:f8 global_overnight_cue:f9 earnings_event_flag:f1 sector_momentum_5d:f9 sector_momentum_20d:f9",
     """SELECT b.symbol, b.date, s.*, lag("close") OVER w / lag("close", 6) OVER w - 1 AS sector_momentum_5d,
        lag("close") OVER w / lag("close", 21) OVER w - 1 AS sector_momentum_20d
        FROM bars b ASOF LEFT JOIN (SELECT date AS sdate,
          last_value(fii_net_cr IGNORE NULLS) OVER o AS fii_dii_net_flow, last_value(dii_net_cr IGNORE NULLS) OVER o AS dii_net_flow,
-         last_value(pct IGNORE NULLS) OVER o AS fii_dii_net_flow_pct_adv, india_vix AS india_vix_level, last_value(ch5 IGNORE NULLS) OVER o AS india_vix_change_5d, last_value(oi IGNORE NULLS) OVER o AS oi_change_pct,
+         last_value(pct IGNORE NULLS) OVER o AS fii_dii_net_flow_pct_adv, india_vix AS india_vix_level, last_value(ch5 IGNORE NULLS) OVER o AS india_vix_change_5d, last_value(pcr_oi IGNORE NULLS) OVER o AS put_call_ratio,
+         last_value(oi IGNORE NULLS) OVER o AS oi_change_pct, last_value(us_futures_pct_change_overnight IGNORE NULLS) OVER o AS global_overnight_cue,
          coalesce(earnings_event_flag, 0) AS earnings_event_flag FROM (
          SELECT *, fii_net_cr / nullif(nifty100_adv_cr, 0) AS pct, india_vix - lag(india_vix, 5) OVER (ORDER BY date) AS ch5,
            total_oi / nullif(lag(total_oi) OVER (ORDER BY date), 0) - 1 AS oi FROM sidecar)

@@ -104,14 +104,14 @@ def symbol_deep_dive(m):
 cte(
     "proxy",
     """SELECT date, avg("close") AS index_value, count(*) AS n_members FROM bars
-       WHERE symbol IN (SELECT symbol FROM bars GROUP BY 1 ORDER BY avg(volume) DESC, symbol LIMIT 10) GROUP BY 1""",
+       WHERE symbol IN (SELECT symbol FROM bars GROUP BY 1 ORDER BY avg(volume) DESC, symbol LIMIT 50) GROUP BY 1""",
     "bars",
 )
 
 
 @query("index_proxy", "date:d index_value:f9 n_members:i", "SELECT * FROM proxy", ("proxy",))
 def index_proxy(m):
-    return K.index_proxy(bars(m), 10)
+    return K.index_proxy(bars(m), 50)
 
 
 @query(
@@ -122,7 +122,7 @@ def index_proxy(m):
     ("proxy",),
 )
 def index_snapshot(m):
-    return K.index_snapshot(bars(m), 10)
+    return K.index_snapshot(bars(m), 50)
 
 
 # --- signal ----------------------------------------------------------------

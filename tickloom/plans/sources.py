@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.bars import roll_up
 from ..operators.technical import forward_return
 from ..session import work_folder
 from ..sources import readers, sinks
@@ -152,13 +151,11 @@ def upsert_panel(m):
     ("candles_5m",),
 )
 def candle_files(m):
-    """Candles in files named <symbol>_<date>.csv; symbol and day come from the file name."""
+    """Candles in files (here folders, as a Spark job names its files itself) of one symbol and day."""
     folder = work_folder(m.spark, "candles")
-    rows = m.candles_5m.withColumn("file", F.concat("symbol", F.lit("_"), F.date_format("ts", "yyyyMMdd")))
-    rows.write.partitionBy("file").option("header", True).csv(folder)
-    # a Spark job names its files itself, so the name here is the folder of the file
-    raw = m.spark.read.option("header", True).schema(
-        "ts string, symbol string, open double, high double, low double, close double, volume double, file string"
-    ).csv(folder)
-    keyed = readers.with_name_keys(raw.drop("symbol"), F.col("file")).withColumn("ts", F.try_to_timestamp("ts"))
-    return roll_up(keyed, ["symbol", "date"], ["ts"], "open", "high", "low", "close", "volume")
+    rows = m.candles_5m.select(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "open", "high", "low", "close", "volume",
+        F.concat("symbol", F.lit("_"), F.date_format("ts", "yyyyMMdd")).alias("file"),
+    )
+    rows.repartition("file").write.partitionBy("file").option("header", True).csv(folder)
+    return readers.daily_from_candle_files(m.spark, folder)

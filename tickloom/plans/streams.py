@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import in_session
+from ..session import work_folder
 from ..streaming import market as SM
 from .base import cte, query
 
 
 def event_stream(m):
-    """The events table as a file stream, shaped like ticks."""
-    schema = m.table("events").schema
-    raw = SM.read_folder(m.spark, m.folder, schema, glob="events.parquet")
+    """The events table as a stream of four files, a micro-batch each, shaped like ticks.
+
+    The events are dealt to the files by a hash, so every batch brings old and new ones.
+    """
+    events = m.table("events")
+    folder = work_folder(m.spark, "events")
+    events.repartition(4, "event_id").write.parquet(folder)
+    raw = SM.read_folder(m.spark, folder, events.schema, files_per_batch=1)
     return raw.select(
         F.col("event_type").alias("symbol"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -62,13 +68,14 @@ def stream_upsert_quotes(m):
     "stream_latest_quotes",
     "symbol ts:t last_price:f9 prev_close:f9 change:f9 change_percent:f8",
     """SELECT symbol, strftime(max(ts), '%Y-%m-%d %H:%M:%S')::timestamp AS ts, max_by(px, seq) AS last_price, any_value(c) AS prev_close, max_by(px, seq) - any_value(c) AS change, (max_by(px, seq) - any_value(c)) / any_value(c) * 100 AS change_percent
-       FROM ev JOIN (SELECT symbol, max_by(px, seq) AS c FROM ev WHERE ts < timestamp '2024-01-30' GROUP BY 1) USING (symbol) GROUP BY 1""",
+       FROM ev JOIN (SELECT symbol, max_by(px, seq) AS c FROM ev WHERE ts < (SELECT date_trunc('day', max(ts)) FROM ev) GROUP BY 1) USING (symbol) GROUP BY 1""",
     ("ev",),
 )
 def stream_latest_quotes(m):
     """Newest price per symbol against the close of the day before."""
     latest = SM.run_upsert(m.spark, SM.latest_quotes(event_stream(m)), ["symbol"], mode="update")
-    closes = m.event_ticks.where(F.col("ts") < F.lit("2024-01-30").cast("timestamp")).groupBy("symbol").agg(
+    today = m.event_ticks.agg(F.max("ts")).first()[0].date()
+    closes = m.event_ticks.where(F.col("ts") < F.lit(today).cast("timestamp")).groupBy("symbol").agg(
         F.max_by("px", "seq").alias("prev_close")
     )
     return SM.with_change(latest, closes)

@@ -67,22 +67,22 @@ cte(
 cte(
     "earnings",
     """SELECT symbol, date, estimated_eps, n % 7 - 3 + 0.5E0 AS surprise_pct, (n % 7 - 3 + 0.5E0) / 2E0 AS revenue_surprise_pct
-       FROM (SELECT symbol, date, max(o_totalprice) / 1000E0 AS estimated_eps, count(*) AS n FROM custorders
-             WHERE day(date) = 15 AND month(date) IN (1, 4, 7, 10) GROUP BY 1, 2)""",
+       FROM (SELECT symbol, cast(date_trunc('quarter', date) AS date) + 14 AS date, max(o_totalprice) / 1000E0 AS estimated_eps, count(*) AS n
+             FROM custorders GROUP BY 1, 2)""",
     "custorders",
 )
 cte(
     "estimates",
-    """SELECT symbol, date, max(o_totalprice) / 1000E0 AS high_estimate, min(o_totalprice) / 1000E0 AS low_estimate,
+    """SELECT symbol, cast(date_trunc('month', date) AS date) + (4 + 10 * least((day(date) - 1) // 10, 2))::integer AS date, max(o_totalprice) / 1000E0 AS high_estimate, min(o_totalprice) / 1000E0 AS low_estimate,
        max(o_totalprice) / 2000E0 + min(o_totalprice) / 2000E0 AS mean_estimate, count(*) AS num_analysts,
        max(c_acctbal) / 100E0 AS target_price_mean
-       FROM custorders WHERE day(date) % 10 = 5 GROUP BY 1, 2""",
+       FROM custorders GROUP BY 1, 2""",
     "custorders",
 )
 cte(
     "fundamentals",
-    """SELECT symbol, date, max(o_totalprice) / 1e4 AS pe_ratio, max(c_acctbal) / 1e3 AS roe, min(c_acctbal) / 1e3 AS roa,
-       count(*) * 0.5E0 AS current_ratio FROM custorders WHERE day(date) = 10 GROUP BY 1, 2""",
+    """SELECT symbol, cast(date_trunc('month', date) AS date) + 9 AS date, max(o_totalprice) / 1e4 AS pe_ratio, max(c_acctbal) / 1e3 AS roe, min(c_acctbal) / 1e3 AS roa,
+       count(*) * 0.5E0 AS current_ratio FROM custorders GROUP BY 1, 2""",
     "custorders",
 )
 cte(

@@ -7,28 +7,17 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# Plans rely on AQE for runtime broadcast decisions, partition coalescing and
-# splitting of skewed join partitions; all of these scale with the cluster.
+# For sessions made here (tests, benchmark). A session that the caller brings is never changed:
+# plans work with any settings, and best with Spark's defaults.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # window work is heavy per byte: small shuffles still use every core
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the settings above to a session that still has Spark's defaults."""
-    for key, value in SETTINGS.items():
-        if key.startswith("spark.sql.adaptive") and spark.conf.get(key) in (None, "false", "1MB", "1048576b"):
-            spark.conf.set(key, value)
-    return spark
-
-
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the benchmark; on a cluster the caller brings its own."""
     builder = (
@@ -70,15 +59,6 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are written to the shared folder once."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """The rows written once as a columnar table in the shared folder, and read back.
 
@@ -90,15 +70,3 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     folder = work_folder(spark, name)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
-
-
-BROADCAST_ROWS = 500_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a narrow dimension for broadcast if it has at most ``rows`` rows.
-
-    The check reads no more than rows + 1 rows. A larger dimension is returned as it is
-    and joins by shuffle, with skewed keys split by AQE.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

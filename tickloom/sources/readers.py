@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.scalar import parse_date, ratio
 from ..operators.bars import roll_up
 from ..operators.dedup import keep_highest_volume, keep_last
-from ..session import small
 
 BAR_SCHEMA = "date date, symbol string, open double, high double, low double, close double, volume double, source string"
 PRICES = ["open", "high", "low", "close"]
@@ -35,8 +34,9 @@ def ohlcv_csv(spark: SparkSession, path: str, symbol: str = "series") -> DataFra
     missing = sorted({*PRICES, "volume"} - set(df.columns))
     if missing or "date" not in df.columns:
         raise ValueError(f"missing columns: {missing or ['date']}")
-    # the position in the file orders rows of one date
-    rows = df.withColumn("_seq", F.monotonically_increasing_id())
+    # rows of one date are ordered by file name, then by their position in the file
+    place = F.struct("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    rows = df.withColumn("_seq", place)
     rows = rows.select(
         F.to_date(parse_date("date", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss")).alias("date"),
         F.lit(symbol).alias("symbol"),
@@ -146,7 +146,7 @@ def exchange_bars(df: DataFrame, date: str, universe: DataFrame, source: str = "
     valid = (F.col("volume") >= 0) & (F.col("high") >= F.col("low"))
     for p in PRICES:
         valid = valid & (F.col(p) > 0)
-    return bars.where(valid).join(small(universe.select("symbol")), "symbol", "left_semi").select(*bars.columns)
+    return bars.where(valid).join(universe.select("symbol"), "symbol", "left_semi").select(*bars.columns)
 
 
 DELIVERY_NAMES = {
@@ -188,9 +188,14 @@ CANDLE_SCHEMA = "timestamp string, open double, high double, low double, close d
 
 
 def candle_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Intraday candle files, one per symbol and day, keys from the file name."""
-    raw = spark.read.schema(CANDLE_SCHEMA).csv(f"{folder}/*.csv", header=True)
-    out = with_file_keys(raw)
+    """Intraday candle files, one per symbol and day.
+
+    The keys come from the name <symbol>_<day>, of the file or of the folder that a
+    distributed writer made of it (<symbol>_<day>/part-..., key=<symbol>_<day>/part-...).
+    """
+    raw = spark.read.schema(CANDLE_SCHEMA).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(folder, header=True)
+    path = F.regexp_replace(F.url_decode("_metadata.file_path"), r"/part-[^/]*$", "")
+    out = with_name_keys(raw, F.regexp_extract(path, r"([^/=]*?)(?:\.csv)?$", 1))
     return out.withColumn("ts", F.try_to_timestamp("timestamp"))
 
 

@@ -16,8 +16,8 @@ PART = "year"
 def write_panel(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Parquet partitioned by year, each file sorted by symbol so that symbol filters skip row groups."""
     out = df.withColumn(PART, F.year("date"))
-    # rows of a year go to as many files as AQE finds fit; hash of (year, symbol) avoids one file per task and year
-    out = out.repartition(F.col(PART), F.col("symbol")).sortWithinPartitions(PART, "symbol", "date")
+    # a task holds a range of (year, symbol), so it writes into one year or two, however many tasks there are
+    out = out.repartitionByRange(PART, "symbol").sortWithinPartitions(PART, "symbol", "date")
     out.write.mode(mode).partitionBy(PART).parquet(path)
 
 
@@ -37,7 +37,7 @@ def upsert_panel(spark: SparkSession, path: str, incoming: DataFrame, key: tuple
     existing = spark.read.parquet(path)
     touched = existing.where(F.col(PART).isin(years)).drop(PART)
     merged = stored(upsert(touched, incoming, list(key), list(tie)), "upsert")
-    out = merged.withColumn(PART, F.year("date")).repartition(F.col(PART), F.col("symbol")).sortWithinPartitions(PART, "symbol", "date")
+    out = merged.withColumn(PART, F.year("date")).repartitionByRange(PART, "symbol").sortWithinPartitions(PART, "symbol", "date")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
 
 

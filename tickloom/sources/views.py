@@ -140,8 +140,9 @@ class Market:
 
     @cached_property
     def earnings(self) -> DataFrame:
-        quarter = (F.dayofmonth("date") == 15) & F.month("date").isin(1, 4, 7, 10)
-        out = self._customer_orders().where(quarter).groupBy("symbol", "date").agg(
+        """Reports on the 15th of each quarter's first month, from all orders of the quarter."""
+        orders = self._customer_orders().withColumn("date", F.date_add(F.trunc("date", "quarter"), 14))
+        out = orders.groupBy("symbol", "date").agg(
             (F.max("o_totalprice") / 1000.0).alias("estimated_eps"), F.count("*").alias("n")
         )
         surprise = (F.col("n") % 7 - 3).cast("double") + F.lit(0.5)
@@ -155,8 +156,10 @@ class Market:
 
     @cached_property
     def estimates(self) -> DataFrame:
-        """Analyst estimates: one per symbol and ordering day."""
-        return self._customer_orders().where(F.dayofmonth("date") % 10 == 5).groupBy("symbol", "date").agg(
+        """Analyst estimates on the 5th, 15th and 25th, from all orders of that third of the month."""
+        third = F.least(F.floor((F.dayofmonth("date") - 1) / 10), F.lit(2)).cast("int")
+        orders = self._customer_orders().withColumn("date", F.date_add(F.trunc("date", "month"), 4 + 10 * third))
+        return orders.groupBy("symbol", "date").agg(
             (F.max("o_totalprice") / 1000.0).alias("high_estimate"),
             (F.min("o_totalprice") / 1000.0).alias("low_estimate"),
             (F.max("o_totalprice") / 2000.0 + F.min("o_totalprice") / 2000.0).alias("mean_estimate"),
@@ -166,7 +169,9 @@ class Market:
 
     @cached_property
     def fundamentals(self) -> DataFrame:
-        return self._customer_orders().where(F.dayofmonth("date") == 10).groupBy("symbol", "date").agg(
+        """Ratios on the 10th of each month, from all orders of the month."""
+        orders = self._customer_orders().withColumn("date", F.date_add(F.trunc("date", "month"), 9))
+        return orders.groupBy("symbol", "date").agg(
             (F.max("o_totalprice") / 1e4).alias("pe_ratio"),
             (F.max("c_acctbal") / 1e3).alias("roe"),
             (F.min("c_acctbal") / 1e3).alias("roa"),

@@ -35,10 +35,15 @@ def write_log(stream: DataFrame, path: str, checkpoint: str, mode: str = "append
 
 
 def newest(spark: SparkSession, path: str, schema, key: list[str], tie: list[str] | None = None) -> DataFrame:
-    """The newest row per key of the log; ``tie`` orders rows of one batch."""
+    """The newest row per key of the log.
+
+    With ``tie`` the row with the greatest tie wins whatever batch brought it, so the
+    result does not depend on the order of arrival; the batch decides between equal ties.
+    Without it the row written last wins.
+    """
     rows = spark.read.schema(schema).parquet(path)
     names = [c for c in rows.columns if c != BATCH]
-    return keep_best(rows, key, F.struct(BATCH, *(tie or []))).select(*names)
+    return keep_best(rows, key, F.struct(*(tie or []), BATCH)).select(*names)
 
 
 def log_schema(df: DataFrame):

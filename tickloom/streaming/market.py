@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import in_market_hours, ratio
-from ..operators.bars import candles
+from ..operators.bars import merge_candles, partial_candles
 from ..operators.incremental import refresh_features
 from ..session import work_folder
 from ..sources.sinks import read_panel, upsert_panel
@@ -30,15 +30,17 @@ def read_folder(spark: SparkSession, folder: str, schema: T.StructType | str, fm
     return reader.load(folder)
 
 
-def stream_candles(ticks: DataFrame, width: str = "5 minutes", order: tuple[str, ...] = ("seq",), lateness: str = "1 day") -> DataFrame:
-    """Candles kept current as ticks arrive; state older than the lateness is dropped."""
-    return candles(ticks.withWatermark("ts", lateness), width, list(order))
-
-
 def run_candles(spark: SparkSession, ticks: DataFrame, width: str = "5 minutes", order: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """Process all available ticks, return the candles. Updated candles replace earlier versions."""
-    out = stream_candles(ticks, width, order)
-    return run_upsert(spark, out, ["symbol", "ts"], mode="update")
+    """Process all available ticks, return the candles.
+
+    Each micro-batch is rolled up by itself into its own partition of the log (a retry
+    replaces it), and the parts of a candle are merged when it is read. No tick is ever too
+    late, no state is kept, and the order of arrival does not matter.
+    """
+    folder = work_folder(spark, "stream")
+    parts = partial_candles(ticks, width, list(order)).schema  # a schema only: nothing runs here
+    write_log(ticks, f"{folder}/log", f"{folder}/checkpoint", transform=lambda rows: partial_candles(rows, width, list(order))).awaitTermination()
+    return merge_candles(spark.read.schema(parts).parquet(f"{folder}/log"))
 
 
 def run_upsert(spark: SparkSession, stream: DataFrame, key: list[str], tie: list[str] | None = None, mode: str = "append") -> DataFrame:
