@@ -173,7 +173,7 @@ def _parity(s: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _fetched(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, whole: bool) -> DataFrame:
-    """(sig, size, body) of the sets in ``pairs``: their sorted hashes, or large parity bitmaps.
+    """(sig, size, body) of the sets in ``pairs``: their hashes, or large parity bitmaps.
 
     The texts are read again, and only rows whose key is in a bitmap of the wanted rows are
     looked at: neither the texts nor the list of wanted rows is shuffled or sent around.
@@ -185,21 +185,25 @@ def _fetched(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, whole:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             mine = batch.filter(pa.array(_in_bloom(bitmap.value, np.asarray(column(batch, "row")))))
             sets = list(sets_of(column(mine, "text"), n))
-            bodies = [s.tobytes() if whole else _parity(s, LARGE).tobytes() for s in sets]
-            return table(sig=_signatures(sets), size=np.array([len(s) for s in sets], np.int64), body=pa.array(bodies, pa.binary()))
+            if whole:
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                body = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+            else:
+                body = pa.array([_parity(s, LARGE).tobytes() for s in sets], pa.binary())
+            return table(sig=_signatures(sets), size=np.array([len(s) for s in sets], np.int64), body=body)
 
         return each
 
     # chance hits and repeated rows give a set twice or for nothing; one of each is kept
-    rows = map_texts(docs.select("row", "text"), make, "sig long, size long, body binary").join(nodes, "sig", "left_semi")
+    rows = map_texts(docs.select("row", "text"), make, f"sig long, size long, body {'array<long>' if whole else 'binary'}").join(nodes, "sig", "left_semi")
     return stored(rows.dropDuplicates(["sig"]), "sets")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, keep, extra: str = "") -> DataFrame:
-    """Pairs with both bodies side by side, filtered in blocks by ``keep``."""
+def _side_by_side(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs with the sizes a, b and the bodies x, y of both sets."""
     left = pairs.select("u", "v").join(sets.select(F.col("sig").alias("u"), F.col("size").alias("a"), F.col("body").alias("x")), "u")
     both = left.join(sets.select(F.col("sig").alias("v"), F.col("size").alias("b"), F.col("body").alias("y")), "v")
-    return both.select("u", "v", "a", "b", "x", "y").mapInArrow(keep, "u long, v long" + extra)
+    return both.select("u", "v", "a", "b", "x", "y")
 
 
 def _likely(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
@@ -213,22 +217,13 @@ def _likely(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
             most = a + b - 2 * -(-percent * (a + b) // (100 + percent))
             yield table(u=column(batch, "u"), v=column(batch, "v"), use=differ / (most + 1)).filter(pa.array(differ <= most))
 
-    return _compared(pairs, maps, keep, ", use double")
+    return _side_by_side(pairs, maps).mapInArrow(keep, "u long, v long, use double")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets reach the threshold."""
-
-    def keep(batches):
-        for batch in batches:
-            linked = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(column(batch, "x"), column(batch, "y"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                linked[i] = 100 * common >= percent * (len(x) + len(y) - common)
-            yield batch.select(["u", "v"]).filter(pa.array(linked))
-
-    return _compared(pairs, sets, keep)
+    """The pairs whose sets reach the threshold, row by row in the JVM."""
+    both = _side_by_side(pairs, sets).withColumn("common", F.size(F.array_intersect("x", "y")))
+    return both.where(100 * F.col("common") >= percent * (F.col("a") + F.col("b") - F.col("common"))).select("u", "v")
 
 
 def _labelled(nodes: DataFrame, classes: DataFrame, node: str, name: str) -> DataFrame:

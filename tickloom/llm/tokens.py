@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-BLOCK = 2 << 20  # bytes of text handled at once; a longer text makes a block of its own
+BLOCK = 1 << 19  # bytes of text handled at once, some dozen arrays of 8 times that; a longer text makes its own block
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
