@@ -240,7 +240,43 @@ def test_walk_forward(spark):
     assert out.select("block").distinct().count() == 3
     board = W.leaderboard(W.prediction_table(out, "logistic", T.forward_return(b)))
     assert board.first().model_name == "logistic" and 0.3 < board.first().accuracy < 0.7
-    kind, model = W.refit_best(panel, ["ret_1d", "ret_5d", "rsi_14"], board)
-    assert kind == "logistic" and W.score(model, panel).where("prob is null").count() == 0
+    newest = panel.where("label is null")
+    again = W.latest_scores(panel, newest, ["ret_1d", "ret_5d", "rsi_14"], W.best_model(board), {})
+    assert again.count() == newest.count() and again.where("prob is null").count() == 0
     with pytest.raises(ValueError):
-        W.model_pipeline("perceptron", ["ret_1d"])
+        W.walk_forward(panel, ["ret_1d"], "perceptron")
+    with pytest.raises(ValueError):
+        W.walk_forward(panel, ["ret_1d"], start=10_000)
+
+
+def test_blocks_train_on_the_newest_rows(spark):
+    """A walk-forward by hand: what every block trained on and tested."""
+    b = bars(spark, price_frame(tuple("ABC"), 120))
+    panel = T.label(T.indicators(b, "returns"), name="label").select("date", "symbol", "ret_1d", "label")
+    days = sorted({r[0] for r in panel.where("label is not null").select("date").collect()})
+    blocks = W.retrain_blocks(panel.where("label is not null"), 40, 20, train_cap=50, min_train=1)
+    assert [(x.train_end, x.test_end) for x in blocks] == [(days[k], days[min(k + 20, len(days) - 1)]) for k in range(40, len(days) - 1, 20)]
+    assert all(x.n_train == 50 for x in blocks)
+    found = W.fit_checks(panel, ["ret_1d"], {"l": ("logistic", {}), "b": ("boosted", {"trees": 5})}, train_cap=50, start=40, every=20, min_train=1)
+    got = {r["block"]: r for r in found.collect()}
+    assert all(got[x.number]["n_train"] == 50 and got[x.number]["n_test"] == x.n_test for x in blocks)
+    assert all(r["gradient"] < 1e-8 and r["apart"] < 1e-12 for r in got.values())
+    assert [x.skipped for x in W.retrain_blocks(panel, 40, 20, min_train=10_000)] == [True] * 4
+
+
+def test_learners():
+    import numpy as np
+
+    from tickloom.operators import learners as L
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 6))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    trees = L.Boosted(trees=60, depth=3, rate=0.2).fit(x[:1000], y[:1000])
+    assert ((trees.predict(x[1000:]) > 0.5) == y[1000:]).mean() > 0.95 and set(np.argsort(-trees.gains)[:2]) == {0, 1}
+    assert ((L.Forest(trees=40, depth=6).fit(x[:1000], y[:1000]).predict(x[1000:]) > 0.5) == y[1000:]).mean() > 0.85
+    slope = (x @ [2, -1, 0, 0, 0, 0.5] + rng.logistic(size=1500) > 0).astype(float)
+    fit = L.Linear(c=1e6).fit(x, slope)
+    assert fit.gradient < 1e-10 and fit.weights[:2] / fit.spread[:2] == pytest.approx([2, -1], abs=0.35)
+    gaps = np.array([[1.0, np.nan], [np.nan, np.nan], [3.0, np.nan], [8.0, np.nan]])
+    assert L.medians(gaps).tolist() == [3.0, 0.0]

@@ -4,18 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rolling as R
 from ..functions.scalar import flag, ratio
-from .calendar import date_ordinals, join_daily
+from . import learners as L
+from .calendar import join_daily
 
 
 # --- splits ----------------------------------------------------------------
@@ -65,24 +62,40 @@ def date_folds(df: DataFrame, holdout_months: int = 12, min_train_years: int = 3
 @dataclass(frozen=True)
 class Block:
     number: int
+    train_start: dt.date
     train_end: dt.date
     test_end: dt.date
+    n_train: int
+    n_test: int
+    skipped: bool
 
 
-def retrain_blocks(df: DataFrame, start: int = 500, every: int = 42, test_days: int | None = None) -> list[Block]:
-    """Cut dates of a walk-forward; only the cut dates come to the driver.
+def retrain_blocks(df: DataFrame, start: int = 500, every: int = 42, test_days: int | None = None, train_cap: int | None = 200_000, min_train: int = 500) -> list[Block]:
+    """Cut dates of a walk-forward, from the rows per date (bounded by the calendar).
 
-    ``test_days`` below ``every`` gives the sparse form that tests a few days per step.
+    A block trains on the rows up to its cut date, the newest ``train_cap`` of them, and tests
+    on the next ``every`` dates (``test_days`` below that gives the sparse form that tests a few
+    days per step). Blocks with under ``min_train`` training rows are marked as skipped.
     """
-    days = date_ordinals(df)
-    last = days.agg(F.max("day_no")).first()[0]
-    if last is None or last <= start:
-        return []
-    ahead = F.least(F.col("day_no") + (test_days or every), F.lit(last))
-    cuts = days.where((F.col("day_no") >= start) & (F.col("day_no") < last) & ((F.col("day_no") - start) % every == 0))
-    ends = days.select(F.col("day_no").alias("_end"), F.col("date").alias("test_end"))
-    rows = cuts.withColumn("_end", ahead).join(ends, "_end").orderBy("day_no").collect()  # one row per block
-    return [Block(i, r["date"], r["test_end"]) for i, r in enumerate(rows)]
+    days = df.groupBy("date").agg(F.count("*").alias("n")).orderBy("date").collect()
+    seen = [0]
+    for r in days:
+        seen.append(seen[-1] + r["n"])
+    out, first = [], 0
+    for number, cut in enumerate(range(start, len(days) - 1, every)):
+        end = min(cut + (test_days or every), len(days) - 1)
+        n = seen[cut + 1]
+        while train_cap is not None and seen[cut + 1] - seen[first + 1] >= train_cap:
+            first += 1  # the remaining dates alone fill the cap
+        kept = n if train_cap is None else min(n, train_cap)
+        out.append(Block(number, days[first]["date"], days[cut]["date"], days[end]["date"], kept, seen[end + 1] - seen[cut + 1], kept < min_train))
+    return out
+
+
+def blocks_table(spark, blocks: list[Block]) -> DataFrame:
+    """One row per block, skipped ones included."""
+    rows = [(b.number, b.train_end, b.test_end, b.n_train, b.n_test, b.skipped) for b in blocks]
+    return spark.createDataFrame(rows, "block int, train_end date, test_end date, n_train long, n_test long, skipped boolean")
 
 
 def assert_chronological(folds: DataFrame) -> None:
@@ -109,78 +122,97 @@ def last_rows(train: DataFrame, cap: int) -> DataFrame:
 
 # --- models ----------------------------------------------------------------
 
+Models = dict[str, tuple[str, dict]]  # column of the result -> kind of learner, its parameters
 
-def model_pipeline(kind: str, features: list[str], label: str = "label", seed: int = 42, **params) -> Pipeline:
-    """Median imputation (and scaling for the linear model) with a learner.
 
-    kind: logistic | forest | boosted. For logistic, ``c`` is the inverse penalty
-    strength and ``n`` the number of training rows.
-    """
-    imputed = [f"_imp_{f}" for f in features]
-    stages = [
-        Imputer(strategy="median", inputCols=features, outputCols=imputed),
-        VectorAssembler(inputCols=imputed, outputCol="_raw", handleInvalid="keep"),
-    ]
-    if kind == "logistic":
-        c, n = params.pop("c", 1.0), params.pop("n", 1)
-        stages += [
-            StandardScaler(inputCol="_raw", outputCol="_x", withMean=True),
-            LogisticRegression(
-                featuresCol="_x", labelCol=label, regParam=1.0 / (c * n), standardization=False, maxIter=100, **params
-            ),
-        ]
-    elif kind == "forest":
-        stages.append(RandomForestClassifier(featuresCol="_raw", labelCol=label, seed=seed, **({"numTrees": 200} | params)))
-    elif kind == "boosted":
-        defaults = {"maxIter": 150, "maxDepth": 4, "stepSize": 0.05}
-        stages.append(GBTClassifier(featuresCol="_raw", labelCol=label, seed=seed, **(defaults | params)))
-    else:
+def learner(kind: str, params: dict):
+    if kind not in L.KINDS:
         raise ValueError(f"unknown model {kind}")
-    return Pipeline(stages=stages)
+    return L.KINDS[kind](**params)
 
 
-def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """The rows with ``prob``, the probability of class 1."""
-    return model.transform(rows).withColumn("prob", vector_to_array("probability")[1]).select(*rows.columns, "prob")
+def by_block(panel: DataFrame, features: list[str], blocks: list[Block], label: str) -> DataFrame:
+    """The labelled rows of every block: ``block``, ``train`` and the columns a fit needs.
 
-
-def walk_forward(
+    A row goes to the blocks that train on it (a range of numbers, by its date) and to the
+    one that tests it. The table of these ranges has one row per calendar date.
+    """
+    kept = [b for b in blocks if not b.skipped]
+    days = panel.select("date").distinct()
+    trains = F.array(*[F.struct(F.lit(b.number).alias("block"), F.lit(True).alias("train"), F.lit(b.train_start).alias("lo"), F.lit(b.train_end).alias("hi")) for b in kept])
+    tests = F.array(*[F.struct(F.lit(b.number).alias("block"), F.lit(False).alias("train"), F.date_add(F.lit(b.train_end), 1).alias("lo"), F.lit(b.test_end).alias("hi")) for b in kept])
+    roles = days.select("date", F.explode(F.filter(F.concat(trains, tests), lambda x: (F.col("date") >= x["lo"]) & (F.col("date") <= x["hi"]))).alias("r"))
+    rows = panel.select("date", "symbol", F.col(label).cast("double").alias("label"), *[F.col(f).cast("float").alias(f) for f in features])
+    return rows.join(roles.select("date", "r.block", "r.train"), "date")
+
+
+def _fitted(rows: pd.DataFrame, features: list[str], models: Models, cap: int | None):
+    """Training part and test part of one block, and the fitted learners."""
+    rows = rows.sort_values(["date", "symbol"])
+    train, test = rows[rows["train"]], rows[~rows["train"]]
+    if cap is not None:
+        train = train.tail(cap)
+    x, y = train[features].to_numpy(float), train["label"].to_numpy()
+    middle = L.medians(x)
+    x = L.filled(x, middle)
+    fitted = {name: learner(kind, params).fit(x, y) for name, (kind, params) in models.items()}
+    return train, test, L.filled(test[features].to_numpy(float), middle), fitted
+
+
+def walk_models(
     panel: DataFrame,
     features: list[str],
-    kind: str = "logistic",
+    models: Models,
     start: int = 500,
     every: int = 42,
     test_days: int | None = None,
-    train_cap: int | None = 200_000,
+    train_cap: int = 200_000,
     label: str = "label",
     min_train: int = 500,
-    **params,
 ) -> DataFrame:
-    """Out-of-sample predictions: fit up to each cut date, predict the dates after it.
+    """Out-of-sample probabilities of several models, fitted up to each cut date.
 
-    The loop runs over blocks (tens); every fit and every prediction is distributed.
-    Give a stored panel: each block reads it again with a date filter.
+    One Spark job: a block is a group of at most ``train_cap`` training rows (the newest; a
+    bound on the labelled rows of a fit, as in the original analysis) and its test rows, and
+    the blocks run side by side. Gaps are filled with the exact medians of the training rows.
+    Give a stored panel: it is read for the cut dates and for the fits.
     """
+    for kind, params in models.values():
+        learner(kind, params)
     ready = panel.where(F.col(label).isNotNull())
-    parts = []
-    for block in retrain_blocks(ready, start, every, test_days):
-        train = ready.where(F.col("date") <= F.lit(block.train_end))
-        n = train.count()
-        if n < min_train:
-            continue
-        if train_cap is not None and n > train_cap:
-            train, n = last_rows(train, train_cap), train_cap
-        given = dict(params, n=n) if kind == "logistic" else params
-        model = model_pipeline(kind, features, label, **given).fit(train)
-        test = ready.where((F.col("date") > F.lit(block.train_end)) & (F.col("date") <= F.lit(block.test_end)))
-        parts.append(
-            score(model, test).select(
-                "date", "symbol", label, "prob", F.lit(block.number).alias("block"), F.lit(block.train_end).alias("train_end")
-            )
-        )
-    if not parts:
+    blocks = retrain_blocks(ready, start, every, test_days, train_cap, min_train)
+    if all(b.skipped for b in blocks):
         raise ValueError("not enough dates for one block")
-    return reduce(DataFrame.unionByName, parts)
+    ends = {b.number: b.train_end for b in blocks}
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        _, test, x, fitted = _fitted(rows, features, models, train_cap)
+        out = test[["date", "symbol", "label", "block"]].assign(train_end=ends[int(rows["block"].iloc[0])])
+        return out.assign(**{name: m.predict(x) for name, m in fitted.items()})
+
+    schema = "date date, symbol string, label double, block int, train_end date, " + ", ".join(f"{m} double" for m in models)
+    return by_block(ready, features, blocks, label).groupBy("block").applyInPandas(run, schema).withColumnRenamed("label", label)
+
+
+def walk_forward(panel: DataFrame, features: list[str], kind: str = "logistic", label: str = "label", start: int = 500, every: int = 42, test_days: int | None = None, train_cap: int = 200_000, min_train: int = 500, **params) -> DataFrame:
+    """``walk_models`` for one model, as the column ``prob``."""
+    return walk_models(panel, features, {"prob": (kind, params)}, start, every, test_days, train_cap, label, min_train)
+
+
+def fit_checks(panel: DataFrame, features: list[str], models: Models, rows: int = 50, label: str = "label", train_cap: int = 200_000, **walk) -> DataFrame:
+    """Per block: rows used, the linear model's gradient where its fit ended, and the largest
+    difference between tree scores of whole blocks and trees walked node by node."""
+    ready = panel.where(F.col(label).isNotNull())
+    blocks = retrain_blocks(ready, train_cap=train_cap, **walk)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        train, test, x, fitted = _fitted(group, features, models, train_cap)
+        gradient = max((m.gradient for m in fitted.values() if isinstance(m, L.Linear)), default=0.0)
+        trees = [m for m in fitted.values() if isinstance(m, L.Boosted)]
+        apart = max((abs(p - m.predict_row(row)) for m in trees for p, row in zip(m.predict(x[:rows]), x[:rows], strict=True)), default=0.0)
+        return pd.DataFrame({"block": [int(group["block"].iloc[0])], "n_train": [len(train)], "n_test": [len(test)], "gradient": [gradient], "apart": [apart]})
+
+    return by_block(ready, features, blocks, label).groupBy("block").applyInPandas(run, "block int, n_train long, n_test long, gradient double, apart double")
 
 
 def prediction_table(preds: DataFrame, model_name: str, returns: DataFrame, label: str = "label") -> DataFrame:
@@ -199,31 +231,41 @@ def prediction_table(preds: DataFrame, model_name: str, returns: DataFrame, labe
     )
 
 
-def feature_importance(panel: DataFrame, features: list[str], blocks: list[Block], label: str = "label", **params) -> list[tuple[str, float]]:
-    """Importance of a boosted model averaged over blocks, highest first."""
-    total = [0.0] * len(features)
-    for block in blocks:
-        train = panel.where((F.col("date") <= F.lit(block.train_end)) & F.col(label).isNotNull())
-        fitted = model_pipeline("boosted", features, label, **params).fit(train).stages[-1]
-        total = [t + v for t, v in zip(total, fitted.featureImportances.toArray())]
-    means = [(f, t / max(1, len(blocks))) for f, t in zip(features, total)]
-    return sorted(means, key=lambda p: (-p[1], p[0]))
+def feature_importance(panel: DataFrame, features: list[str], label: str = "label", train_cap: int = 200_000, start: int = 500, every: int = 42, **params) -> DataFrame:
+    """Gain of each feature in the boosted model of a block (as a share), averaged over blocks: feature, importance, rank."""
+    ready = panel.where(F.col(label).isNotNull())
+    blocks = retrain_blocks(ready, start, every, train_cap=train_cap)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        gains = _fitted(group, features, {"m": ("boosted", params)}, train_cap)[3]["m"].gains
+        return pd.DataFrame({"feature": features, "importance": gains / max(gains.sum(), 1e-12)})
+
+    shares = by_block(ready, features, blocks, label).groupBy("block").applyInPandas(run, "feature string, importance double")
+    means = shares.groupBy("feature").agg(F.avg("importance").alias("importance"))  # one row per feature
+    return means.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("importance"), "feature")))
 
 
-def top_features(importance: list[tuple[str, float]], n: int = 30) -> list[str]:
-    return [f for f, _ in importance[:n]]
+def top_features(importance: DataFrame, n: int = 30) -> list[str]:
+    """The first n features; as many rows come to the driver."""
+    return [r["feature"] for r in importance.where(F.col("rank") <= n).orderBy("rank").collect()]
 
 
 def parameter_grid(panel: DataFrame, features: list[str], kind: str, grid: list[dict], thresholds: list[float], label: str = "label", **walk) -> DataFrame:
-    """Walk-forward accuracy of each parameter set and threshold, best first."""
-    parts = []
-    for i, given in enumerate(grid):
-        preds = walk_forward(panel, features, kind, label=label, **walk, **given)
-        t = F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold")
-        right = ((F.col("prob") >= F.col("threshold")).cast("double") == F.col(label)).cast("double")
-        acc = preds.select("prob", label, t).groupBy("threshold").agg(F.avg(right).alias("accuracy"), F.count("*").alias("n"))
-        parts.append(acc.withColumns({"config": F.lit(i), "params": F.lit(str(sorted(given.items())))}))
-    return reduce(DataFrame.unionByName, parts).orderBy(F.desc("accuracy"), "config", "threshold")
+    """Walk-forward accuracy of each parameter set and threshold, best first.
+
+    All sets run in one walk-forward. Predictions are counted once per (set, cell between
+    thresholds, label); the accuracy at a threshold is then a sum over cells.
+    """
+    models: Models = {f"_m{i}": (kind, given) for i, given in enumerate(grid)}
+    preds = walk_models(panel, features, models, label=label, **walk)
+    long = preds.select(label, F.explode(F.array(*[F.struct(F.lit(i).alias("config"), F.col(f"_m{i}").alias("prob")) for i in range(len(grid))])).alias("p")).select(label, "p.*")
+    cell = sum(((F.col("prob") >= t).cast("int") for t in sorted(thresholds)), F.lit(0))  # thresholds reached
+    cells = long.groupBy("config", cell.alias("cell"), label).agg(F.count("*").alias("n"))
+    t = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(x)).alias("threshold")) for k, x in enumerate(sorted(thresholds))])).alias("t")
+    right = F.when((F.col("cell") > F.col("t.k")).cast("double") == F.col(label), F.col("n")).otherwise(0)
+    found = cells.select("*", t).groupBy("config", "t.threshold").agg((F.sum(right) / F.sum("n")).alias("accuracy"), F.sum("n").alias("n"))
+    names = F.create_map(*[F.lit(x) for i, given in enumerate(grid) for x in (i, str(sorted(given.items())))])
+    return found.withColumn("params", F.element_at(names, F.col("config"))).orderBy(F.desc("accuracy"), "config", "threshold")
 
 
 def leaderboard(predictions: DataFrame) -> DataFrame:
@@ -235,12 +277,24 @@ def leaderboard(predictions: DataFrame) -> DataFrame:
     ).orderBy(F.desc("accuracy"), "model_name")
 
 
-def refit_best(panel: DataFrame, features: list[str], board: DataFrame, label: str = "label", **params) -> tuple[str, PipelineModel]:
-    """The best model of the leaderboard fitted on all labelled rows."""
-    kind = board.agg(F.max_by("model_name", F.struct("accuracy", "model_name"))).first()[0]
-    ready = panel.where(F.col(label).isNotNull())
-    given = dict(params, n=ready.count()) if kind == "logistic" else params
-    return kind, model_pipeline(kind, features, label, **given).fit(ready)
+def latest_scores(panel: DataFrame, newest: DataFrame, features: list[str], kind: str, params: dict, label: str = "label", train_cap: int = 200_000) -> DataFrame:
+    """The model fitted on the newest labelled rows, applied to ``newest``: its columns and ``prob``."""
+    train = last_rows(panel.where(F.col(label).isNotNull()), train_cap)
+    columns = ["date", "symbol", *features]
+    both = train.select(*columns, F.col(label).cast("double").alias("label"), F.lit(True).alias("train"))
+    both = both.unionByName(newest.select(*columns, F.lit(None).cast("double").alias("label"), F.lit(False).alias("train"))).withColumn("block", F.lit(0))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        _, test, x, fitted = _fitted(rows, features, {"prob": (kind, params)}, None)
+        return test[["date", "symbol"]].assign(prob=fitted["prob"].predict(x))
+
+    scored = both.groupBy("block").applyInPandas(run, "date date, symbol string, prob double")
+    return newest.join(scored, ["date", "symbol"])
+
+
+def best_model(board: DataFrame) -> str:
+    """The first model of the leaderboard."""
+    return board.agg(F.max_by("model_name", F.struct("accuracy", "model_name"))).first()[0]
 
 
 # --- rules and ensembles ---------------------------------------------------
@@ -266,12 +320,3 @@ def threshold_accuracy(preds: DataFrame, prob: str, thresholds: tuple[float, ...
     rows = preds.select(actual, prob, t)
     right = ((F.col(prob) >= F.col("threshold")).cast("int") == F.col(actual)).cast("double")
     return rows.groupBy("threshold").agg(F.avg(right).alias("accuracy"), F.count("*").alias("n"))
-
-
-def fit_per_symbol(panel: DataFrame, features: list[str], symbols: list[str], label: str = "label", **params) -> dict[str, PipelineModel]:
-    """Independent models for a short, explicit list of symbols."""
-    out = {}
-    for s in symbols:
-        rows = panel.where((F.col("symbol") == s) & F.col(label).isNotNull())
-        out[s] = model_pipeline("logistic", features, label, n=max(rows.count(), 1), **params).fit(rows)
-    return out

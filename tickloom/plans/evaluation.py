@@ -424,62 +424,124 @@ def training_window(m):
     return W.last_rows(preds(m, "actual"), 5000).groupBy("symbol").agg(F.count("*").alias("n"), F.min("date").alias("first_date"))
 
 
-FEATURES = ["ret_1d", "ret_5d", "dist_sma_5", "dist_sma_20", "rsi_14", "stoch_k", "bb_position", "volume_ratio_20d"]
+BOOSTED = {"trees": 150, "depth": 4, "rate": 0.05}
+LOGISTIC = {"c": 0.1}
+KEYS = ("date", "symbol", "open", "high", "low", "close", "volume", "target_direction")
 
 
 def model_panel(m):
-    """Features with the next-day label, stored once for all fits."""
-    panel = T.indicators(m.bars, "returns", "trend", "rsi", "stochastic", "bollinger", "volume")
-    panel = T.label(panel, name="label").select("date", "symbol", "close", *FEATURES, "label")
-    return stored(panel, "model")
+    """Every feature with the next-day label, stored once for all fits; and the features' names."""
+    panel = T.feature_panel(m.bars).withColumnRenamed("target_direction", "label")
+    features = [c for c, kind in panel.dtypes if c not in (*KEYS, "label") and kind in ("double", "float", "int", "bigint")]
+    return stored(panel.select("date", "symbol", "close", *features, "label"), "model"), features
+
+
+def two_models(m):
+    panel, features = model_panel(m)
+    out = W.walk_models(panel, features, {"prob_boosted": ("boosted", BOOSTED), "prob_linear": ("logistic", LOGISTIC)})
+    return W.ensemble(out, "prob_boosted", "prob_linear"), panel
+
+
+cte(
+    "walk_blocks",
+    """SELECT (no - 500) // 42 AS block, date AS train_end, test_end, least(seen, 200000) AS n_train, n_test, least(seen, 200000) < 500 AS skipped FROM (
+       SELECT *, row_number() OVER (ORDER BY date) - 1 AS no, sum(n) OVER (ORDER BY date) AS seen, max(date) OVER f AS test_end, sum(n) OVER f AS n_test, lead(date) OVER (ORDER BY date) AS after
+       FROM pd WINDOW f AS (ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 42 FOLLOWING)) WHERE no >= 500 AND (no - 500) % 42 = 0 AND after IS NOT NULL""",
+    "pd",
+)
+
+
+@query("walk_forward_blocks", "block:i train_end:d test_end:d n_train:i n_test:i skipped", "SELECT * FROM walk_blocks", ("walk_blocks",))
+def walk_forward_blocks(m):
+    """Cut dates and sizes of every block; a block too small to train is marked, not left out."""
+    ready = T.forward_return(m.bars.select("date", "symbol", "close")).where("next_ret is not null")
+    return W.blocks_table(m.spark, W.retrain_blocks(ready))
+
+
+@query(
+    "walk_forward_fits",
+    "block:i n_train:i n_test:i at_optimum trees_agree",
+    "SELECT block, n_train, n_test, TRUE AS at_optimum, TRUE AS trees_agree FROM walk_blocks WHERE NOT skipped",
+    ("walk_blocks",),
+)
+def walk_forward_fits(m):
+    """The linear fit has no slope left, and tree scores equal trees walked node by node, in every block."""
+    panel, features = model_panel(m)
+    found = W.fit_checks(panel, features, {"b": ("boosted", {"trees": 20, "depth": 4}), "l": ("logistic", LOGISTIC)})
+    return found.select("block", "n_train", "n_test", (F.col("gradient") < 1e-8).alias("at_optimum"), (F.col("apart") < 1e-9).alias("trees_agree"))
 
 
 @query("walk_forward_predictions", "date:d symbol model_name predicted_direction:i predicted_probability:f6 actual_direction:i actual_return:f9 fold_id:i train_end_date:d")
 def walk_forward_predictions(m):
-    panel = model_panel(m)
-    out = W.walk_forward(panel, FEATURES, "logistic", start=1000, every=500)
-    return W.prediction_table(out, "logistic", T.forward_return(panel))
+    """Boosted trees, the linear model and the mean of both, from one walk-forward."""
+    out, panel = two_models(m)
+    nexts = T.forward_return(panel.select("date", "symbol", "close"))
+    out = stored(out, "walk")
+    tables = [W.prediction_table(out.withColumn("prob", F.col(c)), name, nexts) for name, c in (("boosted", "prob_boosted"), ("linear", "prob_linear"), ("ensemble", "prob_ens"))]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])
 
 
 @query("walk_forward_boosted", "date:d symbol prob:f6 block:i")
 def walk_forward_boosted(m):
-    return W.walk_forward(model_panel(m), FEATURES, "boosted", start=1500, every=800, maxIter=10)
+    """Boosted trees on the 30 features with the largest mean gain."""
+    panel, features = model_panel(m)
+    best = W.top_features(W.feature_importance(panel, features, **BOOSTED), 30)
+    return W.walk_forward(panel, best, "boosted", **BOOSTED)
 
 
 @query("feature_importance", "feature importance:f6 rank:i")
 def feature_importance(m):
-    panel = model_panel(m)
-    blocks = W.retrain_blocks(panel, 1500, 900)
-    ranked = W.feature_importance(panel, FEATURES, blocks, maxIter=10)
-    rows = [(f, float(v), i) for i, (f, v) in enumerate(ranked, 1)]  # one row per feature
-    return m.spark.createDataFrame(rows, "feature string, importance double, rank int")
+    panel, features = model_panel(m)
+    return W.feature_importance(panel, features, **BOOSTED)
 
 
 @query("model_leaderboard", "model_name accuracy:f6 n_folds:i n:i")
 def model_leaderboard(m):
-    panel = model_panel(m)
-    nexts = stored(T.forward_return(panel), "nexts")
-    sets = [
-        W.prediction_table(W.walk_forward(panel, FEATURES, kind, start=1500, every=800, **p), kind, nexts)
-        for kind, p in (("logistic", {}), ("forest", {"numTrees": 10, "maxDepth": 4}))
-    ]
-    return W.leaderboard(sets[0].unionByName(sets[1]))
+    panel, features = model_panel(m)
+    return leaderboard_of(panel, features)
+
+
+def leaderboard_of(panel, features):
+    models = {"logistic": ("logistic", LOGISTIC), "forest": ("forest", {"trees": 200, "depth": 6}), "boosted": ("boosted", BOOSTED)}
+    preds = stored(W.walk_models(panel, features, models), "walk")
+    right = [F.struct(F.lit(name).alias("model_name"), (F.col(name) >= 0.5).cast("int").alias("predicted_direction")) for name in models]
+    long = preds.select(F.col("block").alias("fold_id"), F.col("label").cast("int").alias("actual_direction"), F.explode(F.array(*right)).alias("p"))
+    return W.leaderboard(long.select("fold_id", "actual_direction", "p.*"))
+
+
+# the eight configurations and the testing scheme of the original search: one day every third fold of 21 days
+GRID = [
+    {"trees": trees, "depth": depth, "rate": rate, "columns": columns, "alpha": penalty, "shrink": penalty}
+    for trees, depth, rate, columns, penalty in (
+        (100, 2, 0.01, 0.5, 1.0), (100, 3, 0.01, 0.5, 1.0), (100, 4, 0.01, 0.5, 1.0), (200, 3, 0.005, 0.5, 1.0),
+        (100, 3, 0.02, 0.5, 1.0), (100, 3, 0.01, 0.3, 1.0), (100, 3, 0.01, 0.7, 1.0), (100, 3, 0.01, 0.5, 2.0),
+    )
+]
 
 
 @query("parameter_grid", "config:i params threshold:f2 accuracy:f6 n:i")
 def parameter_grid(m):
-    return W.parameter_grid(
-        model_panel(m), FEATURES, "logistic", [{"c": 0.1}, {"c": 1.0}], [0.48, 0.5, 0.52], start=1500, every=800
-    )
+    panel, features = model_panel(m)
+    return W.parameter_grid(panel, features, "boosted", GRID, [0.48, 0.5, 0.52], start=500, every=63, test_days=1)
 
 
 @query("latest_model_signal", "symbol date:d close:f9 prob_up:f6 signal_rank:i")
 def latest_model_signal(m):
-    """The model fitted on all labelled rows, applied to the newest row of each symbol."""
+    """The linear model fitted on all labelled rows up to the cap, applied to the newest row of each symbol."""
+    from ..operators.market import last_rows_per_symbol, row_numbers
+
+    panel, features = model_panel(m)
+    newest = W.latest_scores(panel, last_rows_per_symbol(panel, 1), features, "logistic", LOGISTIC)
+    return row_numbers(newest.select("symbol", "date", "close", F.col("prob").alias("prob_up")), "prob_up", "symbol", "signal_rank")
+
+
+@query("best_model_signal", "symbol date:d close:f9 prob_up:f6 signal_rank:i")
+def best_model_signal(m):
+    """The best model of the leaderboard refitted on all labelled rows up to the cap."""
     from ..operators.market import last_rows_per_symbol, row_numbers
 
-    panel = model_panel(m)
-    ready = panel.where(F.col("label").isNotNull())
-    model = W.model_pipeline("logistic", FEATURES, n=ready.count()).fit(ready)
-    newest = W.score(model, last_rows_per_symbol(panel, 1))
+    panel, features = model_panel(m)
+    kind = W.best_model(leaderboard_of(panel, features))
+    params = {"logistic": LOGISTIC, "boosted": BOOSTED, "forest": {"trees": 200, "depth": 6}}[kind]
+    newest = W.latest_scores(panel, last_rows_per_symbol(panel, 1), features, kind, params)
     return row_numbers(newest.select("symbol", "date", "close", F.col("prob").alias("prob_up")), "prob_up", "symbol", "signal_rank")
