@@ -38,6 +38,7 @@ HEADLINE = [
     "long_short_summary",
     "score_cards",
     "stream_candles",
+    "latest_model_signal",
 ]
 
 

@@ -334,6 +334,28 @@ def exogenous(m):
     return exogenous_features(stored(m.bars, "bars"), _sidecar(m))
 
 
+LAGS = {"fii_net_cr": 1, "dii_net_cr": 1, "pct": 1, "india_vix": 1, "ch5": 5, "pcr_oi": 1, "oi": 1, "us_futures_pct_change_overnight": 1}
+
+
+@query(
+    "exogenous_lookback",
+    KEY + "fii_dii_net_flow:f9 fii_dii_net_flow_pct_adv:f8 india_vix_level:f9 india_vix_change_5d:f9 put_call_ratio:f9 oi_change_pct:f8 global_overnight_cue:f9 earnings_event_flag:f1",
+    f"""SELECT b.symbol, b.date, s.* FROM bars b ASOF LEFT JOIN (SELECT date AS sdate,
+         last_value(fii_net_cr IGNORE NULLS) OVER o AS fii_dii_net_flow, last_value(pct IGNORE NULLS) OVER o AS fii_dii_net_flow_pct_adv,
+         last_value(india_vix IGNORE NULLS) OVER o AS india_vix_level, last_value(ch5 IGNORE NULLS) OVER o AS india_vix_change_5d, last_value(pcr_oi IGNORE NULLS) OVER o AS put_call_ratio,
+         last_value(oi IGNORE NULLS) OVER o AS oi_change_pct, last_value(us_futures_pct_change_overnight IGNORE NULLS) OVER o AS global_overnight_cue,
+         coalesce(earnings_event_flag, 0) AS earnings_event_flag FROM (
+         SELECT date, earnings_event_flag, {", ".join(f"lag({c}, {k}) OVER (ORDER BY date) AS {c}" for c, k in LAGS.items())} FROM (
+           SELECT *, fii_net_cr / nullif(nifty100_adv_cr, 0) AS pct, india_vix - lag(india_vix, 5) OVER (ORDER BY date) AS ch5,
+             total_oi / nullif(lag(total_oi) OVER (ORDER BY date), 0) - 1 AS oi FROM sidecar))
+         WINDOW o AS (ORDER BY date)) s ON b.date >= s.sdate""",
+    ("bars", "sidecar"),
+)
+def exogenous_lookback(m):
+    """Every daily feature shifted back by its declared lookback."""
+    return exogenous_features(stored(m.bars, "bars"), _sidecar(m), apply_lookback=True)
+
+
 @query(
     "external_join",
     KEY + "close:f9 fii_net:f9 pe_ratio:f6 close_intraday:f6",

@@ -159,3 +159,20 @@ def candle_files(m):
     )
     rows.repartition("file").write.partitionBy("file").option("header", True).csv(folder)
     return readers.daily_from_candle_files(m.spark, folder)
+
+
+@query(
+    "tables_round_trip",
+    "format symbol date:d close:f9 volume:f6",
+    "SELECT format, symbol, date, \"close\", volume FROM bars, (VALUES ('parquet'), ('csv'), ('json')) f(format)",
+    ("bars",),
+)
+def tables_round_trip(m):
+    """The same rows written in three formats and read back."""
+    folder = work_folder(m.spark, "tables")
+    bars = m.bars.select("symbol", "date", "close", "volume")
+    sinks.write_tables(bars, folder, ("parquet", "csv", "json"))
+    read = m.spark.read.schema(bars.schema)
+    parts = [read.parquet(f"{folder}/parquet"), read.option("header", True).csv(f"{folder}/csv"), read.json(f"{folder}/json")]
+    named = [p.withColumn("format", F.lit(n)) for p, n in zip(parts, ("parquet", "csv", "json"), strict=True)]
+    return named[0].unionByName(named[1]).unionByName(named[2])
