@@ -135,9 +135,12 @@ def frozen_weights(raw: DataFrame, every: int, default: float | None) -> DataFra
 # --- accounting ------------------------------------------------------------
 
 
-def daily_accounts(returns: DataFrame, weights: DataFrame, cost_rate: float = COST_RATE, ret: str = "next_ret") -> DataFrame:
+def daily_accounts(returns: DataFrame, weights: DataFrame, cost_rate: float = COST_RATE, ret: str = "next_ret", variants: list[str] | None = None) -> DataFrame:
     """Per date: gross, turnover, cost, net, exposure, active names, entries.
 
+    With ``variants`` the weights have a column ``variant`` with these values, and all of them
+    are accounted for in one pass, a row per variant and date.
+
     turnover is half the sum of |change of weight| over all names, 0 on the first
     date. Each held row is compared with the same name's weight on the date before;
     a row not followed by the next date closes there.
@@ -148,7 +151,8 @@ def daily_accounts(returns: DataFrame, weights: DataFrame, cost_rate: float = CO
     held = join_daily(weights.where(F.col("w") > 0), dates, "inner")
     rets = returns.select("date", "symbol", F.col(ret).alias("_r"))
     held = held.join(rets, ["date", "symbol"], "left")
-    w = Window.partitionBy("symbol").orderBy("day_no")
+    keys = ["variant"] if variants else []
+    w = Window.partitionBy(*keys, "symbol").orderBy("day_no")
     before = F.when(F.lag("day_no").over(w) == F.col("day_no") - 1, F.lag("w").over(w))
     goes_on = F.coalesce(F.lead("day_no").over(w) == F.col("day_no") + 1, F.lit(False))
     held = held.withColumns({"_before": before, "_goes_on": goes_on})
@@ -169,13 +173,15 @@ def daily_accounts(returns: DataFrame, weights: DataFrame, cost_rate: float = CO
         F.lit(0).alias("entries"),
     )
     closes = ~F.col("_goes_on") & (F.col("day_no") < F.col("_last"))
-    moves = held.select(F.explode(F.array_compact(F.array(opening, F.when(closes, closing)))).alias("m")).select("m.*")
+    moves = held.select(*keys, F.explode(F.array_compact(F.array(opening, F.when(closes, closing)))).alias("m")).select(*keys, "m.*")
     names = ["gross", "moved", "exposure", "active", "entries"]
-    per_day = moves.groupBy("day_no").agg(*[F.sum(c).alias(c) for c in names])
-    daily = dates.drop("_last").join(per_day, "day_no", "left").na.fill(0, names)
+    per_day = moves.groupBy(*keys, "day_no").agg(*[F.sum(c).alias(c) for c in names])
+    if variants:
+        dates = dates.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in variants])))
+    daily = dates.drop("_last").join(per_day, [*keys, "day_no"], "left").na.fill(0, names)
     turnover = F.when(F.col("day_no") > 0, 0.5 * F.col("moved")).otherwise(F.lit(0.0))
     return with_costs(
-        daily.select("date", "gross", turnover.alias("turnover"), "exposure", F.col("active").alias("n_active"), "entries"),
+        daily.select(*keys, "date", "gross", turnover.alias("turnover"), "exposure", F.col("active").alias("n_active"), "entries"),
         F.lit(cost_rate),
     )
 

@@ -169,11 +169,9 @@ cte("sens", summary_sql("SELECT * FROM variants", "variant, bps"), "variants")
 
 def variant_days(m) -> DataFrame:
     p = preds(m)
-    parts = [
-        P.daily_accounts(p, WEIGHTS[v][1](p)).select(F.lit(v).alias("variant"), "date", "gross", "turnover", "exposure", "n_active", "entries")
-        for v in VARIANTS
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    parts = [WEIGHTS[v][1](p).select(F.lit(v).alias("variant"), "date", "symbol", "w") for v in VARIANTS]
+    accounts = P.daily_accounts(p, reduce(DataFrame.unionByName, parts), variants=list(VARIANTS))
+    return accounts.select("variant", "date", "gross", "turnover", "exposure", "n_active", "entries")
 
 
 @query("cost_sensitivity", "variant bps:i " + SUMMARY, "SELECT * FROM sens", ("sens",))
