@@ -229,6 +229,27 @@ def check_pairs(pairs: DataFrame) -> None:
         raise ValueError(f"pairs are not one-to-one or disagree on outcomes: {bad.asDict()}")
 
 
+def paired_gate(base: DataFrame, ext: DataFrame) -> DataFrame:
+    """AUC of two prediction sets on the rows both have, and whether the extended one is better.
+
+    Both sides are checked first (unique keys, equal outcomes), and results too good to be
+    true raise an alarm.
+    """
+    pairs = paired(base, ext)
+    check_pairs(pairs)
+    sides = F.explode(F.array(F.struct(F.lit("base").alias("side"), F.col("prob_base").alias("prob")), F.struct(F.lit("ext").alias("side"), F.col("prob_ext").alias("prob"))))
+    long = pairs.select("actual", sides.alias("s")).select("actual", "s.*").withColumn("pred", (F.col("prob") >= 0.5).cast("int"))
+    found = classification(long, ["side"])
+    for r in found.select("accuracy", "roc_auc").collect():  # two rows
+        sanity_alarm(r["accuracy"] or 0.0, r["roc_auc"])
+
+    def of(side: str, column: str) -> Column:
+        return F.max(F.when(F.col("side") == side, F.col(column)))
+
+    out = found.agg(of("base", "n").alias("n"), of("base", "roc_auc").alias("auc_base"), of("ext", "roc_auc").alias("auc_extended"))
+    return out.withColumn("better", F.col("auc_extended") > F.col("auc_base"))
+
+
 def mcnemar(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Discordant pairs of two predictors; z > 0 favours the extended one."""
     y = F.col("actual") == 1
@@ -332,8 +353,8 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     )
 
 
-def weighted_mean_accuracy(folds: DataFrame, accuracy: str = "accuracy", n: str = "n") -> DataFrame:
-    return folds.agg(ratio(F.sum(F.col(accuracy) * F.col(n)), F.sum(n)).alias("accuracy"))
+def weighted_mean_accuracy(folds: DataFrame, accuracy: str = "accuracy", n: str = "n", keys: list[str] | None = None) -> DataFrame:
+    return folds.groupBy(*(keys or [])).agg(ratio(F.sum(F.col(accuracy) * F.col(n)), F.sum(n)).alias("accuracy"))
 
 
 def grid_summary(results: DataFrame) -> DataFrame:

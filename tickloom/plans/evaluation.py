@@ -89,6 +89,58 @@ def metrics_by_year(m):
     )
 
 
+cte(
+    "models",
+    """SELECT symbol, date, 'base' AS model_name, prob, (prob >= 0.5)::int AS pred, actual FROM preds
+       UNION ALL SELECT symbol, date, 'extended', prob_ext, (prob_ext >= 0.5)::int, actual FROM preds""",
+    "preds",
+)
+cte("model_years", "SELECT *, year(date) AS year FROM models", "models")
+
+
+def models(m) -> DataFrame:
+    """Both prediction sets in long form: date, symbol, model_name, prob, pred, actual."""
+    sets = F.explode(F.array(*[F.struct(F.lit(n).alias("model_name"), F.col(c).alias("prob")) for n, c in (("base", "prob"), ("extended", "prob_ext"))]))
+    long = m.predictions.select("date", "symbol", "actual", sets.alias("m")).select("date", "symbol", "actual", "m.*")
+    return long.withColumn("pred", (F.col("prob") >= 0.5).cast("int"))
+
+
+@query("metrics_by_symbol_model", "symbol model_name " + COUNTS + RATES, metric_sql("symbol, model_name", "models"), ("models",))
+def metrics_by_symbol_model(m):
+    return M.classification(models(m), ["symbol", "model_name"])
+
+
+@query("metrics_by_year_model", "year:i model_name " + COUNTS + RATES, metric_sql("year, model_name", "model_years"), ("model_years",))
+def metrics_by_year_model(m):
+    return M.classification(models(m).withColumn("year", F.year("date")), ["year", "model_name"])
+
+
+@query(
+    "mean_accuracy",
+    "model_name accuracy:f9",
+    "SELECT model_name, sum(a * n) / sum(n) AS accuracy FROM (SELECT model_name, year, avg((pred = actual)::int) AS a, count(*) AS n FROM model_years GROUP BY 1, 2) GROUP BY 1",
+    ("model_years",),
+)
+def mean_accuracy(m):
+    """Accuracy of each model over its years, weighted by rows."""
+    right = (F.col("pred") == F.col("actual")).cast("double")
+    years = models(m).groupBy("model_name", F.year("date").alias("year")).agg(F.avg(right).alias("accuracy"), F.count("*").alias("n"))
+    return M.weighted_mean_accuracy(years, keys=["model_name"])
+
+
+@query(
+    "paired_gate",
+    "n:i auc_base:f9 auc_extended:f9 better",
+    f"""SELECT b.n, b.roc_auc AS auc_base, e.roc_auc AS auc_extended, e.roc_auc > b.roc_auc AS better
+        FROM ({metric_sql("model_name", "models")}) b, ({metric_sql("model_name", "models")}) e WHERE b.model_name = 'base' AND e.model_name = 'extended'""",
+    ("models",),
+)
+def paired_gate(m):
+    """The extended model passes if its AUC is above the base model's on the same rows."""
+    p = stored(m.predictions.select("date", "symbol", "actual", "prob", "prob_ext"), "pairs")
+    return M.paired_gate(p.select("date", "symbol", "actual", "prob"), p.select("date", "symbol", "actual", F.col("prob_ext").alias("prob")))
+
+
 @query(
     "label_classification",
     "n:i tp:i fp:i tn:i fn:i accuracy:f9 balanced_accuracy:f9 precision:f9 recall:f9 f1:f9",
