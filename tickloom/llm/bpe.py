@@ -34,7 +34,7 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 from .tokens import column, map_texts, table
 
 LARGEST_FILE = 64 << 20  # bytes of a vocabulary file that may be sent to every executor
-CACHE_WORDS = 600_000  # encoded words kept by a task; the cache starts anew when it is full
+CACHE_WORDS = 200_000  # encoded words kept by a task; the cache starts anew when it is full
 NEVER = 1 << 60
 
 

@@ -8,6 +8,7 @@ compared between tasks.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -158,6 +159,14 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             begin = end
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on after its task, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, limit: int = BLOCK) -> DataFrame:
     """Run a function over blocks of rows inside the tasks.
 
@@ -171,6 +180,8 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
             out = each(block)
             if out is not None and out.num_rows:
                 yield out
+        del each
+        give_back()
 
     return df.mapInArrow(run, schema)
 
