@@ -131,7 +131,7 @@ def _same(a: str, b: str) -> Column:
 
 
 def kept_lines(keyed: DataFrame) -> DataFrame:
-    """Places (doc_id, th, line) of the lines that stay, short lines aside.
+    """(doc_id, th, kept): the numbers of the lines of each text that stay, short lines aside.
 
     ``keyed`` has the columns doc_id, th (hash of the text) and text. A line stays if no
     earlier line, by doc_id, th and line number, is equal or near.
@@ -141,11 +141,14 @@ def kept_lines(keyed: DataFrame) -> DataFrame:
     # equal lines meet once; of a line in a third of all texts each task sends one row
     first = stored(lines.groupBy("h", "n").agg(F.min(F.struct("doc_id", "th", "line", "keys")).alias("at")).select("h", "at.*"), "first-lines")
     keys = first.select("h", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
+    shared = keys.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1").select("key")
     likely = keys.join(shared, "key").select("h").distinct()
     wanted = first.join(likely, "h").groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("line")).alias("wanted"))
     texts = keyed.alias("d").join(wanted.alias("w").hint("shuffle_merge"), _same("d", "w")).select("d.*", "w.wanted")
-    seen = map_texts(texts, lambda: _variants, "v long, place int, doc_id long, th long, line int").select("v", "place", F.struct("doc_id", "th", "line").alias("at"))
+    variants = map_texts(texts, lambda: _variants, "v long, place int, doc_id long, th long, line int")
+    # most variants occur once: only the others carry their lines further
+    met = variants.groupBy("v").agg(F.count("*").alias("lines")).where("lines > 1").select(F.col("v").alias("w"))
+    seen = variants.join(met, F.col("v") == F.col("w")).select("v", "place", F.struct("doc_id", "th", "line").alias("at"))
     least = seen.groupBy("v", "place").agg(F.min("at").alias("at"))
     one_word = F.when(F.col("e.place") == F.col("s.place"), F.col("e.place") >= 0).otherwise((F.col("e.place") < 0) | (F.col("s.place") < 0))
     near = (
@@ -155,7 +158,9 @@ def kept_lines(keyed: DataFrame) -> DataFrame:
         .select("s.at.*")
         .distinct()
     )
-    return first.alias("f").join(near.alias("x"), _same("f", "x") & (F.col("f.line") == F.col("x.line")), "left_anti").select("doc_id", "th", "line")
+    both = first.select("doc_id", "th", "line", F.lit(False).alias("near")).unionByName(near.withColumn("near", F.lit(True)))
+    listed = [F.collect_list(F.when(F.col("near") == flag, F.col("line"))).alias(name) for flag, name in ((False, "firsts"), (True, "nears"))]
+    return both.groupBy("doc_id", "th").agg(*listed).select("doc_id", "th", F.array_except("firsts", "nears").alias("kept"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -172,7 +177,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(*[F.col(f"`{c}`") for c in names]).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     keyed = keyed.select(*[F.col(f"`{c}`").alias(f"c_{c}" if c not in ("doc_id", "text") else c) for c in names], F.xxhash64("text").alias("th"))
-    kept = kept_lines(keyed).groupBy("doc_id", "th").agg(F.collect_list("line").alias("kept"))
+    kept = kept_lines(keyed)
     joined = keyed.alias("d").join(kept.alias("k").hint("shuffle_merge"), _same("d", "k"), "left").select("d.*", "k.kept")
     inner = [f"c_{c}" if c not in ("doc_id", "text") else c for c in names]
     schema = keyed.select(*inner).schema.add("n_lines", "long").add("n_removed", "long")
