@@ -248,18 +248,6 @@ class Encoder:
         return b" ".join([names[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def _encoder(spec: str) -> Encoder:
-    """One encoder per Python worker and vocabulary, used by all tasks that run there."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(spec)
-    return _encoders[key]
-
-
 def _shared(spark: SparkSession, path: str):
     size = os.path.getsize(path)
     if size > LARGEST_FILE:
@@ -288,7 +276,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     shared = _shared(docs.sparkSession, path)
 
     def make():
-        encoder = _encoder(shared.value)
+        encoder = Encoder(shared.value)  # of one task: a worker that lives on does not keep it
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = encoder.encode(_texts(batch))
@@ -313,7 +301,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     shared = _shared(rows.sparkSession, path)
 
     def run(batches):
-        encoder = _encoder(shared.value)
+        encoder = Encoder(shared.value)
         for batch in batches:
             texts = [encoder.decode(np.array(x or [], "<u4").tobytes()).decode() for x in column(batch, "ids").to_pylist()]
             yield table(doc_id=column(batch, "doc_id"), text=pa.array(texts, pa.string()))
