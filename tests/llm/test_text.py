@@ -275,3 +275,47 @@ def test_decontamination_awkward_rows(spark):
     none = benchmark(spark, [])
     assert decontaminate.matches(rows, none).collect() == [] and decontaminate.drop_contaminated(rows, none).count() == len(AWKWARD)
     assert decontaminate.matches(documents(spark, []), items).collect() == []
+
+
+@pytest.mark.parametrize("n_items", [100, 430])
+def test_decontamination_recall_of_paraphrases(spark, n_items):
+    """Benchmarks that fill one block and several, against the rule applied to every pair."""
+    rng = random.Random(n_items)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(6000)]
+    common = "the of and to in is it that was for".split()
+
+    def prose(n):
+        return [rng.choice(common) if rng.random() < 0.2 else rng.choice(vocabulary) for _ in range(n)]
+
+    items = [(k, " ".join(prose(rng.randint(15, 60))) + ". " + " ".join(prose(5)) + ".") for k in range(n_items)]
+    rows = [(k, " ".join(prose(400))) for k in range(1000, 2500)]
+    for k, text in items:
+        words = text.split()
+        for j in rng.sample(range(len(words) - 5), len(words) * 2 // 5):
+            words[j] = rng.choice(vocabulary)
+        rows.append((k, " ".join([*prose(rng.randint(40, 120)), *words, *prose(90)])))
+    found = decontaminate.segments(items)
+    assert len(decontaminate.parts_of(found)) == -(-len(found.words) // decontaminate.RANK)
+    want = set()
+    for i, text in rows[1500:]:
+        h = decontaminate.Passages(pa.array([text])).hash
+        here = set(h.tolist())
+        for item, words, told in zip(found.item, found.words, found.answer, strict=True):
+            if sum(x in here for x in words.tolist()) < decontaminate.PARAPHRASED * len(words):
+                continue
+            near = [h[max(lo - len(words), 0) : lo + 48 + len(words)] for lo in range(0, len(h), decontaminate.STEP)]
+            share = [(decontaminate.common(words, x) / len(words), decontaminate.common(told, x) / max(len(told), 1)) for x in near]
+            if any(s >= decontaminate.COPIED or (s >= decontaminate.PARAPHRASED and a >= decontaminate.ANSWERED) for s, a in share):
+                want.add((i, item))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(documents(spark, rows), benchmark(spark, items)).collect()}
+    got = {(i, item) for i, item in got if i < 1000}
+    assert len(want) >= 0.9 * n_items and got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_decontamination_item_in_several_blocks(spark, monkeypatch):
+    """One row per text and item; rows that repeat a text each give theirs."""
+    monkeypatch.setattr(decontaminate, "BLOCK_SEGMENTS", 2)
+    text = " ".join(f"v{j}" for j in range(300))
+    rows = [(1, text), (1, text), (2, "nothing of it")]
+    got = [(r["doc_id"], r["item_id"]) for r in decontaminate.matches(documents(spark, rows), benchmark(spark, [(7, text), (8, "other words here")])).collect()]
+    assert got == [(1, 7), (1, 7)]
