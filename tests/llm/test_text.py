@@ -319,3 +319,64 @@ def test_decontamination_item_in_several_blocks(spark, monkeypatch):
     rows = [(1, text), (1, text), (2, "nothing of it")]
     got = [(r["doc_id"], r["item_id"]) for r in decontaminate.matches(documents(spark, rows), benchmark(spark, [(7, text), (8, "other words here")])).collect()]
     assert got == [(1, 7), (1, 7)]
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_license_texts_as_written(spark):
+    """Whole licence texts with their blank lines, plain, as comments, and a word on each line."""
+    wanted = {
+        "MIT": (MIT, "mit-permission,mit-conditions,mit-as-is,mit-liability"),
+        "Apache-2.0": (APACHE, "apache-may-not,apache-at,apache-url,apache-unless,apache-see"),
+        "MPL-2.0": (MPL, "mpl-terms,mpl-obtain"),
+    }
+    rows, want = [], {}
+    for name, (text, ids) in wanted.items():
+        marked = ["\n".join(f"{mark} {line}".rstrip() for line in text.split("\n")) for mark in ("#", "//", " *")]
+        narrow = "\n\n".join("\n".join(part.split()) for part in text.split("\n\n"))
+        for each in (text, *marked, narrow):
+            want[len(rows)] = (ids, name)
+            rows.append((len(rows), each))
+    got = {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in licenses.license_scan(documents(spark, rows)).collect()}
+    assert got == want
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())}))
+    assert {i: (ids, names) for i, ids, names, _ in con.execute(licenses.license_sql()).fetchall()} == want

@@ -11,6 +11,8 @@ shuffle, no Python, and texts without a licence word skip all of it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,12 +52,17 @@ PHRASES = [
 #: fixed values: sentences of licence texts and file headers, normalised, by identifier
 SENTENCES = {
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "mit-permission": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "mit-conditions": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit-as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "mit-liability": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
     "apache-may-not": "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license",
     "apache-obtain": "you may obtain a copy of the license at http www.apache.org licenses license 2.0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "apache-at": "you may obtain a copy of the license at",
+    "apache-url": "http www.apache.org licenses license 2.0",
+    "apache-unless": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache-see": "see the license for the specific language governing permissions and limitations under the license",
     "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
@@ -63,6 +70,7 @@ SENTENCES = {
     "gpl-details": "see the gnu general public license for more details",
     "gpl-copy": "you should have received a copy of the gnu general public license along with this program",
     "mpl-subject": "this source code form is subject to the terms of the mozilla public license v. 2.0",
+    "mpl-terms": "this source code form is subject to the terms of the mozilla public license v",
     "mpl-obtain": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0",
     "bsd-conditions": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
@@ -75,8 +83,12 @@ SENTENCES = {
 RULES = [
     (["mit-grant", "mit-as-is", "mit-liability"], "MIT"),
     (["mit-grant"], "MIT"),
+    (["mit-permission", "mit-conditions", "mit-as-is", "mit-liability"], "MIT"),
+    (["mit-permission", "mit-conditions"], "MIT"),
     (["isc-grant", "isc-as-is"], "ISC"),
     (["isc-grant"], "ISC"),
+    (["apache-may-not", "apache-at", "apache-url", "apache-unless", "apache-see"], "Apache-2.0"),
+    (["apache-may-not", "apache-at", "apache-url", "apache-unless"], "Apache-2.0"),
     (["apache-may-not", "apache-obtain", "apache-see"], "Apache-2.0"),
     (["apache-may-not", "apache-obtain"], "Apache-2.0"),
     (["apache-may-not"], "Apache-2.0"),
@@ -88,6 +100,8 @@ RULES = [
     (["gpl2-free"], "GPL-2.0-or-later"),
     (["mpl-subject", "mpl-obtain"], "MPL-2.0"),
     (["mpl-subject"], "MPL-2.0"),
+    (["mpl-terms", "mpl-obtain"], "MPL-2.0"),
+    (["mpl-terms"], "MPL-2.0"),
     (["bsd-conditions", "bsd-source", "bsd-binary", "bsd-endorse"], "BSD-3-Clause"),
     (["bsd-conditions", "bsd-source", "bsd-binary"], "BSD-2-Clause"),
     (["unlicense-free"], "Unlicense"),
@@ -95,7 +109,6 @@ RULES = [
 ]
 # ------------------------------------------------------------------------------------------
 
-WRAP = 8  # lines over which one sentence may be broken
 #: every known sentence holds one of these; texts without any are not looked at further
 WORDS = "licen|mozilla|copyright|permission|warrant|redistribut|public domain|all rights reserved|gplv|liab|(released|distributed) under"
 MARKS = r"^[ \t]*(//+|/[*]+|[*]+/?|#+|;+|--+|<!--)[ \t]*"
@@ -111,6 +124,9 @@ def known_sentences() -> dict[str, str]:
     return {**{s: i for i, s in SENTENCES.items()}, **named, **tags}
 
 
+WRAP = max(len(s.split()) for s in known_sentences())  # lines over which one sentence may be broken: a word on each
+
+
 def rules() -> list[tuple[list[str], str]]:
     """The ordered rules: licence texts first, then sentences that name a licence."""
     return [*RULES, *[([f"names:{spdx}"], spdx) for spdx in NAMES]]
@@ -121,21 +137,29 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(words, " +", " "))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _matches(segment: Column, known: Column) -> Column:
     """Identifiers of the known sentences in one segment: runs of lines, none inside another."""
-    lines = F.filter(F.split(segment, "\n"), lambda line: F.trim(line) != "")
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.size(lines)),
-            lambda i: F.transform(F.sequence(i, F.least(i + WRAP - 1, F.size(lines))), lambda j: F.struct(i.alias("i"), j.alias("j"))),
-        )
-    )
-    named = F.transform(
-        spans, lambda s: F.struct(s["i"].alias("i"), s["j"].alias("j"), F.element_at(known, normalised(F.array_join(F.slice(lines, s["i"], s["j"] - s["i"] + 1), " "))).alias("id"))
-    )
-    hits = F.filter(named, lambda m: m["id"].isNotNull())
-    whole = F.filter(hits, lambda m: ~F.exists(hits, lambda o: (o["i"] <= m["i"]) & (o["j"] >= m["j"]) & ((o["j"] - o["i"]) > (m["j"] - m["i"]))))
-    return F.when(F.size(lines) > 0, F.transform(whole, lambda m: m["id"])).otherwise(F.array().cast("array<string>"))
+    # a run of lines can be a known sentence only if it begins and ends with words of one
+    begins, ends = (sorted({"", *(s.split()[k] for s in known_sentences())}) for k in (0, -1))
+
+    def hits(lines: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.substring_index(F.element_at(lines, i), " ", 1).isin(begins))
+        last = lambda i: F.filter(F.sequence(i, F.least(i + WRAP - 1, F.size(lines))), lambda j: F.substring_index(F.element_at(lines, j), " ", -1).isin(ends))
+        run = lambda i, j: F.array_join(F.filter(F.slice(lines, i, j - i + 1), lambda line: line != ""), " ")
+        named = F.flatten(F.transform(first, lambda i: F.transform(last(i), lambda j: F.struct(i.alias("i"), j.alias("j"), F.element_at(known, run(i, j)).alias("id")))))
+        return F.filter(named, lambda m: m["id"].isNotNull())
+
+    def whole(found: Column) -> Column:
+        outer = F.filter(found, lambda m: ~F.exists(found, lambda o: (o["i"] <= m["i"]) & (o["j"] >= m["j"]) & ((o["j"] - o["i"]) > (m["j"] - m["i"]))))
+        return F.transform(outer, lambda m: m["id"])
+
+    lines = F.transform(F.filter(F.split(segment, "\n"), lambda line: F.trim(line) != ""), normalised)
+    return _let(lines, lambda n: F.when(F.size(n) > 0, _let(hits(n), whole)).otherwise(F.array().cast("array<string>")))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
