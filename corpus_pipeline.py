@@ -33,8 +33,8 @@ def lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the smallest id."""
-    return ngram_join.keep_first(docs)
+    """One document of each class of near duplicates, by five-word shingles and a similarity of 0.8: the one with the smallest id."""
+    return ngram_join.keep_first(docs, 5, 80)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

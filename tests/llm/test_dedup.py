@@ -220,3 +220,13 @@ def bad_base(text):
 def test_plan_of_dedup_has_no_nested_loops(spark):
     plan = line_dedup.dedup_lines(documents(spark, line_rows()))._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_pipeline_joins_on_five_words(spark, folder):
+    """The stage against all pairs: five-word shingles, 0.8; two changed words in a hundred are under 0.85 on four words."""
+    words = [f"u{k}" for k in range(100)]
+    rows = [*near_texts(), (1000, " ".join(words)), (1001, " ".join({30: "x", 60: "y"}.get(k, w) for k, w in enumerate(words)))]
+    assert classes(rows)[1001][1] == 1001 and classes(rows, 5, 80)[1001][1] == 1000
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"]
+    kept = {r["doc_id"] for r in stage(spark, documents(spark, rows), folder).collect()}
+    assert kept == {i for i, (_, c) in classes(rows, 5, 80).items() if i == c}
