@@ -280,3 +280,20 @@ def test_learners():
     assert fit.gradient < 1e-10 and fit.weights[:2] / fit.spread[:2] == pytest.approx([2, -1], abs=0.35)
     gaps = np.array([[1.0, np.nan], [np.nan, np.nan], [3.0, np.nan], [8.0, np.nan]])
     assert L.medians(gaps).tolist() == [3.0, 0.0]
+
+
+def test_trees_are_walked_in_every_row():
+    """A score that is wrong in the last row only is seen."""
+    import numpy as np
+
+    from tickloom.operators import learners as L
+
+    class Wrong(L.Boosted):
+        def predict(self, x):
+            return super().predict(x) + 0.25 * (np.arange(len(x)) == len(x) - 1)
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 3))
+    right, wrong = (kind(trees=10).fit(x, (x[:, 0] > 0).astype(float)) for kind in (L.Boosted, Wrong))
+    assert W.trees_apart(right, x) < 1e-12 and W.trees_apart(wrong, x) == pytest.approx(0.25)
+    assert W.trees_apart(right, x[:0]) == 0

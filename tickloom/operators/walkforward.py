@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -199,7 +200,13 @@ def walk_forward(panel: DataFrame, features: list[str], kind: str = "logistic",
     return walk_models(panel, features, {"prob": (kind, params)}, start, every, test_days, train_cap, label, min_train)
 
 
-def fit_checks(panel: DataFrame, features: list[str], models: Models, rows: int = 50, label: str = "label", train_cap: int = 200_000, **walk) -> DataFrame:
+def trees_apart(model: L.Boosted, x: np.ndarray) -> float:
+    """The largest difference, over all rows, between the scores of a block and trees walked node by node."""
+    walked = np.array([model.predict_row(row) for row in x])
+    return float(np.max(np.abs(model.predict(x) - walked), initial=0.0))
+
+
+def fit_checks(panel: DataFrame, features: list[str], models: Models, label: str = "label", train_cap: int = 200_000, **walk) -> DataFrame:
     """Per block: rows used, the linear model's gradient where its fit ended, and the largest
     difference between tree scores of whole blocks and trees walked node by node."""
     ready = panel.where(F.col(label).isNotNull())
@@ -209,7 +216,7 @@ def fit_checks(panel: DataFrame, features: list[str], models: Models, rows: int
         train, test, x, fitted = _fitted(group, features, models, train_cap)
         gradient = max((m.gradient for m in fitted.values() if isinstance(m, L.Linear)), default=0.0)
         trees = [m for m in fitted.values() if isinstance(m, L.Boosted)]
-        apart = max((abs(p - m.predict_row(row)) for m in trees for p, row in zip(m.predict(x[:rows]), x[:rows], strict=True)), default=0.0)
+        apart = max((trees_apart(m, x) for m in trees), default=0.0)
         return pd.DataFrame({"block": [int(group["block"].iloc[0])], "n_train": [len(train)], "n_test": [len(test)], "gradient": [gradient], "apart": [apart]})
 
     return by_block(ready, features, blocks, label).groupBy("block").applyInPandas(run, "block int, n_train long, n_test long, gradient double, apart double")

@@ -519,7 +519,7 @@ def walk_forward_blocks(m):
 def walk_forward_fits(m):
     """The linear fit has no slope left, and tree scores equal trees walked node by node, in every block."""
     panel, features = model_panel(m)
-    found = W.fit_checks(panel, features, {"b": ("boosted", {"trees": 20, "depth": 4}), "l": ("logistic", LOGISTIC)})
+    found = W.fit_checks(panel, features, {"b": ("boosted", BOOSTED), "l": ("logistic", LOGISTIC)})
     return found.select("block", "n_train", "n_test", (F.col("gradient") < 1e-8).alias("at_optimum"), (F.col("apart") < 1e-9).alias("trees_agree"))
 
 
