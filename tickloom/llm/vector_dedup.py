@@ -36,9 +36,9 @@ from .vectors import matrix, row_blocks, usable
 
 SAMPLE = 8192  # vectors that pivots and centroids are fitted on
 SAMPLE_BYTES = 1 << 26  # and their size at most
-CELL = 512  # vectors of a label for each of its cells, up to
+CELL = 1024  # vectors of a label for each of its cells, up to
 CELLS = 1024  # cells of a label; beyond that cells grow and are compared in more parts
-PART = 1024  # rows of a cell or shell that meet in one product
+PART = 2048  # rows of a cell or shell that meet in one product
 BALLS = 64  # hot groups that are looked for
 BALL_HITS = 16  # sample members that make a group hot
 
