@@ -282,6 +282,108 @@ def test_learners():
     assert L.medians(gaps).tolist() == [3.0, 0.0]
 
 
+def _plain_tree(codes, g, h, depth, leaf, least, cuts):
+    """Best cuts node by node, every sum by a loop over bins: {node: (feature, bin)}."""
+    import numpy as np
+
+    out, todo = {}, [(0, np.arange(len(g)), depth)]
+    while todo:
+        k, rows, left = todo.pop()
+        if not left:
+            continue
+        best = (1e-9, None)
+        for f in range(len(codes)):
+            for b in range(cuts[f]):
+                low = rows[codes[f][rows] <= b]
+                high = rows[codes[f][rows] > b]
+                if h[low].sum() < least or h[high].sum() < least:
+                    continue
+                gain = sum(s * g[r].sum() * leaf(g[r].sum(), h[r].sum()) for s, r in ((1, low), (1, high), (-1, rows)))
+                if gain > best[0] + 1e-12:
+                    best = (gain, (f, b, low, high))
+        if best[1]:
+            f, b, low, high = best[1]
+            out[k] = (f, b)
+            todo += [(2 * k + 1, low, left - 1), (2 * k + 2, high, left - 1)]
+    return out
+
+
+def test_trees_equal_plain_search():
+    """Sums that are left over from the smaller child give the cuts that counting gives."""
+    import numpy as np
+
+    from tickloom.operators import learners as L
+
+    rng = np.random.default_rng(9)
+    for seed in range(4):
+        x = np.round(rng.normal(size=(160, 4)), 1)
+        y = (x[:, 0] * x[:, 1] + rng.normal(size=160) > 0).astype(float)
+        bins = L.cut(x)
+        assert all((np.searchsorted(b, column) == code).all() for b, column, code in zip(bins.borders, x.T, bins.codes, strict=True))
+        g, h = y - 0.4 + rng.normal(size=160) / 100, rng.uniform(0.1, 0.3, 160)
+
+        def leaf(a, b):
+            return a / (b + 1.0)
+
+        growth = L.Growth(bins, 3, leaf, 1.0)
+        tree, node = growth.tree(growth.shared(np.arange(4)), g, h)
+        want = _plain_tree(bins.codes, g, h, 3, leaf, 1.0, bins.cuts)
+        assert {k: (int(f), int(np.searchsorted(bins.borders[f], tree.border[k]))) for k, f in enumerate(tree.feature) if f >= 0} == want
+        assert (node == tree.leaf(x)).all()
+        for k in set(node.tolist()):
+            assert tree.value[k] == pytest.approx(leaf(g[node == k].sum(), h[node == k].sum()))
+
+
+@pytest.mark.parametrize("kind, params", [("logistic", {}), ("boosted", {"trees": 7}), ("forest", {"trees": 5, "depth": 3})])
+def test_models_as_rows(spark, kind, params):
+    """A model read back from its rows, in any order, scores as before, in the plan and in the tasks."""
+    import numpy as np
+
+    from tickloom.operators import learners as L
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3)).astype(np.float32).astype(float)
+    y = (x[:, 0] > x[:, 1]).astype(float)
+    model = L.KINDS[kind](**params).fit(x, y)
+    rows = L.model_rows(kind, model, ["a", "b b", "c"], np.array([0.25, 0.5, 1.0]))
+    again, features, middle = L.model_from_rows(rows[:3] + rows[3:][::-1])
+    assert features == ["a", "b b", "c"] and (again.predict(x) == model.predict(x)).all()
+    table = spark.createDataFrame([tuple(r[c.split()[0]] for c in L.MODEL.split(", ")) for r in rows], L.MODEL)
+    gaps = [(i, *(None if (i + j) % 7 == 0 else float(v) for j, v in enumerate(row)), "k") for i, row in enumerate(x)]
+    out = W.apply_model(table, spark.createDataFrame(gaps, "id int, a double, `b b` float, c double, kind string"))
+    filled = np.array([[m if v is None else v for v, m in zip(r[1:4], middle, strict=True)] for r in gaps])
+    got = {r.id: r.prob for r in out.collect()}
+    assert out.columns == ["id", "a", "b b", "c", "kind", "prob"]
+    assert [got[i] for i in range(300)] == pytest.approx(model.predict(filled).tolist(), abs=1e-12)
+    with pytest.raises(ValueError):
+        W.apply_model(table.limit(0), out)
+
+
+def test_one_partition_for_each_block(spark):
+    b = bars(spark, price_frame(tuple("AB"), 200))
+    panel = T.label(T.indicators(b, "returns"), name="label").select("date", "symbol", "ret_1d", "label").where("label is not null")
+    blocks = W.retrain_blocks(panel, 40, 15, min_train=1)
+    rows = W.by_block(panel, ["ret_1d"], blocks, "label")
+    assert rows.rdd.getNumPartitions() == len(blocks)
+    held = rows.select("block", F.spark_partition_id().alias("p")).distinct().collect()
+    assert sorted(r["p"] for r in held) == list(range(len(blocks))) == sorted(r["block"] for r in held)
+
+
+def test_linear_model_in_the_plan(spark):
+    """Published medians and scales are those of the rows, and no slope is left at the published weights."""
+    b = bars(spark, price_frame(tuple("ABC"), 150))
+    panel = T.label(T.indicators(b, "returns", "rsi"), name="label").select("date", "symbol", "ret_1d", "ret_5d", "rsi_14", "label")
+    model = W.fit_model(panel, ["ret_1d", "ret_5d", "rsi_14"], "logistic", {"c": 0.1})
+    rows = W.linear_slopes(model, panel, 0.1).collect()
+    pdf = panel.where("label is not null").toPandas()
+    for r in rows:
+        column = pdf[r["feature"]].astype("float32").astype(float)
+        filled = column.fillna(column.median())
+        assert (r["middle"], r["mean"], r["spread"]) == pytest.approx((column.median(), filled.mean(), filled.std(ddof=0)))
+        assert abs(r["slope"]) < 1e-9
+    assert len(rows) == 3 and model.count() == 4
+
+
 def test_trees_are_walked_in_every_row():
     """A score that is wrong in the last row only is seen."""
     import numpy as np

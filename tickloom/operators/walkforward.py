@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType, _parse_datatype_string
 
 from ..functions import rolling as R
 from ..functions.scalar import flag, ratio
+from ..session import stored
 from . import learners as L
 from .calendar import join_daily
 
@@ -132,32 +137,75 @@ def learner(kind: str, params: dict):
     return L.KINDS[kind](**params)
 
 
+def packed(features: list[str]) -> Column:
+    """All features of a row as one array ``x`` of 32-bit numbers, gaps as nulls: one column to shuffle and to hand over."""
+    return F.array(*[F.col(f"`{f}`").cast("float") for f in features]).alias("x")
+
+
+def unpacked(x: pa.ChunkedArray) -> np.ndarray:
+    """The matrix of packed rows, gaps as NaN."""
+    chunks = [np.asarray(c.flatten().cast(pa.float64()).fill_null(np.nan)).reshape(len(c), -1) for c in x.chunks if len(c)]
+    return np.concatenate(chunks)
+
+
+@dataclass(frozen=True)
+class Rows:
+    """The rows of one partition in order of date and symbol: ``keys`` (the other columns) and the matrix ``x``."""
+
+    keys: pd.DataFrame
+    x: np.ndarray
+
+    def where(self, keep: np.ndarray) -> "Rows":
+        return Rows(self.keys[keep], self.x[keep])
+
+
 def by_block(panel: DataFrame, features: list[str], blocks: list[Block], label: str) -> DataFrame:
-    """The labelled rows of every block: ``block``, ``train`` and the columns a fit needs.
+    """The labelled rows of every block, each block a partition of its own: ``block``, ``train`` and the columns a fit needs.
 
     A row goes to the blocks that train on it (a range of numbers, by its date) and to the
-    one that tests it. The table of these ranges has one row per calendar date.
+    one that tests it. The table of these ranges has one row per calendar date. Blocks are
+    dealt out by number, not by hash, so no task gets two while another one gets none.
     """
     kept = [b for b in blocks if not b.skipped]
     days = panel.select("date").distinct()
-    trains = F.array(*[F.struct(F.lit(b.number).alias("block"), F.lit(True).alias("train"), F.lit(b.train_start).alias("lo"), F.lit(b.train_end).alias("hi")) for b in kept])
-    tests = F.array(*[F.struct(F.lit(b.number).alias("block"), F.lit(False).alias("train"), F.date_add(F.lit(b.train_end), 1).alias("lo"), F.lit(b.test_end).alias("hi")) for b in kept])
+    trains = F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(b.number).alias("block"), F.lit(True).alias("train"), F.lit(b.train_start).alias("lo"), F.lit(b.train_end).alias("hi")) for i, b in enumerate(kept)])
+    tests = F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(b.number).alias("block"), F.lit(False).alias("train"), F.date_add(F.lit(b.train_end), 1).alias("lo"), F.lit(b.test_end).alias("hi")) for i, b in enumerate(kept)])
     roles = days.select("date", F.explode(F.filter(F.concat(trains, tests), lambda x: (F.col("date") >= x["lo"]) & (F.col("date") <= x["hi"]))).alias("r"))
-    rows = panel.select("date", "symbol", F.col(label).cast("double").alias("label"), *[F.col(f).cast("float").alias(f) for f in features])
-    return rows.join(roles.select("date", "r.block", "r.train"), "date")
+    rows = panel.select("date", "symbol", F.col(label).cast("double").alias("label"), packed(features))
+    rows = rows.repartition(panel.sparkSession.sparkContext.defaultParallelism, "date", "symbol")  # a stored panel may be one small file, and each row is copied to many blocks
+    return rows.join(roles.select("date", "r.slot", "r.block", "r.train"), "date").repartitionById(len(kept), "slot").drop("slot")
 
 
-def _fitted(rows: pd.DataFrame, features: list[str], models: Models, cap: int | None):
-    """Training part and test part of one block, and the fitted learners."""
-    rows = rows.sort_values(["date", "symbol"])
-    train, test = rows[rows["train"]], rows[~rows["train"]]
+def per_partition(rows: DataFrame, run: Callable[[Rows], pd.DataFrame], schema: str) -> DataFrame:
+    """``run`` over the packed rows of each partition that has any."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        found = [b for b in batches if b.num_rows]
+        if found:
+            table = pa.Table.from_batches(found).sort_by([("date", "ascending"), ("symbol", "ascending")])
+            yield run(Rows(table.drop_columns("x").to_pandas(), unpacked(table["x"])))
+
+    kind = _parse_datatype_string(schema)
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = to_arrow_schema(kind)
+        for frame in whole(batches):
+            yield pa.RecordBatch.from_pandas(frame[target.names], schema=target, preserve_index=False)
+
+    return rows.mapInArrow(frames, kind)
+
+
+def _fitted(rows: Rows, models: Models, cap: int | None):
+    """Training part and test part of one block, and the fitted learners; trees share one bin table."""
+    in_train = rows.keys["train"].to_numpy()
+    train, test = rows.where(in_train), rows.where(~in_train)
     if cap is not None:
-        train = train.tail(cap)
-    x, y = train[features].to_numpy(float), train["label"].to_numpy()
-    middle = L.medians(x)
-    x = L.filled(x, middle)
-    fitted = {name: learner(kind, params).fit(x, y) for name, (kind, params) in models.items()}
-    return train, test, L.filled(test[features].to_numpy(float), middle), fitted
+        train = Rows(train.keys[-cap:], train.x[-cap:])
+    y, middle = train.keys["label"].to_numpy(), L.medians(train.x)
+    x = L.filled(train.x, middle)
+    bins = L.cut(x) if any(kind != "logistic" for kind, _ in models.values()) else None
+    fitted = {name: learner(kind, params).fit(x, y, bins) for name, (kind, params) in models.items()}
+    return train.keys, test.keys, L.filled(test.x, middle), fitted
 
 
 def walk_models(
@@ -173,7 +221,7 @@ def walk_models(
 ) -> DataFrame:
     """Out-of-sample probabilities of several models, fitted up to each cut date.
 
-    One Spark job: a block is a group of at most ``train_cap`` training rows (the newest; a
+    One Spark job: a block is a partition of at most ``train_cap`` training rows (the newest; a
     bound on the labelled rows of a fit, as in the original analysis) and its test rows, and
     the blocks run side by side. Gaps are filled with the exact medians of the training rows.
     Give a stored panel: it is read for the cut dates and for the fits.
@@ -186,13 +234,13 @@ def walk_models(
         raise ValueError("not enough dates for one block")
     ends = {b.number: b.train_end for b in blocks}
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        _, test, x, fitted = _fitted(rows, features, models, train_cap)
-        out = test[["date", "symbol", "label", "block"]].assign(train_end=ends[int(rows["block"].iloc[0])])
+    def run(rows: Rows) -> pd.DataFrame:
+        _, test, x, fitted = _fitted(rows, models, train_cap)
+        out = test[["date", "symbol", "label", "block"]].assign(train_end=ends[int(rows.keys["block"].iloc[0])])
         return out.assign(**{name: m.predict(x) for name, m in fitted.items()})
 
     schema = "date date, symbol string, label double, block int, train_end date, " + ", ".join(f"{m} double" for m in models)
-    return by_block(ready, features, blocks, label).groupBy("block").applyInPandas(run, schema).withColumnRenamed("label", label)
+    return per_partition(by_block(ready, features, blocks, label), run, schema).withColumnRenamed("label", label)
 
 
 def walk_forward(panel: DataFrame, features: list[str], kind: str = "logistic", label: str = "label", start: int = 500, every: int = 42, test_days: int | None = None, train_cap: int = 200_000, min_train: int = 500, **params) -> DataFrame:
@@ -212,14 +260,14 @@ def fit_checks(panel: DataFrame, features: list[str], models: Models, label: str
     ready = panel.where(F.col(label).isNotNull())
     blocks = retrain_blocks(ready, train_cap=train_cap, **walk)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        train, test, x, fitted = _fitted(group, features, models, train_cap)
+    def run(rows: Rows) -> pd.DataFrame:
+        train, test, x, fitted = _fitted(rows, models, train_cap)
         gradient = max((m.gradient for m in fitted.values() if isinstance(m, L.Linear)), default=0.0)
         trees = [m for m in fitted.values() if isinstance(m, L.Boosted)]
         apart = max((trees_apart(m, x) for m in trees), default=0.0)
-        return pd.DataFrame({"block": [int(group["block"].iloc[0])], "n_train": [len(train)], "n_test": [len(test)], "gradient": [gradient], "apart": [apart]})
+        return pd.DataFrame({"block": [int(rows.keys["block"].iloc[0])], "n_train": [len(train)], "n_test": [len(test)], "gradient": [gradient], "apart": [apart]})
 
-    return by_block(ready, features, blocks, label).groupBy("block").applyInPandas(run, "block int, n_train long, n_test long, gradient double, apart double")
+    return per_partition(by_block(ready, features, blocks, label), run, "block int, n_train long, n_test long, gradient double, apart double")
 
 
 def prediction_table(preds: DataFrame, model_name: str, returns: DataFrame, label: str = "label") -> DataFrame:
@@ -243,11 +291,11 @@ def feature_importance(panel: DataFrame, features: list[str], label: str = "labe
     ready = panel.where(F.col(label).isNotNull())
     blocks = retrain_blocks(ready, start, every, train_cap=train_cap)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        gains = _fitted(group, features, {"m": ("boosted", params)}, train_cap)[3]["m"].gains
+    def run(rows: Rows) -> pd.DataFrame:
+        gains = _fitted(rows, {"m": ("boosted", params)}, train_cap)[3]["m"].gains
         return pd.DataFrame({"feature": features, "importance": gains / max(gains.sum(), 1e-12)})
 
-    shares = by_block(ready, features, blocks, label).groupBy("block").applyInPandas(run, "feature string, importance double")
+    shares = per_partition(by_block(ready, features, blocks, label), run, "feature string, importance double")
     means = shares.groupBy("feature").agg(F.avg("importance").alias("importance"))  # one row per feature
     return means.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("importance"), "feature")))
 
@@ -284,19 +332,88 @@ def leaderboard(predictions: DataFrame) -> DataFrame:
     ).orderBy(F.desc("accuracy"), "model_name")
 
 
-def latest_scores(panel: DataFrame, newest: DataFrame, features: list[str], kind: str, params: dict, label: str = "label", train_cap: int = 200_000) -> DataFrame:
-    """The model fitted on the newest labelled rows, applied to ``newest``: its columns and ``prob``."""
+def fit_model(panel: DataFrame, features: list[str], kind: str, params: dict, label: str = "label", train_cap: int = 200_000) -> DataFrame:
+    """The model fitted on the newest ``train_cap`` labelled rows, as a table of ``learners.MODEL`` rows.
+
+    One task fits it: the training rows are bounded, and so is the model.
+    """
+    learner(kind, params)
     train = last_rows(panel.where(F.col(label).isNotNull()), train_cap)
-    columns = ["date", "symbol", *features]
-    both = train.select(*columns, F.col(label).cast("double").alias("label"), F.lit(True).alias("train"))
-    both = both.unionByName(newest.select(*columns, F.lit(None).cast("double").alias("label"), F.lit(False).alias("train"))).withColumn("block", F.lit(0))
+    rows = train.select("date", "symbol", F.col(label).cast("double").alias("label"), packed(features))
+
+    def run(rows: Rows) -> pd.DataFrame:
+        middle = L.medians(rows.x)
+        x = L.filled(rows.x, middle)
+        model = learner(kind, params).fit(x, rows.keys["label"].to_numpy(), None if kind == "logistic" else L.cut(x))
+        return pd.DataFrame(L.model_rows(kind, model, features, middle)).astype({"tree": "Int32", "node": "Int32"})
+
+    return stored(per_partition(rows.repartitionById(1, F.lit(0)), run, L.MODEL), "model")
+
+
+def linear_inputs(model: list[Row]) -> tuple[list[Row], Column]:
+    """The columns of a linear model, and the standardised inputs as one array: gaps filled, centred, scaled."""
+    columns = sorted((r for r in model if r["feature"] is not None), key=lambda r: r["feature"])
+
+    def numbers(c: str) -> Column:
+        return F.lit([float(r[c]) for r in columns])
+
+    values = F.array(*[F.col(f"`{r['feature']}`").cast("float").cast("double") for r in columns])
+    filled = F.zip_with(values, numbers("middle"), lambda v, m: F.coalesce(v, m))
+    centred = F.zip_with(filled, numbers("mean"), lambda v, m: v - m)
+    return columns, F.zip_with(centred, numbers("spread"), lambda v, s: v / s)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        _, test, x, fitted = _fitted(rows, features, {"prob": (kind, params)}, None)
-        return test[["date", "symbol"]].assign(prob=fitted["prob"].predict(x))
 
-    scored = both.groupBy("block").applyInPandas(run, "date date, symbol string, prob double")
-    return newest.join(scored, ["date", "symbol"])
+def linear_probability(model: list[Row], inputs: Column) -> Column:
+    """The probability of a linear model from its rows, as an expression of the inputs."""
+    columns, _ = linear_inputs(model)
+    intercept = next(r["weight"] for r in model if r["feature"] is None)
+    terms = F.zip_with(inputs, F.lit([float(r["weight"]) for r in columns]), lambda z, w: z * w)
+    score = F.aggregate(terms, F.lit(float(intercept)), lambda total, term: total + term)
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(score, F.lit(35.0)), F.lit(-35.0))))
+
+
+def apply_model(model: DataFrame, rows: DataFrame, name: str = "prob") -> DataFrame:
+    """``rows`` with the probability of a stored model, wherever they are: nothing is shuffled.
+
+    The model comes to the driver (features and tree nodes) and goes to the tasks; the linear
+    model is an expression of the plan.
+    """
+    found = model.collect()
+    if not found:
+        raise ValueError("the model has no rows: nothing to train on")
+    if found[0]["kind"] == "logistic":
+        return rows.withColumn(name, linear_probability(found, linear_inputs(found)[1]))
+    fitted, features, middle = L.model_from_rows([r.asDict() for r in found])
+    shared = rows.sparkSession.sparkContext.broadcast((fitted, middle))
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, fill = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                x = unpacked(pa.chunked_array([batch.column(len(names))]))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(m.predict(L.filled(x, fill)))], names=[*names, name])
+
+    asked = rows.select(*[F.col(f"`{c}`") for c in names], packed(features))
+    return asked.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, DoubleType())]))
+
+
+def latest_scores(panel: DataFrame, newest: DataFrame, features: list[str], kind: str, params: dict, label: str = "label", train_cap: int = 200_000) -> DataFrame:
+    """The model fitted on the newest labelled rows, applied to ``newest``: its columns and ``prob``."""
+    return apply_model(fit_model(panel, features, kind, params, label, train_cap), newest)
+
+
+def linear_slopes(model: DataFrame, train: DataFrame, c: float, label: str = "label") -> DataFrame:
+    """One row per feature: its median, centre, scale and weight, and the mean slope of the
+    penalised log loss along it, from the published numbers alone. At the optimum all slopes are zero."""
+    found = model.collect()
+    columns, inputs = linear_inputs(found)
+    seen = train.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("y"), inputs.alias("z"))
+    scored = seen.select("z", (linear_probability(found, F.col("z")) - F.col("y")).alias("residual"))
+    sums = scored.select("residual", F.posexplode("z").alias("at", "z")).groupBy("at").agg(F.avg(F.col("residual") * F.col("z")).alias("slope"), F.count("*").alias("n"))
+    named = sums.withColumn("feature", F.element_at(F.lit([r["feature"] for r in columns]), F.col("at") + 1))
+    of_column = named.join(model.where("feature is not null").select("feature", "middle", "mean", "spread", "weight"), "feature")
+    return of_column.select("feature", "middle", "mean", "spread", "weight", (F.col("slope") + F.col("weight") / c / F.col("n")).alias("slope"))
 
 
 def best_model(board: DataFrame) -> str:

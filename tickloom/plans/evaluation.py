@@ -15,6 +15,7 @@ from ..operators.quality import plausible_returns
 from ..operators.ranking import percent_ranks
 from ..session import stored
 from .base import columns, cte, query
+from .features import FEATURES
 
 COUNTS = "n:i tp:i fp:i tn:i fn:i "
 RATES = "accuracy:f9 balanced_accuracy:f9 precision:f9 recall:f9 f1:f9 brier_score:f9 roc_auc:f9"
@@ -577,6 +578,33 @@ def parameter_grid(m):
     return W.parameter_grid(panel, features, "boosted", GRID, [0.48, 0.5, 0.52], start=500, every=63, test_days=1)
 
 
+cte(
+    "long",
+    f"""SELECT * FROM (SELECT {", ".join(f'cast(cast("{c}" AS float) AS double) AS "{c}"' for c in FEATURES)} FROM feat WHERE target_direction IS NOT NULL
+       ORDER BY date DESC, symbol DESC LIMIT 200000) UNPIVOT INCLUDE NULLS (v FOR feature IN ({", ".join(f'"{c}"' for c in FEATURES)}))""",
+    "feat",
+)
+
+
+@query(
+    "linear_model",
+    "feature magnitude:i middle:f6 mean:f6 spread:f6 flat",
+    f"""SELECT feature, m AS magnitude, middle / pow(10, m) AS middle, mean / pow(10, m) AS mean, spread / pow(10, m) AS spread, true AS flat FROM (
+       SELECT *, floor(log10(spread)) AS m FROM (
+       SELECT feature, any_value(middle) AS middle, avg(coalesce(v, middle)) AS mean, coalesce(nullif(stddev_pop(coalesce(v, middle)), 0), 1) AS spread
+       FROM long JOIN (SELECT feature, coalesce(median(v), 0) AS middle FROM long GROUP BY 1) USING (feature) GROUP BY 1))""",
+    ("long",),
+)
+def linear_model(m):
+    """The published linear model: medians, centres and scales of all features, and whether the loss is flat at its weights."""
+    panel, features = model_panel(m)
+    model = W.fit_model(panel, features, "logistic", LOGISTIC)
+    rows = W.linear_slopes(model, W.last_rows(panel.where("label is not null"), 200_000), LOGISTIC["c"])
+    size = F.floor(F.log10("spread"))
+    scaled = [(F.col(c) / F.pow(F.lit(10.0), size)).alias(c) for c in ("middle", "mean", "spread")]
+    return rows.select("feature", size.alias("magnitude"), *scaled, (F.abs("slope") < 1e-8).alias("flat"))
+
+
 @query("latest_model_signal", "symbol date:d close:f9 prob_up:f6 signal_rank:i")
 def latest_model_signal(m):
     """The linear model fitted on all labelled rows up to the cap, applied to the newest row of each symbol."""

@@ -291,7 +291,12 @@ def zscores(m):
 RETURNS = [f"ret_{d}d" for d in T.HORIZONS] + [f"log_ret_{d}d" for d in T.HORIZONS]
 
 
+FEATURES: dict[str, str] = {}  # every technical feature, and the rounding of its column
+
+
 def family(name: str, spec: str, *families: str):
+    FEATURES.update(part.split(":") for part in spec.split())
+
     @query(name, KEY + spec, "SELECT * FROM feat", ("feat",))
     def plan(m):
         return T.indicators(m.bars, *families)
