@@ -48,17 +48,22 @@ def smooth(
     columns: dict[str, tuple[str, float, int]],
     partition: tuple[str, ...] = ("symbol",),
     order: str = "date",
+    seeds: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add ``name -> (input column, alpha, min rows)`` smoothed columns.
 
     A series starts at its first non-NULL input; the result is NULL before that and
     until ``min rows`` inputs were seen. Inputs must have no gaps after their start.
+    ``seeds`` (name -> column) carries a series on: where the first row of a partition has a
+    seed, that is the smoothed value there, whatever came before.
     """
     names = list(columns)
     w = series(*partition, order=order)
     out = df.withColumn("_row", F.row_number().over(w) - 1)
     inputs = {x for x, _, _ in columns.values()}
     out = out.withColumns({f"_seen_{x}": F.count(x).over(running(w)) for x in inputs})
+    seeds = {n: c for n, c in (seeds or {}).items() if n in columns}
+    out = out.withColumns({f"_from_{n}": F.first(c).over(running(w)) for n, c in seeds.items()})
     for size, members in _blocks([columns[n][1] for n in names]):
         out = out.withColumns(
             {"_block": F.floor(F.col("_row") / size).cast("int"), "_at": (F.col("_row") % size).cast("double")}
@@ -71,17 +76,20 @@ def smooth(
             r = F.lit(1.0 - alpha)
             weight = F.when(F.col(f"_seen_{x}") == 1, F.lit(1.0)).otherwise(F.lit(alpha))
             term = F.col(x) * weight
+            if names[i] in seeds:
+                start = F.col(f"_from_{names[i]}")
+                term = F.when(start.isNull(), term).when(F.col("_row") == 0, start).otherwise(F.col(x) * alpha)
             local[f"_local_{i}"] = F.sum(term * F.pow(r, -F.col("_at"))).over(inside) * F.pow(r, F.col("_at"))
             total[f"_total_{i}"] = F.sum(term * F.pow(r, F.lit(size - 1.0) - F.col("_at"))).over(before)
         out = out.withColumns(local).withColumns(total)
         out = out.withColumns(
             {
                 names[i]: F.when(
-                    F.col(f"_seen_{columns[names[i]][0]}") >= max(columns[names[i]][2], 1),
+                    (F.col(f"_seen_{columns[names[i]][0]}") >= max(columns[names[i]][2], 1)) | (F.col(f"_from_{names[i]}").isNotNull() if names[i] in seeds else F.lit(False)),
                     F.coalesce(f"_local_{i}", F.lit(0.0))
                     + F.pow(F.lit(1.0 - columns[names[i]][1]), F.col("_at") + 1.0) * F.coalesce(f"_total_{i}", F.lit(0.0)),
                 )
                 for i in members
             }
         ).drop("_block", "_at", *local, *total)
-    return out.drop("_row", *[f"_seen_{x}" for x in inputs])
+    return out.drop("_row", *[f"_seen_{x}" for x in inputs], *[f"_from_{n}" for n in seeds])

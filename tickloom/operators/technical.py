@@ -220,8 +220,16 @@ FAMILIES: dict[str, dict[str, object]] = {
 }
 
 
-def indicators(bars: DataFrame, *families: str) -> DataFrame:
-    """The bars plus the columns of the chosen families (default: all)."""
+# what a series carries on from row to row: its smoothed values and its running total
+CARRIED = ("ema_12", "ema_26", "_avg_gain", "_avg_loss", "_atr", "_di_up", "_di_down", "_macd_signal", "adx", "obv")
+
+
+def indicators(bars: DataFrame, *families: str, seeds: dict[str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The bars plus the columns of the chosen families (default: all).
+
+    ``seeds`` (a column of ``CARRIED`` -> the input column that holds it in the first row of a
+    symbol) lets a series go on where an earlier run left it; ``keep`` names inner columns to return.
+    """
     chosen = [FAMILIES[f] for f in (families or FAMILIES)]
     w = R.series()
     out = bars
@@ -232,8 +240,13 @@ def indicators(bars: DataFrame, *families: str) -> DataFrame:
             merged |= part(w) if callable(part) else part
         if not merged:
             continue
-        out = smooth(out, merged) if stage.startswith("smooth") else out.withColumns(merged)
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+        if stage.startswith("smooth"):
+            out = smooth(out, merged, seeds=seeds)
+        else:
+            out = out.withColumns(merged)
+            if "obv" in merged and "obv" in (seeds or {}):
+                out = out.withColumn("obv", F.col("obv") + F.coalesce(F.first(seeds["obv"]).over(R.running(w)), F.lit(0.0)))
+    return out.drop(*[c for c in out.columns if c.startswith("_") and c not in keep])
 
 
 def label(bars: DataFrame, horizon: int = 1, name: str = "target_direction") -> DataFrame:

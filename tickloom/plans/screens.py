@@ -10,7 +10,8 @@ from ..operators import technical as T
 from ..operators.cross import cross_section
 from ..operators.metrics import significance
 from ..operators.portfolio import long_short_daily
-from ..session import stored
+from ..session import stored, work_folder
+from ..streaming.refresh import FeaturePanel
 from .base import columns, cte, query
 from .portfolios import COST
 
@@ -270,6 +271,22 @@ def score_cards(m):
     return cards(m)
 
 
+@query("panel_score_cards", "symbol sector as_of:d last_close:f9 signal_rank:i " + columns(SCORES, "f6") + " " + columns(ROUNDED, "f4"), "SELECT * FROM cards", ("cards",))
+def panel_score_cards(m):
+    """The cards from a maintained panel: two refreshes, then the newest date alone is read."""
+    panel = FeaturePanel(m.spark, work_folder(m.spark, "panel"))
+    last = bars(m).agg(F.max("date")).first()[0]
+    for batch, part in enumerate((F.col("date") < F.lit(last), F.col("date") == F.lit(last))):
+        panel.refresh(bars(m).where(part), batch)
+    return cards_of(m, stored(panel.today(), "today"))
+
+
+def cards_of(m, newest):
+    """Cards from the feature rows of one date; nothing else of the panel is needed."""
+    ranked = K.latest_signal(newest.withColumn("prob", m.probability(7919, 104729)))
+    return S.score_cards(cross_section(newest), m.sectors, ranked)
+
+
 @query("trade_plan", "symbol as_of:d " + PLAN, "SELECT * FROM cards", ("cards",))
 def trade_plan(m):
     return cards(m)

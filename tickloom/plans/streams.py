@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import in_session
-from ..session import work_folder
+from ..session import stored, work_folder
 from ..streaming import market as SM
+from ..streaming.refresh import FeaturePanel, refresh_panel
 from .base import cte, query
 
 
@@ -90,3 +91,27 @@ def stream_latest_quotes(m):
 )
 def stream_session_candles(m):
     return SM.run_candles(m.spark, event_stream(m).where(in_session("ts")), "15 minutes")
+
+
+def panel_stream(m):
+    """Daily bars as a stream of three files: history, then two files of new days, the second with late bars of some symbols."""
+    late = F.col("symbol").isin("3", "7") & F.col("date").between(F.lit("2001-06-20").cast("date"), F.lit("2001-07-10").cast("date"))
+    at = F.when(late, 2).when(F.col("date") <= F.lit("2001-06-30").cast("date"), 0).when(F.col("date") <= F.lit("2001-08-31").cast("date"), 1).otherwise(2)
+    folder = work_folder(m.spark, "daily")
+    bars = stored(m.bars, "bars")
+    for k in range(3):
+        bars.where(at == k).coalesce(1).write.mode("append").parquet(folder)
+    return SM.read_folder(m.spark, folder, bars.schema, files_per_batch=1)
+
+
+@query(
+    "stream_refresh",
+    "symbol date:d ret_20d:f9 dist_sma_200:f8 ema_26:f6 rsi_14:f6 macd_hist:f8 adx:f6 atr_14:f6 stoch_d:f6 obv_normalised:f6 pct_52w_range:f6 bb_squeeze:f1",
+    "SELECT * FROM feat WHERE date >= date '2001-06-15'",
+    ("feat",),
+)
+def stream_refresh(m):
+    """Feature rows kept up to date from states, late bars included; equal to a rebuild."""
+    folder = work_folder(m.spark, "panel")
+    refresh_panel(panel_stream(m), folder, f"{folder}/checkpoint").awaitTermination()
+    return FeaturePanel(m.spark, folder).read(since="2001-06-15")

@@ -13,7 +13,7 @@ from ..operators.bars import merge_candles, partial_candles
 from ..operators.incremental import refresh_features
 from ..session import work_folder
 from ..sources.sinks import read_panel, upsert_panel
-from .log import log_schema, newest, write_log
+from .log import log_schema, newest, read_log, write_log
 
 WIDTHS = {"1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes", "30m": "30 minutes", "60m": "60 minutes", "1d": "1 day"}
 
@@ -33,20 +33,20 @@ def read_folder(spark: SparkSession, folder: str, schema: T.StructType | str, fm
 def run_candles(spark: SparkSession, ticks: DataFrame, width: str = "5 minutes", order: tuple[str, ...] = ("seq",)) -> DataFrame:
     """Process all available ticks, return the candles.
 
-    Each micro-batch is rolled up by itself into its own partition of the log (a retry
-    replaces it), and the parts of a candle are merged when it is read. No tick is ever too
+    Each micro-batch is rolled up by itself into its own part of the log (a retry adds
+    nothing), and the parts of a candle are merged when it is read. No tick is ever too
     late, no state is kept, and the order of arrival does not matter.
     """
     folder = work_folder(spark, "stream")
-    parts = partial_candles(ticks, width, list(order)).schema  # a schema only: nothing runs here
+    parts = log_schema(partial_candles(ticks, width, list(order)))  # a schema only: nothing runs here
     write_log(ticks, f"{folder}/log", f"{folder}/checkpoint", transform=lambda rows: partial_candles(rows, width, list(order))).awaitTermination()
-    return merge_candles(spark.read.schema(parts).parquet(f"{folder}/log"))
+    return merge_candles(read_log(spark, f"{folder}/log", parts))
 
 
 def run_upsert(spark: SparkSession, stream: DataFrame, key: list[str], tie: list[str] | None = None, mode: str = "append") -> DataFrame:
     """Keep-newest upsert of a stream by key: all available input, then the current state."""
     folder = work_folder(spark, "stream")
-    write_log(stream, f"{folder}/log", f"{folder}/checkpoint", mode).awaitTermination()
+    write_log(stream, f"{folder}/log", f"{folder}/checkpoint", mode, key=key, tie=tie).awaitTermination()
     return newest(spark, f"{folder}/log", log_schema(stream), key, tie)
 
 
