@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import double_columns
+from ..session import stored
 from .calendar import by_date
 
 
@@ -17,38 +20,50 @@ def daily_values(features: DataFrame, columns: list[str]) -> DataFrame:
     return features.groupBy("date").agg(*firsts)
 
 
+GAPS = "feature_at int, other_at int, n_pairs long, max_gap double"
+
+
+def _gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Largest gap and number of dates of each pair of columns, over the dates of one task."""
+    most, seen = None, None
+    for batch in batches:
+        now, later = (np.asarray(batch[c].flatten().fill_null(np.nan)).reshape(batch.num_rows, -1) for c in ("now", "later"))
+        for a, b in zip(now, later, strict=True):
+            gap = np.abs(a[:, None] - b[None])
+            if most is None:
+                most, seen = np.full(gap.shape, np.nan), np.zeros(gap.shape, np.int64)
+            most, seen = np.fmax(most, gap), seen + ~np.isnan(gap)
+    if most is not None:
+        i, j = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(seen[i, j]), pa.array(most[i, j])], names=["feature_at", "other_at", "n_pairs", "max_gap"])
+
+
 def shifted_pairs(features: DataFrame, columns: list[str] | None = None, min_pairs: int = 15, tolerance: float = 1e-6) -> DataFrame:
-    """Column pairs (a, b) and whether a equals b one date later on every date.
+    """Column pairs (feature, other) and whether feature equals other one date later on every date.
 
-    All pairs of columns come from a single aggregate over the one-row-per-date table.
+    The table is reduced to one row per date, whose columns are one array. A task keeps one
+    matrix of the largest gaps of all pairs over its dates, so the plan grows with the columns
+    and not with their pairs.
     """
     columns = columns or double_columns(features, {"date", "symbol"})
-    daily = daily_values(features, columns)
-    w = by_date()
-    ahead = daily.withColumns({f"_next_{c}": F.lead(c).over(w) for c in columns})
-    pairs = [(a, b) for a in columns for b in columns if a != b]
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        gap = F.abs(F.col(a) - F.col(f"_next_{b}"))
-        aggs += [F.max(gap).alias(f"g{i}"), F.count(gap).alias(f"n{i}")]
-    for c in columns:
-        aggs += [F.stddev_samp(c).alias(f"sd_{c}"), F.min_by(F.abs(c), F.when(F.col(c).isNotNull(), F.col("date"))).alias(f"first_{c}")]
-    one = ahead.agg(*aggs)
-    rows = []
-    for i, (a, b) in enumerate(pairs):
-        varies = (F.col(f"sd_{a}") > 0) & (F.col(f"sd_{b}") > 0) & (F.col(f"n{i}") >= min_pairs)
-        scale = F.greatest(F.col(f"first_{a}"), F.lit(1e-9))
-        leak = F.coalesce(varies & (F.col(f"g{i}") < tolerance * scale), F.lit(False))
-        rows.append(
-            F.struct(
-                F.lit(a).alias("feature"),
-                F.lit(b).alias("other"),
-                F.col(f"n{i}").alias("n_pairs"),
-                F.col(f"g{i}").alias("max_gap"),
-                leak.alias("is_leak"),
-            )
-        )
-    return one.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+    daily = stored(daily_values(features, columns), "daily")
+    packed = daily.select("date", F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("now"))
+    ahead = packed.withColumn("later", F.lead("now").over(by_date())).where("later is not null")
+    tasks = daily.sparkSession.sparkContext.defaultParallelism
+    gaps = ahead.repartition(tasks).select("now", "later").mapInArrow(_gaps, GAPS).groupBy("feature_at", "other_at").agg(F.sum("n_pairs").alias("n_pairs"), F.max("max_gap").alias("max_gap"))
+    each = [
+        F.struct(F.lit(c).alias("name"), F.stddev_samp(c).alias("sd"), F.min_by(F.abs(c), F.when(F.col(c).isNotNull(), F.col("date"))).alias("first"))
+        for c in columns
+    ]
+    stats = daily.agg(F.array(*each).alias("s")).select(F.posexplode("s").alias("at", "s")).select("at", "s.*")
+    n = len(columns)
+    pairs = daily.sparkSession.range(n * n).select((F.col("id") / n).cast("int").alias("feature_at"), (F.col("id") % n).cast("int").alias("other_at")).where("feature_at <> other_at")
+    one, two = (stats.select(F.col("at").alias(f"{side}_at"), F.col("name").alias(side), F.col("sd").alias(f"{side}_sd"), F.col("first").alias(f"{side}_first")) for side in ("feature", "other"))
+    found = pairs.join(gaps, ["feature_at", "other_at"], "left").join(one, "feature_at").join(two, "other_at")
+    count = F.coalesce("n_pairs", F.lit(0))
+    varies = (F.col("feature_sd") > 0) & (F.col("other_sd") > 0) & (count >= min_pairs)
+    near = F.col("max_gap") < tolerance * F.greatest(F.col("feature_first"), F.lit(1e-9))
+    return found.select("feature", "other", count.alias("n_pairs"), "max_gap", F.coalesce(varies & near, F.lit(False)).alias("is_leak"))
 
 
 def future_dependence(build: Callable[[DataFrame], DataFrame], source: DataFrame, cut: str, columns: list[str], sentinel: float = 1e6) -> DataFrame:

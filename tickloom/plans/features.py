@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import rolling as R
 from ..functions.scalar import in_session, ratio
-from ..operators import dedup, quality
+from ..operators import audit, dedup, quality
 from ..operators import technical as T
 from ..operators.bars import candles, daily_from_candles
+from ..operators.calendar import by_date, join_daily
 from ..operators.cross import cross_section, with_market_state, with_sector, with_sector_state
 from ..operators.incremental import refresh_features
 from ..session import stored
@@ -465,3 +466,60 @@ def incremental_features(m):
 
     old = bars.where(F.col("date") <= F.lit("2001-06-30").cast("date"))
     return refresh_features(old, bars.where(F.col("date") > F.lit("2001-06-01").cast("date")), stored(build(old), "features"), build)
+
+
+# --- audits of all features ------------------------------------------------
+
+AUDITED = [*FEATURES, "planted"]
+
+
+def audited(m):
+    """Every feature, and one column that gives tomorrow's daily value of another away."""
+    panel = T.indicators(m.bars).select("date", "symbol", *FEATURES)
+    ahead = audit.daily_values(panel, ["hl_range"]).withColumn("planted", F.lead("hl_range").over(by_date())).select("date", "planted")
+    return join_daily(panel, ahead, "left")
+
+
+cte(
+    "daily_features",
+    f"SELECT date, {', '.join(f'min_by(\"{c}\", symbol) FILTER (\"{c}\" IS NOT NULL) AS \"{c}\"' for c in FEATURES)} FROM feat GROUP BY 1",
+    "feat",
+)
+cte(
+    "daily_long",
+    f"""SELECT date, feature, v, rank_ FROM (SELECT *, dense_rank() OVER (ORDER BY date) AS rank_ FROM (SELECT *, lead(hl_range) OVER (ORDER BY date) AS planted FROM daily_features))
+       UNPIVOT INCLUDE NULLS (v FOR feature IN ({', '.join(f'"{c}"' for c in AUDITED)}))""",
+    "daily_features",
+)
+
+
+@query(
+    "lookahead_features",
+    "feature other n_pairs:i max_gap:f5 is_leak",
+    """WITH s AS (SELECT feature, stddev_samp(v) AS sd, min_by(abs(v), date) FILTER (v IS NOT NULL) AS first_ FROM daily_long GROUP BY 1),
+       g AS (SELECT a.feature, b.feature AS other, count(abs(a.v - b.v)) AS n_pairs, max(abs(a.v - b.v)) AS max_gap
+             FROM daily_long a JOIN daily_long b ON b.rank_ = a.rank_ + 1 AND a.feature <> b.feature GROUP BY 1, 2)
+       SELECT g.*, coalesce(f.sd > 0 AND o.sd > 0 AND n_pairs >= 15 AND max_gap < 1e-6 * greatest(f.first_, 1e-9), false) AS is_leak
+       FROM g JOIN s f ON f.feature = g.feature JOIN s o ON o.feature = g.other""",
+    ("daily_long",),
+)
+def lookahead_features(m):
+    """Every pair of all features: does one give the other's next value away?"""
+    return audit.shifted_pairs(audited(m), AUDITED)
+
+
+@query(
+    "future_dependence",
+    "feature n_changed:i",
+    f"""SELECT unnest([{', '.join(f"'{c}'" for c in FEATURES)}]) AS feature, 0 AS n_changed
+       UNION ALL SELECT 'planted', count(*) FROM (SELECT symbol FROM bars GROUP BY 1 HAVING min(date) <= date '2000-12-31' AND max(date) > date '2000-12-31')""",
+    ("bars",),
+)
+def future_dependence(m):
+    """Rows up to a date that change when everything after it does: none, but for a column that looks one bar ahead."""
+    bars = stored(m.bars, "bars")
+
+    def build(b):
+        return T.indicators(b).withColumn("planted", F.lead("close").over(R.series()))
+
+    return audit.future_dependence(build, bars, "2000-12-31", AUDITED)

@@ -278,13 +278,8 @@ def panel_score_cards(m):
     last = bars(m).agg(F.max("date")).first()[0]
     for batch, part in enumerate((F.col("date") < F.lit(last), F.col("date") == F.lit(last))):
         panel.refresh(bars(m).where(part), batch)
-    return cards_of(m, stored(panel.today(), "today"))
-
-
-def cards_of(m, newest):
-    """Cards from the feature rows of one date; nothing else of the panel is needed."""
-    ranked = K.latest_signal(newest.withColumn("prob", m.probability(7919, 104729)))
-    return S.score_cards(cross_section(newest), m.sectors, ranked)
+    ranked = K.latest_signal(panel.last_bars().withColumn("prob", m.probability(7919, 104729)))
+    return S.score_cards(cross_section(stored(panel.today(), "today")), m.sectors, ranked)
 
 
 @query("trade_plan", "symbol as_of:d " + PLAN, "SELECT * FROM cards", ("cards",))

@@ -71,6 +71,14 @@ class FeaturePanel:
         newest = self.features.newest_date()
         return self.read(newest, newest)
 
+    def last_bars(self) -> DataFrame:
+        """The newest bar of every symbol, from the states."""
+        state = self.state.read()
+        if state is None:
+            raise ValueError("the panel is empty")
+        last = F.element_at("tail", -1)
+        return state.select("symbol", *[last[c].alias(c) for c in BAR])
+
 
 def refresh_panel(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Start a stream of daily bars into the panel below ``folder``."""
