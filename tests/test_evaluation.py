@@ -399,3 +399,40 @@ def test_trees_are_walked_in_every_row():
     right, wrong = (kind(trees=10).fit(x, (x[:, 0] > 0).astype(float)) for kind in (L.Boosted, Wrong))
     assert W.trees_apart(right, x) < 1e-12 and W.trees_apart(wrong, x) == pytest.approx(0.25)
     assert W.trees_apart(right, x[:0]) == 0
+
+
+def test_models_per_symbol(spark):
+    """Folds by row number for each symbol; short symbols have none; nothing of a fold is trained on."""
+    pdf = price_frame(tuple("ABC"), 160)
+    pdf = pdf[(pdf.symbol != "C") | (pdf.date >= sorted(pdf.date.unique())[120])]
+    panel = T.label(T.indicators(bars(spark, pdf), "returns"), name="label").select("date", "symbol", "ret_1d", "ret_5d", "label")
+    out = W.walk_symbols(panel, ["ret_1d", "ret_5d"], {"p": ("logistic", {}), "b": ("boosted", {"trees": 5})}, initial=60, test=25)
+    rows = to_pandas(out, "symbol", "date")
+    known = panel.dropna().toPandas()
+    assert set(rows.symbol) == {"A", "B"}
+    for symbol in "AB":
+        days = sorted(known.date[known.symbol == symbol])
+        mine = rows[rows.symbol == symbol]
+        assert list(mine.date) == days[60:]
+        folds = mine.groupby("fold").agg(n=("date", "size"), n_train=("n_train", "first"), end=("train_end", "first"), first=("date", "min"))
+        splits = W.row_splits(len(days), 60, 25)
+        assert folds[["n", "n_train"]].to_numpy().tolist() == [[e - s, s] for s, e in splits]
+        assert all(f.end < f["first"] for _, f in folds.iterrows())
+    assert rows.gradient.max() < 1e-8 and rows[["p", "b"]].notna().all().all()
+    assert W.walk_symbols(panel, ["ret_1d"], {"p": ("logistic", {})}, initial=60, test=25, cap=70).count() == 0
+
+
+def test_poisson_weights(spark):
+    """Mean and variance one, other draws for other units and replicates, and the interval of a loop."""
+    df = spark.range(400).selectExpr("id as unit", "explode(sequence(cast(1 as bigint), cast(100 as bigint))) as r").withColumn("w", M.unit_weight(F.col("unit"), F.col("r")))
+    pdf = df.toPandas()
+    assert pdf.w.mean() == pytest.approx(1, abs=0.02) and pdf.w.var() == pytest.approx(1, abs=0.04)
+    table = pdf.pivot(index="unit", columns="r", values="w").to_numpy()
+    assert abs(np.corrcoef(table.T)[np.triu_indices(100, 1)]).mean() < 0.06 and abs(np.corrcoef(table)[np.triu_indices(400, 1)]).mean() < 0.11
+    rows = spark.createDataFrame([(i % 40, i % 3 % 2, 1) for i in range(400)], "day int, actual int, pred int")
+    got = M.poisson_bootstrap(rows, F.col("day"), 100).first()
+    n, k = np.full(40, 10), np.array([sum(i % 3 % 2 == 1 for i in range(400) if i % 40 == d) for d in range(40)])
+    acc = (table[:40].T @ k) / (table[:40].T @ n)
+    assert (got.n, got.units, got.accuracy) == (400, 40, pytest.approx(k.sum() / 400))
+    assert (got.lower, got.upper) == pytest.approx(tuple(np.quantile(acc, [0.025, 0.975])))
+    assert M.poisson_bootstrap(rows.limit(0), F.col("day"), 10).count() == 0

@@ -285,3 +285,32 @@ def test_bars_break_ties_by_price(spark):
     for shuffled in (df, df.orderBy(F.desc("px")), df.repartition(4)):
         r = roll_up(shuffled, ["symbol"], ["seq", "part"]).first()
         assert (r.open, r.high, r.low, r.close, r.volume) == (3.0, 9.0, 3.0, 9.0, 4.0)
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+@pytest.mark.parametrize("by", [[], ["k"]])
+@pytest.mark.parametrize("each", [True, False])
+def test_asof_of_any_key(spark, by, inclusive, each):
+    """Ties, nulls, a hot key, a hot time, parts that begin inside a series; against a loop."""
+    rng = np.random.default_rng(5)
+    left = [(i, "a" if i % 3 else "b", None if i % 41 == 0 else (700 if i % 4 == 0 else int(rng.integers(0, 1000)))) for i in range(600)] + [(900, None, 500)]
+    right = [("a" if i % 5 else "b", None if i % 37 == 0 else int(rng.integers(0, 1000)), None if i % 6 == 0 else i, None if i % 4 == 0 else -i) for i in range(60)] + [(None, 100, 7, 7)]
+    lhs = spark.createDataFrame(left, "id int, k string, t int")
+    rhs = spark.createDataFrame(right, "k string, u int, x int, y int")
+    got = {r.id: (r.x, r.y) for r in asof(lhs, rhs, by, ["x", "y"], on="t", right_on="u", inclusive=inclusive, each_column=each).collect()}
+
+    def low(v):
+        return tuple((x is not None, x or 0) for x in v)
+
+    for i, k, t in left:
+        marks = {}
+        for rk, u, x, y in right:
+            if u is not None and t is not None and (not by or rk == k) and (u < t or inclusive and u == t):
+                marks[u] = max(marks.get(u, (x, y)), (x, y), key=low)
+        order = [marks[u] for u in sorted(marks)]
+        if each:
+            want = tuple(next((m[c] for m in reversed(order) if m[c] is not None), None) for c in (0, 1))
+        else:
+            want = order[-1] if order else (None, None)
+        assert got[i] == want, (i, k, t)
+    assert len(got) == len(left)

@@ -6,7 +6,7 @@ import pytest
 from tickloom.plans import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
-SLOW = {"walk_forward_predictions", "walk_forward_boosted", "feature_importance", "model_leaderboard", "parameter_grid", "latest_model_signal", "best_model_signal"}
+SLOW = {"walk_forward_predictions", "walk_forward_boosted", "feature_importance", "model_leaderboard", "parameter_grid", "latest_model_signal", "best_model_signal", "symbol_model_predictions"}
 
 
 @pytest.fixture(scope="module")

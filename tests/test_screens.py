@@ -104,7 +104,11 @@ def test_cleaning_helpers(spark, history):
     assert [tuple(r) for r in finite_columns(df).collect()] == [(None, 1.0), (None, 2.0), (3.0, None)]
     empty = spark.createDataFrame([(None, None), (1.0, None)], "a double, b double")
     assert quality.drop_empty_rows(empty, ["a", "b"]).count() == 1
-    names = {r[0]: r[2] for r in quality.column_catalogue(T.feature_panel(history))}
+    panel = quality.described(T.feature_panel(history), [("rsi_14", "mine", "own words")]).select("date", "rsi_14", F.col("symbol"), "target_direction", "adx")
+    names = {r["name"]: (r["position"], r["category"]) for r in quality.column_catalogue(panel).collect()}
+    assert names == {"date": (0, "key"), "rsi_14": (1, "mine"), "symbol": (2, "key"), "target_direction": (3, "label"), "adx": (4, "trend")}
+    names = {r["name"]: r["category"] for r in quality.column_catalogue(quality.described(T.feature_panel(history))).collect()}
+    assert "other" not in names.values()
     assert names["rsi_14"] == "momentum" and names["target_direction"] == "label" and len(names) > 85
     sized = with_sector(history, spark.createDataFrame([("AAA", "IT")], "symbol string, sector string"))
     assert sized.where("sector = 'Other'").count() == 900

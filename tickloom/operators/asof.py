@@ -3,7 +3,8 @@
 Both sides are put into one series (union) and the wanted rows are carried along the
 order by window functions. There is no inequality join, the work is linear, and the
 series of one key holds daily rows of that key only. Without a key the lookup runs on
-the distinct dates (bounded by the calendar) and is joined back by date.
+the distinct dates (bounded by the calendar) and is joined back by date. Series that are
+not daily are carried along range parts.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import running
 from .calendar import join_daily
+from .ranking import PART, dealt
 
 
 def _sides(left: DataFrame, right: DataFrame, by: list[str], on: str, right_on: str, columns: list[str], right_first: bool) -> DataFrame:
@@ -36,16 +38,53 @@ def asof(
     """Add the values of the latest right row at or before (``inclusive``) the left row.
 
     ``each_column`` carries every column's own latest non-NULL value instead of the
-    values of one row. Without ``by`` the left table is read twice: give a stored one.
+    values of one row. Lookups by ``date`` use the calendar's bound; any other key goes
+    through ``asof_ranges``. Without ``by`` the left table is read twice: give a stored one.
     """
     right_on = right_on or on
+    if on != "date":
+        return asof_ranges(left, right, by, columns, on, right_on, inclusive, each_column)
     if not by:
         dates = left.select(on).distinct()
-        found = _carry(dates, right, [], columns, on, right_on, inclusive, each_column)
-        return join_daily(left, found) if on == "date" else left.join(F.broadcast(found), on, "left")
+        return join_daily(left, _carry(dates, right, [], columns, on, right_on, inclusive, each_column))
     return _carry(left, right, by, columns, on, right_on, inclusive, each_column)
 
 
+def asof_ranges(left: DataFrame, right: DataFrame, by: list[str], columns: list[str], on: str, right_on: str | None = None, inclusive: bool = True, each_column: bool = False) -> DataFrame:
+    """``asof`` for a key with any number of values, such as a time stamp.
+
+    Both sides are first reduced to one row per (by, on): whether the left has it, and the
+    right row there (of several the one with the greatest values). These rows are dealt out by
+    range, so a series spans as many tasks as it needs; a task carries the values along its
+    part, and what enters a part from the left is found from one row per series and part. The
+    values found join back by equality, which Spark splits where a key is hot. Right rows
+    without a key are left out; a left row without one gets NULLs.
+    """
+    right_on = right_on or on
+    values = F.struct(*[F.col(c).alias(c) for c in columns])
+    marks = right.where(F.col(right_on).isNotNull()).groupBy(*by, F.col(right_on).alias("_on")).agg(F.max(values).alias("_right"))
+    asked = left.where(F.col(on).isNotNull()).select(*by, F.col(on).alias("_on")).distinct().withColumn("_asked", F.lit(True))
+    points = asked.unionByName(marks, allowMissingColumns=True).groupBy(*by, "_on").agg(F.max("_asked").alias("_asked"), F.max("_right").alias("_right"))
+    points = dealt(points, *by, "_on")
+    here = Window.partitionBy(*by, PART).orderBy("_on").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    parts = Window.partitionBy(*(by or [F.lit(0)])).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    names = {c: F.col(f"_right.{c}") for c in columns} if each_column else {"": F.col("_right")}
+    ends = points.groupBy(*by, PART).agg(*[F.max_by(v, F.when(v.isNotNull(), F.col("_on"))).alias(f"_end_{c}") for c, v in names.items()])
+    enters = ends.select(*by, PART, *[F.last(f"_end_{c}", ignorenulls=True).over(parts).alias(f"_in_{c}") for c in names])
+    inside = points.withColumns({f"_at_{c}": F.last(v, ignorenulls=True).over(here) for c, v in names.items()}).where("_asked")
+    same_series = F.lit(True)
+    for c in by:
+        same_series = same_series & inside[c].eqNullSafe(enters[c])
+    both = inside.join(enters, same_series & (inside[PART] == enters[PART]), "left")
+    value = {c: F.coalesce(f"_at_{c}", f"_in_{c}") for c in names}
+    picked = [value[c].alias(f"_v_{c}") for c in columns] if each_column else [value[""][c].alias(f"_v_{c}") for c in columns]
+    found = both.select(*[inside[c].alias(f"_by_{c}") for c in by], F.col("_on"), *picked)
+    match = left[on] == found["_on"]
+    for c in by:
+        match = match & left[c].eqNullSafe(found[f"_by_{c}"])
+    return left.join(found, match, "left").select(*[left[c] for c in left.columns], *[F.col(f"_v_{c}").alias(c) for c in columns])
+
+
 def asof_daily(daily: DataFrame, right: DataFrame, columns: list[str], inclusive: bool = True) -> DataFrame:
     """The same for a left table that has one row per date itself."""
     return _carry(daily, right, [], columns, "date", "date", inclusive, False)

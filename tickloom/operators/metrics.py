@@ -6,6 +6,7 @@ aggregation; no scores are sorted in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -318,6 +319,41 @@ def bootstrap_accuracy(df: DataFrame, actual: str = "actual", pred: str = "pred"
     ).select("n", ratio("k", "n").alias("accuracy"), "lower", "upper")
 
 
+PRIME = 2_147_483_647
+POISSON = [sum(math.exp(-1.0) / math.factorial(j) for j in range(k + 1)) for k in range(13)]  # chance of k or fewer
+
+
+def unit_weight(unit: Column, replicate: Column) -> Column:
+    """How often a unit is drawn in a replicate: Poisson with mean one, from a hash of both numbers.
+
+    Squares modulo a prime mix the bits; the place in [0, 1) is looked up among ``POISSON``.
+    Whole numbers only, so any engine gets the same draws.
+    """
+    x = (F.pmod(unit, F.lit(PRIME)) * 48271 + replicate * 1_103_515_245 + 12345) % PRIME
+    for add in (1_013_904_223, 362_437, 521_288_629):
+        x = (x * x + F.pmod(unit, F.lit(PRIME)) + replicate * 7919 + add) % PRIME
+    place = x / F.lit(float(PRIME))
+    return sum((F.when(place >= c, 1).otherwise(0) for c in POISSON), F.lit(0))
+
+
+def poisson_bootstrap(df: DataFrame, unit: Column, resamples: int = 1000, confidence: float = 0.95, actual: str = "actual", pred: str = "pred") -> DataFrame:
+    """Percentile interval of the accuracy when whole units (a day, a symbol) are drawn with replacement.
+
+    Rows of one unit stand or fall together, so the interval is right where they are alike. They
+    are counted once per unit; a replicate then reads units, not rows, and each draw depends on
+    the numbers of its unit and replicate alone, wherever and however often it is made.
+    """
+    right = F.count_if(F.col(actual) == F.col(pred))
+    counts = df.groupBy(unit.cast("long").alias("unit")).agg(F.count("*").alias("n"), right.alias("k"))
+    draws = counts.select("n", "k", "unit", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(resamples).cast("long"))).alias("r"))
+    draws = draws.withColumn("w", unit_weight(F.col("unit"), F.col("r")))
+    each = draws.groupBy("r").agg(ratio(F.sum(F.col("w") * F.col("k")), F.sum(F.col("w") * F.col("n"))).alias("acc"))
+    tail = (1.0 - confidence) / 2.0
+    interval = each.agg(F.percentile("acc", F.lit(tail)).alias("lower"), F.percentile("acc", F.lit(1.0 - tail)).alias("upper"), F.stddev_samp("acc").alias("spread"))
+    whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("units"), ratio(F.sum("k"), F.sum("n")).alias("accuracy")).where("n > 0")
+    return whole.crossJoin(F.broadcast(interval))  # one row each
+
+
 THRESHOLDS = [0.40 + 0.005 * i for i in range(41)]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -161,21 +162,61 @@ def freshness(bars: DataFrame, today: str) -> DataFrame:
     return out.withColumns({"age_days": age, "is_stale": F.coalesce(age > 1, F.lit(True))})
 
 
-def column_catalogue(df: DataFrame, describe: dict[str, tuple[str, str]] | None = None) -> list[tuple[str, str, str, str]]:
-    """(name, type, category, description) per column; category by name prefix unless given."""
-    families = {
-        "ret": "returns", "log": "returns", "sma": "trend", "ema": "trend", "dist": "trend", "rsi": "momentum",
-        "macd": "momentum", "stoch": "momentum", "adx": "trend", "plus": "trend", "minus": "trend",
-        "volatility": "volatility", "vol": "volatility", "atr": "volatility", "bb": "volatility", "volume": "volume",
-        "avg": "volume", "obv": "volume", "rank": "cross_section", "excess": "cross_section", "rel": "cross_section",
-        "target": "label",
-    }
-    described = describe or {}
-    rows = []
+# how a feature's name says what it is: pattern, category, description (\\1, \\2: parts of the name)
+FEATURE_RULES = [
+    (r"ret_(\d+)d", "returns", r"change of the close over \1 rows"),
+    (r"log_ret_(\d+)d", "returns", r"logarithm of the close against \1 rows before"),
+    (r"hl_range", "price", "range of the day as a share of the close"),
+    (r"co_return", "price", "close against the open of the day"),
+    (r"gap_return", "price", "open against the close before"),
+    (r"sma_(\d+)", "trend", r"mean close of \1 rows"),
+    (r"ema_(\d+)", "trend", r"exponentially smoothed close, span \1"),
+    (r"dist_(sma|ema)_(\d+)", "trend", r"distance of the close from \1_\2"),
+    (r"sma_(\d+)_(\d+)_cross", "trend", r"flag: the mean of \1 rows is above that of \2"),
+    (r"rsi_(\d+)", "momentum", r"relative strength index of \1 rows"),
+    (r"rsi_(overbought|oversold)", "momentum", r"flag: the relative strength index is \1"),
+    (r"(rsi|macd|volume)_momentum", "momentum", r"change of \1 from the row before"),
+    (r"macd(_signal|_hist|_cross)?", "momentum", r"difference of smoothed closes by the close\1"),
+    (r"stoch_(k|d)", "momentum", r"stochastic oscillator, line \1"),
+    (r"stoch_(cross|extreme_high|extreme_low)", "momentum", r"flag: stochastic oscillator, \1"),
+    (r"(plus|minus)_di", "trend", r"directional indicator, \1"),
+    (r"adx", "trend", "average directional index"),
+    (r"adx_strong", "trend", "flag: the average directional index is above 25"),
+    (r"volatility_(\d+)d", "volatility", r"deviation of daily returns over \1 rows"),
+    (r"(vol_regime|high_vol_regime|low_vol_regime)", "volatility", r"short against long volatility: \1"),
+    (r"atr_(\d+)", "volatility", r"average true range of \1 rows"),
+    (r"bb_(upper|lower|position|width)", "volatility", r"Bollinger band, \1"),
+    (r"bb_(squeeze|breakout_up|breakout_dn)", "volatility", r"flag: Bollinger band, \1"),
+    (r"avg_volume_(\d+)d", "volume", r"mean volume of \1 rows"),
+    (r"(volume_pct_change|volume_ratio_20d|volume_spike)", "volume", r"volume against earlier rows: \1"),
+    (r"obv(_normalised)?", "volume", r"running total of signed volume\1"),
+    (r"(mean_reversion|price_accel|ret_5d_ma|trend_alignment)", "momentum", r"derived from returns and means: \1"),
+    (r"(dist_52w_high|dist_52w_low|pct_52w_range)", "range", r"place of the close in its year: \1"),
+    (r"target_direction", "label", "1 if the next close is higher, else 0"),
+    (r"(symbol|date)", "key", r"\1 of the row"),
+    (r"(open|high|low|close|volume)", "bar", r"\1 of the day"),
+]
+
+
+def described(df: DataFrame, extra: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """The columns with category and description as metadata, which plans and files carry along.
+
+    The first rule whose pattern fits the whole name counts; ``extra`` rules go first. A column
+    that no rule knows keeps the metadata it has.
+    """
+    rules = [*(extra or []), *FEATURE_RULES]
+    out = []
     for f in df.schema.fields:
-        category, text = described.get(f.name, (families.get(f.name.split("_")[0], "other"), f.name.replace("_", " ")))
-        rows.append((f.name, f.dataType.simpleString(), category, text))
-    return rows
+        known = next(((c, re.fullmatch(p, f.name).expand(t)) for p, c, t in rules if re.fullmatch(p, f.name)), None)
+        metadata = f.metadata | ({"category": known[0], "description": known[1]} if known else {})
+        out.append(F.col(f"`{f.name}`").alias(f.name, metadata=metadata))
+    return df.select(*out)
+
+
+def column_catalogue(df: DataFrame) -> DataFrame:
+    """One row per column: name, position, type, category and description from its metadata (other: none given)."""
+    rows = [(i, f.name, f.dataType.simpleString(), f.metadata.get("category", "other"), f.metadata.get("description", "")) for i, f in enumerate(df.schema.fields)]
+    return df.sparkSession.createDataFrame(rows, "position int, name string, type string, category string, description string")
 
 
 def require_columns(df: DataFrame, required: list[str]) -> DataFrame:

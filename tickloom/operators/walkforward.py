@@ -270,6 +270,42 @@ def fit_checks(panel: DataFrame, features: list[str], models: Models, label: str
     return per_partition(by_block(ready, features, blocks, label), run, "block int, n_train long, n_test long, gradient double, apart double")
 
 
+def walk_symbols(panel: DataFrame, features: list[str], models: Models, label: str = "label", initial: int = 500, test: int = 21, cap: int = 20_000) -> DataFrame:
+    """Walk-forwards of one model per symbol, all symbols side by side.
+
+    A symbol's complete rows (label and every feature known) are split by number: the first
+    ``initial`` and later all rows before a fold train it, the next ``test`` are predicted. One
+    group holds the daily rows of one symbol, the newest ``cap`` of them (80 years); symbols with
+    fewer than ``initial + test`` rows have no fold. Returns date, symbol, label, fold, n_train,
+    train_end, one probability per model, and ``gradient`` (largest entry left of the linear fits, 0 without one).
+    """
+    for kind, params in models.values():
+        learner(kind, params)
+    known = F.col(label).isNotNull()
+    for f in features:
+        known = known & F.col(f"`{f}`").isNotNull()
+    rows = panel.where(known).select("date", "symbol", F.col(label).cast("double").alias("label"), packed(features))
+    names = ", ".join(f"{m} double" for m in models)
+    schema = _parse_datatype_string(f"date date, symbol string, label double, fold int, n_train long, train_end date, {names}, gradient double")
+
+    def run(group: pa.Table) -> pa.Table:
+        target = to_arrow_schema(schema)
+        group = group.sort_by("date").slice(max(0, group.num_rows - cap))
+        x, keys = unpacked(group["x"]), group.drop_columns("x").to_pandas()
+        y, out = keys["label"].to_numpy(), []
+        for fold, (size, end) in enumerate(row_splits(len(x), initial, test) if len(x) >= initial + test else []):
+            bins = L.cut(x[:size]) if any(kind != "logistic" for kind, _ in models.values()) else None
+            fitted = {name: learner(kind, params).fit(x[:size], y[:size], bins) for name, (kind, params) in models.items()}
+            left = max((m.gradient for m in fitted.values() if isinstance(m, L.Linear)), default=0.0)
+            part = keys[size:end].assign(fold=fold, n_train=size, train_end=keys["date"].iloc[size - 1], gradient=left)
+            out.append(part.assign(**{name: m.predict(x[size:end]) for name, m in fitted.items()}))
+        return pa.Table.from_pandas(pd.concat(out)[target.names], schema=target, preserve_index=False) if out else target.empty_table()
+
+    # small tables would be fitted by one task: a given number of partitions is not merged
+    parts = 4 * panel.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(parts, "symbol").groupBy("symbol").applyInArrow(run, schema)
+
+
 def prediction_table(preds: DataFrame, model_name: str, returns: DataFrame, label: str = "label") -> DataFrame:
     """Long prediction table with outcome and next-day return."""
     joined = preds.join(returns.select("date", "symbol", "next_ret"), ["date", "symbol"], "left")

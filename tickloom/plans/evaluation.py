@@ -15,7 +15,7 @@ from ..operators.quality import plausible_returns
 from ..operators.ranking import percent_ranks
 from ..session import stored
 from .base import columns, cte, query
-from .features import FEATURES
+from .features import COMPACT_SQL, FEATURES
 
 COUNTS = "n:i tp:i fp:i tn:i fn:i "
 RATES = "accuracy:f9 balanced_accuracy:f9 precision:f9 recall:f9 f1:f9 brier_score:f9 roc_auc:f9"
@@ -403,6 +403,28 @@ def bootstrap_ci(m):
     return M.bootstrap_accuracy(m.predictions)
 
 
+POISSON_SQL = " + ".join(f"(CASE WHEN place >= {c!r} THEN 1 ELSE 0 END)" for c in M.POISSON)
+
+
+@query(
+    "bootstrap_days",
+    "n:i units:i accuracy:f9 lower:f9 upper:f9 spread:f9",
+    f"""WITH c AS (SELECT date - date '1970-01-01' AS unit, count(*) AS n, count(*) FILTER (pred = actual) AS k FROM preds GROUP BY 1),
+       h0 AS (SELECT *, (unit % {M.PRIME} * 48271 + r * 1103515245 + 12345) % {M.PRIME} AS x FROM c, (SELECT unnest(range(1, 1001)) AS r)),
+       h1 AS (SELECT * REPLACE ((x * x + unit % {M.PRIME} + r * 7919 + 1013904223) % {M.PRIME} AS x) FROM h0),
+       h2 AS (SELECT * REPLACE ((x * x + unit % {M.PRIME} + r * 7919 + 362437) % {M.PRIME} AS x) FROM h1),
+       h3 AS (SELECT * REPLACE ((x * x + unit % {M.PRIME} + r * 7919 + 521288629) % {M.PRIME} AS x) FROM h2),
+       w AS (SELECT r, n, k, {POISSON_SQL} AS w FROM (SELECT *, x / {float(M.PRIME)!r}E0 AS place FROM h3)),
+       a AS (SELECT r, sum(w * k) / (0E0 + sum(w * n)) AS acc FROM w GROUP BY 1)
+       SELECT (SELECT sum(n) FROM c) AS n, (SELECT count(*) FROM c) AS units, (SELECT sum(k) / (0E0 + sum(n)) FROM c) AS accuracy,
+       quantile_cont(acc, 0.025) AS lower, quantile_cont(acc, 0.975) AS upper, stddev_samp(acc) AS spread FROM a""",
+    ("preds",),
+)
+def bootstrap_days(m):
+    """The accuracy's interval when whole days are drawn with replacement."""
+    return M.poisson_bootstrap(m.predictions, F.unix_date("date"))
+
+
 @query(
     "baseline_rules",
     "model n:i accuracy:f9",
@@ -605,6 +627,45 @@ def linear_model(m):
     return rows.select("feature", size.alias("magnitude"), *scaled, (F.abs("slope") < 1e-8).alias("flat"))
 
 
+def symbol_panel(m):
+    """Compact features with the next-day label, without implausible next moves."""
+    rows = T.forward_return(T.label(T.compact_features(m.bars), name="label"))
+    return stored(plausible_returns(rows, "next_ret").select("symbol", "date", *T.COMPACT, "label"), "symbols")
+
+
+cte(
+    "symbol_rows",
+    f"""SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS no, count(*) OVER (PARTITION BY symbol) AS n
+       FROM (SELECT c.*, lead("close") OVER (PARTITION BY symbol ORDER BY date) / "close" - 1 AS next_ret FROM (
+       {COMPACT_SQL.replace('SELECT symbol, date,', 'SELECT symbol, date, "close",').replace('FROM feat2', 'FROM feat2l')}) c)
+       WHERE abs(next_ret) <= 0.5 AND {' AND '.join(f'{c} IS NOT NULL' for c in [*T.COMPACT, 'label'])}""",
+    "feat2l",
+)
+
+
+@query(
+    "symbol_folds",
+    "symbol fold:i n_train:i n_test:i train_end:d test_start:d test_end:d up:i at_optimum",
+    """SELECT f.symbol, f.fold, f.no AS n_train, count(*) AS n_test, f.before AS train_end, min(r.date) AS test_start, max(r.date) AS test_end, sum(r.label) AS up, true AS at_optimum
+       FROM (SELECT symbol, no, (no - 500) // 21 AS fold, before FROM (SELECT *, lag(date) OVER (PARTITION BY symbol ORDER BY date) AS before FROM symbol_rows) WHERE n >= 521 AND no >= 500 AND (no - 500) % 21 = 0) f
+       JOIN symbol_rows r ON r.symbol = f.symbol AND r.no >= f.no AND r.no < f.no + 21 GROUP BY ALL""",
+    ("symbol_rows",),
+)
+def symbol_folds(m):
+    """One model per symbol, refitted every 21 rows: the folds, and whether each linear fit reached its optimum."""
+    out = W.walk_symbols(symbol_panel(m), T.COMPACT, {"prob": ("logistic", LOGISTIC)})
+    each = out.groupBy("symbol", "fold", "n_train", "train_end").agg(
+        F.count("*").alias("n_test"), F.min("date").alias("test_start"), F.max("date").alias("test_end"), F.sum("label").alias("up"), F.max("gradient").alias("g")
+    )
+    return each.withColumn("at_optimum", F.col("g") < 1e-8)
+
+
+@query("symbol_model_predictions", "date:d symbol fold:i prob:f6 label:i train_end:d")
+def symbol_model_predictions(m):
+    """Boosted trees per symbol, refitted every 21 rows."""
+    return W.walk_symbols(symbol_panel(m), T.COMPACT, {"prob": ("boosted", BOOSTED)})
+
+
 @query("latest_model_signal", "symbol date:d close:f9 prob_up:f6 signal_rank:i")
 def latest_model_signal(m):
     """The linear model fitted on all labelled rows up to the cap, applied to the newest row of each symbol."""

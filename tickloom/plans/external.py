@@ -226,6 +226,38 @@ def asof_by_symbol(m):
 
 
 
+cte("stamps", "SELECT event_type AS symbol, ts, event_id AS seq, 100.0E0 + value / 10.0E0 AS px FROM events")
+
+
+def marks_sql(by: str) -> str:
+    """A seventh of the events, the greatest price of each time stamp."""
+    return f"(SELECT {by}ts, max(px) AS mark FROM stamps WHERE seq % 7 = 0 GROUP BY ALL)"
+
+
+@query("asof_time", "seq:i ts:t mark:f9", f"SELECT e.seq, e.ts, k.mark FROM stamps e ASOF LEFT JOIN {marks_sql('')} k ON e.ts >= k.ts", ("stamps",))
+def asof_time(m):
+    """The latest mark at or before every event, over all symbols: a key that is no date."""
+    events, marks = _stamps(m)
+    return asof(events, marks, [], ["mark"], on="ts")
+
+
+@query(
+    "asof_time_by_symbol",
+    "symbol seq:i ts:t mark:f9",
+    f"SELECT e.symbol, e.seq, e.ts, k.mark FROM stamps e ASOF LEFT JOIN {marks_sql('symbol, ')} k ON e.symbol = k.symbol AND e.ts > k.ts",
+    ("stamps",),
+)
+def asof_time_by_symbol(m):
+    """The latest mark of the same symbol before every event; one symbol may hold most of them."""
+    events, marks = _stamps(m)
+    return asof(events, marks, ["symbol"], ["mark"], on="ts", inclusive=False)
+
+
+def _stamps(m):
+    events = stored(m.event_ticks.select("symbol", "ts", "seq", "px"), "events")
+    return events, events.where("seq % 7 = 0").select("symbol", "ts", F.col("px").alias("mark"))
+
+
 def _session_sql(last: int) -> str:
     """The date, or the next Monday if the weekday is after ``last``: every row belongs to a session."""
     return f"CASE WHEN isodow(date) <= {last} THEN date ELSE date + (8 - isodow(date))::integer END"

@@ -12,7 +12,7 @@ from ..operators.bars import candles, daily_from_candles
 from ..operators.calendar import by_date, join_daily
 from ..operators.cross import cross_section, with_market_state, with_sector, with_sector_state
 from ..operators.incremental import refresh_features
-from ..session import stored
+from ..session import stored, work_folder
 from .base import columns, cte, query
 from .tables_sql import avg_n
 
@@ -523,3 +523,42 @@ def future_dependence(m):
         return T.indicators(b).withColumn("planted", F.lead("close").over(R.series()))
 
     return audit.future_dependence(build, bars, "2000-12-31", AUDITED)
+
+
+# --- catalogue -------------------------------------------------------------
+
+CATALOGUED = ["symbol", "date", "open", "high", "low", "close", "volume", *FEATURES, "target_direction"]
+
+
+def _rule(column: int) -> str:
+    cases = " ".join(f"WHEN regexp_full_match(name, '{r[0]}') THEN " + (f"'{r[1]}'" if column == 1 else f"regexp_replace(name, '^(?:{r[0]})$', '{r[2]}')") for r in quality.FEATURE_RULES)
+    return f"CASE {cases} ELSE '{'other' if column == 1 else ''}' END"
+
+
+@query(
+    "feature_catalogue",
+    "position:i name type category description",
+    f"""SELECT no - 1 AS position, name, CASE name WHEN 'symbol' THEN 'string' WHEN 'date' THEN 'date' ELSE 'double' END AS type, {_rule(1)} AS category, {_rule(2)} AS description
+       FROM (SELECT unnest([{", ".join(f"'{c}'" for c in CATALOGUED)}]) AS name, unnest(range(1, {len(CATALOGUED) + 1})) AS no)""",
+)
+def feature_catalogue(m):
+    """What the stored feature panel says about its columns: the metadata went through a plan and a file."""
+    panel = quality.described(T.feature_panel(m.bars)).where("close > 0").select(*CATALOGUED)
+    folder = work_folder(m.spark, "catalogue")
+    panel.write.parquet(folder)
+    return quality.column_catalogue(m.spark.read.parquet(folder))
+
+
+@query(
+    "finite_inputs",
+    "column_name nulls:i n_rows:i",
+    """SELECT unnest(['ratio', 'drift', 'l_discount']) AS column_name, unnest([n, n, 0]) AS nulls, n_rows FROM (SELECT count(*) FILTER (l_discount = 0) AS n, count(*) AS n_rows FROM lineitem)""",
+)
+def finite_inputs(m):
+    """Infinite and undefined quotients become NULL; rows without any value go."""
+    from ..functions.scalar import finite_columns
+
+    rows = m.table("lineitem").select(F.try_divide(F.lit(1.0), F.lit(1.0)).alias("one"), "l_discount")
+    zero = F.col("l_discount") == 0
+    wild = rows.withColumns({"ratio": F.when(zero, F.lit(float("inf"))).otherwise(F.col("one")), "drift": F.when(zero, F.lit(float("nan"))).otherwise(F.col("one"))})
+    return quality.null_counts(quality.drop_empty_rows(finite_columns(wild), ["ratio", "drift", "l_discount"]), ["ratio", "drift", "l_discount"])
