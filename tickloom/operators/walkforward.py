@@ -270,13 +270,17 @@ def fit_checks(panel: DataFrame, features: list[str], models: Models, label: str
     return per_partition(by_block(ready, features, blocks, label), run, "block int, n_train long, n_test long, gradient double, apart double")
 
 
+SIDE = 4  # groups that share the folds of a symbol
+
+
 def walk_symbols(panel: DataFrame, features: list[str], models: Models, label: str = "label", initial: int = 500, test: int = 21, cap: int = 20_000) -> DataFrame:
     """Walk-forwards of one model per symbol, all symbols side by side.
 
     A symbol's complete rows (label and every feature known) are split by number: the first
     ``initial`` and later all rows before a fold train it, the next ``test`` are predicted. One
     group holds the daily rows of one symbol, the newest ``cap`` of them (80 years); symbols with
-    fewer than ``initial + test`` rows have no fold. Returns date, symbol, label, fold, n_train,
+    fewer than ``initial + test`` rows have no fold. The folds of a symbol are dealt to ``SIDE``
+    groups with a copy of its rows each, so one long symbol does not hold up the others. Returns date, symbol, label, fold, n_train,
     train_end, one probability per model, and ``gradient`` (largest entry left of the linear fits, 0 without one).
     """
     for kind, params in models.values():
@@ -291,9 +295,12 @@ def walk_symbols(panel: DataFrame, features: list[str], models: Models, label: s
     def run(group: pa.Table) -> pa.Table:
         target = to_arrow_schema(schema)
         group = group.sort_by("date").slice(max(0, group.num_rows - cap))
-        x, keys = unpacked(group["x"]), group.drop_columns("x").to_pandas()
+        x, keys = unpacked(group["x"]), group.drop_columns(["x", "side"]).to_pandas()
         y, out = keys["label"].to_numpy(), []
+        mine = group["side"][0].as_py() if group.num_rows else 0
         for fold, (size, end) in enumerate(row_splits(len(x), initial, test) if len(x) >= initial + test else []):
+            if fold % SIDE != mine:
+                continue
             bins = L.cut(x[:size]) if any(kind != "logistic" for kind, _ in models.values()) else None
             fitted = {name: learner(kind, params).fit(x[:size], y[:size], bins) for name, (kind, params) in models.items()}
             left = max((m.gradient for m in fitted.values() if isinstance(m, L.Linear)), default=0.0)
@@ -303,7 +310,8 @@ def walk_symbols(panel: DataFrame, features: list[str], models: Models, label: s
 
     # small tables would be fitted by one task: a given number of partitions is not merged
     parts = 4 * panel.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(parts, "symbol").groupBy("symbol").applyInArrow(run, schema)
+    dealt = rows.withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))))
+    return dealt.repartition(parts, "symbol", "side").groupBy("symbol", "side").applyInArrow(run, schema)
 
 
 def prediction_table(preds: DataFrame, model_name: str, returns: DataFrame, label: str = "label") -> DataFrame:
