@@ -94,8 +94,13 @@ def word_distance(a, b):
     return row[-1]
 
 
-def dedup_lines(rows, least=5, least_edit=8):
-    """Texts without later copies, by comparing every line with every earlier one."""
+ALONE = "\u0e00-\u0eff\u1000-\u107f\u1780-\u17ff\u3000-\u9fff\U00020000-\U0003ffff"
+UNIT = re.compile(rf"[{ALONE}]|[^\x20\x09-\x0D{ALONE}]+")
+
+
+def dedup_lines(rows):
+    """Texts without later copies, by comparing every line with every earlier one: equal, or one
+    word (in scripts without spaces: character) apart and as similar as four words of five."""
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0))
     earlier, out = [], {}
     for k in order:
@@ -105,11 +110,11 @@ def dedup_lines(rows, least=5, least_edit=8):
             continue
         kept = []
         for line in text.split("\n"):
-            w = WORD.findall(lower(line))
-            if len(w) < least:
+            w = UNIT.findall(lower(line))
+            if not w:
                 kept.append(line)
                 continue
-            near = any(w == e or (min(len(w), len(e)) >= least_edit and abs(len(w) - len(e)) <= 1 and word_distance(w, e) <= 1) for e in earlier)
+            near = any(w == e or (max(len(w), len(e)) >= 5 and abs(len(w) - len(e)) <= 1 and word_distance(w, e) <= 1) for e in earlier)
             earlier.append(w)
             if not near:
                 kept.append(line)

@@ -1,8 +1,10 @@
 """Near-duplicate lines by a deletion-neighbourhood join.
 
-Lines are compared as sequences of words (A-Z in lower case, white space ignored). Two lines
-are near when one word changed, added or removed turns one into the other. Every line emits
-the hashes of itself and of its variants with one word deleted:
+Lines are compared as sequences of words (A-Z in lower case, white space ignored; in scripts
+without spaces every character counts as a word). Equal lines of any length meet. Two lines
+are near when one word changed, added or removed turns one into the other and this is at most
+a fifth of the longer line (a similarity of 0.8). Every line emits the hashes of itself and of
+its variants with one word deleted:
 
 * a variant of one line equal to another whole line is an added or removed word;
 * variants of two lines that are equal after deleting at the same place are a changed word.
@@ -26,8 +28,7 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .tokens import Block, column, map_texts, mix, owners, powers, table
 
-MIN_WORDS = 5  # shorter lines are no evidence of copying and always stay
-MIN_EDIT_WORDS = 8  # two lines that both have as many may differ by a word; shorter ones must be equal
+EDIT_WORDS = 5  # words of the longer of two near lines: one word is then at most a fifth of it
 
 
 class Lines:
@@ -35,7 +36,7 @@ class Lines:
 
     def __init__(self, texts: pa.Array):
         block = Block(texts).lowered()
-        starts, stops, _ = block.words()
+        starts, stops, _ = block.units()
         words = block.hashes(starts, stops)
         self.line_starts, self.line_stops, self.first = block.lines()
         self.begin = np.searchsorted(starts, self.line_starts)
@@ -66,15 +67,16 @@ def _half(n: np.ndarray) -> np.ndarray:
 def _list_lines(batch: pa.RecordBatch) -> pa.RecordBatch:
     lines = Lines(column(batch, "text"))
     n = lines.end - lines.begin
-    at = np.flatnonzero(n >= MIN_WORDS)
+    at = np.flatnonzero(n)
     a, z, n = lines.begin[at], lines.end[at], n[at]
     keys = []
-    for length in (n, n - 1):
+    for length in (n, n - 1):  # halves of the shorter line of a pair: this one, or one with a word less
         t = _half(length)
         keys += [lines.hash(a, a + t) + t.astype(np.uint64), ~lines.hash(z - t, z) + t.astype(np.uint64)]
     keys = np.stack(keys, 1).view(np.int64)
     same = _half(n) == _half(n - 1)
-    use = np.repeat((n >= MIN_EDIT_WORDS)[:, None], 4, 1) & np.stack([np.ones_like(same), np.ones_like(same), ~same, ~same], 1)
+    shorter, longer = n >= EDIT_WORDS - 1, (n >= EDIT_WORDS) & ~same
+    use = np.stack([shorter, shorter, longer, longer], 1)
     sizes = use.sum(1)
     row = pa.array(lines.owner[at])
     return table(
@@ -85,16 +87,17 @@ def _list_lines(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _variants(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The line itself (place -1) and its variants, for the line numbers in ``wanted``."""
+    """The line itself (place -1) and its variants, for the line numbers in ``wanted``. A line
+    one word short of EDIT_WORDS can only be the shorter one of a pair: it has no variants."""
     lines = Lines(column(batch, "text"))
     wanted = column(batch, "wanted")
     sizes = np.asarray(pc.list_value_length(wanted).fill_null(0))
     of = np.repeat(np.arange(len(sizes)), sizes)
     at = lines.first[of] + np.asarray(wanted.flatten())
     a, z = lines.begin[at], lines.end[at]
-    n = z - a
-    rows = np.repeat(np.arange(len(at)), n + 1)
-    place = np.arange(len(rows)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1) - 1
+    n = np.where(z - a >= EDIT_WORDS, z - a, 0) + 1
+    rows = np.repeat(np.arange(len(at)), n)
+    place = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) - 1
     whole = place < 0
     k = np.where(whole, a[rows], a[rows] + place)
     v = np.where(whole, lines.hash(a, z)[rows], lines.hash_without(a[rows], z[rows], k))
@@ -110,7 +113,7 @@ def _cut(names: list[str], text_type: pa.DataType):
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = column(batch, "text")
         lines = Lines(texts)
-        stay = lines.end - lines.begin < MIN_WORDS
+        stay = lines.end == lines.begin
         kept = column(batch, "kept")
         sizes = np.asarray(pc.list_value_length(kept).fill_null(0))
         stay[lines.first[np.repeat(np.arange(len(sizes)), sizes)] + np.asarray(kept.flatten())] = True
@@ -131,7 +134,7 @@ def _same(a: str, b: str) -> Column:
 
 
 def kept_lines(keyed: DataFrame) -> DataFrame:
-    """(doc_id, th, kept): the numbers of the lines of each text that stay, short lines aside.
+    """(doc_id, th, kept): the numbers of the lines of each text that stay, lines without a word aside.
 
     ``keyed`` has the columns doc_id, th (hash of the text) and text. A line stays if no
     earlier line, by doc_id, th and line number, is equal or near.
@@ -169,9 +172,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Adds ``n_lines`` and ``n_removed``; all columns of ``docs`` stay (it needs ``doc_id`` and
     ``text``; a column named n_lines or n_removed is replaced). The earliest of near lines, by
     doc_id (null first), then text hash, then line number, stays; a line goes when an earlier
-    line is near, even if that one goes too. Lines of under ``MIN_WORDS`` words stay; lines of
-    under ``MIN_EDIT_WORDS`` words are near only to equal ones. Rows that repeat a doc_id and text are
-    one document and are cut alike. A null text counts as one empty line and stays null; a
+    line is near, even if that one goes too. Lines without a word stay. Two lines of which neither
+    has ``EDIT_WORDS`` words are near only if equal. Rows that repeat a doc_id and text are one document and are cut alike. A null text counts as one empty line and stays null; a
     text that loses every line becomes empty. An empty table gives an empty result.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]

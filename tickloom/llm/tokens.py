@@ -72,13 +72,15 @@ class Block:
         other.at, other.n, other.data = self.at, self.n, LOWER[self.data]
         return other
 
-    def spans(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def spans(self, inside: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Runs of true bytes that do not cross texts: starts, ends, and ``first`` where
-        the runs ``first[i]:first[i+1]`` belong to text i."""
+        the runs ``first[i]:first[i+1]`` belong to text i. Runs also break before the bytes ``cuts``."""
         if not len(inside):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(self.n + 1, np.int64)
         edge = np.zeros(len(inside) + 1, bool)
         edge[self.at] = True
+        if cuts is not None:
+            edge[cuts] = True
         begins = inside.copy()
         begins[1:] &= ~inside[:-1] | edge[1:-1]
         ends = inside.copy()
@@ -89,6 +91,19 @@ class Block:
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return self.spans(~SPACE[self.data])
 
+    def units(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words, but every character of a script written without spaces stands alone:
+        U+0E00-0EFF, U+1000-107F, U+1780-17FF, U+3000-9FFF and U+20000-3FFFF."""
+        at = np.flatnonzero((self.data >= 0xE0) & (self.data <= 0xF0))
+        lead, then = self.data[at], self.data[np.minimum(at + 1, max(len(self.data) - 1, 0))]
+        alone = (lead >= 0xE3) & (lead <= 0xE9)
+        alone |= (lead == 0xE0) & (then >= 0xB8) & (then <= 0xBB)
+        alone |= (lead == 0xE1) & np.isin(then, [0x80, 0x81, 0x9E, 0x9F])
+        alone |= (lead == 0xF0) & (then >= 0xA0)
+        begin = at[alone]
+        end = np.minimum(begin + np.where(lead[alone] == 0xF0, 4, 3), len(self.data))
+        return self.spans(~SPACE[self.data], np.concatenate([begin, end]))
+
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ``\\n``-split lines: starts, ends (without the break) and ``first`` as in ``spans``."""
         breaks = np.flatnonzero(self.data == 10)
