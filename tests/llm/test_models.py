@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from helpers import AWKWARD, documents
 from tickloom.llm import language_id, quality_model, queries, toxicity
+from tickloom.llm.letters import Words
 
 LARGER, LARGEST = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
@@ -186,7 +187,79 @@ def test_scores_do_not_depend_on_the_block():
     assert together == pytest.approx(alone, abs=1e-6) and together[2] == 0
 
 
-def test_toxicity_learns_planted_words():
+def plain_score(net, text):
+    """The score by loops over windows, words, n-grams, gates and attention weights."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    rows = {k: {int(h): i + 1 for i, h in enumerate(v)} for k, v in net.known.items()}
+    words = Words(pa.array([text]))
+    h, vectors = words.whole(), []
+    for k in range(len(h)):
+        grams = [int(g) for n in toxicity.LENGTHS for g in words.grams(np.array([k]), n)[0]]
+        chars = sum((p["char"][rows["char"][g]] for g in grams if g in rows["char"]), np.zeros(toxicity.INPUT))
+        vectors.append(p["word"][rows["word"].get(int(h[k]), 0)] + chars / max(1, len(grams)))
+    best, n, w = 0.0, len(vectors), toxicity.WIDTH
+    for begin in range(0, max(n - toxicity.WINDOW, 0) + toxicity.STRIDE, toxicity.STRIDE) if n else ():
+        window = vectors[begin : begin + toxicity.WINDOW]
+        sides = []
+        for d, order in (("f", range(len(window))), ("b", reversed(range(len(window))))):
+            s, states = np.zeros(w), {}
+            for t in order:
+                g, m = window[t] @ p[f"x{d}"] + p[f"b{d}"], s @ p[f"u{d}"]
+                reset, update = sigmoid(g[:w] + m[:w]), sigmoid(g[w : 2 * w] + m[w : 2 * w])
+                new = np.tanh(g[2 * w :] + reset * m[2 * w :])
+                s = update * s + (1 - update) * new
+                states[t] = s
+            sides.append(states)
+        both = [np.concatenate([sides[0][t], sides[1][t]]) for t in range(len(window))]
+        weights = np.exp([np.tanh(x @ p["a"]) @ p["v"] for x in both])
+        pooled = sum(a * x for a, x in zip(weights / weights.sum(), both, strict=True))
+        best = max(best, float(sigmoid(pooled @ p["o"] + p["c"][0])))
+    return best
+
+
+def test_scores_equal_plain_loops():
+    rng = np.random.default_rng(4)
+    pool = ["you", "are", "an", "idiot", "clown", "kind", "wörd", "x", "unheard", "日本語"]
+    texts = [" ".join(rng.choice(pool, n)) for n in (0, 1, 31, 32, 33, 48, 49, 130)]
+    net = toxicity.Network.fresh(toxicity.vocabulary([t.replace("unheard", "") for t in texts] * toxicity.SUPPORT), 5)
+    got = net.score(toxicity.Windows(pa.array(texts), net.known))
+    assert got == pytest.approx([plain_score(net, t) for t in texts], abs=1e-5)
+
+
+def test_chosen_windows_are_those_of_the_texts():
+    """Handed on as table rows, windows score as they do in their texts; of a long text the most telling ones are among them."""
+    rng = np.random.default_rng(6)
+    pool = np.array([f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)])
+    texts = [" ".join(rng.choice(pool, n)) for n in (0, 1, 40, 300)] + [None]
+    words = list(rng.choice(pool, 4000))
+    words[2017] = "scum"
+    texts.append(" ".join(words))
+    known = toxicity.vocabulary(["scum", "waa wbb wcc wdd"] * toxicity.SUPPORT)
+    z = {k: np.concatenate([[0.0], rng.random(len(h))]) for k, h in known.items()}
+    z["word"][1 + int(np.searchsorted(known["word"], Words(pa.array(["scum"])).whole()[0]))] = 9.0
+    windows = toxicity.Windows(pa.array(texts, pa.string()), known)
+    picked = toxicity.Picked(pa.table(toxicity.chosen(windows, z)))
+    assert picked.per_text.tolist() == [0, 1, 2, 18, 0, toxicity.TRAIN_WINDOWS]
+    net = toxicity.Network.fresh(known, 2)
+    few = picked.text < 5
+    both = [[net.forward(net.values(w)[at], filled) for at, filled in [w.inputs(np.flatnonzero(w.text < 5))]][0] for w in (windows, picked)]
+    assert few.sum() == 21 and both[0] == pytest.approx(both[1], abs=1e-6)
+    assert (picked.clue[picked.text == 5] == 9).sum() == 2  # the two windows that overlap the word
+    every = {tuple(windows.word_row[windows.inputs(np.array([k]))[0][0]]) for k in np.flatnonzero(windows.text == 5)}
+    assert {tuple(picked.word_row[picked.inputs(np.array([k]))[0][0]]) for k in np.flatnonzero(picked.text == 5)} <= every
+
+
+def test_support_counts_texts():
+    found = toxicity.support(pa.array(["bad bad day", "day", None, "bad"]), np.array([1, 0, 1, 1])).to_pydict()
+    h = {w: int(Words(pa.array([w])).whole().view(np.int64)[0]) for w in ("bad", "day")}
+    got = {x: (t, c) for k, x, t, c in zip(found["kind"], found["h"], found["toxic"], found["clean"], strict=True) if k == 0}
+    assert got == {h["bad"]: (2, 0), h["day"]: (1, 1)}
+    gram = int(Words(pa.array(["day"])).grams(np.array([0]), 3)[0].view(np.int64)[0])
+    assert (1, 1) == next((t, c) for k, x, t, c in zip(found["kind"], found["h"], found["toxic"], found["clean"], strict=True) if k == 1 and x == gram)
+
+
+def test_toxicity_learns_planted_words(spark):
     rng = np.random.default_rng(8)
     vocabulary = ["".join(rng.choice(list("abdeghilnorstu"), rng.integers(2, 8))) for _ in range(800)]
     clean = [" ".join(rng.choice(vocabulary, rng.integers(5, 200))) for _ in range(240)]
@@ -195,7 +268,8 @@ def test_toxicity_learns_planted_words():
         words = list(rng.choice(vocabulary, rng.integers(5, 200)))
         words[rng.integers(len(words))] = "zork" + rng.choice(["ing", "ed", "ful", ""])
         toxic.append(" ".join(words))
-    net = toxicity.fit(clean[:160] + toxic[:80], np.array([0.0] * 160 + [1.0] * 80))
+    rows = [(i, int(i >= 160), t) for i, t in enumerate(clean[:160] + toxic[:80])]
+    net = toxicity.fit_texts(spark.createDataFrame(rows, "doc_id long, toxic int, text string"))
     s = net.score(toxicity.Windows(pa.array(clean[160:] + toxic[80:]), net.known))
     assert auc(s, np.array([0] * 80 + [1] * 40)) > 0.97
 

@@ -8,6 +8,10 @@ score says whether the window is toxic. A text scores the highest of its overlap
 Training, in numpy, sees text labels only: of a toxic text the windows that look most toxic
 count as toxic, of a clean text its hardest windows and some others as clean. In the first
 round n-gram counts by class tell how a window looks, then the network does.
+
+Spark counts the words and n-grams of the training texts by class; tasks then look at every
+window of every training text and hand on, as table rows, those the counts find most telling
+and some others. The driver never sees a text.
 """
 
 from __future__ import annotations
@@ -16,9 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .language_id import held_out
 from .letters import Words
 from .quality_model import labelled_sample
@@ -32,7 +38,7 @@ INPUT = 12  # numbers of the word and the character vectors
 LENGTHS = (3, 4)  # characters of an n-gram, word borders included
 TRAIN_LABELS = 16_000  # labelled texts that are read, about
 TRAIN_TEXTS = 2_000  # of these, fitted in each class at most: the first by a hash of the id
-TRAIN_WINDOWS = 64  # windows of one text used in fitting, spread evenly over it
+TRAIN_WINDOWS = 64  # windows of one text used in fitting: half the most telling of all, half spread over the others
 SUPPORT, SUPPORT_SHARE = 8, 0.02  # toxic texts that must hold a word or n-gram with a vector; or this share, if less
 STEPS = 500  # least steps of the fit: small samples are gone through more often
 F32 = np.float32
@@ -46,26 +52,53 @@ def _place(known: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(known[at] == h, at + 1, 0)
 
 
-def vocabulary(texts: list[str]) -> dict[str, np.ndarray]:
-    """Hashes of the words and n-grams that enough of the (toxic) texts hold.
+def support(texts: pa.Array, toxic: np.ndarray) -> pa.RecordBatch:
+    """How many toxic and clean texts of a block hold each word and each n-gram (kind, h, toxic, clean)."""
+    words = Words(texts)
+    h, sample, word = np.unique(words.whole(), return_index=True, return_inverse=True)
+    parts = [words.grams(sample, n) for n in LENGTHS]
+    grams, gram = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    of = np.concatenate([w for _, w in parts])
+    order = np.argsort(of, kind="stable")
+    gram, begin = gram[order], np.searchsorted(of[order], np.arange(len(h) + 1))
+    columns: dict[str, list[np.ndarray]] = {k: [] for k in ("kind", "h", "toxic", "clean")}
+    count = {(kind, flag): np.zeros(n, np.int64) for kind, n in ((0, len(h)), (1, len(grams))) for flag in (True, False)}
+    for i, flag in enumerate(toxic.astype(bool).tolist()):
+        mine = np.unique(word[words.first[i] : words.first[i + 1]])
+        count[0, flag][mine] += 1
+        size = begin[mine + 1] - begin[mine]
+        at = np.repeat(begin[mine] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        count[1, flag][np.unique(gram[at])] += 1
+    for kind, hashes in ((0, h), (1, grams)):
+        for name, values in (("kind", np.full(len(hashes), kind, np.int32)), ("h", hashes.view(np.int64)), ("toxic", count[kind, True]), ("clean", count[kind, False])):
+            columns[name].append(values)
+    return table(**{k: np.concatenate(v) for k, v in columns.items()})
+
+
+def enough_texts(toxic: int) -> int:
+    """Toxic texts that must hold a word or n-gram: what fewer hold gets no vector, so that nothing is learned by heart."""
+    return min(SUPPORT, max(2, int(SUPPORT_SHARE * toxic)))
 
-    What fewer texts hold gets no vector, so that nothing is learned by heart.
-    """
-    enough = min(SUPPORT, max(2, int(SUPPORT_SHARE * len(texts))))
-    held: dict[str, list[np.ndarray]] = {"word": [], "char": []}
-    for text in texts:
-        words = Words(pa.array([text], pa.string()))
-        h, sample = np.unique(words.whole(), return_index=True)
-        held["word"].append(h)
-        held["char"].append(np.unique(np.concatenate([words.grams(sample, n)[0] for n in LENGTHS])))
+
+def vocabulary(texts: list[str]) -> dict[str, np.ndarray]:
+    """Sorted hashes of the words and n-grams that enough of some toxic texts hold."""
+    found = support(pa.array(texts, pa.string()), np.ones(len(texts)))
+    kind, h, held = (np.asarray(column(found, c)) for c in ("kind", "h", "toxic"))
     out = {}
-    for k, most in (("word", WORD_ROWS), ("char", CHAR_ROWS)):
-        h, count = np.unique(np.concatenate([*held[k], np.zeros(0, np.uint64)]), return_counts=True)
-        some = np.flatnonzero(count >= enough)
-        out[k] = np.sort(h[some[np.lexsort((h[some], -count[some]))][:most]])
+    for k, (name, most) in enumerate((("word", WORD_ROWS), ("char", CHAR_ROWS))):
+        some = np.flatnonzero((kind == k) & (held >= enough_texts(len(texts))))
+        out[name] = np.sort(h[some[np.lexsort((h[some], -held[some]))][:most]].view(np.uint64))
     return out
 
 
+def evidence(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Standardised difference between the shares of n1 toxic and n0 clean texts that hold something; 0 for row 0."""
+    n0, n1 = max(1, n0), max(1, n1)
+    share = (clean + toxic) / (n0 + n1)
+    z = (toxic / n1 - clean / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n0 + 1 / n1))
+    return np.concatenate([[0.0], z])
+
+
 class Windows:
     """Distinct words of some texts with their table rows, and the windows over the texts.
 
@@ -76,13 +109,14 @@ class Windows:
         words = Words(texts)
         self.first = words.first
         h, sample, self.word = np.unique(words.whole(), return_index=True, return_inverse=True)
-        self.word_row = _place(known["word"], h)
+        self.hash, self.word_row = h, _place(known["word"], h)
         parts = [words.grams(sample, n) for n in LENGTHS]
         row = _place(known["char"], np.concatenate([g for g, _ in parts]))
         of = np.concatenate([w for _, w in parts])
         order = np.argsort(of, kind="stable")
-        self.char_row, self.char_of = row[order], of[order]
-        self.char_first = np.searchsorted(self.char_of, np.arange(len(h) + 1))
+        self.char_row = row[order]
+        self.char_first = np.searchsorted(of[order], np.arange(len(h) + 1))
+        self.char_count = np.diff(self.char_first)
         count = np.diff(self.first)
         self.per_text = np.where(count > 0, -(-np.maximum(count - WINDOW, 0) // STRIDE) + 1, 0)
         text = np.repeat(np.arange(len(count)), self.per_text)
@@ -99,14 +133,92 @@ class Windows:
         return self.word[at] if len(self.word) else at, filled
 
     def mean_chars(self, rows: np.ndarray) -> np.ndarray:
-        """Mean over each distinct word's n-grams of some table rows."""
-        count = np.diff(self.char_first)
-        out = np.zeros((len(count), rows.shape[1]), rows.dtype)
-        some = np.flatnonzero(count)
+        """Mean over each distinct word's n-grams of some table rows (of n-grams without a row: 0)."""
+        out = np.zeros((len(self.char_count), rows.shape[1]), rows.dtype)
+        some = np.flatnonzero(np.diff(self.char_first))
         if len(some):
             out[some] = np.add.reduceat(rows[self.char_row], self.char_first[some], axis=0)
-        return out / np.maximum(count, 1)[:, None].astype(rows.dtype)
+        return out / np.maximum(self.char_count, 1)[:, None].astype(rows.dtype)
 
+    def clues(self, z: dict[str, np.ndarray]) -> np.ndarray:
+        """How telling each window is: the highest evidence among its words and their n-grams."""
+        clue = z["word"][self.word_row]
+        some = np.flatnonzero(np.diff(self.char_first))
+        if len(some):
+            clue[some] = np.maximum(clue[some], np.maximum.reduceat(z["char"][self.char_row], self.char_first[some]))
+        if not len(self.start):
+            return np.zeros(0)
+        ends = np.stack([self.start, self.start + self.size], 1).ravel()
+        return np.maximum.reduceat(np.append(clue[self.word], 0.0), ends)[::2]
+
+
+def chosen(windows: Windows, z: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row a text: the windows to fit on, as table rows.
+
+    ``clue`` and ``size`` of its windows, ``place`` the words of all of them one after the
+    other as numbers into the text's list ``h`` (0: a word that adds nothing), and for the
+    words of that list ``word_row``, ``grams`` (n-grams), ``known`` (those with a row), ``char_row``.
+    """
+    clue, bounds = windows.clues(z), np.concatenate([[0], np.cumsum(windows.per_text)])
+    held = windows.char_row > 0
+    known = np.concatenate([[0], np.cumsum(held)])
+    known = known[windows.char_first[1:]] - known[windows.char_first[:-1]]
+    adds = (windows.word_row > 0) | (known > 0)
+    out: dict[str, list] = {k: [] for k in ("clue", "size", "place", "h", "word_row", "grams", "known", "char_row")}
+    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        which = np.arange(low, high)
+        if len(which) > TRAIN_WINDOWS:
+            order = np.argsort(-clue[which], kind="stable")
+            top, rest = order[: TRAIN_WINDOWS // 2], np.sort(order[TRAIN_WINDOWS // 2 :])
+            spread = rest[np.linspace(0, len(rest) - 1, TRAIN_WINDOWS - len(top)).astype(int)]
+            which = low + np.sort(np.concatenate([top, spread]))
+        at, filled = windows.inputs(which)
+        words = at[filled]
+        mine = np.unique(words[adds[words]])
+        chars = [windows.char_row[a:b] for a, b in zip(windows.char_first[mine].tolist(), windows.char_first[mine + 1].tolist(), strict=True)]
+        row = {
+            "clue": clue[which], "size": windows.size[which].astype(np.int32),
+            "place": np.where(adds[words], np.searchsorted(mine, words) + 1, 0).astype(np.int32),
+            "h": windows.hash[mine].view(np.int64), "word_row": windows.word_row[mine].astype(np.int32),
+            "grams": windows.char_count[mine].astype(np.int32), "known": known[mine].astype(np.int32),
+            "char_row": np.concatenate([*(c[c > 0] for c in chars), np.zeros(0, np.int64)]).astype(np.int32),
+        }
+        for k, v in row.items():
+            out[k].append(v)
+    types = {"clue": pa.float64(), "h": pa.int64()}
+    return table(**{k: pa.array(v, pa.list_(types.get(k, pa.int32()))) for k, v in out.items()})
+
+
+CHOSEN = "clue array<double>, size array<int>, place array<int>, h array<long>, word_row array<int>, grams array<int>, known array<int>, char_row array<int>"
+
+
+def _flat(rows: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column end to end, and how many each row has."""
+    lists = rows[name].combine_chunks()
+    sizes = np.asarray(pc.list_value_length(lists), dtype=np.int64)
+    return np.asarray(lists.flatten()), sizes
+
+
+class Picked(Windows):
+    """The windows handed on by ``chosen``; word 0 is every word that adds nothing."""
+
+    def __init__(self, rows: pa.Table):
+        self.clue, self.per_text = _flat(rows, "clue")
+        self.size = _flat(rows, "size")[0].astype(np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.text = np.repeat(np.arange(len(self.per_text)), self.per_text)
+        h, words = _flat(rows, "h")
+        _, sample, number = np.unique(h.view(np.uint64), return_index=True, return_inverse=True)
+        place, places = _flat(rows, "place")
+        at = place + np.repeat(np.cumsum(words) - words, places) - 1
+        self.word = np.zeros(len(place), np.int32)
+        self.word[place > 0] = number[at[place > 0]] + 1
+        known, row = _flat(rows, "known")[0].astype(np.int64), _flat(rows, "char_row")[0]
+        begin, size = (np.cumsum(known) - known)[sample], known[sample]
+        self.char_first = np.concatenate([[0, 0], np.cumsum(size)])
+        self.char_row = row[np.repeat(begin - self.char_first[1:-1], size) + np.arange(size.sum())].astype(np.int64)
+        self.char_count = np.concatenate([[0], _flat(rows, "grams")[0][sample]]).astype(np.int64)
+        self.word_row = np.concatenate([[0], _flat(rows, "word_row")[0][sample]]).astype(np.int64)
 
 @dataclass
 class Network:
@@ -224,10 +336,10 @@ def _gradients(net: Network, windows: Windows, which: np.ndarray, y: np.ndarray,
     count = windows.char_first[distinct + 1] - windows.char_first[distinct]
     char_of = np.repeat(np.arange(len(distinct)), count)
     char_row = windows.char_row[np.repeat(windows.char_first[distinct] - (np.cumsum(count) - count), count) + np.arange(len(char_of))]
-    count = np.maximum(count, 1)[:, None].astype(F32)
     scale = np.ones((len(distinct), 1), F32) if word_part is None else word_part[distinct, None]
     e = net.p["word"][windows.word_row[distinct]] * scale
     of, total = _rows_added(char_of, net.p["char"][char_row])
+    count = np.maximum(windows.char_count[distinct], 1)[:, None].astype(F32)
     e[of] += total / count[of]
     weights = np.concatenate([net.p["xf"], net.p["xb"]], 1)
     x = (e @ weights)[inverse].reshape(*at.shape, -1)
@@ -260,56 +372,27 @@ class Adam:
             self.p[k][rows] -= F32(rate) * m[rows] / (np.sqrt(s[rows]) + F32(1e-6))
 
 
-def _evidence(windows: Windows, y: np.ndarray, sizes: dict[str, int]) -> np.ndarray:
-    """How telling each distinct word is: the largest standardised difference between the
-    shares of toxic and clean texts that hold the word or one of its n-grams."""
-    held = {k: np.zeros((2, n)) for k, n in sizes.items()}
-    for i, k in enumerate(y.astype(int)):
-        mine = np.unique(windows.word[windows.first[i] : windows.first[i + 1]])
-        held["word"][k, np.unique(windows.word_row[mine])] += 1
-        chars = [windows.char_row[windows.char_first[w] : windows.char_first[w + 1]] for w in mine]
-        if chars:
-            held["char"][k, np.unique(np.concatenate(chars))] += 1
-    n0, n1 = max(1, int((y == 0).sum())), max(1, int((y > 0).sum()))
-    z = {}
-    for k, (clean, toxic) in held.items():
-        share = (clean + toxic) / (n0 + n1)
-        z[k] = (toxic / n1 - clean / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n0 + 1 / n1))
-        z[k][0] = 0
-    clue = z["word"][windows.word_row]
-    some = np.flatnonzero(np.diff(windows.char_first))
-    if len(some):
-        clue[some] = np.maximum(clue[some], np.maximum.reduceat(z["char"][windows.char_row], windows.char_first[some]))
-    return clue
-
-
-def fit(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.01, seed: int = 11) -> Network:
-    """Adam on windows chosen anew in each epoch; see the module's description."""
-    net, rng = Network.fresh(vocabulary([t for t, k in zip(texts, y, strict=True) if k]), seed), np.random.default_rng(seed)
+def fit(windows: Picked, y: np.ndarray, known: dict[str, np.ndarray], epochs: int = 6, batch: int = 128, rate: float = 0.01, seed: int = 11) -> Network:
+    """Adam on windows chosen anew in each epoch; see the module's description. ``y`` has the label of each text."""
+    net, rng = Network.fresh(known, seed), np.random.default_rng(seed)
     if not 0 < y.sum() < len(y):
         net.p["c"][:] = -8.0 if not y.sum() else 8.0  # one class only: a constant
         net.p["o"][:] = 0
         return net
-    windows = Windows(pa.array(texts, pa.string()), net.known)
     bounds = np.concatenate([[0], np.cumsum(windows.per_text)])
-    pools = []
-    for i in range(len(texts)):
-        n = int(windows.per_text[i])
-        pools.append(bounds[i] + (np.arange(n) if n <= TRAIN_WINDOWS else np.linspace(0, n - 1, TRAIN_WINDOWS).astype(int)))
-    pools = [(k, p) for k, p in zip(y, pools, strict=True) if len(p)]
-    every = np.concatenate([p for _, p in pools])
-    clue = _evidence(windows, y, {k: len(net.p[k]) for k in net.known})
+    pools = [(k, np.arange(a, b)) for k, a, b in zip(y, bounds[:-1], bounds[1:], strict=True) if b > a]
     # before the network knows anything, a window is as suspicious as its most telling n-gram
-    logit = np.array([clue[windows.word[i : i + n]].max() for i, n in zip(windows.start, windows.size, strict=True)], F32)
+    logit = windows.clue.astype(F32)
     adam = Adam(net.p, rate)
     epochs = max(epochs, -(-STEPS * batch // max(1, sum(1 if k else 4 for k, _ in pools))))
     for epoch in range(epochs):
         which, target = [], []
         if epoch:
             value = net.values(windows)
-            for i in range(0, len(every), 2048):
-                at, filled = windows.inputs(every[i : i + 2048])
-                logit[every[i : i + 2048]] = net.forward(value[at], filled)
+            for i in range(0, len(logit), 2048):
+                some = np.arange(i, min(i + 2048, len(logit)))
+                at, filled = windows.inputs(some)
+                logit[some] = net.forward(value[at], filled)
         for k, pool in pools:
             order = pool[np.argsort(-logit[pool], kind="stable")]
             if not k:
@@ -323,7 +406,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 128, rate
         adam.rate = rate * (1 - epoch / epochs)
         for i in range(0, len(order), batch):
             some = order[i : i + batch]
-            part = (rng.random(len(windows.word_row)) > 0.3).astype(F32)
+            part = np.append(F32(1), rng.random(len(windows.word_row) - 1) > 0.3).astype(F32)
             _, grad, tables = _gradients(net, windows, which[some], target[some], part)
             adam.move(grad, {k: (rows[rows > 0], g[rows > 0]) for k, (rows, g) in tables.items()})
     return net
@@ -332,31 +415,49 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 128, rate
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, fold: int = 0) -> Network:
     """Fit on up to TRAIN_TEXTS texts of each class among about TRAIN_LABELS labelled texts.
 
-    Texts reach the driver cut to the words of TRAIN_WINDOWS windows, spread over the text.
+    The texts are used whole: counts and the choice of windows cover all their words. Of each
+    text at most TRAIN_WINDOWS windows reach the driver.
     """
     sample = labelled_sample(docs, labels, label, folds, fold, TRAIN_LABELS)
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("order"))
     ids = sample.select("doc_id", "label").groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = [r["doc_id"] for k in (0, 1) for r in ids.where((F.col("label") > 0) == bool(k)).orderBy(order, "doc_id").limit(TRAIN_TEXTS).collect()]
-    picked = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
+    by_class = [[r["doc_id"] for r in ids.where((F.col("label") > 0) == bool(k)).orderBy(order, "doc_id").limit(TRAIN_TEXTS).collect()] for k in (0, 1)]
+    picked = docs.sparkSession.createDataFrame([(i,) for some in by_class for i in some], "doc_id long")
+    # rows that repeat a doc_id count once
+    texts = sample.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max(F.struct("label", "text")).alias("r"))
+    return fit_texts(stored(texts.select("doc_id", (F.col("r.label") > 0).cast("int").alias("toxic"), "r.text"), "training-texts"))
+
+
+def fit_texts(texts: DataFrame) -> Network:
+    """Fit on some texts (doc_id, toxic, text); the tables of the network have a fixed size."""
+
+    def held():
+        return lambda batch: support(column(batch, "text"), np.asarray(column(batch, "toxic")))
+
+    n1, n0 = (int(x or 0) for x in texts.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
+    found = map_texts(texts, held, "kind int, h long, toxic long, clean long").groupBy("kind", "h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    found = stored(found.where(F.col("toxic") >= enough_texts(n1)), "training-counts")
+    known, z = {}, {}
+    for k, (name, most) in enumerate((("word", WORD_ROWS), ("char", CHAR_ROWS))):
+        top = found.where(F.col("kind") == k).orderBy(F.desc("toxic"), "h").limit(most).toArrow()
+        h = np.asarray(top["h"].combine_chunks()).view(np.uint64)
+        by = np.argsort(h)
+        known[name] = h[by]
+        z[name] = evidence(*(np.asarray(top[c].combine_chunks())[by] for c in ("toxic", "clean")), n1, n0)
+    shared = texts.sparkSession.sparkContext.broadcast((known, z))
 
     def make():
+        known, z = shared.value
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for text in column(batch, "text").fill_null("").to_pylist():
-                words = text.split()
-                room = WINDOW + (TRAIN_WINDOWS - 1) * STRIDE
-                if len(words) > room:  # even pieces of the whole text
-                    at = np.linspace(0, len(words) - WINDOW * 2, room // (WINDOW * 2)).astype(int)
-                    words = [w for i in at for w in words[i : i + WINDOW * 2]]
-                out.append(" ".join(words))
-            return table(doc_id=column(batch, "doc_id"), label=column(batch, "label"), text=pa.array(out, pa.string()))
+            rows = chosen(Windows(column(batch, "text"), known), z)
+            return pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "toxic"), *rows.columns], names=["doc_id", "toxic", *rows.schema.names])
 
         return each
 
-    rows = sample.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
-    found = map_texts(rows, make, "doc_id long, label int, text string").groupBy("doc_id").agg(F.max(F.struct("label", "text")).alias("r")).orderBy("doc_id").collect()
-    return fit([r["r"]["text"] for r in found], np.array([float(r["r"]["label"] > 0) for r in found]))
+    rows = map_texts(texts, make, f"doc_id long, toxic int, {CHOSEN}").orderBy("doc_id").toArrow()
+    shared.destroy()
+    return fit(Picked(rows), np.asarray(rows["toxic"].combine_chunks()).astype(float), known)
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
