@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rolling as R
+from ..functions.scalar import ratio
 from ..functions.text import ANNOUNCEMENT_PATTERNS, SECTOR_KEYWORDS, announcement_flags, mentions, sector_of, sentiment
 from ..operators import fundamentals as FU
 from ..operators import news as N
@@ -325,8 +326,8 @@ def macro_coverage(m):
 cte(
     "sidecar",
     f"""SELECT {_session_sql(5)} AS date, max(fii_net) AS fii_net_cr, max(dii_net) AS dii_net_cr, max(fii_gross_buy) AS nifty100_adv_cr, max(10 + abs(fii_net) % 20) AS india_vix,
-       max(dii_gross_buy / fii_gross_buy) AS pcr_oi, max(fii_gross_buy + dii_gross_buy) AS total_oi, max(fii_net / dii_gross_buy) AS us_futures_pct_change_overnight,
-       max(CASE WHEN day(date) = 15 THEN 1 END) AS earnings_event_flag FROM flows WHERE fii_gross_buy > 0 AND dii_gross_buy > 0 GROUP BY 1""",
+       max(dii_gross_buy / nullif(fii_gross_buy, 0)) AS pcr_oi, max(fii_gross_buy + dii_gross_buy) AS total_oi, max(fii_net / nullif(dii_gross_buy, 0)) AS us_futures_pct_change_overnight,
+       max(CASE WHEN day(date) = 15 THEN 1 END) AS earnings_event_flag FROM flows GROUP BY 1""",
     "flows",
 )
 
@@ -338,13 +339,12 @@ def _sidecar(m):
         "dii_net_cr": F.col("dii_net"),
         "nifty100_adv_cr": F.col("fii_gross_buy"),
         "india_vix": 10 + F.abs("fii_net") % 20,
-        "pcr_oi": F.col("dii_gross_buy") / F.col("fii_gross_buy"),
+        "pcr_oi": ratio("dii_gross_buy", "fii_gross_buy"),  # null without purchases; the day stays
         "total_oi": F.col("fii_gross_buy") + F.col("dii_gross_buy"),
-        "us_futures_pct_change_overnight": F.col("fii_net") / F.col("dii_gross_buy"),
+        "us_futures_pct_change_overnight": ratio("fii_net", "dii_gross_buy"),
         "earnings_event_flag": F.when(F.dayofmonth("date") == 15, 1),
     }
-    traded = m.flows.where((F.col("fii_gross_buy") > 0) & (F.col("dii_gross_buy") > 0))  # a day without purchases has no ratios
-    return traded.groupBy(_session(5).alias("date")).agg(*[F.max(v).alias(k) for k, v in values.items()])
+    return m.flows.groupBy(_session(5).alias("date")).agg(*[F.max(v).alias(k) for k, v in values.items()])
 
 
 @query(
