@@ -227,8 +227,9 @@ def test_scores_equal_plain_loops():
     assert got == pytest.approx([plain_score(net, t) for t in texts], abs=1e-5)
 
 
-def test_chosen_windows_are_those_of_the_texts():
+def test_chosen_windows_are_those_of_the_texts(monkeypatch):
     """Handed on as table rows, windows score as they do in their texts; of a long text the most telling ones are among them."""
+    monkeypatch.setattr(toxicity, "SLICE", 7)
     rng = np.random.default_rng(6)
     pool = np.array([f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)])
     texts = [" ".join(rng.choice(pool, n)) for n in (0, 1, 40, 300)] + [None]

@@ -40,6 +40,7 @@ TRAIN_LABELS = 16_000  # labelled texts that are read, about
 TRAIN_TEXTS = 2_000  # of these, fitted in each class at most: the first by a hash of the id
 TRAIN_WINDOWS = 64  # windows of one text used in fitting: half the most telling of all, half spread over the others
 SUPPORT, SUPPORT_SHARE = 8, 0.02  # toxic texts that must hold a word or n-gram with a vector; or this share, if less
+SLICE = 1 << 14  # words whose n-grams are summed at once
 STEPS = 500  # least steps of the fit: small samples are gone through more often
 F32 = np.float32
 
@@ -136,8 +137,10 @@ class Windows:
         """Mean over each distinct word's n-grams of some table rows (of n-grams without a row: 0)."""
         out = np.zeros((len(self.char_count), rows.shape[1]), rows.dtype)
         some = np.flatnonzero(np.diff(self.char_first))
-        if len(some):
-            out[some] = np.add.reduceat(rows[self.char_row], self.char_first[some], axis=0)
+        for i in range(0, len(some), SLICE):  # the n-grams' rows are copied for some words at a time
+            part = some[i : i + SLICE]
+            low, high = self.char_first[part[0]], self.char_first[part[-1] + 1]
+            out[part] = np.add.reduceat(rows[self.char_row[low:high]], self.char_first[part] - low, axis=0)
         return out / np.maximum(self.char_count, 1)[:, None].astype(rows.dtype)
 
     def clues(self, z: dict[str, np.ndarray]) -> np.ndarray:
