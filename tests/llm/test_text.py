@@ -312,6 +312,45 @@ def test_decontamination_recall_of_paraphrases(spark, n_items):
     assert len(want) >= 0.9 * n_items and got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_decontamination_space_is_fitted_on_all_passages(spark):
+    """Against a plain SVD of every passage of more texts than a sample would hold."""
+    rng = random.Random(12)
+    vocabulary = [f"v{k}" for k in range(150)]
+    texts = [" ".join(rng.choices(vocabulary[k // 500 * 20 :], k=rng.choice([0, 3, 24, 50, 90]))) for k in range(3000)] + [None, " ", "v1 " * 200]
+    docs = documents(spark, list(enumerate(texts)))
+    steps = decontaminate.all_steps(docs)
+    hashed = [decontaminate.Passages(pa.array([t])).term.tolist() for t in texts]
+    counts = decontaminate.term_counts(steps)
+    assert counts.tolist() == np.bincount([x for h in hashed for x in h], minlength=decontaminate.TERMS).tolist()
+    idf = decontaminate.inverse_frequency(counts)
+    rows = []
+    for h in hashed:
+        for k in range(0, len(h), decontaminate.STEP):
+            row = np.zeros(decontaminate.TERMS, np.float32)
+            for part in (h[k : k + decontaminate.STEP], h[k + decontaminate.STEP : k + 2 * decontaminate.STEP]):
+                row[sorted(set(part))] += idf[sorted(set(part))]
+            rows.append(row[counts > 0] / np.linalg.norm(row))
+    want = np.linalg.svd(np.array(rows, float), full_matrices=False)[1]
+    vectors, n = decontaminate.randomised_svd(steps, idf, rank=120, extra=16)
+    assert n == len(rows) and not vectors[counts == 0].any()
+    assert np.allclose(np.linalg.norm(vectors, axis=0), want[:120], rtol=0.02)
+    unit = vectors[counts > 0] / np.linalg.norm(vectors, axis=0)
+    assert np.allclose(unit.T @ unit, np.eye(120), atol=1e-3)
+    assert np.linalg.norm(np.array(rows) @ unit) ** 2 >= 0.99 * (want[:120] ** 2).sum()
+
+
+def test_decontamination_words_near_a_passage():
+    rng = np.random.default_rng(4)
+    words = decontaminate.Passages(pa.array([" ".join(f"w{k}" for k in rng.integers(0, 60, n)) for n in (0, 30, 400)]))
+    items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 90, 40))) for k in range(5)]
+    found, terms = decontaminate.segments(items), [decontaminate.Passages(pa.array([t])).term.tolist() for _, t in items]
+    lo = np.sort(rng.integers(0, 400, 1500))
+    hi = lo + rng.integers(1, 30, 1500)
+    query = rng.integers(0, len(items), 1500)
+    want = [sum(x in set(words.term[a:b].tolist()) for x in terms[q]) for a, b, q in zip(lo, hi, query, strict=True)]
+    assert decontaminate.Overlap(found).count(words, lo, hi, query).tolist() == want
+
+
 def test_decontamination_item_in_several_blocks(spark, monkeypatch):
     """One row per text and item; rows that repeat a text each give theirs."""
     monkeypatch.setattr(decontaminate, "BLOCK_SEGMENTS", 2)

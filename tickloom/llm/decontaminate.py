@@ -2,8 +2,8 @@
 
 1. Texts are cut into overlapping passages of words; words fall into hashed terms, and term
    counts over all texts give inverse frequencies.
-2. A distributed randomised SVD of TF-IDF passages (the benchmark and a bounded sample of the
-   corpus) gives a latent space.
+2. A distributed randomised SVD of the TF-IDF passages of all texts, joined with the passages of
+   the benchmark, gives a latent space.
 3. Every passage of every text is projected and compared by cosine with all benchmark passages.
 4. Pairs that come close are checked on the words themselves: the longest common subsequence
    with the surrounding text, and whether the answer is there too, so that paraphrases count
@@ -27,10 +27,13 @@ TERMS = 1 << 15  # hashed terms
 STEP = 24  # words from passage to passage; a passage has two steps
 SEGMENT = 64  # words of a benchmark passage; longer items make several, half a segment apart
 RANK, EXTRA, POWER = 128, 16, 2  # latent dimensions, spare columns of the sketch, power rounds
-SAMPLE_TEXTS, SAMPLE_PASSAGES = 2_000, 12  # corpus texts in the fit, about, and passages of each
 BLOCK_SEGMENTS = RANK  # benchmark passages that are searched together: the space holds every one of them
 COLLECTED = 1_000  # benchmark passages that the driver cuts at a time, about
-PARTS = 16  # slices of a partial matrix product
+PARTS = 1024  # slices of a partial matrix product
+TEXT_BLOCKS = 256  # blocks of texts that share one partial product
+GATHERED = 1 << 15  # steps whose products are added up by term together
+CHUNK, PIECE = 384, 64  # sums that are made side by side, so that they stay in the cache, and rows in each
+TOGETHER = 2  # blocks of benchmark passages that are searched in one pass over the texts
 
 CLOSE = 0.25  # cosine from which a passage is looked at
 COPIED = 0.8  # share of a benchmark passage found in order: a copy
@@ -59,20 +62,93 @@ class Passages:
         self.n = block.n
 
 
-def term_counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences of every hashed term in all texts."""
+def _sorted_distinct(cell: np.ndarray) -> np.ndarray:
+    cell.sort()
+    return cell[np.diff(cell, prepend=-1) > 0]
+
+
+def _sums(rows: np.ndarray, at: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of ``rows[at[b : b + n]]`` for each begin b and size n, longest first; and that order."""
+    order = np.argsort(-size, kind="stable")
+    begin, size = begin[order], size[order]
+    out, room = np.empty((len(order), rows.shape[1]), np.float32), np.empty((CHUNK, rows.shape[1]), np.float32)
+    for lo in range(0, len(order), CHUNK):
+        first, total = begin[lo : lo + CHUNK], out[lo : lo + CHUNK]
+        np.take(rows, at[first], axis=0, out=total, mode="clip")
+        many = np.searchsorted(-size[lo : lo + CHUNK], -np.arange(1, size[lo]))  # sums that go on
+        for k, n in enumerate(many.tolist(), 1):
+            total[:n] += np.take(rows, at[first[:n] + k], axis=0, out=room[:n], mode="clip")
+    return out, order
+
+
+class Steps:
+    """The steps of a block's texts; a passage is the sum of a step and the next one of its text.
+
+    Step i holds ``size[i]`` distinct terms, a slice of ``term``, and is the last one of its text
+    where ``alone``. A word counts once in a step.
+    """
+
+    def __init__(self, term: np.ndarray, size: np.ndarray, alone: np.ndarray):
+        self.term, self.size, self.alone = term, size, alone
+        self.n = len(size)
+        self.step = np.repeat(np.arange(self.n), size)
+
+    def times(self, space: np.ndarray) -> np.ndarray:
+        """The passages times ``space``."""
+        found, order = _sums(space, self.term, np.cumsum(self.size) - self.size, self.size)
+        part = np.empty_like(found)
+        part[order] = found
+        part[:-1] += np.where(self.alone[:-1, None], np.float32(0), part[1:])
+        return part
+
+    def norms(self, idf: np.ndarray) -> np.ndarray:
+        """Squared lengths of the weighted passages."""
+        square = idf.astype(float) ** 2
+        own = np.bincount(self.step, square[self.term], self.n)
+        bits = (self.n + 1).bit_length()
+        cell = np.sort(self.term << bits | self.step)
+        twice = cell[:-1][np.diff(cell) == 1]  # a term of this step and of the one that follows
+        both = np.bincount(twice & ((1 << bits) - 1), square[twice >> bits], self.n)
+        return own + np.where(self.alone, 0, np.append(own[1:], 0) + 2 * both)
+
+
+def steps_of(words: Passages) -> tuple[Steps, np.ndarray, np.ndarray]:
+    """The steps, their texts and their first words."""
+    many = -(-np.diff(words.first) // STEP)
+    of = np.repeat(np.arange(words.n), many)
+    start = words.first[of] + (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)) * STEP
+    cell = _sorted_distinct(np.repeat(np.arange(len(of)), np.diff(np.append(start, len(words.term)))) * TERMS + words.term)
+    alone = np.append(of[1:] != of[:-1], np.ones(min(len(of), 1), bool))
+    return Steps(cell % TERMS, np.bincount(cell // TERMS, minlength=len(of)), alone), of, start
+
+
+def all_steps(docs: DataFrame) -> DataFrame:
+    """The steps of all texts, a row per block of texts, and rows with the occurrences of terms."""
 
     def run(batches):
         total = np.zeros(TERMS, np.int64)
         for batch in blocks(batches):
-            total += np.bincount(Passages(column(batch, "text")).term, minlength=TERMS)
-        at = np.flatnonzero(total)
-        if len(at):
-            yield table(term=at, count=total[at])
+            words = Passages(column(batch, "text"))
+            steps, _, _ = steps_of(words)
+            total += np.bincount(words.term, minlength=TERMS)
+            if steps.n:
+                parts = steps.term.astype(np.uint16), steps.size.astype(np.uint8), steps.alone
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, [*(x.tobytes() for x in parts), None, None], strict=True))], schema)
+        if total.any():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pylist([{"occurring": at.tolist(), "times": total[at].tolist()}], schema)
+        give_back()
+
+    schema = pa.schema([("term", pa.binary()), ("size", pa.binary()), ("alone", pa.binary()), ("occurring", pa.list_(pa.int32())), ("times", pa.list_(pa.int64()))])
+    return stored(docs.select("text").mapInArrow(run, "term binary, size binary, alone binary, occurring array<int>, times array<long>"), "steps")
 
+
+def term_counts(steps: DataFrame) -> np.ndarray:
+    """Occurrences of every hashed term in all texts."""
     counts = np.zeros(TERMS, np.int64)
-    found = docs.select("text").mapInArrow(run, "term long, count long").groupBy("term").agg(F.sum("count").alias("count")).toArrow()
-    counts[found["term"].to_numpy()] = found["count"].to_numpy()
+    each = steps.where("occurring is not null").select(F.explode(F.arrays_zip("occurring", "times")).alias("x"))
+    found = each.groupBy("x.occurring").agg(F.sum("x.times").alias("times")).toArrow()
+    counts[found["occurring"].to_numpy()] = found["times"].to_numpy()
     return counts
 
 
@@ -96,72 +172,130 @@ def _product(row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, spac
     return out
 
 
-def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    terms, weights = column(batch, "term"), column(batch, "weight")
-    size = np.asarray(pc.list_value_length(terms))
-    return np.repeat(np.arange(len(size)), size), np.asarray(terms.flatten()).astype(np.int64), np.asarray(weights.flatten())
-
-
-def _start(n: int, width: int, seed: int) -> np.ndarray:
+def _start(width: int, seed: int) -> np.ndarray:
     """The first sketch; the tasks draw it themselves."""
-    return np.random.default_rng(seed).standard_normal((n, width), np.float32)
-
-
-def _summed(passages: DataFrame, present: np.ndarray, width: int, space: np.ndarray | int, gram: bool) -> np.ndarray:
-    """The sum over all passages of a' (a S), or with ``gram`` of (a S)' (a S).
-
-    S has a row for each of the terms ``present``; a number is the seed of the first S.
+    return np.random.default_rng(seed).standard_normal((TERMS, width), np.float32)
+
+
+def _add_rows(total: np.ndarray, term: np.ndarray, step: np.ndarray, rows: np.ndarray) -> None:
+    """Add row ``step`` of ``rows`` to row ``term`` of ``total``, for all pairs."""
+    bits = len(rows).bit_length()
+    cell = np.sort(term << bits | step)
+    term, step = cell >> bits, cell & ((1 << bits) - 1)
+    while len(term):
+        # the rows of a term are summed in pieces; if it has several, their sums are the next rows
+        first = np.flatnonzero(np.diff(term, prepend=-1))
+        count = np.diff(np.append(first, len(term)))
+        many = -(-count // PIECE)
+        rank = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        found, order = _sums(rows, step, np.repeat(first, many) + rank * PIECE, np.minimum(PIECE, np.repeat(count, many) - rank * PIECE))
+        term = np.repeat(term[first], many)
+        if many.max() == 1:
+            total[term[order]] += found
+            return
+        step, rows = np.argsort(order), found
+
+
+def _summed(steps: DataFrame, idf: np.ndarray, width: int, basis: np.ndarray | int) -> tuple[np.ndarray, int]:
+    """The sum over all passages of all texts of a' (a S), a of length one; and how many passages there are.
+
+    S has a row for each term; a number is the seed of the first S.
     """
-    shared = passages.sparkSession.sparkContext.broadcast((present.astype(np.int32), space))
-    height = len(present)
+    shared = steps.sparkSession.sparkContext.broadcast((idf, basis))
 
     def run(batches):
-        present, s = shared.value
-        s = _start(height, width, s) if isinstance(s, int) else s
-        total = np.zeros((width if gram else height, width), np.float32)
-        for batch in (b.slice(i, 250) for b in batches for i in range(0, b.num_rows, 250)):
-            row, term, weight = _rows(batch)
-            term = np.searchsorted(present, term)
-            y = _product(row, term, weight, batch.num_rows, s)
-            if gram:
-                total += y.T @ y
-            else:
-                order = np.argsort(term, kind="stable")
-                first = np.flatnonzero(np.diff(term[order], prepend=-1))
-                total[term[order][first]] += np.add.reduceat(y[row[order]] * weight[order, None], first, axis=0)
-        for k, piece in enumerate(np.array_split(total, PARTS)):
-            yield table(part=np.array([k]), body=pa.array([piece.tobytes()], pa.binary()))
-
-    def add(key, group):
-        return group.iloc[:1].assign(body=[sum(np.frombuffer(b, np.float32) for b in group["body"]).astype(np.float32).tobytes()])
-
-    parts = passages.mapInArrow(run, "part long, body binary").groupBy("part").applyInPandas(add, "part long, body binary").orderBy("part").collect()
+        idf, s = shared.value
+        s = (_start(width, s) if isinstance(s, int) else s) * idf[:, None]
+        total, n = np.zeros((TERMS, width), np.float32), 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def add_held():
+            _add_rows(total, *map(np.concatenate, zip(*held, strict=True)))
+            held.clear()
+
+        for batch in batches:
+            for parts in zip(*(column(batch, c) for c in ("term", "size", "alone")), strict=True):
+                term, size, alone = (np.frombuffer(x.as_buffer(), t) for x, t in zip(parts, (np.uint16, np.uint8, bool), strict=True))
+                block = Steps(term.astype(np.int64), size.astype(np.int64), alone)
+                y = block.times(s) / np.maximum(block.norms(idf), 1e-12)[:, None].astype(np.float32)
+                y[1:] += np.where(block.alone[:-1, None], np.float32(0), y[:-1])  # a step lies in its passage and in the one before
+                at = sum(len(h[2]) for h in held)
+                held.append((block.term, block.step + at, y))
+                n += block.n
+                if at + block.n >= GATHERED:
+                    add_held()
+        if held:
+            add_held()
+        if n:
+            total *= idf[:, None]
+            for k in range(0, PARTS, 64):
+                pieces = [total[i * TERMS // PARTS : (i + 1) * TERMS // PARTS].tobytes() for i in range(k, min(k + 64, PARTS))]
+                yield table(part=np.arange(k, k + len(pieces)), n=np.full(len(pieces), n), body=pa.array(pieces, pa.binary()))
+        del s, total
+        give_back()
+
+    def add(batches):
+        found: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            for k, n, body in zip(*(column(batch, c) for c in ("part", "n", "body")), strict=True):
+                m, piece = found.get(k.as_py(), (0, np.float32(0)))
+                found[k.as_py()] = m + n.as_py(), piece + np.frombuffer(body.as_buffer(), np.float32)
+        for k, (n, piece) in found.items():
+            yield table(part=np.array([k]), n=np.array([n]), body=pa.array([piece.tobytes()], pa.binary()))
+
+    schema = "part long, n long, body binary"
+    out, n = np.zeros((TERMS, width), np.float32), 0
+    # a slice is added up as it comes, however many tasks there were
+    for r in steps.mapInArrow(run, schema).repartition("part").mapInArrow(add, schema).collect():
+        out[r["part"] * TERMS // PARTS : (r["part"] + 1) * TERMS // PARTS] = np.frombuffer(r["body"], np.float32).reshape(-1, width)
+        n = r["n"]
     shared.destroy()  # the next round sends another one
-    if not parts:
-        return np.zeros((width if gram else height, width), np.float32)
-    return np.concatenate([np.frombuffer(r["body"], np.float32) for r in parts]).reshape(-1, width)
+    return out, n
+
+
+def _crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a' b in double precision, some rows at a time."""
+    return sum((a[k : k + 4096].astype(float).T @ b[k : k + 4096] for k in range(0, len(a), 4096)), np.zeros((a.shape[1], b.shape[1])))
+
 
+def _orthonormal(y: np.ndarray) -> np.ndarray:
+    """A basis of the columns, from their products; the second turn mends what rounding left."""
+    for _ in range(2):
+        value, turn = np.linalg.eigh(_crossed(y, y))
+        kept = value > 1e-10 * max(value.max(initial=0), 1e-30)
+        y = y @ (turn[:, kept] / np.sqrt(value[kept])).astype(np.float32)
+    return y
 
-def randomised_svd(passages: DataFrame, rank: int = RANK, extra: int = EXTRA, power: int = POWER, seed: int = 5) -> np.ndarray:
-    """Leading right singular vectors (TERMS by rank) of the stored sparse passages.
 
-    The passages stay where they are; each round sends the sketch to the tasks (bounded by
-    TERMS x (rank + extra)) and adds up their partial products slice by slice. Only terms that
-    occur in the passages have a row there: the others are zero in every singular vector.
+def randomised_svd(steps: DataFrame, idf: np.ndarray, rank: int = RANK, extra: int = EXTRA, power: int = POWER, seed: int = 5) -> tuple[np.ndarray, int]:
+    """Leading right singular vectors (TERMS by rank) of the passages of all texts, each times its value; and how many passages.
+
+    ``steps`` are those of all texts. Every round takes all of their passages: it sends the sketch to the tasks (bounded by
+    TERMS x (rank + extra)) and adds up their partial products slice by slice. The last round
+    also gives the values, by Nystroem's formula.
     """
-    space = np.zeros((TERMS, rank), np.float32)
-    present = np.sort(passages.select(F.explode("term").alias("term")).distinct().toArrow()["term"].to_numpy())
-    if not len(present):
-        return space
-    width = min(rank + extra, len(present))
-    basis: np.ndarray | int = seed
-    for _ in range(power + 1):
-        basis = np.linalg.qr(_summed(passages, present, width, basis, gram=False))[0]
+    steps = steps.where("term is not null").select("term", "size", "alone")
+    n = steps.count()
+    # each task sends a partial product of fixed size
+    steps = steps.coalesce(max(1, min(n, steps.sparkSession.sparkContext.defaultParallelism), n // TEXT_BLOCKS))
+    basis: np.ndarray = np.zeros((TERMS, 0), np.float32)
+    y, n = _summed(steps, idf, rank + extra, seed)
+    for _ in range(power):
+        if not y.any():
+            break
+        basis = _orthonormal(y)
+        del y
         give_back()  # the driver keeps one sketch, not the products it came from
-    _, vectors = np.linalg.eigh(_summed(passages, present, width, basis, gram=True).astype(float))
-    held = vectors[:, ::-1][:, :rank].astype(np.float32)
-    space[present, : held.shape[1]] = basis @ held
-    return space
+        y, n = _summed(steps, idf, basis.shape[1], basis)
+    if not y.any():
+        return basis[:, :0], n
+    basis = basis if power else _start(rank + extra, seed)
+    # C'C is about Y (Q'Y)^-1 Y' = F F'
+    value, turn = np.linalg.eigh(_crossed(basis, y))
+    kept = value > 1e-10 * value.max()
+    f = y @ (turn[:, kept] / np.sqrt(value[kept])).astype(np.float32)
+    value, turn = np.linalg.eigh(_crossed(f, f))
+    return f @ turn[:, ::-1][:, :rank].astype(np.float32), n
 
 
 @dataclass(frozen=True)
@@ -171,7 +305,6 @@ class Segments:
     item: list[int]
     words: list[np.ndarray]
     answer: list[np.ndarray]
-    listed: list[list[int]]  # the words again, for lookups one by one
 
 
 def segments(rows: list[tuple[int, str | None]]) -> Segments:
@@ -195,14 +328,14 @@ def segments(rows: list[tuple[int, str | None]]) -> Segments:
             if end == len(h):
                 break
             start += SEGMENT // 2
-    return Segments(item, words, answer, [w.tolist() for w in words])
+    return Segments(item, words, answer)
 
 
 def parts_of(found: Segments) -> list[Segments]:
     """Blocks of at most BLOCK_SEGMENTS passages, of about one size."""
     n = len(found.words)
     size = -(-n // max(1, -(-n // BLOCK_SEGMENTS)))
-    return [Segments(*(x[k : k + size] for x in (found.item, found.words, found.answer, found.listed))) for k in range(0, n, size or 1)]
+    return [Segments(*(x[k : k + size] for x in (found.item, found.words, found.answer))) for k in range(0, n, size or 1)]
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -213,118 +346,128 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     full = (1 << len(a)) - 1
     v = full
     for x in b.tolist():
-        u = v & places.get(x, 0)
-        v = ((v + u) | (v - u)) & full
+        if x in places:
+            u = v & places[x]
+            v = ((v + u) | (v - u)) & full
     return len(a) - v.bit_count()
 
 
-def _sample(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """TF-IDF rows (term, weight) of a bounded sample of the corpus."""
-    total = docs.count()
-    some = docs.select("text") if total <= SAMPLE_TEXTS else docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(SAMPLE_TEXTS / total * (1 << 30))).select("text")
-
-    def run(batches):
-        for batch in blocks(batches):
-            words = Passages(column(batch, "text"))
-            count = np.diff(words.first)
-            many = np.minimum(SAMPLE_PASSAGES, np.maximum(1, count // STEP)) * (count > 0)
-            of = np.repeat(np.arange(words.n), many)
-            k = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-            start = words.first[of] + k * np.maximum(count - 2 * STEP, 0)[of] // np.maximum(many[of] - 1, 1)
-            size = np.minimum(words.first[of + 1] - start, 2 * STEP)
-            at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            row, term, weight = _weights(words.term[at], np.repeat(np.arange(len(of)), size), idf)
-            norm = np.sqrt(np.bincount(row, weight**2, len(of)))
-            ends = pa.array(np.searchsorted(row, np.arange(len(of) + 1)).astype(np.int32))
-            unit = (weight / np.maximum(norm[row], 1e-6)).astype(np.float32)
-            yield table(term=pa.ListArray.from_arrays(ends, pa.array(term.astype(np.int32))), weight=pa.ListArray.from_arrays(ends, pa.array(unit)))
-
-    # the scan keeps its tasks; only the sample, whose size is bounded, is put into a few files
-    return stored(some.mapInArrow(run, "term array<int>, weight array<float>").repartition(8), "passages")
-
-
-def _with_block(corpus: DataFrame, idf: np.ndarray, found: Segments) -> DataFrame:
-    """The sample together with the rows of a block of benchmark passages."""
-    # the space must hold the benchmark: its rows weigh as much as the whole sample
-    lift = (SAMPLE_TEXTS * SAMPLE_PASSAGES / max(1, len(found.words))) ** 0.5
-    rows = []
-    for h in found.words:
-        t = (h >> np.uint64(64 - TERMS.bit_length() + 1)).astype(np.int64)
-        _, term, weight = _weights(t, np.zeros(len(t), np.int64), idf)
-        rows.append((term.tolist(), (weight * lift / max(float(np.linalg.norm(weight)), 1e-6)).tolist()))
-    own = corpus.sparkSession.createDataFrame(rows, "term array<int>, weight array<float>")
-    return corpus.unionByName(own.coalesce(1))
-
-
-def _search(docs: DataFrame, idf: np.ndarray, space: np.ndarray, found: Segments) -> DataFrame:
-    """Verified matches of all passages of all texts with the benchmark passages."""
+def _queries(found: Segments, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The benchmark passages as rows of length one: row, term and weight."""
     row = owners(np.concatenate([[0], np.cumsum([len(w) for w in found.words])]))
     term = (np.concatenate(found.words) >> np.uint64(64 - TERMS.bit_length() + 1)).astype(np.int64)
-    r, t, w = _weights(term, row, idf)
-    norm = np.sqrt(np.bincount(r, w**2, len(found.words)))
-    queries = _product(r, t, w, len(found.words), space) / np.maximum(norm, 1e-6)[:, None]
-    # cosines within the space: what it leaves out of either passage does not lower them
-    queries = (queries / np.maximum(np.linalg.norm(queries, axis=1), 1e-6)[:, None]).astype(np.float32)
-    present = np.flatnonzero(space.any(axis=1))
-    shared = docs.sparkSession.sparkContext.broadcast((present, space[present] * idf[present, None], queries, found))
+    row, term, weight = _weights(term, row, idf)
+    norm = np.sqrt(np.bincount(row, weight**2, len(found.words)))
+    return row, term, (weight / np.maximum(norm, 1e-6)[row]).astype(np.float32)
+
+
+def _space(corpus: np.ndarray, n: int, idf: np.ndarray, found: Segments) -> np.ndarray:
+    """Leading right singular vectors (TERMS by RANK) of the corpus' singular rows and a block of benchmark passages together."""
+    row, term, weight = _queries(found, idf)
+    # the space must hold the benchmark: its rows weigh as much as all passages of the corpus
+    weight = weight * np.float32((max(n, 1) / len(found.words)) ** 0.5)
+    present, at = np.unique(term, return_inverse=True)
+    own = np.zeros((len(present), len(found.words)), np.float32)
+    own[at, row] = weight
+    # singular vectors of the few rows from their products with one another
+    across = corpus[present].T.astype(float) @ own
+    value, turn = np.linalg.eigh(np.block([[_crossed(corpus, corpus), across], [across.T, _crossed(own, own)]]))
+    value, turn = value[::-1][:RANK], turn[:, ::-1][:, :RANK]
+    kept = value > 1e-10 * max(value[0], 1e-30)
+    turn = (turn[:, kept] / np.sqrt(value[kept])).astype(np.float32)
+    space = np.zeros((TERMS, RANK), np.float32)
+    space[:, : turn.shape[1]] = corpus @ turn[: corpus.shape[1]]
+    space[present, : turn.shape[1]] += own @ turn[corpus.shape[1] :]
+    return space
+
+
+class Overlap:
+    """How many words of a benchmark passage may occur near a passage of a text: their terms do."""
+
+    def __init__(self, found: Segments):
+        terms = [(w >> np.uint64(64 - TERMS.bit_length() + 1)).astype(np.int64) for w in found.words]
+        known = np.unique(np.concatenate(terms))
+        self.n = len(known)
+        self.place = np.full(TERMS, self.n)
+        self.place[known] = np.arange(self.n)
+        self.words = np.full((len(terms), SEGMENT), self.n)
+        for q, t in enumerate(terms):
+            self.words[q, : len(t)] = self.place[t]
+
+    def count(self, words: Passages, lo: np.ndarray, hi: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """For words lo:hi and a benchmark passage each."""
+        out = np.zeros(len(query), np.uint64)
+        place = self.place[words.term]
+        spot = np.flatnonzero(place < self.n)
+        place = place[spot]
+        for k in range(0, len(query), 512):
+            a, b, q = (x[k : k + 512] for x in (lo, hi, query))
+            new = (np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0)
+            begin, end = np.searchsorted(spot, a[new]), np.searchsorted(spot, b[new])
+            size = end - begin
+            here = np.zeros(len(size) * (self.n + 1), bool)
+            at = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+            here[np.repeat(np.arange(len(size)) * (self.n + 1), size) + place[at]] = True
+            found = here.take((np.cumsum(new) - 1)[:, None] * (self.n + 1) + self.words[q])
+            # the bytes of eight flags at a time, then of their sums
+            out[k : k + 512] = found.view(np.uint64).sum(1) * np.uint64(0x0101010101010101) >> np.uint64(56)
+        return out.astype(np.int64)
+
+
+def _search(docs: DataFrame, idf: np.ndarray, each_block: list[tuple[int, np.ndarray, Segments]]) -> DataFrame:
+    """Verified matches of all passages of all texts with the benchmark passages of some blocks (number, space, passages)."""
+    parts = []
+    for number, space, found in each_block:
+        queries = _product(*_queries(found, idf), len(found.words), space)
+        # cosines within the space: what it leaves out of either passage does not lower them
+        queries = (queries / np.maximum(np.linalg.norm(queries, axis=1), 1e-6)[:, None]).astype(np.float32)
+        parts.append((number, space * idf[:, None], queries, found))
+    shared = docs.sparkSession.sparkContext.broadcast(parts)
 
     def make():
-        present, rows, queries, found = shared.value
-        weighted = np.zeros((TERMS, rows.shape[1]), np.float32)
-        weighted[present] = rows
+        parts = [(*part, Overlap(part[-1]), np.array([len(w) for w in part[-1].words])) for part in shared.value]
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             words = Passages(column(batch, "text"))
-            steps = -(-np.diff(words.first) // STEP)
-            edge = np.concatenate([[0], np.cumsum(steps)])
-            of = np.repeat(np.arange(words.n), steps)
-            start = words.first[of] + (np.arange(len(of)) - edge[of]) * STEP
-            best: dict[tuple[int, int], tuple[float, float, float, int]] = {}
-            if len(start):
-                # a passage is the sum of two steps; a word counts once in a step
-                step = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(words.term))))
-                cell = np.unique(step * TERMS + words.term)
-                step, term = cell // TERMS, cell % TERMS
-                begin = np.searchsorted(step, np.arange(len(start) + 1))
-                part = np.empty((len(start), weighted.shape[1]), np.float32)
-                for lo in range(0, len(start), 512):
-                    hi = min(lo + 512, len(start))
-                    np.add.reduceat(weighted[term[begin[lo] : begin[hi]]], begin[lo:hi] - begin[lo], axis=0, out=part[lo:hi])
-                alone = np.append(of[1:] != of[:-1], True)
-                both = part + np.where(alone[:, None], 0, np.roll(part, -1, axis=0))
+            steps, of, start = steps_of(words)
+            best: dict[tuple[int, int, int], tuple[float, float, float, int]] = {}
+            for number, weighted, queries, found, overlap, size in parts if steps.n else ():
+                both = steps.times(weighted)
                 score = (both @ queries.T) / np.maximum(np.linalg.norm(both, axis=1), 1e-6)[:, None]
-                now, here = -1, frozenset()
-                for p, q in zip(*np.nonzero(score >= CLOSE), strict=True):
+                p, q = np.nonzero(score >= CLOSE)
+                begin, end = words.first[of[p]], words.first[of[p] + 1]
+                # words that are nowhere near can not be in a common subsequence
+                near = overlap.count(words, np.maximum(begin, start[p] - SEGMENT), np.minimum(end, start[p] + 2 * STEP + SEGMENT), q)
+                left = np.flatnonzero(near >= PARAPHRASED * size[q])
+                for p, q, begin, end in zip(p[left], q[left], begin[left], end[left], strict=True):
                     h, i = found.words[q], int(of[p])
-                    if p != now:
-                        now, here = p, frozenset(words.hash[max(words.first[i], start[p] - SEGMENT) : min(words.first[i + 1], start[p] + 2 * STEP + SEGMENT)].tolist())
-                    # words that are nowhere near can not be in a common subsequence
-                    if sum(x in here for x in found.listed[q]) < PARAPHRASED * len(h):
-                        continue
-                    lo, hi = max(words.first[i], start[p] - len(h)), min(words.first[i + 1], start[p] + 2 * STEP + len(h))
+                    lo, hi = max(begin, start[p] - len(h)), min(end, start[p] + 2 * STEP + len(h))
                     near = words.hash[lo:hi]
                     share = common(h, near) / len(h)
+                    if share < PARAPHRASED:
+                        continue
                     told = found.answer[q]
                     answer = common(told, near) / len(told) if len(told) else 0.0
-                    if share >= COPIED or (share >= PARAPHRASED and answer >= ANSWERED):
-                        key = (i, found.item[q])
+                    if share >= COPIED or answer >= ANSWERED:
+                        key = (i, found.item[q], number)
                         best[key] = max(best.get(key, (0.0, 0.0, 0.0, 0)), (share, answer, float(score[p, q]), int(lo - words.first[i])))
-            at = pa.array([i for i, _ in best], pa.int64())
+            at = pa.array([i for i, _, _ in best], pa.int64())
             values = list(best.values())
             return table(
-                doc_id=column(batch, "doc_id").take(at), row=column(batch, "row").take(at), item_id=pa.array([j for _, j in best], pa.int64()),
+                doc_id=column(batch, "doc_id").take(at), row=column(batch, "row").take(at), item_id=pa.array([j for _, j, _ in best], pa.int64()),
                 lcs_share=pa.array([v[0] for v in values], pa.float64()), answer_share=pa.array([v[1] for v in values], pa.float64()),
                 cosine=pa.array([v[2] for v in values], pa.float64()), first_word=pa.array([v[3] for v in values], pa.int64()),
+                block=pa.array([b for _, _, b in best], pa.int32()),
             )
 
         return each
 
     hits = stored(map_texts(docs, make, MATCHES), "matches")
-    shared.destroy()  # the next block sends another one
+    shared.destroy()  # the next blocks send another one
     return hits
 
 
-MATCHES = "doc_id long, row long, item_id long, lcs_share double, answer_share double, cosine double, first_word long"
+MATCHES = "doc_id long, row long, item_id long, lcs_share double, answer_share double, cosine double, first_word long, block int"
 
 
 def _once(hits: DataFrame) -> DataFrame:
@@ -350,18 +493,22 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     size = items.agg(F.sum(F.size(F.split("text", r"\s+")) / (SEGMENT // 2) + 1)).first()[0] or 0
     n_blocks = max(1, int(-(-size // COLLECTED)))
-    idf = inverse_frequency(term_counts(docs))
-    corpus = None
-    out, n, split = spark.createDataFrame([], f"{MATCHES}, block int"), 0, False
+    steps = all_steps(docs)
+    idf = inverse_frequency(term_counts(steps))
+    corpus, passages = None, 0
+    out, n, split = spark.createDataFrame([], MATCHES), 0, False
     for b in range(n_blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).orderBy("item_id", "text").collect()
-        last = None
-        for found in parts_of(segments([(r["item_id"], r["text"]) for r in mine])):
+        parts = parts_of(segments([(r["item_id"], r["text"]) for r in mine]))
+        split |= any(x.item[-1] == y.item[0] for x, y in zip(parts, parts[1:]))
+        for k in range(0, len(parts), TOGETHER):
             if corpus is None:
-                corpus = _sample(docs, idf)
-            split |= found.item[0] == last
-            last, n = found.item[-1], n + 1
-            out = out.unionByName(_search(docs, idf, randomised_svd(_with_block(corpus, idf, found)), found).withColumn("block", F.lit(n)))
+                corpus, passages = randomised_svd(steps, idf)
+            searched = [(n + i, _space(corpus, passages, idf, found), found) for i, found in enumerate(parts[k : k + TOGETHER])]
+            n += len(searched)
+            out = out.unionByName(_search(docs, idf, searched))
+            del searched
+            give_back()
     return _once(out) if split else out.drop("block")
 
 
