@@ -338,18 +338,28 @@ def parts_of(found: Segments) -> list[Segments]:
     return [Segments(*(x[k : k + size] for x in (found.item, found.words, found.answer))) for k in range(0, n, size or 1)]
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, 64 and more places of ``a`` in one step."""
+def places_of(a: np.ndarray) -> dict[int, int]:
+    """The places of each word, as bits."""
     places: dict[int, int] = {}
     for k, x in enumerate(a.tolist()):
         places[x] = places.get(x, 0) | 1 << k
-    full = (1 << len(a)) - 1
+    return places
+
+
+def longest(places: dict[int, int], n: int, b: list[int]) -> int:
+    """Length of the longest common subsequence of n words and ``b``, 64 and more places in one step."""
+    full = (1 << n) - 1
     v = full
-    for x in b.tolist():
+    for x in b:
         if x in places:
             u = v & places[x]
             v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+    return n - v.bit_count()
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence."""
+    return longest(places_of(a), len(a), b.tolist())
 
 
 def _queries(found: Segments, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -425,16 +435,17 @@ def _search(docs: DataFrame, idf: np.ndarray, each_block: list[tuple[int, np.nda
     shared = docs.sparkSession.sparkContext.broadcast(parts)
 
     def make():
-        parts = [(*part, Overlap(part[-1]), np.array([len(w) for w in part[-1].words])) for part in shared.value]
+        parts = [(*part, Overlap(part[-1]), np.array([len(w) for w in part[-1].words]), [places_of(w) for w in part[-1].words]) for part in shared.value]
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             words = Passages(column(batch, "text"))
             steps, of, start = steps_of(words)
             best: dict[tuple[int, int, int], tuple[float, float, float, int]] = {}
-            for number, weighted, queries, found, overlap, size in parts if steps.n else ():
+            for number, weighted, queries, found, overlap, size, places in parts if steps.n else ():
                 both = steps.times(weighted)
-                score = (both @ queries.T) / np.maximum(np.linalg.norm(both, axis=1), 1e-6)[:, None]
-                p, q = np.nonzero(score >= CLOSE)
+                norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", both, both)), 1e-6)
+                product = both @ queries.T
+                p, q = np.divmod(np.flatnonzero(product >= (CLOSE * norm)[:, None]), len(queries))
                 begin, end = words.first[of[p]], words.first[of[p] + 1]
                 # words that are nowhere near can not be in a common subsequence
                 near = overlap.count(words, np.maximum(begin, start[p] - SEGMENT), np.minimum(end, start[p] + 2 * STEP + SEGMENT), q)
@@ -443,14 +454,14 @@ def _search(docs: DataFrame, idf: np.ndarray, each_block: list[tuple[int, np.nda
                     h, i = found.words[q], int(of[p])
                     lo, hi = max(begin, start[p] - len(h)), min(end, start[p] + 2 * STEP + len(h))
                     near = words.hash[lo:hi]
-                    share = common(h, near) / len(h)
+                    share = longest(places[q], len(h), near.tolist()) / len(h)
                     if share < PARAPHRASED:
                         continue
                     told = found.answer[q]
                     answer = common(told, near) / len(told) if len(told) else 0.0
                     if share >= COPIED or answer >= ANSWERED:
                         key = (i, found.item[q], number)
-                        best[key] = max(best.get(key, (0.0, 0.0, 0.0, 0)), (share, answer, float(score[p, q]), int(lo - words.first[i])))
+                        best[key] = max(best.get(key, (0.0, 0.0, 0.0, 0)), (share, answer, float(product[p, q] / norm[p]), int(lo - words.first[i])))
             at = pa.array([i for i, _, _ in best], pa.int64())
             values = list(best.values())
             return table(
