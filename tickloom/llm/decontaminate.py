@@ -30,8 +30,8 @@ RANK, EXTRA, POWER = 128, 16, 2  # latent dimensions, spare columns of the sketc
 BLOCK_SEGMENTS = RANK  # benchmark passages that are searched together: the space holds every one of them
 COLLECTED = 1_000  # benchmark passages that the driver cuts at a time, about
 PARTS = 1024  # slices of a partial matrix product
-TEXT_BLOCKS = 256  # blocks of texts that share one partial product
-GATHERED = 1 << 15  # steps whose products are added up by term together
+TEXT_BLOCKS = 128  # blocks of texts that share one partial product
+GATHERED = 3 << 12  # steps whose products are added up by term together
 CHUNK, PIECE = 384, 64  # sums that are made side by side, so that they stay in the cache, and rows in each
 TOGETHER = 2  # blocks of benchmark passages that are searched in one pass over the texts
 
@@ -196,22 +196,25 @@ def _add_rows(total: np.ndarray, term: np.ndarray, step: np.ndarray, rows: np.nd
         step, rows = np.argsort(order), found
 
 
-def _summed(steps: DataFrame, idf: np.ndarray, width: int, basis: np.ndarray | int) -> tuple[np.ndarray, int]:
-    """The sum over all passages of all texts of a' (a S), a of length one; and how many passages there are.
+def _summed(steps: DataFrame, idf: np.ndarray, width: int, basis: np.ndarray | int, tasks: int) -> tuple[np.ndarray, int]:
+    """The sum over all passages of all texts of t' (a S), a the weighted passage of length one and t the same without weights; and how many passages there are.
 
-    S has a row for each term; a number is the seed of the first S.
+    S has a row for each term, times its weight already; a number is the seed of the first S.
     """
     shared = steps.sparkSession.sparkContext.broadcast((idf, basis))
 
     def run(batches):
         idf, s = shared.value
-        s = (_start(width, s) if isinstance(s, int) else s) * idf[:, None]
+        if isinstance(s, int):
+            s = _start(width, s)
+            s *= idf[:, None]
         total, n = np.zeros((TERMS, width), np.float32), 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def add_held():
-            _add_rows(total, *map(np.concatenate, zip(*held, strict=True)))
+            term, step, rows = map(np.concatenate, zip(*held, strict=True))
             held.clear()
+            _add_rows(total, term, step, rows)
 
         for batch in batches:
             for parts in zip(*(column(batch, c) for c in ("term", "size", "alone")), strict=True):
@@ -227,7 +230,6 @@ def _summed(steps: DataFrame, idf: np.ndarray, width: int, basis: np.ndarray | i
         if held:
             add_held()
         if n:
-            total *= idf[:, None]
             for k in range(0, PARTS, 64):
                 pieces = [total[i * TERMS // PARTS : (i + 1) * TERMS // PARTS].tobytes() for i in range(k, min(k + 64, PARTS))]
                 yield table(part=np.arange(k, k + len(pieces)), n=np.full(len(pieces), n), body=pa.array(pieces, pa.binary()))
@@ -245,10 +247,12 @@ def _summed(steps: DataFrame, idf: np.ndarray, width: int, basis: np.ndarray | i
 
     schema = "part long, n long, body binary"
     out, n = np.zeros((TERMS, width), np.float32), 0
-    # a slice is added up as it comes, however many tasks there were
-    for r in steps.mapInArrow(run, schema).repartition("part").mapInArrow(add, schema).collect():
-        out[r["part"] * TERMS // PARTS : (r["part"] + 1) * TERMS // PARTS] = np.frombuffer(r["body"], np.float32).reshape(-1, width)
-        n = r["n"]
+    # a slice is added up as it comes, however many tasks there were; each task here gets about half a product
+    found = steps.mapInArrow(run, schema).repartition(min(PARTS, 2 * tasks), "part").mapInArrow(add, schema).toArrow()
+    for batch in found.to_batches():
+        for k, m, body in zip(*(column(batch, c) for c in ("part", "n", "body")), strict=True):
+            at, n = k.as_py(), m.as_py()
+            out[at * TERMS // PARTS : (at + 1) * TERMS // PARTS] = np.frombuffer(body.as_buffer(), np.float32).reshape(-1, width)
     shared.destroy()  # the next round sends another one
     return out, n
 
@@ -277,25 +281,32 @@ def randomised_svd(steps: DataFrame, idf: np.ndarray, rank: int = RANK, extra: i
     steps = steps.where("term is not null").select("term", "size", "alone")
     n = steps.count()
     # each task sends a partial product of fixed size
-    steps = steps.coalesce(max(1, min(n, steps.sparkSession.sparkContext.defaultParallelism), n // TEXT_BLOCKS))
-    basis: np.ndarray = np.zeros((TERMS, 0), np.float32)
-    y, n = _summed(steps, idf, rank + extra, seed)
+    tasks = max(1, min(n, steps.sparkSession.sparkContext.defaultParallelism), n // TEXT_BLOCKS)
+    steps = steps.coalesce(tasks)
+    y, n = _summed(steps, idf, rank + extra, seed, tasks)
+    basis = None
     for _ in range(power):
+        y *= idf[:, None]
         if not y.any():
             break
         basis = _orthonormal(y)
+        basis *= idf[:, None]
         del y
         give_back()  # the driver keeps one sketch, not the products it came from
-        y, n = _summed(steps, idf, basis.shape[1], basis)
+        y, n = _summed(steps, idf, basis.shape[1], basis, tasks)
     if not y.any():
-        return basis[:, :0], n
-    basis = basis if power else _start(rank + extra, seed)
-    # C'C is about Y (Q'Y)^-1 Y' = F F'
-    value, turn = np.linalg.eigh(_crossed(basis, y))
+        return np.zeros((TERMS, 0), np.float32), n
+    # with Q the basis and Y = C'C Q, C'C is about Y (Q'Y)^-1 Y' = F F'
+    value, turn = np.linalg.eigh(_crossed(_start(rank + extra, seed) * idf[:, None] if basis is None else basis, y))
+    del basis
+    y *= idf[:, None]
     kept = value > 1e-10 * value.max()
-    f = y @ (turn[:, kept] / np.sqrt(value[kept])).astype(np.float32)
-    value, turn = np.linalg.eigh(_crossed(f, f))
-    return f @ turn[:, ::-1][:, :rank].astype(np.float32), n
+    turn = turn[:, kept] / np.sqrt(value[kept])
+    _, last = np.linalg.eigh(turn.T @ _crossed(y, y) @ turn)
+    out = y @ (turn @ last[:, ::-1][:, :rank]).astype(np.float32)
+    del y
+    give_back()
+    return out, n
 
 
 @dataclass(frozen=True)
@@ -371,8 +382,11 @@ def _queries(found: Segments, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row, term, (weight / np.maximum(norm, 1e-6)[row]).astype(np.float32)
 
 
-def _space(corpus: np.ndarray, n: int, idf: np.ndarray, found: Segments) -> np.ndarray:
-    """Leading right singular vectors (TERMS by RANK) of the corpus' singular rows and a block of benchmark passages together."""
+def _turn(corpus: np.ndarray, n: int, idf: np.ndarray, found: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The space of a block: leading right singular vectors of the corpus' singular rows and the benchmark passages together.
+
+    The space is ``corpus`` times the first result; the rows ``present``, the second one, add the third.
+    """
     row, term, weight = _queries(found, idf)
     # the space must hold the benchmark: its rows weigh as much as all passages of the corpus
     weight = weight * np.float32((max(n, 1) / len(found.words)) ** 0.5)
@@ -385,9 +399,13 @@ def _space(corpus: np.ndarray, n: int, idf: np.ndarray, found: Segments) -> np.n
     value, turn = value[::-1][:RANK], turn[:, ::-1][:, :RANK]
     kept = value > 1e-10 * max(value[0], 1e-30)
     turn = (turn[:, kept] / np.sqrt(value[kept])).astype(np.float32)
-    space = np.zeros((TERMS, RANK), np.float32)
-    space[:, : turn.shape[1]] = corpus @ turn[: corpus.shape[1]]
-    space[present, : turn.shape[1]] += own @ turn[corpus.shape[1] :]
+    return turn[: corpus.shape[1]], present, own @ turn[corpus.shape[1] :]
+
+
+def _space(corpus: np.ndarray, turn: np.ndarray, present: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The space (a row per term) from the parts that ``_turn`` returns."""
+    space = corpus @ turn
+    space[present] += own
     return space
 
 
@@ -424,18 +442,21 @@ class Overlap:
         return out.astype(np.int64)
 
 
-def _search(docs: DataFrame, idf: np.ndarray, each_block: list[tuple[int, np.ndarray, Segments]]) -> DataFrame:
-    """Verified matches of all passages of all texts with the benchmark passages of some blocks (number, space, passages)."""
-    parts = []
-    for number, space, found in each_block:
-        queries = _product(*_queries(found, idf), len(found.words), space)
-        # cosines within the space: what it leaves out of either passage does not lower them
-        queries = (queries / np.maximum(np.linalg.norm(queries, axis=1), 1e-6)[:, None]).astype(np.float32)
-        parts.append((number, space * idf[:, None], queries, found))
-    shared = docs.sparkSession.sparkContext.broadcast(parts)
+def _search(docs: DataFrame, idf: np.ndarray, corpus: np.ndarray, searched: list[tuple[int, tuple, Segments]]) -> DataFrame:
+    """Verified matches of all passages of all texts with the benchmark passages of some blocks (number, turn, passages)."""
+    # the corpus' rows are sent once, the tasks turn them for each block
+    shared = docs.sparkSession.sparkContext.broadcast((idf, corpus, searched))
 
     def make():
-        parts = [(*part, Overlap(part[-1]), np.array([len(w) for w in part[-1].words]), [places_of(w) for w in part[-1].words]) for part in shared.value]
+        idf, corpus, searched = shared.value
+        parts = []
+        for number, turn, found in searched:
+            space = _space(corpus, *turn)
+            queries = _product(*_queries(found, idf), len(found.words), space)
+            # cosines within the space: what it leaves out of either passage does not lower them
+            queries = (queries / np.maximum(np.linalg.norm(queries, axis=1), 1e-6)[:, None]).astype(np.float32)
+            space *= idf[:, None]
+            parts.append((number, space, queries, found, Overlap(found), np.array([len(w) for w in found.words]), [places_of(w) for w in found.words]))
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             words = Passages(column(batch, "text"))
@@ -515,11 +536,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for k in range(0, len(parts), TOGETHER):
             if corpus is None:
                 corpus, passages = randomised_svd(steps, idf)
-            searched = [(n + i, _space(corpus, passages, idf, found), found) for i, found in enumerate(parts[k : k + TOGETHER])]
+            searched = [(n + i, _turn(corpus, passages, idf, found), found) for i, found in enumerate(parts[k : k + TOGETHER])]
             n += len(searched)
-            out = out.unionByName(_search(docs, idf, searched))
-            del searched
-            give_back()
+            out = out.unionByName(_search(docs, idf, corpus, searched))
     return _once(out) if split else out.drop("block")
 
 
