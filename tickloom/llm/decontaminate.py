@@ -274,9 +274,9 @@ def _orthonormal(y: np.ndarray) -> np.ndarray:
 def randomised_svd(steps: DataFrame, idf: np.ndarray, rank: int = RANK, extra: int = EXTRA, power: int = POWER, seed: int = 5) -> tuple[np.ndarray, int]:
     """Leading right singular vectors (TERMS by rank) of the passages of all texts, each times its value; and how many passages.
 
-    ``steps`` are those of all texts. Every round takes all of their passages: it sends the sketch to the tasks (bounded by
-    TERMS x (rank + extra)) and adds up their partial products slice by slice. The last round
-    also gives the values, by Nystroem's formula.
+    ``steps`` are those of all texts. Every round takes all of their passages: it sends the sketch
+    to the tasks (bounded by TERMS x (rank + extra)) and adds up their partial products slice by
+    slice. The last round also gives the values, by Nystroem's formula.
     """
     steps = steps.where("term is not null").select("term", "size", "alone")
     n = steps.count()
