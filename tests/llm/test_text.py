@@ -351,6 +351,37 @@ def test_decontamination_words_near_a_passage():
     assert decontaminate.Overlap(found).count(words, lo, hi, query).tolist() == want
 
 
+def test_decontamination_words_near_a_passage_at_most():
+    """The bound for whole steps never lies below the count, whatever texts stand beside each other."""
+    rng = np.random.default_rng(6)
+    words = decontaminate.Passages(pa.array([" ".join(f"w{k}" for k in rng.integers(0, 200, n)) for n in (0, 5, 700, 1, 90, 0)]))
+    steps, of, start = decontaminate.steps_of(words)
+    found = decontaminate.segments([(k, " ".join(f"w{x}" for x in rng.integers(0, 260, n))) for k, n in enumerate((3, 20, 64, 150))])
+    overlap = decontaminate.Overlap(found)
+    passage, query = (x.ravel() for x in np.meshgrid(np.arange(steps.n), np.arange(len(found.words)), indexing="ij"))
+    lo = np.maximum(words.first[of[passage]], start[passage] - decontaminate.SEGMENT)
+    hi = np.minimum(words.first[of[passage] + 1], start[passage] + 2 * decontaminate.STEP + decontaminate.SEGMENT)
+    most, exact = overlap.at_most(steps, passage, query), overlap.count(words, lo, hi, query)
+    assert (most >= exact).all() and (most <= np.array([len(w) for w in found.words])[query]).all() and (most < most.max()).any()
+
+
+def test_decontamination_products_of_steps():
+    """Sums in place, of terms in one step and in most steps, of a step without room and of one block."""
+    rng = np.random.default_rng(7)
+    words = decontaminate.Passages(pa.array([" ".join(f"w{int(k)}" for k in rng.zipf(1.3, n) % 5000) for n in (0, 1, 3000, 25, 4000)]))
+    steps, _, _ = decontaminate.steps_of(words)
+    rows, total = rng.standard_normal((steps.n, 9), np.float32), rng.standard_normal((decontaminate.TERMS, 9), np.float32)
+    want = total.astype(float)
+    np.add.at(want, steps.term, rows[steps.step])
+    decontaminate._add_rows(total, steps.term, steps.step, rows)
+    assert np.abs(total - want).max() < 1e-3 and np.bincount(steps.term).max() > decontaminate.PIECE
+    passages = np.zeros((steps.n, 9))
+    np.add.at(passages, steps.step, want[steps.term])
+    passages[:-1] += np.where(steps.alone[:-1, None], 0, passages[1:])
+    room = np.zeros((steps.n + 2, 9), np.float32)
+    assert np.abs(steps.times(want.astype(np.float32), room[1:-1]) - passages).max() < 1e-2 and not room[[0, -1]].any()
+
+
 def test_decontamination_item_in_several_blocks(spark, monkeypatch):
     """One row per text and item; rows that repeat a text each give theirs."""
     monkeypatch.setattr(decontaminate, "BLOCK_SEGMENTS", 2)

@@ -32,7 +32,7 @@ COLLECTED = 1_000  # benchmark passages that the driver cuts at a time, about
 PARTS = 1024  # slices of a partial matrix product
 TEXT_BLOCKS = 128  # blocks of texts that share one partial product
 GATHERED = 3 << 12  # steps whose products are added up by term together
-CHUNK, PIECE = 384, 64  # sums that are made side by side, so that they stay in the cache, and rows in each
+CHUNK, PIECE = 384 * 144, 64  # values of the sums that are made side by side, so that they stay in the cache, and rows in each
 TOGETHER = 2  # blocks of benchmark passages that are searched in one pass over the texts
 
 CLOSE = 0.25  # cosine from which a passage is looked at
@@ -67,18 +67,29 @@ def _sorted_distinct(cell: np.ndarray) -> np.ndarray:
     return cell[np.diff(cell, prepend=-1) > 0]
 
 
-def _sums(rows: np.ndarray, at: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sum of ``rows[at[b : b + n]]`` for each begin b and size n, longest first; and that order."""
+def _rows(n: int, width: int) -> np.ndarray:
+    """Rows without values that begin with a cache line."""
+    body = np.empty(n * width * 4 + 64, np.uint8)
+    at = -body.ctypes.data % 64
+    return body[at : at + n * width * 4].view(np.float32).reshape(n, width)
+
+
+def _sums(rows: np.ndarray, at: np.ndarray, begin: np.ndarray, size: np.ndarray, out: np.ndarray, place: np.ndarray | None = None) -> None:
+    """The sum of ``rows[at[b : b + n]]`` for each begin b and size n into ``out``; with ``place``, added to these rows of it, each named once."""
     order = np.argsort(-size, kind="stable")
-    begin, size = begin[order], size[order]
-    out, room = np.empty((len(order), rows.shape[1]), np.float32), np.empty((CHUNK, rows.shape[1]), np.float32)
-    for lo in range(0, len(order), CHUNK):
-        first, total = begin[lo : lo + CHUNK], out[lo : lo + CHUNK]
+    begin, size, to = begin[order], size[order], order if place is None else place[order]
+    chunk = max(1, CHUNK // max(1, rows.shape[1]))
+    both = _rows(2 * chunk, rows.shape[1])
+    for lo in range(0, len(order), chunk):
+        first, here = begin[lo : lo + chunk], to[lo : lo + chunk]
+        total, room = both[: len(first)], both[chunk:]
         np.take(rows, at[first], axis=0, out=total, mode="clip")
-        many = np.searchsorted(-size[lo : lo + CHUNK], -np.arange(1, size[lo]))  # sums that go on
+        many = np.searchsorted(-size[lo : lo + chunk], -np.arange(1, size[lo]))  # sums that go on
         for k, n in enumerate(many.tolist(), 1):
             total[:n] += np.take(rows, at[first[:n] + k], axis=0, out=room[:n], mode="clip")
-    return out, order
+        if place is not None:
+            total += np.take(out, here, axis=0, out=room[: len(here)], mode="clip")
+        out[here] = total
 
 
 class Steps:
@@ -93,12 +104,13 @@ class Steps:
         self.n = len(size)
         self.step = np.repeat(np.arange(self.n), size)
 
-    def times(self, space: np.ndarray) -> np.ndarray:
+    def times(self, space: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
         """The passages times ``space``."""
-        found, order = _sums(space, self.term, np.cumsum(self.size) - self.size, self.size)
-        part = np.empty_like(found)
-        part[order] = found
-        part[:-1] += np.where(self.alone[:-1, None], np.float32(0), part[1:])
+        part = _rows(self.n, space.shape[1]) if out is None else out
+        _sums(space, self.term, np.cumsum(self.size) - self.size, self.size, part)
+        then = part[1:].copy()
+        then[self.alone[:-1]] = 0
+        part[:-1] += then
         return part
 
     def norms(self, idf: np.ndarray) -> np.ndarray:
@@ -182,18 +194,19 @@ def _add_rows(total: np.ndarray, term: np.ndarray, step: np.ndarray, rows: np.nd
     bits = len(rows).bit_length()
     cell = np.sort(term << bits | step)
     term, step = cell >> bits, cell & ((1 << bits) - 1)
-    while len(term):
-        # the rows of a term are summed in pieces; if it has several, their sums are the next rows
-        first = np.flatnonzero(np.diff(term, prepend=-1))
-        count = np.diff(np.append(first, len(term)))
-        many = -(-count // PIECE)
-        rank = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        found, order = _sums(rows, step, np.repeat(first, many) + rank * PIECE, np.minimum(PIECE, np.repeat(count, many) - rank * PIECE))
-        term = np.repeat(term[first], many)
-        if many.max() == 1:
-            total[term[order]] += found
-            return
-        step, rows = np.argsort(order), found
+    first = np.flatnonzero(np.diff(term, prepend=-1))
+    count = np.diff(np.append(first, len(term)))
+    few = count <= PIECE
+    _sums(rows, step, first[few], count[few], total, term[first[few]])
+    if few.all():
+        return
+    # the rows of a term with many are summed in pieces, whose sums are the next rows
+    first, count = first[~few], count[~few]
+    many = -(-count // PIECE)
+    rank = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    found = _rows(len(rank), rows.shape[1])
+    _sums(rows, step, np.repeat(first, many) + rank * PIECE, np.minimum(PIECE, np.repeat(count, many) - rank * PIECE), found)
+    _add_rows(total, np.repeat(term[first], many), np.arange(len(rank)), found)
 
 
 def _summed(steps: DataFrame, idf: np.ndarray, width: int, basis: np.ndarray | int, tasks: int) -> tuple[np.ndarray, int]:
@@ -208,11 +221,13 @@ def _summed(steps: DataFrame, idf: np.ndarray, width: int, basis: np.ndarray | i
         if isinstance(s, int):
             s = _start(width, s)
             s *= idf[:, None]
-        total, n = np.zeros((TERMS, width), np.float32), 0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        total, n = _rows(TERMS, width), 0
+        total[:] = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        room, full = _rows(GATHERED, width), 0
 
-        def add_held():
-            term, step, rows = map(np.concatenate, zip(*held, strict=True))
+        def add_held(rows):
+            term, step = map(np.concatenate, zip(*held, strict=True))
             held.clear()
             _add_rows(total, term, step, rows)
 
@@ -220,20 +235,28 @@ def _summed(steps: DataFrame, idf: np.ndarray, width: int, basis: np.ndarray | i
             for parts in zip(*(column(batch, c) for c in ("term", "size", "alone")), strict=True):
                 term, size, alone = (np.frombuffer(x.as_buffer(), t) for x, t in zip(parts, (np.uint16, np.uint8, bool), strict=True))
                 block = Steps(term.astype(np.int64), size.astype(np.int64), alone)
-                y = block.times(s) / np.maximum(block.norms(idf), 1e-12)[:, None].astype(np.float32)
-                y[1:] += np.where(block.alone[:-1, None], np.float32(0), y[:-1])  # a step lies in its passage and in the one before
-                at = sum(len(h[2]) for h in held)
-                held.append((block.term, block.step + at, y))
+                if held and full + block.n > GATHERED:
+                    add_held(room[:full])
+                    full = 0
+                # a text of more steps than are held has its own rows
+                y = block.times(s, room[full : full + block.n] if block.n <= GATHERED else None)
+                y /= np.maximum(block.norms(idf), 1e-12)[:, None].astype(np.float32)
+                before = y[:-1].copy()
+                before[block.alone[:-1]] = 0
+                y[1:] += before  # a step lies in its passage and in the one before
+                held.append((block.term, block.step + full))
                 n += block.n
-                if at + block.n >= GATHERED:
-                    add_held()
+                if block.n > GATHERED:
+                    add_held(y)
+                else:
+                    full += block.n
         if held:
-            add_held()
+            add_held(room[:full])
         if n:
             for k in range(0, PARTS, 64):
                 pieces = [total[i * TERMS // PARTS : (i + 1) * TERMS // PARTS].tobytes() for i in range(k, min(k + 64, PARTS))]
                 yield table(part=np.arange(k, k + len(pieces)), n=np.full(len(pieces), n), body=pa.array(pieces, pa.binary()))
-        del s, total
+        del s, total, room
         give_back()
 
     def add(batches):
@@ -414,32 +437,68 @@ class Overlap:
 
     def __init__(self, found: Segments):
         terms = [(w >> np.uint64(64 - TERMS.bit_length() + 1)).astype(np.int64) for w in found.words]
-        known = np.unique(np.concatenate(terms))
+        known, at = np.unique(np.concatenate(terms), return_inverse=True)
+        times = np.zeros((len(terms), len(known)), np.uint8)
+        np.add.at(times, (np.repeat(np.arange(len(terms)), [len(t) for t in terms]), at), 1)
+        most = times.max(0)
+        order = np.argsort(-most.astype(int), kind="stable")  # terms that a passage repeats come first
         self.n = len(known)
         self.place = np.full(TERMS, self.n)
-        self.place[known] = np.arange(self.n)
-        self.words = np.full((len(terms), SEGMENT), self.n)
-        for q, t in enumerate(terms):
-            self.words[q, : len(t)] = self.place[t]
-
-    def count(self, words: Passages, lo: np.ndarray, hi: np.ndarray, query: np.ndarray) -> np.ndarray:
-        """For words lo:hi and a benchmark passage each."""
-        out = np.zeros(len(query), np.uint64)
+        self.place[known[order]] = np.arange(self.n)
+        self.bits = -(-self.n // 64) * 64
+        # a bit for each term that a passage holds, then for each one that it holds twice, and so on
+        held, columns = [], []
+        for m in range(1, int(most.max()) + 1):
+            wide = -(-np.count_nonzero(most >= m) // 64)
+            flags = np.zeros((len(terms), wide * 64), bool)
+            flags[:, : self.n] = times[:, order[: wide * 64]] >= m
+            held.append(np.packbits(flags, axis=1).view(np.uint64))
+            columns.append(np.arange(wide))
+        self.held, self.columns = np.concatenate(held, axis=1), np.concatenate(columns)
+
+    def spots(self, words: Passages) -> tuple[np.ndarray, np.ndarray]:
+        """The words whose terms are known, and the places of these."""
         place = self.place[words.term]
         spot = np.flatnonzero(place < self.n)
-        place = place[spot]
+        return spot, place[spot]
+
+    def count(self, words: Passages, lo: np.ndarray, hi: np.ndarray, query: np.ndarray, spots: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """For words lo:hi and a benchmark passage each."""
+        out = np.zeros(len(query), np.int64)
+        spot, place = spots or self.spots(words)
         for k in range(0, len(query), 512):
             a, b, q = (x[k : k + 512] for x in (lo, hi, query))
             new = (np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0)
             begin, end = np.searchsorted(spot, a[new]), np.searchsorted(spot, b[new])
             size = end - begin
-            here = np.zeros(len(size) * (self.n + 1), bool)
+            here = np.zeros((len(size), self.bits), bool)
             at = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
-            here[np.repeat(np.arange(len(size)) * (self.n + 1), size) + place[at]] = True
-            found = here.take((np.cumsum(new) - 1)[:, None] * (self.n + 1) + self.words[q])
-            # the bytes of eight flags at a time, then of their sums
-            out[k : k + 512] = found.view(np.uint64).sum(1) * np.uint64(0x0101010101010101) >> np.uint64(56)
-        return out.astype(np.int64)
+            here.reshape(-1)[np.repeat(np.arange(len(size)) * self.bits, size) + place[at]] = True
+            near = np.packbits(here, axis=1).view(np.uint64)[:, self.columns]
+            out[k : k + 512] = np.bitwise_count(near[np.cumsum(new) - 1] & self.held[q]).sum(1)
+        return out
+
+    def at_most(self, steps: Steps, passage: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """As ``count`` for a passage and up to SEGMENT words around it, in whole steps (maybe of other texts too)."""
+        place = self.place[steps.term]
+        known = np.flatnonzero(place < self.n)
+        step, place = steps.step[known], place[known]
+        own = np.zeros((steps.n, self.bits // 64), np.uint64)
+        for k in range(0, steps.n, 512):
+            lo, hi = np.searchsorted(step, (k, k + 512))
+            here = np.zeros((min(512, steps.n - k), self.bits), bool)
+            here[step[lo:hi] - k, place[lo:hi]] = True
+            own[k : k + 512] = np.packbits(here, axis=1).view(np.uint64)
+        near, reach = own.copy(), -(-SEGMENT // STEP)
+        for j in range(1, min(reach + 2, steps.n)):
+            near[:-j] |= own[j:]
+            if j <= reach:
+                near[j:] |= own[:-j]
+        out = np.zeros(len(query), np.int64)
+        for k in range(0, len(query), 512):
+            p, q = passage[k : k + 512], query[k : k + 512]
+            out[k : k + 512] = np.bitwise_count(near[p][:, self.columns] & self.held[q]).sum(1)
+        return out
 
 
 def _search(docs: DataFrame, idf: np.ndarray, corpus: np.ndarray, searched: list[tuple[int, tuple, Segments]]) -> DataFrame:
@@ -449,36 +508,42 @@ def _search(docs: DataFrame, idf: np.ndarray, corpus: np.ndarray, searched: list
 
     def make():
         idf, corpus, searched = shared.value
+        width = np.cumsum([0, *(turn[0].shape[1] for _, turn, _ in searched)])
+        spaces = _rows(TERMS, width[-1])  # side by side: the rows of a word are read once
         parts = []
-        for number, turn, found in searched:
+        for (number, turn, found), lo, hi in zip(searched, width, width[1:], strict=False):
             space = _space(corpus, *turn)
             queries = _product(*_queries(found, idf), len(found.words), space)
             # cosines within the space: what it leaves out of either passage does not lower them
             queries = (queries / np.maximum(np.linalg.norm(queries, axis=1), 1e-6)[:, None]).astype(np.float32)
-            space *= idf[:, None]
-            parts.append((number, space, queries, found, Overlap(found), np.array([len(w) for w in found.words]), [places_of(w) for w in found.words]))
+            np.multiply(space, idf[:, None], out=spaces[:, lo:hi])
+            del space
+            parts.append((number, slice(lo, hi), queries, found, Overlap(found), np.array([len(w) for w in found.words]), [places_of(w) for w in found.words]))
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             words = Passages(column(batch, "text"))
             steps, of, start = steps_of(words)
             best: dict[tuple[int, int, int], tuple[float, float, float, int]] = {}
-            for number, weighted, queries, found, overlap, size, places in parts if steps.n else ():
-                both = steps.times(weighted)
+            projected = steps.times(spaces) if steps.n else None
+            for number, own, queries, found, overlap, size, places in parts if steps.n else ():
+                both = projected[:, own]
                 norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", both, both)), 1e-6)
                 product = both @ queries.T
                 p, q = np.divmod(np.flatnonzero(product >= (CLOSE * norm)[:, None]), len(queries))
-                begin, end = words.first[of[p]], words.first[of[p] + 1]
                 # words that are nowhere near can not be in a common subsequence
-                near = overlap.count(words, np.maximum(begin, start[p] - SEGMENT), np.minimum(end, start[p] + 2 * STEP + SEGMENT), q)
-                left = np.flatnonzero(near >= PARAPHRASED * size[q])
-                for p, q, begin, end in zip(p[left], q[left], begin[left], end[left], strict=True):
+                left = np.flatnonzero(overlap.at_most(steps, p, q) >= PARAPHRASED * size[q])
+                at, query = p[left], q[left]
+                begin, end = np.maximum(words.first[of[at]], start[at] - size[query]), np.minimum(words.first[of[at] + 1], start[at] + 2 * STEP + size[query])
+                spots = overlap.spots(words)
+                left = np.flatnonzero(overlap.count(words, begin, end, query, spots) >= PARAPHRASED * size[query])
+                known, first, last = words.hash[spots[0]], np.searchsorted(spots[0], begin), np.searchsorted(spots[0], end)
+                for k in left.tolist():
+                    p, q, lo, hi = at[k], query[k], begin[k], end[k]
                     h, i = found.words[q], int(of[p])
-                    lo, hi = max(begin, start[p] - len(h)), min(end, start[p] + 2 * STEP + len(h))
-                    near = words.hash[lo:hi]
-                    share = longest(places[q], len(h), near.tolist()) / len(h)
+                    share = longest(places[q], len(h), known[first[k] : last[k]].tolist()) / len(h)
                     if share < PARAPHRASED:
                         continue
-                    told = found.answer[q]
+                    near, told = words.hash[lo:hi], found.answer[q]
                     answer = common(told, near) / len(told) if len(told) else 0.0
                     if share >= COPIED or answer >= ANSWERED:
                         key = (i, found.item[q], number)
