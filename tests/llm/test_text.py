@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -339,6 +340,27 @@ def test_decontamination_space_is_fitted_on_all_passages(spark):
     assert np.linalg.norm(np.array(rows) @ unit) ** 2 >= 0.99 * (want[:120] ** 2).sum()
 
 
+def test_decontamination_products_leave_the_disk(spark):
+    """The shuffles of a round go with it; the caller's session keeps its settings."""
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    steps = decontaminate.all_steps(documents(spark, [(k, " ".join(f"w{(k * j) % 97}" for j in range(120))) for k in range(40)]))
+    idf = decontaminate.inverse_frequency(decontaminate.term_counts(steps))
+
+    def shuffles():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in files.mkString("\n").split("\n") if "shuffle_" in name}
+
+    there = shuffles()
+    decontaminate.randomised_svd(steps, idf)
+    end = time.time() + 20
+    while shuffles() - there and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffles() - there
+    assert spark.conf.get(cleanup) == before
+    assert steps.sparkSession.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+
+
 def test_decontamination_words_near_a_passage():
     rng = np.random.default_rng(4)
     words = decontaminate.Passages(pa.array([" ".join(f"w{k}" for k in rng.integers(0, 60, n)) for n in (0, 30, 400)]))

@@ -152,7 +152,11 @@ def all_steps(docs: DataFrame) -> DataFrame:
         give_back()
 
     schema = pa.schema([("term", pa.binary()), ("size", pa.binary()), ("alone", pa.binary()), ("occurring", pa.list_(pa.int32())), ("times", pa.list_(pa.int64()))])
-    return stored(docs.select("text").mapInArrow(run, "term binary, size binary, alone binary, occurring array<int>, times array<long>"), "steps")
+    # shuffles of partial products (see _summed) go as soon as a round is over, not when the driver finds them unused
+    own = docs.sparkSession.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return stored(docs.select("text").mapInArrow(run, "term binary, size binary, alone binary, occurring array<int>, times array<long>"), "steps", own)
 
 
 def term_counts(steps: DataFrame) -> np.ndarray:

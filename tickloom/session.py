@@ -59,8 +59,8 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "step") -> DataFrame:
-    """The rows written once as a columnar table in the shared folder, and read back.
+def stored(df: DataFrame, name: str = "step", reader: SparkSession | None = None) -> DataFrame:
+    """The rows written once as a columnar table in the shared folder, and read back (by another session, if one is given).
 
     For results that several branches of a plan use: the costly scan below runs once,
     later branches prune columns, and the rows survive the loss of executors. The file
@@ -69,4 +69,4 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     folder = work_folder(spark, name)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return (reader or spark).read.schema(df.schema).parquet(folder)
